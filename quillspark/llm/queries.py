@@ -29,13 +29,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import NearDup, near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), NearDup(words=5, percent=85))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op10_exact_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
@@ -53,6 +59,22 @@ marked AS (SELECT l.doc_id, l.ord, l.line, (h.k IS NOT NULL AND h.last_id <> l.d
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({FOLD.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(a) = 0 THEN []
+    WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS sh FROM s WHERE len(g) > 0),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(g) AS n_shingles, least(s.doc_id, coalesce(m.least_id, s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(m.least_id, s.doc_id)) AS kept
+FROM s LEFT JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY x) m ON s.doc_id = m.x""",
     "op10_exact_dedup": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
