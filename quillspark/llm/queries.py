@@ -35,13 +35,29 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), NearDup(words=5, percent=85))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    found = secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(told(F.filter("found", lambda s: s["base"])), 256)
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base.alias("base_sha256"), told(F.col("found")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op7_toxicity, op8_secret_scan, op10_exact_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
