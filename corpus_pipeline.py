@@ -1,10 +1,68 @@
-"""Documents to packed training sequences: the stages and their composition."""
+"""Documents to packed training sequences.
+
+Each stage takes the documents that its predecessor kept, written and read again, and returns
+those it keeps with the columns of ``documents``; the last returns the packed pieces.  A stage
+decides on ids alone and drops the rejected ids by an anti-join, broadcast only while their counted
+number is bounded, so texts move through a shuffle only beyond that.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import keep_ids, materialize
+from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.near_dedup import NearDup, near_dedup
+from quillspark.llm.packing import pack
+from quillspark.llm.quality import quality
+from quillspark.llm.queries import table, tokenizer_path
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return keep_ids(docs, materialize(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected"), "left_anti")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return _without(docs, quality(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")))
+
+
+def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal texts, the one with the largest id."""
+    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+
+
+def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8 or more)."""
+    return _without(docs, near_dedup(docs, NearDup(words=5, percent=80)).where(~F.col("kept")))
+
+
+def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in sequences of 4096 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("exact_dedup", exact_dedup_filter),
+    ("near_dedup", near_dedup_filter),
+    ("decontamination", decontamination_filter),
+    ("best_fit_packing", packing),
+]
+
+#: SQL can't express the trained classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

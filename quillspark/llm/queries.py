@@ -16,6 +16,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licences
+
+    found = licences(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_cued"),
+        F.size(sure).cast("long").alias("n_licences"),
+        F.array_join(families, ",").alias("families"),
+        F.array_join(F.transform(sure, lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",").alias("spans"),
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -75,7 +91,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
