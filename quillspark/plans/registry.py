@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL}
