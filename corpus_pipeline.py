@@ -21,7 +21,7 @@ from quillspark.llm.queries import table, tokenizer_path
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return keep_ids(docs, materialize(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected"), "left_anti")
+    return keep_ids(docs, materialize(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected", small=True), "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

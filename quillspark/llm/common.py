@@ -45,10 +45,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; removed when the driver ends."""
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; removed when the driver ends.
+
+    ``small``: rows of a few numbers behind a shuffle, written as two files a core at most; each
+    file costs the file system several calls.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quill-{name}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -143,7 +149,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to the shared folder; it ends when a round changes no edge.
     """
     e = materialize(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges"
+        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges", small=True
     )
     before = None
     for _ in range(max_rounds):
@@ -156,7 +162,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e2 = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialize(e2.where("u <> v").distinct(), "edges")
+        e = materialize(e2.where("u <> v").distinct(), "edges", small=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
             break

@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are joined back, as every other row is its own class.
     """
     keyed = materialize(digests(docs, id_col, text_col), "digests")
-    groups = materialize(merge_runs(keyed, runs, radix).where("members > 1"), "classes")
+    groups = materialize(merge_runs(keyed, runs, radix).where("members > 1"), "classes", small=True)
     rows = keyed.join(groups, KEY, "left")
     first, last = F.coalesce("min_id", "doc_id"), F.coalesce("max_id", "doc_id")
     keep_id = last if keep == "largest" else first

@@ -101,7 +101,7 @@ def dedup_lines(
     tune(spark)
     hashes = line_hashes(docs, min_chars, id_col, text_col)
     hot = materialize(
-        hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id")).where(F.col("n") >= min_docs).drop("n"), "lines"
+        hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id")).where(F.col("n") >= min_docs).drop("n"), "lines", small=True
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if hot.count() <= broadcast_lines:

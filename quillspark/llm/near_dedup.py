@@ -5,13 +5,14 @@
    sample flips one bit of a bitmap, so shared samples cancel under XOR and the population count
    of two sketches' XOR estimates a high similarity precisely (Mitzenmacher, Pagh and Pham, 2014).
 2. Documents with equal sets collapse to their least id by partial aggregation.
-3. Buckets link members to one hub each (a star), so a bucket of any size gives as many pairs as
-   members.  Pairs pass an exact size filter and the sketch's estimate and are then confirmed on
+3. Buckets link members to two hubs (stars): a pseudo-random member and the one that meets most
+   others over all buckets, so a bucket of any size gives at most two pairs a member.  Pairs pass an exact size filter and the sketch's estimate and are then confirmed on
    full shingle sets.
 4. Pairs that a star can't decide are those of different components in one bucket.  Only buckets
    that still hold several components are gone through, in blocks of bounded size, with the
-   sketches alone; pairs over the estimate's margin are confirmed on full sets like the others.
-   Nothing is capped: what a star leaves open, the blocks settle.
+   sketches; members of pairs over the estimate's margin get their full sets, and the pairs are
+   confirmed in the block, best first, until their components are one.  Only links leave a block,
+   fewer than it has members.  Nothing is capped: what a star leaves open, the blocks settle.
 5. Components of the confirmed links, by large-star and small-star.
 
 Chance of losing a link at the threshold: all bands miss with (1 - 0.85^5)^32 = 7e-9, the sketch
@@ -48,8 +49,8 @@ class NearDup:
     samples: int = 256
     bits: int = 1024
     margin: float = 0.13
-    star_bands: int = 8
     block: int = 1024
+    block_shingles: int = 500_000
     seed: int = 20240917
 
     def permutations(self) -> tuple[np.ndarray, np.ndarray]:
@@ -182,56 +183,108 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= p.percent * (len(u) + len(v) - both))
+            read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
+            ok = [similar(read(x), read(y), p.percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
 
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
 
 
-def _open_pairs(members: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of different components in one bucket that the sketches can't rule out.
+def _blocks(members: DataFrame, p: NearDup) -> DataFrame:
+    """``members`` with group keys ``key, lo, hi``: one group for each pair of a bucket's blocks.
 
-    ``members(key, band, doc_id, part, n_shingles, bands, sketch, size)``: a bucket of up to
-    ``block`` members is one group; a larger one is cut into blocks and each pair of blocks is a
-    group, so no group holds more than two blocks.  A pair is told only in the first band in
-    which its two documents meet.
+    A block has about ``block`` members or ``block_shingles`` shingles, whichever is less, so a
+    group's sets fit a worker; a bucket within both is one group.
     """
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("mass") / p.block_shingles)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     cut = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "size")
+    return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "size", "mass")
+
+
+GROUP = "key long, lo int, hi int, own int, band int, doc_id long, part long, n_shingles long, bands array<long>, sketch binary"
+
+
+def _open(group: pa.Table, p: NearDup) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a group, ``(i, js)``: pairs of different components that the sketches can't rule out.
+
+    Pairs within the group's largest component or another one are settled.  A pair counts only
+    in the first band in which its two documents meet, and of two blocks only across them.
+    """
+    n = group.num_rows
+    ids, part, sizes, own = (group[c].to_numpy() for c in ("doc_id", "part", "n_shingles", "own"))
+    band, across = group["band"][0].as_py(), group["lo"][0].as_py() != group["hi"][0].as_py()
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(n, -1)
+    keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :band]
+    values, counts = np.unique(part, return_counts=True)
+    small = np.flatnonzero(part != values[np.argmax(counts)])
+    rank = np.full(n, n)
+    rank[small] = np.arange(len(small))
+    for i in small:
+        ok = (part != part[i]) & (rank > rank[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * p.percent)
+        if across:
+            ok &= own != own[i]
+        j = np.flatnonzero(ok)
+        if len(j):
+            near = estimate(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1), p)
+            j = j[np.argsort(-near, kind="stable")][: int((near >= p.percent / 100 - p.margin).sum())]
+        if band and len(j):
+            j = j[~(keys[j] == keys[i]).any(1)]
+        if len(j):
+            yield i, j
+
+
+def _open_members(groups: DataFrame, p: NearDup) -> DataFrame:
+    """The rows of ``groups`` that are in some open pair."""
+
+    def run(group: pa.Table) -> pa.Table:
+        held = np.zeros(group.num_rows, bool)
+        for i, j in _open(group, p):
+            held[i] = True
+            held[j] = True
+        return group.select(NAMES).filter(pa.array(held))
+
+    return groups.groupBy("key", "lo", "hi").applyInArrow(run, GROUP)
+
+
+NAMES = [c.split()[0] for c in GROUP.split(", ")]
+
+
+def _settle(groups: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Links ``(src, dst)`` that join components of a group, confirmed on full shingle sets.
+
+    Pairs come in falling order of the estimate and are skipped once their components are one,
+    so a group gives fewer links than it has members.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        n = group.num_rows
-        ids, part, sizes, own = (group[c].to_numpy() for c in ("doc_id", "part", "n_shingles", "own"))
-        band, lo, hi = group["band"][0].as_py(), group["lo"][0].as_py(), group["hi"][0].as_py()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(n, -1)
-        keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :band]
-        values, counts = np.unique(part, return_counts=True)
-        small = np.flatnonzero(part != values[np.argmax(counts)])  # the largest component needs no pairs of its own
-        rank = np.full(n, n)
-        rank[small] = np.arange(len(small))
-        out_a, out_b = [], []
-        for i in small:
-            ok = (part != part[i]) & ((rank > rank[i])) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * p.percent)
-            if lo != hi:
-                ok &= own != own[i]
-            j = np.flatnonzero(ok)
-            if not len(j):
-                continue
-            j = j[estimate(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1), p) >= p.percent / 100 - p.margin]
-            if band and len(j):
-                j = j[~(keys[j] == keys[i]).any(1)]
-            out_a.append(np.minimum(ids[j], ids[i]))
-            out_b.append(np.maximum(ids[j], ids[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"src": np.concatenate(out_a or [empty]), "dst": np.concatenate(out_b or [empty])})
-
-    return cut.groupBy("key", "lo", "hi").applyInArrow(run, "src long, dst long")
+        ids, part = group["doc_id"].to_numpy(), group["part"].to_pylist()
+        full = [np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"]]
+        root = {c: c for c in part}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        src, dst = [], []
+        for i, js in _open(group, p):
+            for j in js:
+                a, b = find(part[i]), find(part[j])
+                if a != b and similar(full[i], full[j], p.percent):
+                    root[max(a, b)] = min(a, b)
+                    src.append(int(ids[i]))
+                    dst.append(int(ids[j]))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return groups.join(sets, "doc_id").select(*NAMES, "shingles").groupBy("key", "lo", "hi").applyInArrow(run, "src long, dst long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 times the intersection is at least ``percent`` times the union."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +294,7 @@ def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id"
     texts = _texts(docs, id_col, text_col)
     sketches = materialize(sketch_documents(texts, p), "sketches")
     filled = sketches.where("n_shingles > 0")
-    groups = materialize(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
+    groups = materialize(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups", small=True)
     copies = groups.where("copies > 1").select("f1", "f2", "n_shingles", "rep")
     # a document stands for its set unless its set has copies and another is the least of them
     marked = filled.join(copies, ["f1", "f2", "n_shingles"], "left").where("rep is null or rep = doc_id").where("doc_id is not null")
@@ -249,23 +302,24 @@ def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id"
     keyed = traits.select("doc_id", F.posexplode("bands").alias("band", "key"))
     # the hub is a pseudo-random member, another one in each bucket
     hubs = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("at"), F.col("doc_id").alias("hub"))).alias("first"))
-    hubs = materialize(hubs.where("size > 1").select("key", "size", F.col("first.hub").alias("hub")), "hubs")
-    members = materialize(keyed.join(hubs, "key"), "members")
-    ids = materialize(members.select("doc_id").distinct(), "ids")
+    hubs = materialize(hubs.where("size > 1").select("key", "size", F.col("first.hub").alias("hub")), "hubs", small=True)
+    members = materialize(keyed.join(hubs, "key"), "members", small=True)
+    ids = materialize(members.select("doc_id").distinct(), "ids", small=True)
     slim = materialize(traits.join(ids, "doc_id", "left_semi"), "slim")
     sets = materialize(shingle_sets(keep_ids(texts, ids), p), "sets")
-    stars = members.where((F.col("band") < p.star_bands) & (F.col("doc_id") != F.col("hub"))).select(
-        F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst")
-    )
-    tried = materialize(_likely(stars.distinct(), slim, p), "tried")
-    links = materialize(confirm(tried, sets, p).distinct(), "links")
+    # a document that meets many others is near the centre of its family and links most of it
+    meets = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    centres = members.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("centre"))
+    stars = members.join(centres, "key").select("doc_id", F.explode(F.array("hub", "centre")).alias("hub")).where(F.col("doc_id") != F.col("hub"))
+    stars = stars.select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
+    tried = materialize(_likely(stars.distinct(), slim, p), "tried", small=True)
+    links = materialize(confirm(tried, sets, p).distinct(), "links", small=True)
     parts = components(links)
     now = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    now = materialize(now.select("key", "band", "doc_id", "size", "part"), "parts")
-    mixed = now.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    still = now.join(mixed, "key", "left_semi").join(slim, "doc_id")
-    pairs = _open_pairs(still, p).distinct().join(tried, ["src", "dst"], "left_anti")
-    more = confirm(materialize(pairs, "open"), sets, p)
+    now = materialize(now.select("key", "band", "doc_id", "size", "part"), "parts").join(slim, "doc_id")
+    mixed = now.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.sum("n_shingles").alias("mass")).where("a <> b").select("key", "mass")
+    groups = materialize(_open_members(_blocks(now.join(mixed, "key"), p), p), "open")
+    more = _settle(groups, sets, p)
     # what the stars joined is given by one edge to its least member
     known = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
     final = components(known.unionByName(more.select("src", "dst")))

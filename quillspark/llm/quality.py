@@ -132,11 +132,11 @@ def sites(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
         .groupBy("host", "path")
         .agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("good"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0)).alias("bad"))
     )
-    paths = materialize(paths, "paths")
+    paths = materialize(paths, "paths", small=True)
     total = paths.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     rate = ((total["g"] or 0.0) + 1) / ((total["g"] or 0.0) + (total["b"] or 0.0) + 2)
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad")).withColumn("centre", F.lit(rate))
-    hosts = materialize(hosts, "hosts")
+    hosts = materialize(hosts, "hosts", small=True)
     s = moments(hosts, "host_good", "host_bad", "centre")
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + s * rate) / (F.col("host_good") + F.col("host_bad") + s)).select(
         F.col("host").alias("of_host"), "host_rate"
@@ -145,7 +145,7 @@ def sites(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     t = moments(both, "good", "bad", "host_rate")
     path_rate = (F.col("good") + t * F.col("host_rate")) / (F.col("good") + F.col("bad") + t)
     site = F.log(path_rate / (1 - path_rate))
-    return materialize(both.select("host", "path", site.alias("site")), "sites"), float(np.log(rate / (1 - rate)))
+    return materialize(both.select("host", "path", site.alias("site")), "sites", small=True), float(np.log(rate / (1 - rate)))
 
 
 def quality(
