@@ -44,7 +44,7 @@ TEMPLATES = {
     "LGPL": ["licensed under the GNU Lesser General Public License", "GNU Lesser General Public License version 3", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "Proprietary": ["All rights reserved. Unauthorized copying is prohibited", "proprietary and confidential license", "may not be reproduced without the prior written permission of the copyright holder"],
+    "Proprietary": ["All rights reserved", "All rights reserved. Unauthorized copying is prohibited", "proprietary and confidential license", "may not be reproduced without the prior written permission of the copyright holder"],
 }
 LEADS = ["", "This work is", "This file is", "This software is", "This program is", "The source code is", "Copyright 2020 the authors."]
 TAILS = ["", "See the LICENSE file for details.", "All contributors are listed in AUTHORS."]
