@@ -23,6 +23,7 @@ Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,35 +39,103 @@ CAPACITY = 4096
 END_ID = 1
 
 
-class ChunkIds(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when it grows too large."""
+class Recent(dict):
+    """A cache of two generations: at its limit the older one goes; what is used again stays."""
 
-    LIMIT = 250_000
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, limit: int) -> None:
         super().__init__()
+        self.limit, self.old = limit, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters: bytes that print stand for themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class ChunkIds(Recent):
+    """chunk -> its ids as little-endian unsigned 32-bit bytes.
+
+    Letters of Latin-1 with at most one full stop or comma behind are one or two pre-tokens whose
+    lower case and normal form need no context, so the library's BPE model is asked for their
+    lower-cased letters directly; every other chunk goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, chunks: int = 300_000, words: int = 200_000) -> None:
+        super().__init__(chunks)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words, self.latin = Recent(words), False
+        self.stops = {c: self.whole(c) for c in ".,"}
+
+    def of(self, text: str) -> bytes:
+        """The ids of a text; lower-casing a Latin-1 text first lets more chunks share an entry.
+
+        (Not where a special token may be spelt in capitals, which is then plain text.)
+        """
+        self.latin = True
+        try:
+            text.encode("latin-1")
+            text = text if "<|" in text else text.lower()
+        except UnicodeEncodeError:
+            self.latin = False
+        return b"".join(map(self.__getitem__, chunks_of(text)))
+
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, lower: str) -> bytes:
+        words = self.words
+        ids = words.get(lower)
+        if ids is None:
+            ids = words.old.get(lower)
+            if ids is None:
+                shown = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
+                found = [t.id for t in self.tokenize(shown)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            words.keep(lower, ids)
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            stop = self.stops.get(chunk[-1:])
+            body = chunk if stop is None else chunk[:-1]
+            if body.isalpha() and (self.latin or body.isascii()):
+                ids = self.word(body.lower()) if stop is None else self.word(body.lower()) + stop
+            else:
+                ids = self.whole(chunk) if chunk else b""
+        return self.keep(chunk, ids)
 
-    def fill(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(chunks)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, dtype="<u4").tobytes()
+
+_TABLES: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """One table per Python worker, kept from task to task."""
+    if path not in _TABLES:
+        _TABLES[path] = ChunkIds(path)
+    return _TABLES[path]
 
 
-#: The six ASCII white-space characters, each to a space.
+#: The ASCII white-space characters but the space itself, each to a space.
 _SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 
 
 def chunks_of(text: str) -> list[str]:
-    return [c for c in text.translate(_SPACES).split(" ") if c] if any(c in text for c in "\t\r\v\f") else [c for c in text.replace("\n", " ").split(" ") if c]
+    """What stands between ASCII white space; empty chunks have no ids."""
+    rare = "\t" in text or "\r" in text or "\v" in text or "\f" in text
+    return (text.translate(_SPACES) if rare else text.replace("\n", " ")).split(" ")
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -78,25 +147,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "local_rank", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = ChunkIds(tokenizer), defaultdict(int)
+        table, seen = chunk_ids(tokenizer), defaultdict(int)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            split = [chunks_of(t or "") for t in batch.column(1).to_pylist()]
-            # in portions, so that the cache never holds more than its limit and one portion
             rows: list[list] = [[] for _ in columns]
             index = []
-            for k in range(0, len(split), 64):
-                part = split[k : k + 64]
-                table.fill(set().union(*part))
-                for i, chunks in enumerate(part, k):
-                    ids = b"".join(map(table.__getitem__, chunks)) + end
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        index.append(i)
-                        for c, v in zip(rows[1:], (p, at // 4, n, zlib.crc32(own), seen[n], own), strict=False):
-                            c.append(v)
-                        seen[n] += 1
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                ids = table.of(text or "") + end
+                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[at : at + 4 * capacity]
+                    n = len(own) // 4
+                    index.append(i)
+                    for c, v in zip(rows[1:], (p, at // 4, n, zlib.crc32(own), seen[n], own), strict=False):
+                        c.append(v)
+                    seen[n] += 1
             arrays = [batch.column(0).take(pa.array(index, pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:6])]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(rows[6], pa.binary())] if with_ids else []), names=columns)
 
@@ -182,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     made = materialize(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids).withColumn("shard", F.spark_partition_id()), "pieces")
     shards = made.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = materialize(shards.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards")
+    shards = materialize(shards.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards", small=True)
     # at most `capacity` rows, whatever the input
     counts = {r["length"]: r["n"] for r in shards.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_plan(counts, capacity)
