@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import paper_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-SQL: dict[str, str] = {**text_queries.SQL}
+MODULES = (text_queries, paper_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
