@@ -136,6 +136,43 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def batch_words(texts: list[str | None], table: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a batch laid end to end, and where each text begins and the last one ends."""
+    flat: list[bytes] = []
+    starts = [0]
+    for text in texts:
+        flat += words_of(text or "")
+        starts.append(len(flat))
+    return table.of(flat), np.array(starts, np.int64)
+
+
+def batch_grams(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rolling`` over a batch, and the windows that lie within one text."""
+    grams = rolling(words, n)
+    ok = np.ones(len(words), bool)
+    for k in range(1, n):
+        cut = starts[1:] - k
+        ok[cut[cut >= 0]] = False
+    return grams, np.flatnonzero(ok[: len(grams)])
+
+
+class Among:
+    """Membership in a sorted set of 64-bit values; a bitmap answers most misses."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(values >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Positions in ``x`` of the members."""
+        at = np.flatnonzero(self.some[(x >> np.uint64(44)).astype(np.int64)])
+        if not len(at) or not len(self.values):
+            return at[:0]
+        near = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
+        return at[self.values[near] == x[at]]
+
+
 def as_i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
