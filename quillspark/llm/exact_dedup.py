@@ -3,7 +3,7 @@
 Each input partition is one run of digests.  Its copies are combined where they are read, so a
 text that fills a third of the table leaves its partition as one row.  Runs then meet in
 binomial rounds: in each, ``radix`` runs whose numbers agree but for their last bits exchange
-their rows by digest and are merged, every class keeping its smallest and largest identifier
+their rows by digest, are sorted and merged in one sweep, every class keeping its smallest and largest identifier
 and its size, until one run is left.  A class is verified at every level, for the merge key holds
 SHA-256, the length in bytes and an independent 64-bit hash: rows that agree in one but not in
 the others never meet.  A round moves one row per class and run and combines before it
@@ -17,7 +17,7 @@ Columns other than the id and the text are not read, so clashing names don't mat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
@@ -45,10 +45,18 @@ def merge_runs(keyed: DataFrame, runs: int = 64, radix: int = 8) -> DataFrame:
     )
     while runs > 1:
         runs = -(-runs // radix)
-        up = level.withColumn("run", F.floor(F.col("run") / radix).cast("int")) if runs > 1 else level
-        level = up.groupBy(*KEY, *(["run"] if runs > 1 else [])).agg(
-            F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("members").alias("members")
+        by = [*KEY, *(["run"] if runs > 1 else [])]
+        # runs exchange by digest; each task sorts what it got and merges equal keys in one sweep of
+        # at most `radix` rows a key, of which the row with the smallest identifier stays
+        key = Window.partitionBy(*by)
+        up = level.withColumn("run", F.floor(F.col("run") / radix).cast("int")).select(
+            *by,
+            F.row_number().over(key.orderBy("min_id")).alias("place"),
+            F.min("min_id").over(key).alias("min_id"),
+            F.max("max_id").over(key).alias("max_id"),
+            F.sum("members").over(key).alias("members"),
         )
+        level = up.where("place = 1").drop("place")
     return level
 
 
