@@ -198,7 +198,7 @@ def _training(docs: DataFrame, labels: DataFrame, train_rows: int, fold: int) ->
 
 def _marks(text: str) -> set[str]:
     words = set(re.findall(r"[^\W\d_]+", text.lower()))
-    return words | {"^" + w[:k] for w in words for k in range(3, min(7, len(w)))}
+    return words | {"^" + w[:k] for w in words for k in range(3, min(10, len(w)))}
 
 
 def _counts(training: DataFrame) -> DataFrame:
