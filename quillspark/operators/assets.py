@@ -51,19 +51,27 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 def rewrite_images(docs: DataFrame, images: DataFrame, by: list[str], text: str, folder: str) -> DataFrame:
     """``![..](..)`` by file name, else stem, else number, as ``folder/name``; others stay.
 
-    A document's images are one small map; formula and glyph pictures keep their paths.
+    ``images(by, name, seq)``: ``seq`` is the picture's number.  A document's images are one small
+    map; formula and glyph pictures only get the folder where they have none.
     """
     named = images.select(*by, F.lower("name").alias("k"), "name", "seq")
     stem = images.select(*by, F.lower(F.regexp_replace("name", r"\.[^.]*\z", "")).alias("k"), "name", "seq")
-    keys = named.unionByName(stem).groupBy(*by, "k").agg(F.max_by("name", "seq").alias("name"))
+    number = images.select(*by, F.format_string("#%03d", F.col("seq").cast("int")).alias("k"), "name", "seq")
+    keys = named.unionByName(stem).unionByName(number).groupBy(*by, "k").agg(F.max_by("name", "seq").alias("name"))
     table = keys.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("__names"))
 
     def one(match: Column, names: Column) -> Column:
         alt, path = F.regexp_extract(match, r"!\[([^\]]*)\]\(([^)]+)\)", 1), F.regexp_extract(match, r"!\[([^\]]*)\]\(([^)]+)\)", 2)
-        file = F.lower(F.element_at(F.split(path, r"[/\\]", -1), -1))
-        name = F.coalesce(F.try_element_at(names, file), F.try_element_at(names, F.regexp_replace(file, r"\.[^.]*\z", "")))
-        fixed = file.rlike(r"\A(formula|glyph)")
-        return F.when(fixed | name.isNull(), match).otherwise(F.concat(F.lit("!["), alt, F.lit(f"]({folder}/"), name, F.lit(")")))
+        norm = F.replace(F.regexp_replace(F.element_at(F.split(F.trim(path), " "), 1), "[\"']", ""), F.lit("\\"), F.lit("/"))
+        base = F.element_at(F.split(norm, "/", -1), -1)
+        file = F.lower(base)
+        digits = F.regexp_extract(file, r"image([0-9]+)", 1).try_cast("int")
+        name = F.coalesce(
+            F.try_element_at(names, file), F.try_element_at(names, F.regexp_replace(file, r"\.[^.]*\z", "")), F.when(digits.isNotNull(), F.try_element_at(names, F.format_string("#%03d", digits)))
+        )
+        own = file.rlike(r"\A(formula|glyph)[0-9]+\.(png|wmf|emf)\z")
+        link = lambda x: F.concat(F.lit("!["), alt, F.lit(f"]({folder}/"), x, F.lit(")"))
+        return F.when(own & norm.contains("/"), match).when(own, link(base)).when(name.isNull(), match).otherwise(link(name))
 
     pattern = r"!\[[^\]]*\]\([^)]+\)"
     put = lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), matches_of(t, pattern), lambda p, m: F.concat(p, F.coalesce(one(m, F.col("__names")), F.lit("")))), "")

@@ -126,11 +126,11 @@ def asset_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s_suppkey, '![a](image/image' || printf('%03d', s_suppkey) || '.png) ![f](formula001.png) ![z](zz.png)' AS md FROM supplier"""
+    """SELECT s_suppkey, '![a](image/image' || printf('%03d', s_suppkey) || '.png) ![f](image/formula001.png) ![z](zz.png) ![n](image/image' || printf('%03d', s_suppkey) || '.png)' AS md FROM supplier"""
 )
 def image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.format_string("image%03d.png", "s_suppkey")
-    docs = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("![a](media/"), F.upper(name), F.lit(") ![f](formula001.png) ![z](zz.png)")).alias("md"))
+    docs = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("![a](media/"), F.upper(name), F.lit(") ![f](formula001.png) ![z](zz.png) ![n](Image"), F.col("s_suppkey").cast("string"), F.lit(".gif)")).alias("md"))
     images = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"), F.col("s_suppkey").alias("seq"))
     return A.rewrite_images(docs, images, ["s_suppkey"], "md", "image")
 
