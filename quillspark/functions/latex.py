@@ -63,6 +63,7 @@ def decode_entities(text: Column) -> Column:
 def unescape_markdown(text: Column) -> Column:
     """Undo what Markdown writers escape in options, numbers and formulas."""
     text = decode_entities(F.replace(text, F.lit("＄"), F.lit("$")))
+    # The patterns of the rules, in their order.
     text = replace_all(
         text,
         (r"(?i)</?(?:span|div|p|font|em|strong|i|b|u)[^>]*>", ""),
@@ -77,6 +78,7 @@ def unescape_markdown(text: Column) -> Column:
 def word_artifacts(text: Column) -> Column:
     """Column specifications, empty arrays and split function names that word processors leave."""
     s = JS_SPACE
+    # The patterns of the rules, in their order.
     text = replace_all(
         text,
         (r"(?i)\{\*\{[0-9]+\}\{([clmr])\}\}", "{$1}"),
@@ -110,6 +112,7 @@ def formula_listing(latex: Column) -> Column:
     return F.array_join(F.transform(latex, block), "\n")
 
 
+# Fixed values are the commands in the pattern.
 def latex_like(text: Column) -> Column:
     """Whether a body looks like LaTeX: a telling command, line breaks with groups, or two commands."""
     telling = text.rlike(r"\\(?:begin|end|left|right|frac|dfrac|sqrt|mathrm|mathbf|rm|array|cases|log)")

@@ -15,6 +15,7 @@ def postprocess(text: Column, keep_footnotes: bool = True) -> Column:
     rule for lines after a heading isn't anchored at the line's start.
     """
     text = literal_all(text, ("\r\n", "\n"), ("\r", "\n"))
+    # The patterns of the rules, in their order.
     text = replace_all(
         text,
         (r"[ \t]+(?=\n|\z)", ""),
@@ -73,6 +74,7 @@ def html_to_markdown(html: Column) -> Column:
     text = html
     for level in range(6, 0, -1):
         text = _headings(text, level)
+    # The patterns of the rules, in their order.
     text = replace_all(
         text,
         (rf"(?i)<br[{PY_SPACE}]*/?>", "\n"),
@@ -101,6 +103,7 @@ def html_to_markdown(html: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Tags out, pictures and formulas as marks, four entities, white space collapsed."""
+    # The marks and entities.
     text = replace_all(html, (r"(?i)<img[^>]*>", "[图]"), (r'(?i)<span[^>]*class="katex[\s\S]*?</span>', "[公式]"), ("<[^>]+>", ""))
     text = literal_all(text, ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
     return strip(F.regexp_replace(text, rf"[{JS_SPACE}]+", " "), JS_SPACE)

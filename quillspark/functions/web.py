@@ -28,6 +28,7 @@ def web_markdown(html: Column) -> Column:
     text = html_to_markdown(rewrite_matches(drop_empty_images(html), r"(?i)<img\b[^>]*>", _image))
     text = strip(replace_all(text, (" ", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")), JS_SPACE)
     text = replace_all(text, (r"(?md)(^|\n)([ \t]*)([0-9]+)\\([.．])", "$1$2$3$4"), (r"([A-Da-d])\\([.．、])", "$1$2"), (r"\\\$", r"\$"), (r"(?i)</?(?:span|div|font)[^>]*>", ""))
+    # The marks of sections, numbers and options.
     text = replace_all(
         options_wrapped(text),
         ("(【答案】|【分析】|【详解】)", "\n$1"),

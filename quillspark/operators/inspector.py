@@ -158,7 +158,10 @@ def _text(*xs: str) -> Column:
 
 
 def structure_rows() -> Column:
-    """``array<struct<name, present, count, detail, impact, status>>`` from the wide row."""
+    """``array<struct<name, present, count, detail, impact, status>>`` from the wide row.
+
+    Fixed values: the names, details and notes of the report.
+    """
     has = lambda c: F.col(c) > 0
     flag = lambda c: F.when(F.col(c), 1).otherwise(0)
     t = _text

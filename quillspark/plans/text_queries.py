@@ -189,7 +189,7 @@ def unescape_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT p_partkey, '\log_{{' || p_size || '}} x{c} \begin{array}{l}a\end{array} \sqrt{b} \pi ' || p_name || '\log ' AS tex,
     '\begin{array}{l}\log_{{' || p_size || '}} \log  \pi \sqrt{x}' AS decoded FROM part"""
 )
-def word_math_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_tex_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = r"{ \rm{ l } }{ \rm{ o } }{ \rm{ g } }"
     messy = F.concat(F.lit(log + "_{ "), F.col("p_size").cast("string"), F.lit(r" } x{*{20}{c}} \begin{array}{}a\end{array} \sqrt [ ] {b} { \rm{ \pi } } "), "p_name", F.lit(r"{\rm{lo}}{\rm{g}} \left\{ \right."))
     bare = F.concat(F.lit(r"\begin{array} { }" + log + "_{ "), F.col("p_size").cast("string"), F.lit(" } " + log + r"  {\rm{\pi}} \sqrt[]{x}" + "\x01"))
