@@ -81,12 +81,16 @@ def header_footer(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     rows = nodes.where(F.col("part").rlike(r"/(header|footer).*\.xml\z")).withColumn("kind", F.regexp_extract("part", "/(header|footer)", 1))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")
     fields = F.bool_or(F.col("text").contains("PAGE"))
-    parts = rows.groupBy(by, "kind", "part").agg((strip(said) != "").alias("text"), F.bool_or(is_element("v:imagedata") | is_element("a:blip")).alias("image"), fields.alias("fields"))
+    parts = rows.groupBy(by, "kind", "part").agg(strip(said).alias("said"), (strip(said) != "").alias("text"), F.bool_or(is_element("v:imagedata") | is_element("a:blip")).alias("image"), fields.alias("fields"))
     full = F.col("text") | F.col("image")
+    shown = F.when(F.length("said") > 40, F.concat(F.substring("said", 1, 40), F.lit("…"))).when(F.col("text"), F.col("said")).otherwise("(含图片/域)")
+    # headers first, then footers, each by name; at most four of a document's few parts
+    samples = F.array_sort(F.collect_list(F.when(full, F.struct((F.col("kind") == "footer").alias("footer"), "part", shown.alias("preview")))))
     return parts.groupBy(by).agg(
         F.count_if(F.col("kind") == "header").alias("header_parts"), F.count_if(F.col("kind") == "footer").alias("footer_parts"),
         F.count_if((F.col("kind") == "header") & full).alias("nonempty_headers"), F.count_if((F.col("kind") == "footer") & full).alias("nonempty_footers"),
         F.bool_or("fields").alias("page_number_fields"),
+        F.slice(F.transform(samples, lambda s: F.struct(s["part"], s["preview"])), 1, 4).alias("header_samples"),
     )
 
 
@@ -107,6 +111,17 @@ def media_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
     )
 
 
+def media_by_extension(parts: DataFrame, folder: str = "word/media/", by: str = "doc_id") -> DataFrame:
+    """``(doc_id, ext, n)`` of a folder, the most frequent first, then by name."""
+    return D.members_under(parts, folder).groupBy(by, suffix(F.col("part")).alias("ext")).agg(F.count("*").alias("n")).orderBy(by, F.desc("n"), "ext")
+
+
+def media_sample(parts: DataFrame, most: int = 12, by: str = "doc_id") -> DataFrame:
+    """The first names of the media in the order of the file."""
+    media = D.members_under(parts, "word/media/").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", F.element_at(F.split("part", "/", -1), -1).alias("name")))).alias("m"))
+    return media.select(by, F.size("m").alias("media"), F.slice(F.col("m.name"), 1, most).alias("sample"))
+
+
 def ole_programs(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     """``(doc_id, prog, n, first_node)`` of embedded objects."""
     prog = F.coalesce(F.col("attrs")["ProgID"], F.lit(""))

@@ -18,6 +18,8 @@ from ..functions import paper as P
 from ..functions.latex import unicode_to_latex
 from ..operators.clean import clean_document
 from ..operators.docx_html import to_html
+from ..operators.fragment import fragment_html
+from ..operators.latex_repair import math_prepared
 from ..operators.mtef import ole_formula
 from ..sources import docx as D
 
@@ -68,6 +70,22 @@ def questions(markdown: DataFrame, column: str = "md", by: str = "doc_id") -> Da
     return rows.select(by, uid.alias("id"), "q.index", "q.stem", "q.answer", "q.analysis", "q.detail")
 
 
+def parse_papers(papers: DataFrame, column: str = "text", by: str = "doc_id") -> DataFrame:
+    """``doc_id, notices, questions`` of raw Markdown papers, the questions' parts as HTML.
+
+    The text's formulas are repaired before it is split; ``stem_text`` is the stem's first 200
+    characters without tags.  The result has the shape of the JSON that ``to_json`` makes of it.
+    """
+    text = P.normalize(math_prepared(P.normalize(F.col(column))))
+    found = papers.select(by, text.alias("paper")).withColumn("qs", P.questions(F.col("paper")))
+    notes = found.select(by, P.notices(F.col("paper"), F.col("qs")).alias("notices"))
+    rows = found.select(by, F.explode("qs").alias("q")).select(
+        by, "q.index", "q.place", *(fragment_html(F.col(f"q.{k}")).alias(f"{k}_html") for k in ("stem", "answer", "analysis", "detail"))
+    )
+    item = F.struct("index", "place", "stem_html", "answer_html", "analysis_html", "detail_html", F.substring(M.plain_text(F.col("stem_html")), 1, 200).alias("stem_text"))
+    return notes.join(rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("questions")), by, "left")
+
+
 def embedded_formulas(docs: DataFrame, by: str = "doc_id") -> DataFrame:
     """``doc_id, source, mathml, latex`` of embedded objects; equal objects are decoded once."""
     objects = D.members_under(D.parts(docs, by), "word/embeddings/").select(by, F.element_at(F.split("part", "/", -1), -1).alias("source"), "data", F.sha1("data").alias("sha1"))
@@ -82,4 +100,4 @@ def write_markdown(markdown: DataFrame, path: str, by: str = "doc_id") -> None:
     markdown.select(by, "md").write.mode("overwrite").parquet(path)
 
 
-__all__ = ["embedded_formulas", "questions", "to_markdown", "write_markdown"]
+__all__ = ["embedded_formulas", "parse_papers", "questions", "to_markdown", "write_markdown"]

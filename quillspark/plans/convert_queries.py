@@ -51,6 +51,17 @@ def docx_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.questions(md, by="s_suppkey").select("s_suppkey", "index", F.element_at(F.split("stem", "\n"), 1).alias("stem1"), "answer")
 
 
+@query(
+    r"""SELECT s_suppkey, 1::BIGINT AS "index", 'a <span class="katex">\frac{1}{' || s_suppkey || '}</span><br/><strong>b</strong>' AS stem_html, '' AS answer_html, '第 1 题未找到【答案】/【分析】/【详解】标记。' AS tip,
+    'a [公式]b' AS stem_text FROM supplier"""
+)
+def paper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("\ufeff1\\. a \\$\\frac { 1 } { "), F.col("s_suppkey").cast("string"), F.lit(" }$\r\n**b**"))
+    made = convert.parse_papers(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), by="s_suppkey")
+    rows = made.select("s_suppkey", F.element_at("notices", 2)["text"].alias("tip"), F.explode("questions").alias("q"))
+    return rows.select("s_suppkey", "q.index", "q.stem_html", "q.answer_html", "tip", "q.stem_text")
+
+
 @query("SELECT s_suppkey, u.source, u.mathml, u.latex FROM supplier, (SELECT * FROM (VALUES ('oleObject1.bin', NULL, '【无法提取】'), ('oleObject2.bin', '<math>q</math>', '【MathML转LaTeX失败】')) v(source, mathml, latex)) u")
 def ole_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.embedded_formulas(_files(spark, sf_dir), "s_suppkey")

@@ -96,9 +96,18 @@ def heading_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.paragraph_counts(D.paragraphs(D.parts(sample(spark, sf_dir), "s_suppkey").where("part = 'word/document.xml'"), "s_suppkey"), "s_suppkey")
 
 
-@query("SELECT s_suppkey, 0::BIGINT AS header_parts, 1::BIGINT AS footer_parts, 0::BIGINT AS nonempty_headers, 1::BIGINT AS nonempty_footers, true AS page_number_fields FROM supplier")
+@query("SELECT s_suppkey, 0::BIGINT AS header_parts, 1::BIGINT AS footer_parts, 0::BIGINT AS nonempty_headers, 1::BIGINT AS nonempty_footers, true AS page_number_fields, 'word/footer1.xml=PAGE 1' AS sample FROM supplier")
 def header_footer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.header_footer(D.nodes(D.parts(sample(spark, sf_dir), "s_suppkey").where(F.col("part").endswith(".xml")), "s_suppkey"), "s_suppkey")
+    info = I.header_footer(D.nodes(D.parts(sample(spark, sf_dir), "s_suppkey").where(F.col("part").endswith(".xml")), "s_suppkey"), "s_suppkey")
+    told = F.array_join(F.transform("header_samples", lambda s: F.concat_ws("=", s["part"], s["preview"])), ";")
+    return info.withColumn("sample", told).drop("header_samples")
+
+
+@query("SELECT s_suppkey, u.ext, 1::BIGINT AS n, 2 AS media, 'b.wmf,a.png' AS sample FROM supplier, (SELECT unnest(['.png', '.wmf']) AS ext) u")
+def media_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = D.parts(sample(spark, sf_dir), "s_suppkey")
+    names = I.media_sample(parts, by="s_suppkey").withColumn("sample", F.array_join("sample", ","))
+    return I.media_by_extension(parts, by="s_suppkey").join(names, "s_suppkey")
 
 
 @query("SELECT s_suppkey, 'mathtype_ole' AS primary, 'MathType 1 个；OMML 1 段+2 个；WMF/EMF 1 张；含修订；含批注。' AS summary FROM supplier")
