@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -90,6 +91,7 @@ def convert(el: ET.Element) -> str:
     return "".join(map(convert, el)) if len(el) or name in HOLDERS else _words(el)
 
 
+@lru_cache(maxsize=20_000)
 def to_latex(xml: str | None) -> str | None:
     """Null for what is no XML; white space collapsed."""
     root = parse(xml)

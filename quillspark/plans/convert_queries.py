@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mtef as E
 from ..sources import docx as D
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import convert
 from .docx_queries import body, files
 
@@ -75,6 +75,6 @@ def mtef_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = len(head) + 2 * 8 + 3
     native = struct.pack("<HIH", 28, 0, 0) + struct.pack("<I", size) + bytes(16) + head
     made = F.concat(F.lit(native), slot(F.col("l_linenumber")), slot(F.col("l_quantity").cast("long") % 10), F.lit(b"\x00\x00\x00"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", E.mtef_to_latex(made).alias("latex"))
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", E.mtef_to_latex(made).alias("latex"))
 
 

@@ -9,7 +9,7 @@ from ..functions import markdown as M
 from ..functions import paper as P
 from ..operators import assets as A
 from ..operators import formulas as O
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .text_queries import sql_chain
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("﻿机密 x\r\n1. stem"), k, F.lit("\n【答案】a"), k, F.lit("\n3. stray"), c, F.lit("\n## 2、second $x$ "), c,
         F.lit("\n【分析】b"), k, F.lit("【解析】more【详解】d"), k, F.lit("\n第 3 题 third ![i](p.png)\n3. again"), k,
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("paper"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", text.alias("paper"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import latex as X
 from ..functions import markdown as M
 from ..functions import units as U
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,13 +89,13 @@ ENTITIES = [("&nbsp;", " ", "lit"), ("&lt;", "<", "lit"), ("&gt;", ">", "lit"),
 @query(f"SELECT page_id, {sql_post(sql_chain('html', *HTML, *ENTITIES))} AS md FROM pages")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: web pages to normalised Markdown, one projection over the scan."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return pages.select("page_id", M.postprocess(M.html_to_markdown(F.col("html"))).alias("md"))
 
 
 @query(f"SELECT doc_id, {sql_post('text')} AS md FROM documents")
 def postprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", M.postprocess(F.col("text")).alias("md"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", M.postprocess(F.col("text")).alias("md"))
 
 
 NOTES = "'#' || lang || chr(13)||chr(10) || '  ' || text || '[^1] ' || chr(10)||chr(10)||chr(10)||chr(10) || '[^1]: ' || source || '  ' || chr(10) || '![a](b.png)' || chr(10) || 'C# x' || chr(10) || 'y' || chr(92) || '$'"
@@ -182,7 +182,7 @@ UNESCAPE = [
 @query(f"SELECT doc_id, {sql_chain(MESSY, *UNESCAPE)} AS clean FROM documents")
 def unescape_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     messy = F.concat(F.lit(r"1\. <span x>"), "text", F.lit(r"</span> A\. b\、 \$x\$ \\(y\\) \_\_\_\_ z\_ ＄ &amp;amp; "), "source")
-    return table(spark, sf_dir, "documents").select("doc_id", X.unescape_markdown(messy).alias("clean"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", X.unescape_markdown(messy).alias("clean"))
 
 
 @query(
