@@ -17,7 +17,7 @@ from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.near_dedup import NearDup, near_dedup
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import quality
-from quillspark.llm.queries import table, tokenizer_path
+from quillspark.llm.queries import documents, table, tokenizer_path
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; one small file is dealt out over the cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -19,7 +26,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import licences
 
-    found = licences(table(spark, sf_dir, "documents"))
+    found = licences(documents(spark, sf_dir))
     sure = F.filter("found", lambda x: x["confirmed"])
     families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
     return found.select(
@@ -35,7 +42,7 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "host", "path", "score", "kept")
+    return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels")).select("doc_id", "host", "path", "score", "kept")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,31 +55,31 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import NearDup, near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents"), NearDup(words=5, percent=85))
+    return near_dedup(documents(spark, sf_dir), NearDup(words=5, percent=85))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets
 
-    found = secrets(table(spark, sf_dir, "documents"))
+    found = secrets(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.sha2(told(F.filter("found", lambda s: s["base"])), 256)
@@ -82,7 +89,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_score
 
-    return lm_score(table(spark, sf_dir, "documents"))
+    return lm_score(documents(spark, sf_dir))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
