@@ -37,11 +37,26 @@ def is_equation(prog: Column) -> Column:
     return F.exists(F.array(*map(F.lit, EQUATION_IDS)), lambda p: F.contains(F.lower(prog), p))
 
 
+def _tag_columns(where: Column | None = None) -> list[Column]:
+    """One conditional count per entry of ``ELEMENTS``, page breaks and inline formulas."""
+    inside = F.lit(True) if where is None else where
+    counts = [F.count_if(inside & _any(names)).alias(c) for c, names in ELEMENTS.items()]
+    pages = is_element("w:br") & (F.col("attrs")[f"{{{D.NS['w']}}}type"] == "page")
+    inline = is_element("m:oMath") & ~F.col("in_math_para")
+    return [*counts, F.count_if(inside & pages).alias("page_breaks"), F.count_if(inside & inline).alias("inline_omml")]
+
+
 def tag_counts(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     """All element counts of a document in one pass."""
-    counts = [F.count_if(_any(names)).alias(c) for c, names in ELEMENTS.items()]
-    pages = F.count_if(is_element("w:br") & (F.col("attrs")[f"{{{D.NS['w']}}}type"] == "page"))
-    return nodes.groupBy(by).agg(*counts, pages.alias("page_breaks"))
+    return nodes.groupBy(by).agg(*_tag_columns())
+
+
+def _object_columns(where: Column) -> list[Column]:
+    """Embedded objects by what made them."""
+    prog = F.coalesce(F.col("attrs")["ProgID"], F.lit(""))
+    here = where & is_element("o:OLEObject")
+    mathtype = F.contains(prog, F.lit("DSMT")) | F.contains(prog, F.lit("MathType"))
+    return [F.count_if(here).alias("ole_objects"), F.count_if(here & mathtype).alias("mathtype"), F.count_if(here & ~mathtype & prog.startswith("Equation.")).alias("ms_equation")]
 
 
 def _any(names: list[str]) -> Column:
@@ -59,12 +74,15 @@ def section_types(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     return sections.join(kinds, [by, "part", "parent_id"], "left").groupBy(by, kind.alias("type")).agg(F.count("*").alias("n"))
 
 
-def notes(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Footnotes and endnotes but for separators."""
+def _note_columns() -> list[Column]:
     kind = F.coalesce(F.col("attrs")[f"{{{D.NS['w']}}}type"], F.lit(""))
     real = ~kind.isin("separator", "continuationSeparator")
-    count = lambda name: F.count_if(is_element(f"w:{name}") & (F.col("part") == f"word/{name}s.xml") & real).alias(f"{name}s")
-    return nodes.groupBy(by).agg(count("footnote"), count("endnote"))
+    return [F.count_if(is_element(f"w:{n}") & (F.col("part") == f"word/{n}s.xml") & real).alias(f"{n}s") for n in ("footnote", "endnote")]
+
+
+def notes(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Footnotes and endnotes but for separators."""
+    return nodes.groupBy(by).agg(*_note_columns())
 
 
 def paragraph_counts(paragraphs: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -144,23 +162,17 @@ def raw_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
 
 
 def counts(docs: DataFrame, by: str = "doc_id") -> DataFrame:
-    """The wide row of counts per document on which all reports rest."""
+    """The wide row of counts per document on which all reports rest.
+
+    Elements, objects and notes are counted in one group-by over the elements of the body and the
+    notes; headers and footers are parsed by themselves.
+    """
     parts = D.parts(docs, by)
-    nodes = D.nodes(parts.where(F.col("part").endswith(".xml")), by)
-    body = nodes.where("part = 'word/document.xml'")
-    inline = body.where(is_element("m:oMath")).join(
-        body.where(is_element("m:oMathPara")).select(by, F.col("node_id").alias("p0"), F.col("last_desc").alias("p1")), [by], "left"
-    )
-    # formulas outside any display paragraph: an interval test within the document
-    loose = inline.groupBy(by, "node_id").agg(F.bool_or(F.col("node_id").between(F.col("p0"), F.col("p1"))).alias("held")).groupBy(by).agg(F.count_if(~F.coalesce("held", F.lit(False))).alias("inline_omml"))
-    progs = ole_programs(body, by)
-    p = F.col("prog")
-    mathtype = F.contains(p, F.lit("DSMT")) | F.contains(p, F.lit("MathType"))
-    ole = progs.groupBy(by).agg(
-        F.sum(F.when(mathtype, F.col("n")).otherwise(0)).alias("mathtype"), F.sum(F.when(~mathtype & p.startswith("Equation."), F.col("n")).otherwise(0)).alias("ms_equation"), F.sum("n").alias("ole_objects")
-    )
-    out = tag_counts(body, by)
-    for more in (loose, ole, raw_counts(parts, by), media_counts(parts, by), paragraph_counts(D.paragraphs(parts.where("part = 'word/document.xml'"), by), by), notes(nodes, by), header_footer(nodes, by)):
+    name, document = F.col("part"), F.col("part") == "word/document.xml"
+    counted = D.nodes(parts.where(name.isin("word/document.xml", "word/footnotes.xml", "word/endnotes.xml")), by)
+    out = counted.groupBy(by).agg(*_tag_columns(document), *_object_columns(document), *_note_columns())
+    margins = D.nodes(parts.where(name.rlike(r"/(header|footer).*\.xml\z")), by)
+    for more in (raw_counts(parts, by), media_counts(parts, by), paragraph_counts(D.paragraphs(parts.where(document), by), by), header_footer(margins, by)):
         out = out.join(more, by, "left")
     longs = {c: F.coalesce(F.col(c), F.lit(0)) for c, t in out.dtypes if t == "bigint" and c != by}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c, t in out.dtypes if t == "boolean"}

@@ -95,23 +95,28 @@ def _nodes(data: bytes | None) -> Iterator[dict]:
     if root is None:
         return
     rows: list[dict] = []
-    stack = [(root, -1, 0)]
+    stack = [(root, -1, 0, False)]
     while stack:
-        el, parent, depth = stack.pop()
+        el, parent, depth, shown = stack.pop()
         if el is None:  # all below rows[parent] are out
             rows[parent]["last_desc"] = len(rows) - 1
             continue
         ns, local = split_tag(el.tag)
         me = len(rows)
-        rows.append({"node_id": me, "parent_id": parent, "last_desc": me, "depth": depth, "ns": ns, "local": local, "attrs": list(el.attrib.items()), "text": el.text or "", "tail": el.tail or ""})
-        stack.append((None, me, depth))
-        stack += [(c, me, depth + 1) for c in reversed(el)]
+        rows.append({"node_id": me, "parent_id": parent, "last_desc": me, "depth": depth, "in_math_para": shown, "ns": ns, "local": local, "attrs": list(el.attrib.items()), "text": el.text or "", "tail": el.tail or ""})
+        stack.append((None, me, depth, False))
+        shown = shown or (local == "oMathPara" and ns == NS["m"])
+        stack += [(c, me, depth + 1, shown) for c in reversed(el)]
     yield from rows
 
 
 def nodes(part_rows: DataFrame, by: str = "doc_id") -> DataFrame:
-    """XML elements in document order; ``node_id .. last_desc`` spans an element's descendants."""
-    schema = "node_id int, parent_id int, last_desc int, depth int, ns string, local string, attrs map<string,string>, text string, tail string"
+    """XML elements in document order; ``node_id .. last_desc`` spans an element's descendants.
+
+    ``in_math_para`` says whether an element stands in a display formula, so that no interval join
+    is needed to tell inline formulas.
+    """
+    schema = "node_id int, parent_id int, last_desc int, depth int, in_math_para boolean, ns string, local string, attrs map<string,string>, text string, tail string"
     return _each(part_rows, [by, "part"], "data", _nodes, schema)
 
 
