@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import markdown as M
 from ..functions import paper as P
 from ..operators import assets as A
 from ..operators import formulas as O
 from ..sources.tables import spread, table
-from .text_queries import sql_chain
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
