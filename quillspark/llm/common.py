@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that go to a Python worker at once; long texts make a batch of few rows large.
-ARROW_ROWS = 512
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 256
+ARROW_BYTES = 8 << 20
 #: An id set of at most this many rows is broadcast (8 bytes each, about 30 MB as a relation).
 BROADCAST_IDS = 500_000
 
@@ -78,7 +78,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int
 class WordHash(dict):
     """bytes -> 64-bit hash, computed once per distinct word; emptied when it grows too large."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -304,17 +304,14 @@ def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id"
     hubs = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("at"), F.col("doc_id").alias("hub"))).alias("first"))
     hubs = materialize(hubs.where("size > 1").select("key", "size", F.col("first.hub").alias("hub")), "hubs", small=True)
     members = materialize(keyed.join(hubs, "key"), "members", small=True)
-    ids = materialize(members.select("doc_id").distinct(), "ids", small=True)
-    slim = materialize(traits.join(ids, "doc_id", "left_semi"), "slim")
-    sets = materialize(shingle_sets(keep_ids(texts, ids), p), "sets")
+    slim = materialize(traits.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "slim")
+    sets = materialize(shingle_sets(keep_ids(texts, slim.select("doc_id").distinct()), p), "sets")
     # a document that meets many others is near the centre of its family and links most of it
     meets = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
     centres = members.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("centre"))
     stars = members.join(centres, "key").select("doc_id", F.explode(F.array("hub", "centre")).alias("hub")).where(F.col("doc_id") != F.col("hub"))
     stars = stars.select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
-    tried = materialize(_likely(stars.distinct(), slim, p), "tried", small=True)
-    links = materialize(confirm(tried, sets, p).distinct(), "links", small=True)
-    parts = components(links)
+    parts = components(confirm(_likely(stars.distinct(), slim, p), sets, p))
     now = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     now = materialize(now.select("key", "band", "doc_id", "size", "part"), "parts").join(slim, "doc_id")
     mixed = now.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.sum("n_shingles").alias("mass")).where("a <> b").select("key", "mass")

@@ -46,6 +46,10 @@ class Recent(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def keep(self, key: str, value: bytes) -> bytes:
         if len(self) >= self.limit:
             self.old = self.copy()
@@ -122,7 +126,7 @@ _TABLES: dict[str, ChunkIds] = {}
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    """One table per Python worker, kept from task to task."""
+    """One tokenizer per Python worker, kept from task to task; its caches last for one task."""
     if path not in _TABLES:
         _TABLES[path] = ChunkIds(path)
     return _TABLES[path]
@@ -163,6 +167,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     seen[n] += 1
             arrays = [batch.column(0).take(pa.array(index, pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:6])]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(rows[6], pa.binary())] if with_ids else []), names=columns)
+        table.forget()
+        table.words.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, local_rank long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
