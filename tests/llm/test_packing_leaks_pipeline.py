@@ -106,6 +106,37 @@ def test_decontaminate(spark, make, block_words):
     assert decontaminate(make(texts), table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 300])
+def test_decontaminate_finds_what_aligns(spark, make, block_words):
+    """Against the alignment of every item with every whole document."""
+    rnd = random.Random(9)
+    frequent, rare = [f"f{k}" for k in range(30)], [f"v{k}" for k in range(5000)]
+    fill = lambda n: [rnd.choice(rnd.choice([frequent, rare])) for _ in range(n)]
+    items = [fill(n) for n in (5, 11, 15, 59, 59, 20, 18, 17, 130, 16, 7, 54)]
+    change = lambda w, every: [rnd.choice(rare) if every(i) else x for i, x in enumerate(w)]
+    copies = [
+        change(items[1], lambda i: i == 5), change(items[2], lambda i: i in (5, 10)), change(items[3], lambda i: i % 6 == 5), change(items[4], lambda i: i % 3 == 2),
+        [x for w in items[5] for x in (w, rnd.choice(rare))], [w for i, w in enumerate(items[6]) if i % 3], [x for w in items[8][:60] for x in (w, "new")], [x for w in items[11] for x in (w, "new", "new")][:-2],
+    ]
+    for k in range(60):
+        item = items[5 + k % 5]
+        spots = set(rnd.sample(range(len(item)), round(len(item) * rnd.choice([0.2, 0.3, 0.4]))))
+        copies.append(change(item, lambda i, spots=spots: i in spots))
+    texts = [*ODD[:5], *(" ".join(fill(rnd.randrange(40)) + c + fill(rnd.randrange(40))) for c in copies), *(" ".join(fill(60)) for _ in range(40))]
+    p = Decontamination(block_words=block_words)
+    number = {}
+    hashes = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.uint64)
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            score, matched, *_ = align(hashes(item), hashes((t or "").split()), p)
+            if score >= len(item) or matched >= 50:
+                want[i, k] = score / (2 * len(item))
+    assert all((5 + i, k) in want for i, k in enumerate((1, 2, 3, 4, 5, 6, 8)))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate(make(texts), table, p).collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on what its predecessor kept: same columns, and its decision took effect."""
     import corpus_pipeline as P
