@@ -1,7 +1,7 @@
 """Operator 8: secrets, with weak parts reported only where they complete a credential.
 
 Base spans stand by themselves: assignments to secret names, access identifiers and long
-hexadecimal strings.  Weak candidates (bare 40-character keys, user names, endpoints) say little
+hexadecimal strings.  Weak candidates (keys of 32 characters or more, padded or not, user names, endpoints) say little
 alone.  Each part has a role (identifier, secret, endpoint, user) and an interval; an interval join within a
 scope (a paragraph, i.e. text between blank lines, and at most ``reach`` code points apart) links parts, and a
 weak candidate is reported only when a part of a complementary role is linked to it.  The join is a
@@ -31,8 +31,9 @@ LEAST = {"assign": 6, "access": 20}
 
 KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
 # Weak candidates: a bare key with mixed characters, a user name, a place to use them at.
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/=_-])")
-USER = re.compile(r"""(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{2,64})""", re.I | re.A)
+# A key is a whole run of key characters, of any length from 32 on, with its base64 padding.
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])={0,2}")
+USER = re.compile(r"""(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{2,})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})(?!\d)", re.I | re.A)
 
 #: A role completes those it maps to.
