@@ -12,10 +12,10 @@ probes; the text's score is the sum of log10 p.
 Base.  The sum of log10((c+1) / (N+V+1)) over tokens with exact c.
 
 Size.  Both filters and the exact counts grow with the corpus, and their counted sizes decide how
-they are used.  Bigram segments beyond ``filter_bytes`` go in further shards of segments, each
-broadcast for its own pass over the texts; a shard scores the words whose context falls to it, and the sums are
-added.  Exact counts beyond ``broadcast_words`` are joined by a shuffle with adaptive splitting of frequent words.  The
-unigram filter is broadcast with every shard; beyond ``filter_bytes`` it keeps all words with fewer bits each.
+they are used; no size changes a score.  Segments beyond ``filter_bytes`` go in further shards, unigrams' and bigrams'
+alike.  Each pass over the texts broadcasts a shard of words, a shard of bigrams and the unigrams of the latter's
+contexts, which share their segments; it scores the tokens that fall to both shards and writes its sums, which are added,
+before the next pass.  Exact counts beyond ``broadcast_words`` are joined by a shuffle with adaptive splitting of frequent words.
 
 Defined cases: a null or empty text is one end token.  Rows repeated with one doc_id are counted and
 scored each.  A null doc_id trains and isn't held out.  With no training document c, N and V are 0.
@@ -68,18 +68,21 @@ def token_hashes(texts: list[str | None], table: WordHash) -> tuple[np.ndarray,
 
 
 def bigram_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's context and the bigram's key: the context's segment, lowest bit 1."""
+    """Each token's context and the bigram's key: the context's segment, lowest bit 1.
+
+    A bigram shares the segment of its context's own unigram.
+    """
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     if len(sizes):
         before[np.concatenate([[0], np.cumsum(sizes[:-1])])] = END & ~ONE
     with np.errstate(over="ignore"):
         both = mix64(before * MULTIPLIER + tokens)
-    return before, (mix64(before) & ~LOW) | (both & LOW) | ONE
+    return before, (before & ~LOW) | (both & LOW) | ONE
 
 
 def segment_of(keys: np.ndarray) -> np.ndarray:
-    """A bigram's segment is in its key's top bits, which come from its mixed context."""
+    """A key's segment is in its top bits; a bigram's come from its context."""
     return (keys >> SHIFT).astype(np.int64)
 
 
@@ -235,14 +238,11 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     sums = grams.groupBy((F.col("key") % 2 == 0).alias("one")).agg(F.count("*").alias("n"), F.sum("n").alias("tokens")).collect()
     found = {r["one"]: (r["n"], r["tokens"]) for r in sums}
     (v, n), pairs = found.get(True, (0, 0)), found.get(False, (0, 0))[0]
-    # a word's own segment is by its mixed key; a bigram's is in the top bits of its key
     top = lambda c: F.shiftrightunsigned(c, 52).cast("int")
-    bits = min(p.bits, max(1.0, p.filter_bytes * 8 / max(1, 2 * v)))
-    words = materialize(build_segments(uni.select(top(F.col("key")).alias("seg"), "key", "n"), p, bits, v), "words", small=True)
+    words = materialize(build_segments(uni.select(top(F.col("key")).alias("seg"), "key", "n"), p, p.bits, v), "words", small=True)
     pair_segments = materialize(build_segments(bi.select(top(F.col("key")).alias("seg"), "key", "n"), p, p.bits, pairs), "bigrams", small=True)
-    sizes = [(r["seg"], r["size"]) for r in pair_segments.select("seg", "size").collect()]  # 4096 rows at most
-    word_filter = spark.sparkContext.broadcast(load(words, 0, SEGMENTS, p.probes))
-    ranges = shards(sizes, p.filter_bytes)
+    # 4096 rows at most
+    word_ranges, ranges = (shards([(r["seg"], r["size"]) for r in x.select("seg", "size").collect()], p.filter_bytes) for x in (words, pair_segments))
     exact = None
     if v <= p.broadcast_words:
         got = uni.toArrow()
@@ -252,7 +252,9 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     names = ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"]
     schema = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
 
-    def scorer(pair_filter, first: int, end: int):
+    def scorer(word_filter, context_filter, pair_filter, word_range: tuple[int, int], pair_range: tuple[int, int]):
+        (low, high), (first, end) = word_range, pair_range
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
@@ -264,11 +266,12 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
                 add = lambda x, starts=starts: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
                 before, keys = bigram_keys(tokens, length)
                 unique, place = np.unique(tokens, return_inverse=True)
-                about = expected(word_filter.value.levels(unique, segment_of(unique)))
-                own = segment_of(keys)
-                mine = (own >= first) & (own < end)
+                own, word = segment_of(keys), segment_of(unique)
+                about = expected(word_filter.value.levels(unique, word))
+                behind = about if context_filter is word_filter else expected(context_filter.value.levels(unique, word))
+                mine = (own >= first) & (own < end) & ((word >= low) & (word < high))[place]
                 p_word = (about[place] + 1) / total
-                context = about[np.searchsorted(unique, before)]  # a context is a token of the batch or an end
+                context = behind[np.searchsorted(unique, before)]  # a context is a token of the batch or an end
                 joint = np.zeros(len(tokens))
                 joint[mine] = expected(pair_filter.value.levels(keys[mine], own[mine]))
                 joint = np.minimum(joint, context)
@@ -288,7 +291,23 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
 
         return rows.mapInArrow(run, schema)
 
-    parts = [scorer(spark.sparkContext.broadcast(load(pair_segments, a, b, p.probes)), a, b) for a, b in ranges]
+    put = lambda x, r: spark.sparkContext.broadcast(load(x, *r, p.probes))
+    passes, parts = len(word_ranges) * len(ranges), []
+    for word_range in word_ranges:
+        word_filter = put(words, word_range)
+        for pair_range in ranges:
+            context_filter = word_filter if len(word_ranges) == 1 else put(words, pair_range)
+            pair_filter = put(pair_segments, pair_range)
+            part = scorer(word_filter, context_filter, pair_filter, word_range, pair_range)
+            if passes > 1:
+                # its sums are written before the next shard comes, so one is held at a time
+                part = materialize(part, "partial")
+                pair_filter.destroy(blocking=True)
+                if context_filter is not word_filter:
+                    context_filter.destroy(blocking=True)
+            parts.append(part)
+        if passes > 1:
+            word_filter.destroy(blocking=True)
     out = parts[0]
     by = ["doc_id", "text_hash"]
     if len(parts) > 1:

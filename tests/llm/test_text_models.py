@@ -160,3 +160,13 @@ def test_lm_score(make, p):
             assert abs(r["score"] - exact) <= 0.06 * abs(exact) + 0.5
         assert r["score"] < 0
     assert lm_score(make([]), p).count() == 0
+
+
+def test_lm_score_in_shards(make):
+    """Shards of words and bigrams give the scores of whole filters."""
+    rnd = random.Random(12)
+    texts = ODD[:5] + [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(60))) for _ in range(40)]
+    scores = lambda p: {r["doc_id"]: r["score"] for r in lm_score(make(texts), p).collect()}
+    whole, parts = scores(LanguageModel()), scores(LanguageModel(filter_bytes=100))
+    assert len(whole) == len(texts) and whole.keys() == parts.keys()
+    assert all(math.isclose(whole[i], parts[i], rel_tol=1e-9) for i in whole)
