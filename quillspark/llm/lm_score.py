@@ -6,7 +6,8 @@ shuffle; sums of a gram are made once.  N and V are exact.
 Filter (Talbot and Osborne, 2007).  A count c is quantised to q = 1 + floor(log2 c); the filter holds
 the gram with each of 1..q, and a count is read back by probing 1, 2, ... until a probe misses.  It
 consists of 4096 segments, chosen by the context's hash and sized by what they hold, so executors
-build them apart from each other.  Bigrams enter from ``least`` occurrences on, at any size.
+build them apart from each other.  Bigrams enter from ``least`` occurrences on, at any size.  The query
+takes all (``least`` 1); a higher value loses the mass of those left out.
 Score.  p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu) with p(w) = (c(w) + 1) / (N + V + 1), all c from
 probes; the text's score is the sum of log10 p.
 Base.  The sum of log10((c+1) / (N+V+1)) over tokens with exact c.

@@ -87,9 +87,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import lm_score
+    from .lm_score import LanguageModel, lm_score
 
-    return lm_score(documents(spark, sf_dir))
+    return lm_score(documents(spark, sf_dir), LanguageModel(least=1))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

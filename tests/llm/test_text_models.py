@@ -170,3 +170,27 @@ def test_lm_score_in_shards(make):
     whole, parts = scores(LanguageModel()), scores(LanguageModel(filter_bytes=100))
     assert len(whole) == len(texts) and whole.keys() == parts.keys()
     assert all(math.isclose(whole[i], parts[i], rel_tol=1e-9) for i in whole)
+
+
+def test_lm_score_counts_single_bigrams(make, monkeypatch):
+    """A bigram seen once in training scores above one never seen."""
+    from quillspark.llm import lm_score as module
+    from quillspark.llm import queries
+
+    monkeypatch.setattr(queries, "documents", lambda *_: None)
+    with monkeypatch.context() as m:
+        m.setattr(module, "lm_score", lambda _, p=LanguageModel(): p)
+        used = queries.op9_lm_score(None, "")
+    assert used.least == 1
+    texts = [f"a{k} b{k}" for k in range(40)] + [f"a{k} b{(k + 1) % 40}" for k in range(40)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    rows = {r["doc_id"]: r["score"] for r in lm_score(make(texts, [*ids, *out]), LanguageModel(mu=1.0, least=used.least)).collect()}
+    n, v = 120, 81
+    level = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    p = lambda c: (level(c) + 1) / (n + v + 1)
+    start = math.log10((1 + p(1)) / (level(40) + 1))
+    seen = start + math.log10((1 + p(1)) / 2) + math.log10((1 + p(40)) / 2)
+    unseen = start + math.log10(p(1) / 2) + math.log10((1 + p(40)) / 2)
+    assert np.median([rows[i] for i in ids]) == pytest.approx(seen, abs=1e-6)
+    assert np.median([rows[i] for i in out]) == pytest.approx(unseen, abs=1e-6)
