@@ -1,6 +1,6 @@
 """Operator 1: licence scan by a trained paragraph classifier with template confirmation.
 
-Paragraphs are lines.  Those with a cue word go to a multinomial logistic regression over sparse
+A line with a cue word, and a run of neighbouring non-blank lines over which a notice is wrapped, go to a multinomial logistic regression over sparse
 word n-grams (one to three words) with one class per licence family and one for unknown text.  It
 is trained here on notices composed from the templates (parts, joined parts, other case, changed
 words) and, for the unknown class, on shuffled notices and on licence-like sentences that name no
@@ -8,7 +8,11 @@ family; a held-out part sets the temperature of its probabilities, and a paragra
 family stays under ``least_probability`` is unknown.  A prediction counts only when it is confirmed: a
 template of the family must share ``least_overlap`` of its word pairs with the paragraph.
 
-A paragraph without a cue word can't be confirmed, as every template holds one, and is passed over.
+Wrapped notices.  Within the lines between two blank ones, the smallest runs of lines that hold
+``least_overlap`` or more of a template's word pairs are candidates, and so is a line without a cue word that
+does alone.  The best confirmed candidates that don't overlap are told from their first line's start to
+their last one's end, instead of the unconfirmed lines in them.  A text is searched for them if it
+holds a word of a set that every such run needs: without these words too few pairs are left.
 The model is a few thousand numbers whatever the input; nothing is learned from the corpus.
 
 Defined cases: null and empty texts have no licence; of equal probabilities the first family in
@@ -19,9 +23,11 @@ than the id and the text are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -153,22 +159,124 @@ def overlap(tokens: list[str], family: str) -> float:
 Found = tuple[int, int, int, str, float, float, bool]
 
 
+@lru_cache(maxsize=4)
+def _needs(least_overlap: float) -> tuple[list[tuple[str, int, int]], dict[tuple[str, str], list[int]], re.Pattern]:
+    """Templates as ``(family, pairs, pairs needed)``, the templates of each pair, and words of which every match holds one."""
+    templates, by_pair, some = [], defaultdict(list), set()
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            w = words(t)
+            own = set(zip(w, w[1:], strict=False))
+            need = max(1, next(c for c in range(len(own) + 1) if c / len(own) >= least_overlap))
+            for pair in own:
+                by_pair[pair].append(len(templates))
+            templates.append((family, len(own), need))
+            # long words are the rarer ones
+            for x in sorted(set(w), key=lambda x: (-len(x), x)):
+                if len(own) < need:
+                    break
+                some.add(x)
+                own = {pair for pair in own if x not in pair}
+    return templates, dict(by_pair), re.compile("|".join(map(re.escape, sorted(some))))
+
+
+def _runs(places: list[tuple[int, tuple[str, str]]], least: int) -> list[tuple[int, int]]:
+    """First and last place of the smallest runs of places with ``least`` distinct pairs."""
+    out, held, first = [], Counter(), 0
+    for at, pair in places:
+        held[pair] += 1
+        while held[places[first][1]] > 1:
+            held[places[first][1]] -= 1
+            first += 1
+        while len(held) > least:
+            gone = places[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+            while held[places[first][1]] > 1:
+                held[places[first][1]] -= 1
+                first += 1
+        if len(held) == least:
+            out.append((places[first][0], at))
+    return out
+
+
+def _judge(tokens: list[str], model: Classifier, least_probability: float, least_overlap: float) -> tuple[str, float, float, bool]:
+    p = model.probabilities(tokens)
+    best = int(p.argmax())
+    family = model.classes[best] if p[best] >= least_probability else UNKNOWN
+    share = overlap(tokens, family)
+    return family, float(p[best]), share, family != UNKNOWN and share >= least_overlap
+
+
+def _wrapped(lines: list[str], model: Classifier, least_probability: float, least_overlap: float) -> list[tuple[int, int, str, float, float, bool]]:
+    """``(first line, last line, family, probability, overlap, True)`` of notices in the lines of one paragraph."""
+    templates, by_pair, _ = _needs(least_overlap)
+    tokens: list[str] = []
+    line_of: list[int] = []
+    for k, line in enumerate(lines):
+        own = words(line)
+        tokens += own
+        line_of += [k] * len(own)
+    places: dict[int, list] = defaultdict(list)
+    for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+        for t in by_pair.get(pair, ()):
+            places[t].append((i, pair))
+    tried: dict[tuple[int, int, int, int], float] = {}
+    for t, held in places.items():
+        _, n, need = templates[t]
+        for least in range(need, len({pair for _, pair in held}) + 1):
+            for i, j in _runs(held, least):
+                a, b = line_of[i], line_of[j + 1]
+                if a < b or not CUES.search(lines[a]):
+                    key = a, b, i, j + 2
+                    tried[key] = max(tried.get(key, 0.0), least / n)
+    found = []
+    for (a, b, i, j), _ in sorted(tried.items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
+        if any(a <= d and c <= b for c, d, *_ in found):
+            continue
+        whole = [x for x, k in zip(tokens, line_of, strict=True) if a <= k <= b]
+        # long lines round a notice drown it; then its own words decide
+        for part in (whole, tokens[i:j]):
+            judged = _judge(part, model, least_probability, least_overlap)
+            if judged[3]:
+                found.append((a, b, *judged))
+                break
+    return found
+
+
 def scan(text: str | None, model: Classifier, least_probability: float = 0.5, least_overlap: float = 0.6) -> list[Found]:
-    """``(paragraph, start, end, family, probability, overlap, confirmed)`` of paragraphs with a cue."""
+    """``(line, start, end, family, probability, overlap, confirmed)`` of lines with a cue and of wrapped notices."""
     out: list[Found] = []
-    if not text or not CUES.search(text):
+    if not text:
+        return out
+    needed = _needs(least_overlap)[2].search(text.lower())
+    if not needed and not CUES.search(text):
         return out
-    at = 0
-    for k, line in enumerate(text.split("\n")):
+    lines = text.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    for k, line in enumerate(lines):
         if CUES.search(line):
-            tokens = words(line)
-            p = model.probabilities(tokens)
-            best = int(p.argmax())
-            family = model.classes[best] if p[best] >= least_probability else UNKNOWN
-            share = overlap(tokens, family)
-            out.append((k, at, at + len(line), family, float(p[best]), share, family != UNKNOWN and share >= least_overlap))
-        at += len(line) + 1
-    return out
+            out.append((k, starts[k], starts[k] + len(line), *_judge(words(line), model, least_probability, least_overlap)))
+    if not needed:
+        return out
+    told = {f[0]: f for f in out if f[6]}
+    first = 0
+    for k in range(len(lines) + 1):
+        if k < len(lines) and lines[k].strip():
+            continue
+        part = lines[first:k]
+        if part and _needs(least_overlap)[2].search("\n".join(part).lower()):
+            for a, b, *judged in _wrapped(part, model, least_probability, least_overlap):
+                a, b = a + first, b + first
+                # a line that tells the family at least as well needs no run round it
+                if any(told[x][3] == judged[0] and told[x][5] >= judged[2] for x in range(a, b + 1) if x in told):
+                    continue
+                out = [f for f in out if f[6] or not a <= f[0] <= b]
+                out.append((a, starts[a], starts[b] + len(lines[b]), *judged))
+        first = k + 1
+    return sorted(out)
 
 
 def licences(docs: DataFrame, least_probability: float = 0.5, least_overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

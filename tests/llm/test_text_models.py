@@ -34,6 +34,25 @@ def test_licences(make):
     assert L.licences(make([])).count() == 0
 
 
+def test_wrapped_licences():
+    """Every template of four words or more, broken at every place, and one word a line."""
+    model = L.train()
+    for family, templates in L.TEMPLATES.items():
+        for t in templates:
+            parts = t.split()
+            if len(parts) < 4:
+                continue
+            for breaks in (*([k] for k in range(1, len(parts))), range(1, len(parts))):
+                text = "plain words before\n\n" + "".join(("\n" if k in breaks else " ") * (k > 0) + w for k, w in enumerate(parts)) + ".\n\nplain"
+                assert family in {f[3] for f in L.scan(text, model) if f[6]}, text
+    text = "This work is licensed under the GNU General\nPublic License, version 3."
+    assert [(f[0], text[f[1] : f[2]], f[3], f[6]) for f in L.scan(text, model)] == [(0, text, "GPL", True)]
+    text = "see\n\nyou may not use this file except in compliance with the"
+    assert [(f[0], f[3], f[6]) for f in L.scan(text, model)] == [(2, "Apache-2.0", True)]
+    apart = "This work is licensed under the GNU General\n\nPublic License, version 3."
+    assert not any(f[6] for f in L.scan(apart, model))
+
+
 def junk(rnd):
     return " ".join(rnd.choice("***", ) * 3 + "%" * rnd.randrange(9) for _ in range(40))
 
