@@ -27,25 +27,27 @@ def keys_of(path: Column) -> Column:
 
 
 def resolve(refs: DataFrame, assets: DataFrame, by: list[str]) -> DataFrame:
-    """``refs(by, src)`` with the ``url`` of ``assets(path, url, seq)`` or null; http and data stay.
+    """``refs(by, src)`` with the ``url`` of the same document's ``assets(by, path, url, seq)`` or null; http and data stay.
 
     All fallbacks of a reference need the same last segment, so after the exact candidates one
-    equi-join on it is left.  Keys are reduced to their last writer before the join.
+    equi-join on it is left.  Keys are reduced to their last writer before the join.  All keys hold the document and
+    the path, so one document with very many pictures is spread over all tasks.
     """
-    keys = assets.select(F.explode(keys_of(F.col("path"))).alias("key"), "url", "seq")
-    last = keys.groupBy("key").agg(F.max_by("url", "seq").alias("hit"))
-    bases = assets.groupBy(base_key(F.col("path")).alias("base")).agg(F.min_by("url", "seq").alias("near"))
+    keys = assets.select(*by, F.explode(keys_of(F.col("path"))).alias("key"), "url", "seq")
+    last = keys.groupBy(*by, "key").agg(F.max_by("url", "seq").alias("hit"))
+    bases = assets.groupBy(*by, base_key(F.col("path")).alias("base")).agg(F.min_by("url", "seq").alias("near"))
     src = F.replace(F.col("src"), F.lit("\\"), F.lit("/"))
     direct = src.rlike(r"(?i)\A(https?:|data:|blob:)")
     candidates = F.array_distinct(F.array(path_key(src), F.concat(F.lit("./"), path_key(src)), base_key(src), F.concat(F.lit("./"), base_key(src))))
-    tried = refs.select(*by, "src", F.posexplode(candidates).alias("pos", "key")).join(last, "key")
+    tried = refs.select(*by, "src", F.posexplode(candidates).alias("pos", "key")).join(last, [*by, "key"])
     best = tried.groupBy(*by, "src").agg(F.min_by("hit", "pos").alias("hit"))
-    joined = refs.withColumn("base", base_key(src)).join(best, [*by, "src"], "left").join(bases, "base", "left")
+    joined = refs.withColumn("base", base_key(src)).join(best, [*by, "src"], "left").join(bases, [*by, "base"], "left")
     return joined.withColumn("url", F.when(direct, src).otherwise(F.coalesce("hit", "near"))).drop("base", "hit", "near")
 
 
-def unresolved(resolved: DataFrame) -> DataFrame:
-    return resolved.where("url is null").select("src").distinct()
+def unresolved(resolved: DataFrame, by: list[str]) -> DataFrame:
+    """Each document's references without a picture, once each."""
+    return resolved.where("url is null").select(*by, "src").distinct()
 
 
 def rewrite_images(docs: DataFrame, images: DataFrame, by: list[str], text: str, folder: str) -> DataFrame:

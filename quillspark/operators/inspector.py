@@ -6,11 +6,11 @@ sums.  Reports are arrays built from the wide row of counts, so no further shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.latex import count_of
-from ..functions.regex import strip
+from ..functions.regex import let, strip
 from ..sources import docx as D
 from .formulas import longest_run
 
@@ -74,29 +74,39 @@ def section_types(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     return sections.join(kinds, [by, "part", "parent_id"], "left").groupBy(by, kind.alias("type")).agg(F.count("*").alias("n"))
 
 
-def _note_columns() -> list[Column]:
+def _note_columns(where: Column) -> list[Column]:
     kind = F.coalesce(F.col("attrs")[f"{{{D.NS['w']}}}type"], F.lit(""))
     real = ~kind.isin("separator", "continuationSeparator")
-    return [F.count_if(is_element(f"w:{n}") & (F.col("part") == f"word/{n}s.xml") & real).alias(f"{n}s") for n in ("footnote", "endnote")]
+    return [F.count_if(where & is_element(f"w:{n}") & (F.col("part") == f"word/{n}s.xml") & real).alias(f"{n}s") for n in ("footnote", "endnote")]
 
 
 def notes(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     """Footnotes and endnotes but for separators."""
-    return nodes.groupBy(by).agg(*_note_columns())
+    return nodes.groupBy(by).agg(*_note_columns(F.lit(True)))
+
+
+def _empty() -> Column:
+    return (strip(F.col("text")) == "") & ~F.col("has_object")
+
+
+def _paragraph_columns(where: Column) -> list[Column]:
+    heading = F.coalesce(F.lower("style").startswith("heading") | F.col("style").contains("标题"), F.lit(False))
+    return [F.count_if(where).alias("paragraphs"), F.count_if(where & _empty()).alias("empty_paragraphs"), F.count_if(where & heading).alias("headings")]
 
 
 def paragraph_counts(paragraphs: DataFrame, by: str = "doc_id") -> DataFrame:
     """Paragraphs, empty ones, the longest run of them, and headings."""
-    empty = (strip(F.col("text")) == "") & ~F.col("has_object")
-    heading = F.coalesce(F.lower("style").startswith("heading") | F.col("style").contains("标题"), F.lit(False))
-    flagged = paragraphs.withColumn("empty", empty)
-    sums = flagged.groupBy(by).agg(F.count("*").alias("paragraphs"), F.count_if("empty").alias("empty_paragraphs"), F.count_if(heading).alias("headings"))
+    flagged = paragraphs.withColumn("empty", _empty())
+    sums = flagged.groupBy(by).agg(*_paragraph_columns(F.lit(True)))
     return sums.join(longest_run(flagged, [by], ["ord"], "empty", "max_empty_run"), by)
 
 
+MARGIN = r"/(header|footer).*\.xml\z"
+
+
 def header_footer(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     """Header and footer parts, how many say something, whether any has a page field."""
-    rows = nodes.where(F.col("part").rlike(r"/(header|footer).*\.xml\z")).withColumn("kind", F.regexp_extract("part", "/(header|footer)", 1))
+    rows = nodes.where(F.col("part").rlike(MARGIN)).withColumn("kind", F.regexp_extract("part", "/(header|footer)", 1))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")
     fields = F.bool_or(F.col("text").contains("PAGE"))
     parts = rows.groupBy(by, "kind", "part").agg(strip(said).alias("said"), (strip(said) != "").alias("text"), F.bool_or(is_element("v:imagedata") | is_element("a:blip")).alias("image"), fields.alias("fields"))
@@ -117,21 +127,26 @@ def suffix(part: Column) -> Column:
     return F.when(ext == "", "(none)").otherwise(ext)
 
 
-def media_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Pictures by kind, embedded files, and which optional parts are there."""
+def _media_columns(where: Column) -> list[Column]:
     name = F.col("part")
-    media = name.startswith("word/media/") & ~name.endswith("/")
-    has = lambda p: F.bool_or(name == p)
-    return parts.groupBy(by).agg(
+    media = where & name.startswith("word/media/") & ~name.endswith("/")
+    has = lambda p: F.bool_or(where & (name == p))
+    return [
         F.count_if(media).alias("media"), F.count_if(media & (suffix(name) == ".wmf")).alias("wmf"), F.count_if(media & (suffix(name) == ".emf")).alias("emf"),
-        F.count_if(media & suffix(name).isin(RASTER)).alias("raster"), F.count_if(name.startswith("word/embeddings/") & ~name.endswith("/")).alias("embeddings"),
+        F.count_if(media & suffix(name).isin(RASTER)).alias("raster"), F.count_if(where & name.startswith("word/embeddings/") & ~name.endswith("/")).alias("embeddings"),
         has("word/comments.xml").alias("comments_part"), has("word/numbering.xml").alias("numbering"),
-    )
+    ]
+
+
+def media_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Pictures by kind, embedded files, and which optional parts are there."""
+    return parts.groupBy(by).agg(*_media_columns(F.lit(True)))
 
 
 def media_by_extension(parts: DataFrame, folder: str = "word/media/", by: str = "doc_id") -> DataFrame:
-    """``(doc_id, ext, n)`` of a folder, the most frequent first, then by name."""
-    return D.members_under(parts, folder).groupBy(by, suffix(F.col("part")).alias("ext")).agg(F.count("*").alias("n")).orderBy(by, F.desc("n"), "ext")
+    """``(doc_id, ext, n, place)`` of a folder; places count the most frequent first, then by name."""
+    counted = D.members_under(parts, folder).groupBy(by, suffix(F.col("part")).alias("ext")).agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "ext")))
 
 
 def media_sample(parts: DataFrame, most: int = 12, by: str = "doc_id") -> DataFrame:
@@ -146,34 +161,82 @@ def ole_programs(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     return nodes.where(is_element("o:OLEObject")).groupBy(by, prog.alias("prog")).agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
 
 
+def _raw_columns(c: Column) -> dict[str, Column]:
+    """Counts over XML as text."""
+    times = lambda x: F.floor((F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))) / len(x)).cast("long")
+    low = F.lower(c)
+    return {
+        "fields": times("<w:fldChar") + times("w:instrText"), "toc": count_of(c, r"TOC\\") + times("TOC "), "page_fields": count_of(c, r"\bPAGE\b|\bNUMPAGES\b"),
+        "alternate": times("mc:AlternateContent"), "watermark": low.contains("watermark"),
+        "smartart": F.floor((F.length(low) - F.length(F.replace(low, F.lit("dgm:relids"), F.lit("")))) / 10).cast("long") + times("wps:wsp"),
+        "dollar": count_of(c, r"(?<!\\)\$(?!\$)[^$\n]{1,80}\$"), "display_tex": count_of(c, r"(?s)\\\[.+?\\\]|\$\$[^$]+\$\$"),
+        "latex_commands": count_of(c, r"\\(frac|dfrac|sqrt|sum|int|alpha|beta|theta|cdot|times)\b"),
+    }
+
+
 def raw_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Counts over the body's XML as text."""
-    raw = F.decode("data", "UTF-8")
-    times = lambda x: F.floor((F.length("raw") - F.length(F.replace("raw", F.lit(x), F.lit("")))) / len(x)).cast("long")
-    rows = parts.where("part = 'word/document.xml'").select(by, raw.alias("raw"))
-    c = F.col("raw")
-    return rows.select(
-        by, (times("<w:fldChar") + times("w:instrText")).alias("fields"), (count_of(c, r"TOC\\") + times("TOC ")).alias("toc"), count_of(c, r"\bPAGE\b|\bNUMPAGES\b").alias("page_fields"),
-        times("mc:AlternateContent").alias("alternate"), F.lower(c).contains("watermark").alias("watermark"),
-        (F.floor((F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.lit("dgm:relids"), F.lit("")))) / 10).cast("long") + times("wps:wsp")).alias("smartart"),
-        count_of(c, r"(?<!\\)\$(?!\$)[^$\n]{1,80}\$").alias("dollar"), count_of(c, r"(?s)\\\[.+?\\\]|\$\$[^$]+\$\$").alias("display_tex"),
-        count_of(c, r"\\(frac|dfrac|sqrt|sum|int|alpha|beta|theta|cdot|times)\b").alias("latex_commands"),
-    )
+    """Counts over the body's XML as text; bytes that are no UTF-8 count as one character each."""
+    rows = parts.where("part = 'word/document.xml'").select(by, F.make_valid_utf8(F.col("data").cast("string")).alias("raw"))
+    return rows.select(by, *(v.alias(k) for k, v in _raw_columns(F.col("raw")).items()))
+
+
+def _longest(flags: Column) -> Column:
+    """The longest run of true flags in an array."""
+    step = lambda a, f: F.when(f, F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).otherwise(F.struct(F.lit(0).cast("long").alias("now"), a["most"].alias("most")))
+    return F.aggregate(flags, F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")), step, lambda a: a["most"])
+
+
+def _margins(nodes: Column) -> list[Column]:
+    """The columns of ``header_footer`` from the array ``(part, ord, text, image)`` of one document's header and footer elements."""
+    def parts(found: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(found, lambda n: n["part"])))
+        def one(part: Column) -> Column:
+            own = F.filter(found, lambda n: n["part"] == part)
+            said = strip(F.array_join(F.transform(own, lambda n: n["text"]), ""))
+            pages = F.exists(own, lambda n: n["text"].contains("PAGE"))
+            return let(said, lambda t: F.struct((F.regexp_extract(part, "/(header|footer)", 1) == "footer").alias("footer"), part.alias("part"), t.alias("said"), F.exists(own, lambda n: n["image"]).alias("image"), pages.alias("pages")))
+        return F.transform(names, one)
+
+    found = let(F.array_sort(nodes), parts)
+    full = lambda p: (p["said"] != "") | p["image"]
+    shown = lambda t: F.when(F.length(t) > 40, F.concat(F.substring(t, 1, 40), F.lit("…"))).when(t != "", t).otherwise("(含图片/域)")
+    count = lambda f: F.size(F.filter("margins", f)).cast("long")
+    samples = F.slice(F.array_sort(F.filter("margins", full)), 1, 4)
+    return [
+        found.alias("margins"),
+        count(lambda p: ~p["footer"]).alias("header_parts"), count(lambda p: p["footer"]).alias("footer_parts"),
+        count(lambda p: ~p["footer"] & full(p)).alias("nonempty_headers"), count(lambda p: p["footer"] & full(p)).alias("nonempty_footers"),
+        F.exists("margins", lambda p: p["pages"]).alias("page_number_fields"),
+        F.transform(samples, lambda p: F.struct(p["part"].alias("part"), shown(p["said"]).alias("preview"))).alias("header_samples"),
+    ]
+
+
+def _histogram(values: Column) -> Column:
+    """``value×n`` of an array's values, in order, as one string."""
+    times = lambda v: F.size(F.filter(values, lambda x: x == v)).cast("string")
+    return F.nullif(F.array_join(F.array_sort(F.transform(F.array_distinct(values), lambda v: F.concat(v, F.lit("×"), times(v)))), ", "), F.lit(""))
 
 
 def counts(docs: DataFrame, by: str = "doc_id") -> DataFrame:
-    """The wide row of counts per document on which all reports rest.
+    """The wide row of counts per document on which all reports rest, with ``error`` for what can't be read.
 
-    Elements, objects and notes are counted in one group-by over the elements of the body and the
-    notes; headers and footers are parsed by themselves.
+    Each file is read once; its rows are combined where they are read, so a document is one row when it moves.
     """
-    parts = D.parts(docs, by)
-    name, document = F.col("part"), F.col("part") == "word/document.xml"
-    counted = D.nodes(parts.where(name.isin("word/document.xml", "word/footnotes.xml", "word/endnotes.xml")), by)
-    out = counted.groupBy(by).agg(*_tag_columns(document), *_object_columns(document), *_note_columns())
-    margins = D.nodes(parts.where(name.rlike(r"/(header|footer).*\.xml\z")), by)
-    for more in (raw_counts(parts, by), media_counts(parts, by), paragraph_counts(D.paragraphs(parts.where(document), by), by), header_footer(margins, by)):
-        out = out.join(more, by, "left")
+    rows = D.records(docs, by)
+    kind = F.col("kind")
+    node, body = kind == "node", (kind == "node") & (F.col("part") == "word/document.xml")
+    margin = F.when(node & F.col("part").rlike(MARGIN), F.struct("part", "ord", "text", (is_element("v:imagedata") | is_element("a:blip")).alias("image")))
+    paragraph = kind == "paragraph"
+    raw = [F.max(F.when(kind == "raw", v)).alias(k) for k, v in _raw_columns(F.col("text")).items()]
+    section = F.when(kind == "section", F.coalesce(F.nullif("text", F.lit("")), F.lit("nextPage(default)")))
+    wide = rows.groupBy(by).agg(
+        *_tag_columns(body), *_object_columns(body), *(c for c in _note_columns(node)), *_media_columns(kind == "part"), *_paragraph_columns(paragraph), *raw,
+        F.collect_list(margin).alias("nodes"), F.collect_list(F.when(paragraph, F.struct("ord", _empty().alias("empty")))).alias("flags"),
+        F.collect_list(section).alias("kinds"), F.max(F.when(kind == "error", F.col("text"))).alias("error"),
+    )
+    first, *rest = _margins(F.col("nodes"))
+    wide = wide.withColumn("max_empty_run", _longest(F.transform(F.array_sort("flags"), lambda x: x["empty"]))).withColumn("section_kinds", _histogram(F.col("kinds")))
+    out = wide.select("*", first).select("*", *rest).drop("nodes", "flags", "kinds", "margins")
     longs = {c: F.coalesce(F.col(c), F.lit(0)) for c, t in out.dtypes if t == "bigint" and c != by}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c, t in out.dtypes if t == "boolean"}
     return out.withColumns({**longs, **flags}).withColumn("revisions", F.col("ins") + F.col("dels") + F.col("rpr_change") + F.col("ppr_change"))
@@ -268,8 +331,12 @@ def impact(rows: Column) -> Column:
 
 
 def inspect(docs: DataFrame, by: str = "doc_id") -> DataFrame:
-    """One row per document: ``primary, summary, types, rows, impact`` and the counts."""
-    nodes = D.nodes(D.parts(docs, by).where("part = 'word/document.xml'"), by)
-    kinds = section_types(nodes, by).groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("×"), F.col("n").cast("string")))), ", ").alias("section_kinds"))
-    wide = counts(docs, by).join(kinds, by, "left").withColumns({"primary": primary(), "summary": summary(), "types": math_types(), "rows": structure_rows()})
+    """One row per document: ``primary, summary, types, rows, impact``, the counts and ``error``."""
+    wide = counts(docs, by).withColumns({"primary": primary(), "summary": summary(), "types": math_types(), "rows": structure_rows()})
     return wide.withColumn("impact", impact(F.col("rows")))
+
+
+def report(inspected: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``doc_id, report``: the inspection as one JSON text each."""
+    math, structure = F.struct("primary", "summary", "types"), F.struct("rows", "section_kinds", "header_samples")
+    return inspected.select(by, F.to_json(F.struct(math.alias("math"), structure.alias("structure"), "impact", "error")).alias("report"))

@@ -7,8 +7,10 @@ after is relational.  Each works part by part in the partition where the bytes a
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,15 +32,26 @@ NS = {
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``doc_id, path, content`` of the ``.docx`` files under a path, lock files left out, by path."""
+    """``doc_id, path, content`` of the ``.docx`` files under a path, lock files left out.
+
+    In no order, as sorting would move all contents; ``listing`` sorts paths alone.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/", -1), -1)
     kept = files.where(F.lower("path").endswith(".docx") & ~name.startswith("~$"))
-    return kept.select(F.sha1("path").alias("doc_id"), "path", "content").orderBy("path")
+    return kept.select(F.sha1("path").alias("doc_id"), "path", "content")
+
 
+def listing(files: DataFrame, root: str, out: str) -> DataFrame:
+    """``doc_id, path, out_path`` of scanned files by path, contents unread; outputs mirror the folders under ``root``."""
+    return files.select("doc_id", "path", output_path(F.col("path"), root, out).alias("out_path")).orderBy("path")
 
-def output_path(path: Column) -> Column:
-    return F.regexp_replace(path, r"(?i)\.docx\z", ".md")
+
+def output_path(path: Column, root: str, out: str) -> Column:
+    """``out`` and the path below ``root``, with ``.md`` for ``.docx``; a file elsewhere keeps its name alone."""
+    at = F.instr(path, F.lit(root.rstrip("/") + "/"))
+    below = F.when(at > 0, F.substring(path, at + len(root.rstrip("/")) + 1, F.length(path))).otherwise(F.element_at(F.split(path, "/", -1), -1))
+    return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(below, r"(?i)\.docx\z", ".md"))
 
 
 def _each(rows: DataFrame, keep: list[str], column: str, read, schema: str) -> DataFrame:
@@ -64,13 +77,31 @@ def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
     return [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
 
+#: What reading a damaged zip or a damaged member of one raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError)
+
+
+class Package:
+    """A file's members by name; contents are read when asked for, and damaged ones are None."""
+
+    def __init__(self, content: bytes | None) -> None:
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(content or b""))
+            self.items = {i.filename.replace("\\", "/"): i for i in self.zip.infolist()}
+        except BROKEN:
+            self.zip, self.items = None, {}
+
+    def read(self, part: str) -> bytes | None:
+        try:
+            return self.zip.read(self.items[part]) if part in self.items else None
+        except BROKEN:
+            return None
+
+
 def _members(content: bytes | None) -> Iterator[dict]:
-    try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            for k, item in enumerate(z.infolist()):
-                yield {"ord": k, "part": item.filename.replace("\\", "/"), "data": z.read(item)}
-    except zipfile.BadZipFile:
-        return
+    package = Package(content)
+    for k, part in enumerate(package.items):
+        yield {"ord": k, "part": part, "data": package.read(part)}
 
 
 def parts(docs: DataFrame, by: str = "doc_id", content: str = "content") -> DataFrame:
@@ -143,6 +174,39 @@ def paragraphs(part_rows: DataFrame, by: str = "doc_id") -> DataFrame:
     return _each(part_rows, [by, "part"], "data", _paragraphs, "ord int, text string, style string, has_object boolean")
 
 
+def _margin(part: str) -> bool:
+    return re.search(r"/(header|footer).*\.xml\Z", part) is not None
+
+
+def _records(content: bytes | None) -> Iterator[dict]:
+    package = Package(content)
+    document = package.read("word/document.xml")
+    root = parse(document)
+    if root is None:
+        yield {"kind": "error", "text": "no zip file" if package.zip is None else "no word/document.xml" if document is None else "word/document.xml is no XML"}
+    if document is not None:
+        yield {"kind": "raw", "text": document.decode("utf-8", "replace")}
+    for part in package.items:
+        yield {"kind": "part", "part": part}
+        if part in ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml") or _margin(part):
+            yield from ({"kind": "node", "part": part, "ord": n["node_id"], **{k: n[k] for k in ("in_math_para", "ns", "local", "attrs", "text")}} for n in _nodes(document if part == "word/document.xml" else package.read(part)))
+    if root is not None:
+        yield from ({"kind": "paragraph", **p} for p in _paragraphs(document))
+        for k, section in enumerate(root.iter(_q("w:sectPr"))):
+            kinds = [t.get(_q("w:val")) for t in section if t.tag == _q("w:type")]
+            yield from ({"kind": "section", "ord": k, "text": v} for v in kinds or [None])
+
+
+def records(docs: DataFrame, by: str = "doc_id", content: str = "content") -> DataFrame:
+    """All that the inspector counts, from one reading of each file: a row per part name, XML element, paragraph and section.
+
+    ``kind`` tells them apart (``part``, ``node``, ``paragraph``, ``section``, ``raw`` for the body's text, ``error``).
+    Pictures and other binary parts stay packed.
+    """
+    schema = "kind string, part string, ord int, in_math_para boolean, ns string, local string, attrs map<string,string>, text string, style string, has_object boolean"
+    return _each(docs, [by], content, _records, schema)
+
+
 def relationships(node_rows: DataFrame, rule: str = "math", by: str = "doc_id") -> DataFrame:
     """``(doc_id, rid, target)``; the rule says how a target becomes a part's name.
 

@@ -24,8 +24,9 @@ def folder(tmp_path):
 
 def test_batch(spark, folder):
     docs = D.scan(spark, str(folder / "in"))
-    assert [r["path"].rpartition("/")[2] for r in docs.collect()] == ["a.DOCX", "b.docx", "broken.docx"]
-    rows = to_markdown(docs).collect()
+    listed = D.listing(docs, str(folder / "in"), "/out").collect()
+    assert [(r["path"].rpartition("/")[2], r["out_path"]) for r in listed] == [("a.DOCX", "/out/a.md"), ("b.docx", "/out/b.md"), ("broken.docx", "/out/broken.md")]
+    rows = sorted(to_markdown(docs).collect(), key=lambda r: r["error"] is not None)
     good = [r["md"] for r in rows if r["error"] is None]
     assert good == ["1. 题干\n$$\\dfrac{a}{b}$$\n$y$\n\n【答案】B\n"] * 2 or all("$$\\dfrac{a}{b}$$" in m and "$y$" in m for m in good)
     assert [r["error"] for r in rows if r["md"] is None] == ["no readable word/document.xml"]
