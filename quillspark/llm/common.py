@@ -7,6 +7,7 @@ folder that the cluster names in ``spark.checkpoint.dir``, so a lost executor lo
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), an own temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset and all is one process (tests), an own one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,18 +48,42 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of tables that are still there, oldest first.
+_made: list[str] = []
+
+
+def made() -> int:
+    """A mark for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, last: int = 1) -> None:
+    """Remove the tables written since a mark but the ``last`` ones, where no plan reads them any more."""
+    gone = _made[since : max(since, len(_made) - last)]
+    del _made[since : since + len(gone)]
+    for path in gone:
+        _remove(spark, path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        release(spark, 0, 0)
+
+
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; removed when the driver ends.
+    """Write ``df`` to the shared folder and read it again; removed by ``release`` or when the driver ends.
 
-    ``small``: rows of a few numbers behind a shuffle, written as two files a core at most; each
-    file costs the file system several calls.
+    ``small``: rows of a few numbers behind a shuffle, whose tasks take up to eight of its partitions each and write
+    one file for them, as each file costs the file system several calls.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quill-{name}-{uuid.uuid4().hex}"
     if small:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +91,11 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_hash(column: str = "text"):
+    """By this and its id a row is told where ids are null or repeated; null counts as empty."""
+    return F.xxhash64(text_of(column))
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_IDS, by: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``) in ``ids``.
 
@@ -188,7 +220,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges", small=True
     )
-    before = None
+    before, since = None, made() - 1
     for _ in range(max_rounds):
         # large-star: each neighbour larger than u links to the least of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -201,6 +233,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e2 = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(e2.where("u <> v").distinct(), "edges", small=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(edges.sparkSession, since)
         if before is not None and tuple(now) == before:
             break
         before = tuple(now)
