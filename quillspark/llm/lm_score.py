@@ -1,22 +1,26 @@
 """Operator 9: language-model scores from a log-frequency Bloom filter.
 
 Counting.  Each training document gives its tokens (words and one end) and its bigrams (the end of
-a document is the context of the next one's first word).  Workers combine their counts before the
-shuffle; sums of a gram are made once.  N and V are exact.
+a document is the context of the next one's first word), all of them, those seen once too.  Workers
+combine a portion's counts and send them, sorted, in one block for each range of keys, so the
+shuffle moves a few large rows; where a range's blocks meet, its sums are made and its part of the filter is
+built at once.  N and V are exact.
+
 Filter (Talbot and Osborne, 2007).  A count c is quantised to q = 1 + floor(log2 c); the filter holds
 the gram with each of 1..q, and a count is read back by probing 1, 2, ... until a probe misses.  It
-consists of 4096 segments, chosen by the context's hash and sized by what they hold, so executors
-build them apart from each other.  Bigrams enter from ``least`` occurrences on, at any size.  The query
-takes all (``least`` 1); a higher value loses the mass of those left out.
+consists of segments: equal ranges of the whole gram's hash, so that no word makes one large.  Their number is
+that of the training text in units of ``segment_bytes``; each takes ``bits`` bits for an item, at any size.
+
 Score.  p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu) with p(w) = (c(w) + 1) / (N + V + 1), all c from
 probes; the text's score is the sum of log10 p.
 Base.  The sum of log10((c+1) / (N+V+1)) over tokens with exact c.
 
-Size.  Both filters and the exact counts grow with the corpus, and their counted sizes decide how
-they are used; no size changes a score.  Segments beyond ``filter_bytes`` go in further shards, unigrams' and bigrams'
-alike.  Each pass over the texts broadcasts a shard of words, a shard of bigrams and the unigrams of the latter's
-contexts, which share their segments; it scores the tokens that fall to both shards and writes its sums, which are added,
-before the next pass.  Exact counts beyond ``broadcast_words`` are joined by a shuffle with adaptive splitting of frequent words.
+Size.  Both filters (words, bigrams) and the exact counts grow with the corpus, and their counted sizes decide
+how they are used; no size changes a score.  A filter over ``filter_bytes`` is used in shards, runs of segments
+within that size.  Each pass over the texts has one shard of either broadcast; it adds the numerators of the tokens
+whose word and bigram fall to them, and once per shard of words the denominators of the contexts in it.  Its sums are written
+and its shards released before the next ones come.  Exact counts of more than ``broadcast_words`` words are joined by a
+shuffle with adaptive splitting of frequent words.
 
 Defined cases: a null or empty text is one end token.  Rows repeated with one doc_id are counted and
 scored each.  A null doc_id trains and isn't held out.  With no training document c, N and V are 0.
@@ -30,84 +34,114 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, WordHash, as_i64, materialize, mix64, tune, words_of
+from .common import MULTIPLIER, as_i64, materialize, mix64, tune
 
-SEGMENTS = 4096
-SHIFT = np.uint64(52)
-LOW = np.uint64((1 << 52) - 1)
 ONE = np.uint64(1)
 #: The highest level probed: counts stay below 2^48.
 TOP = 48
-END = np.uint64(0x5851F42D4C957F2C)
+#: The end of a text as a token; no word is empty.
+END, END_KEY = b"", np.uint64(0x5851F42D4C957F2C)
+WORDS, BIGRAMS, EXACT = 0, 1, 2
+#: Bytes of a filter that the driver fetches at once.
+FETCH = 32 << 20
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     fold: int = 7
     held: int = 2
-    least: int = 2
     mu: float = 20.0
     bits: int = 8
     probes: int = 4
+    segment_bytes: int = 1 << 20
+    #: Training text whose grams meet in one task.
+    task_bytes: int = 8 << 20
     filter_bytes: int = 128 << 20
     broadcast_words: int = 6_000_000
-    portion: int = 1_000_000
+    #: Tokens that a worker counts together; it scores half as many together, as it holds the filters then.
+    portion: int = 400_000
 
 
-def token_hashes(texts: list[str | None], table: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram keys (lowest bit 0) of all tokens, each text's end included, and tokens per text."""
-    parts, sizes = [], []
-    for text in texts:
-        words = words_of(text or "")
-        parts.append(table.of(words))
-        parts.append(np.array([END], np.uint64))
-        sizes.append(len(words) + 1)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)) & ~ONE, np.array(sizes, np.int64)
+class Words(dict):
+    """word -> its place in ``keys``, the even 64-bit hashes of the words met; the end has place 0."""
 
+    LIMIT = 100_000
 
-def bigram_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's context and the bigram's key: the context's segment, lowest bit 1.
+    def __init__(self) -> None:
+        super().__init__()
+        self.forget()
 
-    A bigram shares the segment of its context's own unigram.
-    """
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    if len(sizes):
-        before[np.concatenate([[0], np.cumsum(sizes[:-1])])] = END & ~ONE
-    with np.errstate(over="ignore"):
-        both = mix64(before * MULTIPLIER + tokens)
-    return before, (before & ~LOW) | (both & LOW) | ONE
+    def forget(self) -> None:
+        self.clear()
+        self.keys, self.new = np.array([END_KEY]), []
+        self[END] = 0
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    """A key's segment is in its top bits; a bigram's come from its context."""
-    return (keys >> SHIFT).astype(np.int64)
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all tokens, each text's end included, and tokens per text."""
+        from xxhash import xxh3_64_intdigest
 
+        flat: list[bytes] = []
+        starts = [0]
+        for text in texts:
+            flat += text.lower().split()
+            flat.append(END)
+            starts.append(len(flat))
+        out = np.fromiter(map(self.__getitem__, flat), np.int64, count=len(flat))
+        if self.new:
+            more = np.fromiter(map(xxh3_64_intdigest, self.new), np.uint64, count=len(self.new))
+            self.keys, self.new = np.concatenate([self.keys, more & ~ONE]), []
+        return out, np.diff(starts)
 
-def count_grams(training: DataFrame, p: LanguageModel) -> DataFrame:
-    """``(key, n)`` of unigrams (even keys) and bigrams (odd keys), unigrams' keys mixed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = WordHash(), [], 0
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([as_i64(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-        for batch in batches:
-            tokens, sizes = token_hashes(batch.column(0).to_pylist(), table)
-            held += [tokens, bigram_keys(tokens, sizes)[1]]
-            size += 2 * len(tokens)
-            if size >= p.portion:
-                yield flush()
-                size = 0
-        yield flush()
+def before(tokens: np.ndarray) -> np.ndarray:
+    """Each token's context; that of a text's first word is an end, as is what stands before it."""
+    return np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
+
+
+def bigram_keys(words: Words, tokens: np.ndarray) -> np.ndarray:
+    """Odd keys of the bigrams that end in each token."""
+    with np.errstate(over="ignore"):
+        return mix64(words.keys[before(tokens)] * MULTIPLIER + words.keys[tokens]) | ONE
+
 
-    return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def prefix(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of each key as a number."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Batches put together until they hold about ``size`` words."""
+    held, texts, n = [], [], 0
+    for batch in batches:
+        more = [as_bytes(t) for t in batch.column(column).to_pylist()]
+        held.append(batch)
+        texts += more
+        n += sum(map(len, more)) // 6
+        if n >= size:
+            yield held, texts
+            held, texts, n = [], [], 0
+    if texts:
+        yield held, texts
+
+
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    cut = np.flatnonzero(np.diff(x)) + 1
+    edges = [0, *cut.tolist(), len(x)] if len(x) else []
+    return zip(edges, edges[1:], strict=False)
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -127,103 +161,246 @@ def _hashes(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.n
     return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | ONE
 
 
-def _probe(a: np.ndarray, b: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    """The item's i-th place in a segment of ``size`` bits."""
-    return ((a + np.uint64(i) * b) % size).astype(np.int64)
+def _place(a: np.ndarray, b: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
+    """The item's i-th place in a segment of ``size`` bits, below 2^32."""
+    return ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64)
 
 
-@dataclass
-class LogBloom:
-    """Segments laid end to end; ``starts`` are their first bits, segments not held are empty."""
+def segments(keys: np.ndarray, counts: np.ndarray, bits: int, p: LanguageModel) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``(segment, size in bits, grams, their sum, bitmap)`` of sorted keys."""
+    seg, level = prefix(keys, bits), quantised(counts)
+    cuts = list(runs(seg))
+    sizes = np.array([max(8, -(-int(level[a:b].sum()) * p.bits // 8) * 8) for a, b in cuts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(np.arange(len(cuts)), [b - a for a, b in cuts])
+    data = np.zeros(starts[-1], bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        some = np.flatnonzero(level >= q)
+        a, b = _hashes(keys[some], q)
+        start, size = starts[of[some]], sizes[of[some]].astype(np.uint64)
+        for i in range(p.probes):
+            data[start + _place(a, b, i, size)] = True
+    packed = np.packbits(data, bitorder="little")
+    for k, (a, b) in enumerate(cuts):
+        yield int(seg[a]), int(sizes[k]), b - a, int(counts[a:b].sum()), packed[starts[k] // 8 : starts[k + 1] // 8].tobytes()
 
-    bits: np.ndarray
-    starts: np.ndarray
-    probes: int
 
-    def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        """The highest level up to which every probe hits."""
-        size = (self.starts[1:] - self.starts[:-1])[segments].astype(np.uint64)
-        out = np.zeros(len(keys), np.int64)
-        alive, level = np.flatnonzero(size > 0), 1
-        while len(alive) and level <= TOP:
-            held, start, room, values = alive, self.starts[segments[alive]], size[alive], keys[alive]
-            a, b = _hashes(values, level)
-            for i in range(self.probes):
-                at = start + _probe(a, b, i, room)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                held, start, room, a, b = (x[hit] for x in (held, start, room, a, b))
-            out[held] = level
-            alive, level = held, level + 1
-        return out
-
-
-def build_segments(grams: DataFrame, p: LanguageModel, bits: float, rows: int) -> DataFrame:
-    """``(seg, size, data)``: each segment's bitmap, built where its grams meet.
+def build(training: DataFrame, size: int, bits: int, p: LanguageModel) -> DataFrame:
+    """``(kind, seg, size, grams, total, data)``: the segments of words and of bigrams, and blocks of exact counts.
 
-    ``grams(seg, key, n)``.  Partitions hold about two million grams and come sorted by segment, so
-    a worker holds one segment at a time.
+    A block's ``data`` are the keys of words followed by their counts, 8 bytes each.
     """
-    parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 2_000_000))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+    spark = training.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.task_bytes))
+    # four to eight ranges of keys a task, each of whole segments, so that hashing deals them out evenly
+    ranges = min(bits, max(1, (4 * tasks - 1).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for _, texts in portions(batches, 0, p.portion):
+            if len(words) > Words.LIMIT:
+                words.forget()
+            tokens, _ = words.tokens(texts)
+            once = np.bincount(tokens, minlength=len(words.keys))
+            order = np.argsort(words.keys)
+            order = order[once[order] > 0]
+            out = []
+            for keys, n in ((words.keys[order], once[order]), np.unique(bigram_keys(words, tokens), return_counts=True)):
+                part = prefix(keys, ranges)
+                out += [(int(part[a]), keys[a:b].tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in runs(part)]
+            part, keys, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["part", "keys", "n"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
         def flush() -> pa.RecordBatch:
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            q = quantised(c)
-            items, level = np.repeat(k, q), np.concatenate([np.arange(1, x + 1) for x in q.tolist()]) if len(q) else q
-            size = max(8, -(-int(len(items) * bits) // 8) * 8)
-            data = np.zeros(size, bool)
-            a, b = _hashes(items, level)
-            for i in range(p.probes):
-                data[_probe(a, b, i, np.uint64(size))] = True
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([size], pa.int64()), pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())],
-                names=["seg", "size", "data"],
-            )
+            keys, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), ("<u8", "<i8"), strict=True))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.add.reduceat(n, first)
+            rows = []
+            for kind in (WORDS, BIGRAMS):
+                own = (keys & ONE) == kind
+                rows += [(kind, *x) for x in segments(keys[own], n[own], bits, p)]
+            own = (keys & ONE) == WORDS
+            rows.append((EXACT, now, 0, int(own.sum()), 0, keys[own].tobytes() + n[own].tobytes()))
+            cols = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["kind", "seg", "size", "grams", "total", "data"])
 
         for batch in batches:
-            seg = batch.column(0).to_numpy()
-            key, n = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            for a, b in zip(*_runs(seg), strict=True):
-                if now is not None and seg[a] != now:
+            for part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and part != now:
                     yield flush()
-                    keys, counts = [], []
-                now = int(seg[a])
-                keys.append(key[a:b])
-                counts.append(n[a:b])
-        if keys:
+                    held = []
+                now = part
+                held.append((keys, n))
+        if held:
             yield flush()
 
-    placed = grams.select(F.col("seg").cast("int").alias("seg"), "key", "n").repartition(min(parts, SEGMENTS), "seg").sortWithinPartitions("seg")
-    return placed.mapInArrow(run, "seg int, size long, data binary")
+    blocks = training.select("text").mapInArrow(count, "part long, keys binary, n binary")
+    placed = blocks.repartition(min(tasks, 1 << ranges), "part").sortWithinPartitions("part")
+    return placed.mapInArrow(make, "kind int, seg long, size long, grams long, total long, data binary")
 
 
-def _runs(seg: np.ndarray) -> tuple[list[int], list[int]]:
-    if not len(seg):
-        return [], []
-    cut = np.flatnonzero(np.diff(seg)) + 1
-    return [0, *cut.tolist()], [*cut.tolist(), len(seg)]
+@dataclass
+class LogBloom:
+    """A run of segments laid end to end from number ``first`` on; ``starts`` are their first bits, in all ``2^bits`` segments."""
 
+    data: np.ndarray
+    starts: np.ndarray
+    first: int
+    bits: int
+    probes: int
 
-def load(segments: DataFrame, first: int, end: int, probes: int) -> LogBloom:
-    """The segments from ``first`` up to ``end``, whose total size the caller has checked."""
-    sizes, data = np.zeros(SEGMENTS, np.int64), [b""] * SEGMENTS
-    for batch in segments.where((F.col("seg") >= first) & (F.col("seg") < end)).toArrow().to_batches():
-        for s, n, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            sizes[s], data[s] = n, d
-    return LogBloom(np.frombuffer(b"".join(data) or b"\0", np.uint8), np.concatenate([[0], np.cumsum(sizes)]), probes)
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys fall to these segments."""
+        at = prefix(keys, self.bits) - self.first
+        return (at >= 0) & (at < len(self.starts) - 1)
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which every probe hits; all keys fall to these segments."""
+        at = prefix(keys, self.bits) - self.first
+        start, size = self.starts[at], (self.starts[at + 1] - self.starts[at]).astype(np.uint64)
+        out = np.zeros(len(keys), np.int64)
+        alive, level = np.flatnonzero(size > 0), 1
+        while len(alive) and level <= TOP:
+            a, b = _hashes(keys[alive], level)
+            base, room = start[alive], size[alive]
+            hit = self._bit(base + _place(a, b, 0, room))
+            alive, a, b, base, room = (x[hit] for x in (alive, a, b, base, room))
+            hit = self._bit(base + _place(a, b, 1, room)) if self.probes > 1 else np.ones(len(alive), bool)
+            for i in range(2, self.probes):
+                hit &= self._bit(base + _place(a, b, i, room))
+            alive = alive[hit]
+            out[alive] = level
+            level += 1
+        return out
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def shards(built: DataFrame, kind: int, bits: int, limit: int) -> list[tuple[int, int]]:
+    """Runs of segments ``(first, end)`` of at most ``limit`` bytes each; a single segment may stand alone.
 
-def shards(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """Ranges of segments of at most ``limit`` bytes each (a single segment may stand alone)."""
-    out, first, held = [], 0, 0
-    for seg, bits in sorted(sizes):
-        if held and held + bits // 8 > limit:
-            out.append((first, seg))
-            first, held = seg, 0
-        held += bits // 8
-    return [*out, (first, SEGMENTS)]
+    Runs are equal ranges of the hash, so only a sum for each comes to the driver.
+    """
+    own, cut = built.where(F.col("kind") == kind), 0
+    while True:
+        sums = own.groupBy(F.shiftright("seg", bits - cut).alias("run")).agg(F.sum("size").alias("bits")).collect()
+        most = max((r["bits"] for r in sums), default=0) / 8
+        if most <= limit or cut == bits:
+            step = 1 << (bits - cut)
+            return [(k * step, (k + 1) * step) for k in range(1 << cut)]
+        cut = min(bits, cut + max(1, int(most / limit).bit_length() - 1))
+
+
+def load(built: DataFrame, kind: int, first: int, end: int, bits: int, probes: int) -> LogBloom:
+    """The segments from ``first`` up to ``end``, whose total size is bounded, fetched in parts."""
+    own = built.where((F.col("kind") == kind) & (F.col("seg") >= first) & (F.col("seg") < end))
+    sizes = np.zeros(end - first, np.int64)
+    listed = own.select("seg", "size").toArrow()
+    sizes[listed["seg"].to_numpy() - first] = listed["size"].to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.zeros(max(1, starts[-1] // 8), np.uint8)
+    step = max(1, (end - first) // max(1, -(-len(data) // FETCH)))
+    for low in range(first, end, step):
+        part = own.where((F.col("seg") >= low) & (F.col("seg") < low + step)).select("seg", "data").toArrow()
+        for seg, bitmap in zip(part["seg"].to_pylist(), part["data"], strict=True):
+            at = starts[seg - first] // 8
+            held = np.frombuffer(bitmap.as_buffer(), np.uint8)
+            data[at : at + len(held)] = held
+    return LogBloom(data, starts, first, bits, probes)
+
+
+def exact_counts(built: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All words' keys in order and their counts; the caller has bounded their number."""
+    blocks = [np.frombuffer(x.as_buffer(), np.uint64) for x in built.where(F.col("kind") == EXACT).select("data").toArrow()["data"]]
+    none = [np.zeros(0, np.uint64)]
+    keys, n = (np.concatenate([half(x) for x in blocks] or none) for half in (lambda x: x[: len(x) // 2], lambda x: x[len(x) // 2 :]))
+    order = np.argsort(keys)
+    return keys[order], n[order].astype(np.uint32 if n.max(initial=0) < 2**32 else np.uint64)
+
+
+SUMS = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def one_pass(rows: DataFrame, words: Broadcast, pairs: Broadcast, exact: Broadcast | None, first: bool, contexts: bool, total: float, p: LanguageModel) -> DataFrame:
+    """Sums of the tokens whose word and bigram fall to the broadcast shards, per row.
+
+    ``first``: tokens and exact counts are told; ``contexts``: denominators are added.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        seen, ours = Words(), words.value
+        mass, denominator, own, known, base = (np.zeros(0, t) for t in (float, float, bool, np.int64, float))
+        for held, texts in portions(batches, 1, p.portion // 2):
+            if len(seen) > Words.LIMIT:
+                seen.forget()
+                mass, denominator, own, known, base = (x[:0] for x in (mass, denominator, own, known, base))
+            tokens, length = seen.tokens(texts)
+            keys = seen.keys[len(mass) :]
+            if len(keys):  # words that are new to this worker
+                here = ours.holds(keys)
+                count = np.zeros(len(keys))
+                count[here] = expected(ours.levels(keys[here]))
+                c = np.zeros(len(keys))
+                if exact is not None and len(exact.value[0]):
+                    k, n = exact.value
+                    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                    c = np.where(k[at] == keys, n[at], 0).astype(float)
+                mass = np.append(mass, p.mu * (count + 1) / total)
+                denominator = np.append(denominator, np.where(here, np.log10(count + p.mu), 0.0))
+                own, known, base = np.append(own, here), np.append(known, c > 0).astype(np.int64), np.append(base, np.log10((c + 1) / total))
+            pair, at = np.unique(bigram_keys(seen, tokens), return_inverse=True)
+            joint, here = np.zeros(len(pair)), pairs.value.holds(pair)
+            joint[here] = expected(pairs.value.levels(pair[here]))
+            logs = np.log10(joint[at] + mass[tokens])
+            logs[~(own[tokens] & here[at])] = 0.0
+            if contexts:
+                logs -= denominator[before(tokens)]
+            starts = np.cumsum(length) - length
+            told = [length, np.add.reduceat(known[tokens], starts), np.add.reduceat(base[tokens], starts)] if first else [np.zeros(len(length), t) for t in (np.int64, np.int64, float)]
+            prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            yield pa.RecordBatch.from_arrays([ids, as_i64(prints), *map(pa.array, (*told, np.add.reduceat(logs, starts)))], names=["doc_id", "text_hash", *SUMS])
+
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double")
+
+
+def joined_counts(rows: DataFrame, built: DataFrame, total: float, p: LanguageModel) -> DataFrame:
+    """``(d, t, known, base)`` per doc_id and text, from exact counts that are joined, not broadcast."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[: len(x) // 2]), pa.array(x[len(x) // 2 :])], names=["key", "n"])
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        words = Words()
+        for held, texts in portions(batches, 1, p.portion):
+            if len(words) > Words.LIMIT:
+                words.forget()
+            tokens, length = words.tokens(texts)
+            # one row per text and word
+            places, tf = np.unique(np.repeat(np.arange(len(length)), length) * len(words.keys) + tokens, return_counts=True)
+            text, word = np.divmod(places, len(words.keys))
+            prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), as_i64(prints[text]), as_i64(words.keys[word]), pa.array(word == 0), pa.array(tf)], names=["d", "t", "key", "end", "tf"])
+
+    exact = built.where(F.col("kind") == EXACT).select("data").mapInArrow(counts, "key long, n long")
+    used = rows.mapInArrow(terms, "d long, t long, key long, end boolean, tf long").join(exact, "key", "left")
+    count, copies = F.coalesce("n", F.lit(0)), F.count_if("end")
+    sums = used.groupBy("d", "t").agg(F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10((count + 1) / total)).alias("base"), copies.alias("copies"))
+    return sums.select("d", "t", (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("base") / F.col("copies")).alias("base"))
 
 
 def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,114 +410,37 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % p.fold == p.held, F.lit(False))
-    counted = count_grams(rows.where(~held), p)
-    grams = materialize(counted.where((F.col("key") % 2 == 0) | (F.col("n") >= p.least)), "grams")
-    uni, bi = grams.where("key % 2 = 0"), grams.where("key % 2 <> 0")
-    sums = grams.groupBy((F.col("key") % 2 == 0).alias("one")).agg(F.count("*").alias("n"), F.sum("n").alias("tokens")).collect()
-    found = {r["one"]: (r["n"], r["tokens"]) for r in sums}
-    (v, n), pairs = found.get(True, (0, 0)), found.get(False, (0, 0))[0]
-    top = lambda c: F.shiftrightunsigned(c, 52).cast("int")
-    words = materialize(build_segments(uni.select(top(F.col("key")).alias("seg"), "key", "n"), p, p.bits, v), "words", small=True)
-    pair_segments = materialize(build_segments(bi.select(top(F.col("key")).alias("seg"), "key", "n"), p, p.bits, pairs), "bigrams", small=True)
-    # 4096 rows at most
-    word_ranges, ranges = (shards([(r["seg"], r["size"]) for r in x.select("seg", "size").collect()], p.filter_bytes) for x in (words, pair_segments))
-    exact = None
-    if v <= p.broadcast_words:
-        got = uni.toArrow()
-        key, c = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-        order = np.argsort(key)
-        exact = spark.sparkContext.broadcast((key[order], c[order].astype(np.float32) if not len(c) or c.max() < 2**24 else c[order].astype(np.float64)))
-    names = ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"]
-    schema = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
-
-    def scorer(word_filter, context_filter, pair_filter, word_range: tuple[int, int], pair_range: tuple[int, int]):
-        (low, high), (first, end) = word_range, pair_range
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
-
-            table, total = WordHash(), float(n + v + 1)
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                tokens, length = token_hashes(texts, table)
-                starts = np.concatenate([[0], np.cumsum(length[:-1])]).astype(np.int64) if len(length) else length
-                add = lambda x, starts=starts: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
-                before, keys = bigram_keys(tokens, length)
-                unique, place = np.unique(tokens, return_inverse=True)
-                own, word = segment_of(keys), segment_of(unique)
-                about = expected(word_filter.value.levels(unique, word))
-                behind = about if context_filter is word_filter else expected(context_filter.value.levels(unique, word))
-                mine = (own >= first) & (own < end) & ((word >= low) & (word < high))[place]
-                p_word = (about[place] + 1) / total
-                context = behind[np.searchsorted(unique, before)]  # a context is a token of the batch or an end
-                joint = np.zeros(len(tokens))
-                joint[mine] = expected(pair_filter.value.levels(keys[mine], own[mine]))
-                joint = np.minimum(joint, context)
-                logs = np.where(mine, np.log10((joint + p.mu * p_word) / (context + p.mu)), 0.0)
-                known, base = np.zeros(len(length), np.int64), np.zeros(len(length))
-                if exact is not None:
-                    k, c = exact.value
-                    count = np.zeros(len(unique))
-                    if len(k):
-                        at = np.minimum(np.searchsorted(k, unique), len(k) - 1)
-                        hit = k[at] == unique
-                        count[hit] = c[at[hit]]
-                    known = add((count > 0).astype(np.int64)[place])
-                    base = add(np.log10((count + 1) / total)[place])
-                prints = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) - 2**63 for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(length), pa.array(known), pa.array(base), pa.array(add(logs))], names=names)
-
-        return rows.mapInArrow(run, schema)
-
-    put = lambda x, r: spark.sparkContext.broadcast(load(x, *r, p.probes))
-    passes, parts = len(word_ranges) * len(ranges), []
-    for word_range in word_ranges:
-        word_filter = put(words, word_range)
-        for pair_range in ranges:
-            context_filter = word_filter if len(word_ranges) == 1 else put(words, pair_range)
-            pair_filter = put(pair_segments, pair_range)
-            part = scorer(word_filter, context_filter, pair_filter, word_range, pair_range)
-            if passes > 1:
-                # its sums are written before the next shard comes, so one is held at a time
-                part = materialize(part, "partial")
-                pair_filter.destroy(blocking=True)
-                if context_filter is not word_filter:
-                    context_filter.destroy(blocking=True)
-            parts.append(part)
-        if passes > 1:
-            word_filter.destroy(blocking=True)
-    out = parts[0]
-    by = ["doc_id", "text_hash"]
+    training = rows.where(~held)
+    size = training.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = max(0, -(-size // p.segment_bytes) - 1).bit_length()
+    built = materialize(build(training, size, bits, p), "filter")
+    sums = {r["kind"]: (r["v"], r["n"]) for r in built.groupBy("kind").agg(F.sum("grams").alias("v"), F.sum("total").alias("n")).collect()}
+    v, n = sums.get(WORDS, (0, 0))
+    total = float(n + v + 1)
+    share = lambda kind, run: spark.sparkContext.broadcast(load(built, kind, *run, bits, p.probes))
+    exact = spark.sparkContext.broadcast(exact_counts(built)) if v <= p.broadcast_words else None
+    word_runs, pair_runs = (shards(built, kind, bits, p.filter_bytes) for kind in (WORDS, BIGRAMS))
+    passes = [(i, j) for i in range(len(word_runs)) for j in range(len(pair_runs))]
+    parts = []
+    for i, j in passes:
+        words = words if j else share(WORDS, word_runs[i])
+        pairs = share(BIGRAMS, pair_runs[j])
+        part = one_pass(rows, words, pairs, exact, (i, j) == (0, 0), j == 0, total, p)
+        if len(passes) > 1:
+            # its sums are written before the next shard comes, so one of either is held at a time
+            part = materialize(part, "partial")
+            for done in (pairs, *([words] if j == len(pair_runs) - 1 else [])):
+                done.destroy(blocking=True)
+        parts.append(part)
+    out, by = parts[0], ["doc_id", "text_hash"]
     if len(parts) > 1:
-        # repeated rows add up alike in every shard: as many as the rows over the shards
-        whole = parts[0]
         for other in parts[1:]:
-            whole = whole.unionByName(other)
+            out = out.unionByName(other)
+        # repeated rows add up alike in every pass: as many as the rows over the passes
         copies = F.count("*") / len(parts)
-        whole = whole.groupBy(*by).agg(copies.cast("int").alias("copies"), F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"), (F.sum("score") / copies).alias("score"))
-        out = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*names)
+        out = out.groupBy(*by).agg(copies.cast("int").alias("copies"), *((F.sum(c) / copies).alias(c) for c in SUMS))
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*by, *(F.col(c).cast("long").alias(c) for c in SUMS[:2]), *SUMS[2:])
     if exact is None:
-        def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
-
-            table = WordHash()
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                index, prints, keys, counts = [], [], [], []
-                for i, t in enumerate(texts):
-                    k, c = np.unique(token_hashes([t], table)[0], return_counts=True)
-                    index.append(np.full(len(k), i))
-                    prints.append(np.full(len(k), xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) - 2**63, np.int64))
-                    keys.append(k)
-                    counts.append(c)
-                cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cat(index, np.int64))), pa.array(cat(prints, np.int64)), as_i64(cat(keys, np.uint64)), pa.array(cat(counts, np.int64))], names=["doc_id", "text_hash", "key", "tf"])
-
-        used = rows.mapInArrow(terms, "doc_id long, text_hash long, key long, tf long").join(uni, "key", "left")
-        count = F.coalesce("n", F.lit(0))
-        end_key = int(END & ~ONE) - (2**64 if int(END) >= 2**63 else 0)
-        rows_of = F.count(F.when(F.col("key") == end_key, 1))
-        sums = used.groupBy(*by).agg((F.sum(F.when(count > 0, F.col("tf")).otherwise(0)) / rows_of).cast("long").alias("known"), (F.sum(F.col("tf") * F.log10((count + 1) / float(n + v + 1))) / rows_of).alias("base"))
-        sums = sums.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "known", "base")
-        out = out.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select(*by, "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"), "score")
+        told = joined_counts(rows, built, total, p)
+        out = out.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select(*by, "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"), "score")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -32,7 +32,7 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_paragraphs",
-        F.size("found").cast("long").alias("n_cued"),
+        F.size("found").cast("long").alias("n_candidates"),
         F.size(sure).cast("long").alias("n_licences"),
         F.array_join(families, ",").alias("families"),
         F.array_join(F.transform(sure, lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",").alias("spans"),
@@ -61,13 +61,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import NearDup, near_dedup
 
-    return near_dedup(documents(spark, sf_dir), NearDup(words=5, percent=85))
+    return near_dedup(documents(spark, sf_dir), NearDup(words=5, percent=85)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import LanguageModel, lm_score
+    from .lm_score import lm_score
 
-    return lm_score(documents(spark, sf_dir), LanguageModel(least=1))
+    return lm_score(documents(spark, sf_dir))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

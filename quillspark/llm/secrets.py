@@ -2,10 +2,12 @@
 
 Base spans stand by themselves: assignments to secret names, access identifiers and long
 hexadecimal strings.  Weak candidates (keys of 32 characters or more, padded or not, user names, endpoints) say little
-alone.  Each part has a role (identifier, secret, endpoint, user) and an interval; an interval join within a
-scope (a paragraph, i.e. text between blank lines, and at most ``reach`` code points apart) links parts, and a
-weak candidate is reported only when a part of a complementary role is linked to it.  The join is a
-sweep over the parts in order of position that looks back no farther than ``reach``.
+alone.  Each part has a role (identifier, secret, endpoint) and an interval; an interval join within a
+scope (a paragraph, i.e. text between blank lines, and at most ``reach`` code points between two parts) links parts of
+complementary roles: a secret with an identifier or an endpoint, in either order.  A weak candidate is reported only
+when it is linked; a user name and an endpoint without any secret near them are no credential and never are.
+The join is two sweeps over the parts in order of position, one for what stands before and one for what
+follows, each holding the nearest end or start per role; it takes linear time and memory.
 
 Defined cases: a null or empty text has no spans and empty strings for lists.  Offsets count code
 points, ends are exclusive.  Long texts are scanned whole.  Repeated rows give repeated results; an
@@ -15,7 +17,9 @@ empty table gives no rows.  Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,9 +40,9 @@ KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])={
 USER = re.compile(r"""(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{2,})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})(?!\d)", re.I | re.A)
 
-#: A role completes those it maps to.
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "user": "identifier", "endpoint": "endpoint"}
-COMPLETES = {"secret": {"identifier", "endpoint"}, "identifier": {"secret"}, "endpoint": {"secret", "identifier"}}
+#: Roles that complete each other, the same either way round.
+COMPLETES = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 WEAK = {"key", "user", "endpoint"}
 
 Span = tuple[str, int, int]
@@ -64,26 +68,32 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     if "=" in text or ":" in text:
         out += [("user", m.start(), m.end()) for m in USER.finditer(text)]
         out += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    return [w for w in out if not any(b[1] < w[2] and w[1] < b[2] for b in base)]
+    # base spans sorted by start; those that begin before an end reach at most to the running maximum
+    starts, reach = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
+    covers = lambda w: (k := bisect_left(starts, w[2])) > 0 and reach[k - 1] > w[1]
+    return [w for w in out if not covers(w)]
 
 
 def link(text: str, parts: list[Span], reach: int = 400) -> set[Span]:
     """Weak parts with a complementary part in the same paragraph at most ``reach`` away."""
+    parts = sorted(parts, key=lambda s: (s[1], s[2], s[0]))
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
-    scope, k, placed = 0, 0, []
-    for part in sorted(parts, key=lambda s: s[1]):
-        while k < len(breaks) and breaks[k] <= part[1]:
-            k += 1
-            scope += 1
-        placed.append((scope, part))
+    scopes = [bisect_right(breaks, start) for _, start, _ in parts]
     found: set[Span] = set()
-    near: list[tuple[int, Span]] = []
-    for scope, part in placed:
-        near = [(s, o) for s, o in near if s == scope and part[1] - o[2] <= reach]
-        for _, other in near:
-            if ROLE[other[0]] in COMPLETES[ROLE[part[0]]]:
-                found.update(x for x in (part, other) if x[0] in WEAK)
-        near.append((scope, part))
+
+    def sweep(order: Iterable[int], distance: Callable[[Span, int], int], nearest: Callable[[Span, int | None], int]) -> None:
+        scope, held = -1, {}
+        for i in order:
+            part = parts[i]
+            if scopes[i] != scope:
+                scope, held = scopes[i], {}
+            role = ROLE[part[0]]
+            if part[0] in WEAK and any(r in held and distance(part, held[r]) <= reach for r in COMPLETES[role]):
+                found.add(part)
+            held[role] = nearest(part, held.get(role))
+
+    sweep(range(len(parts)), lambda part, end: part[1] - end, lambda part, end: max(part[2], end or 0))
+    sweep(reversed(range(len(parts))), lambda part, start: start - part[2], lambda part, _: part[1])
     return found
 
 
