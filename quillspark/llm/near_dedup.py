@@ -8,9 +8,13 @@
 3. Buckets link members to two hubs (stars): a pseudo-random member and the one that meets most
    others over all buckets, so a bucket of any size gives at most two pairs a member.  Pairs pass an exact size filter and the sketch's estimate and are then confirmed on
    full shingle sets.
-4. Pairs that a star can't decide are those of different components in one bucket.  Only buckets
-   that still hold several components are gone through, in blocks of bounded size, with the
-   sketches; members of pairs over the estimate's margin get their full sets, and the pairs are
+4. Pairs that a star can't decide are those of different components in one bucket.  Of these, each has a member
+   outside the bucket's largest component, one of its "loose" documents.  Buckets that still hold several components
+   are cut into cells by the logarithm of the set's size, as only neighbouring cells hold pairs within the size
+   bound, and the cells and the loose documents into blocks of bounded size: each block of a cell meets each block of the loose
+   documents of its own and the two next cells.  So a member is copied once for ``block`` loose documents, not once
+   for ``block`` members, and a bucket that the stars have joined but for a few is not copied at all.
+   Blocks compare sketches; members of pairs over the estimate's margin get their full sets, and the pairs are
    confirmed in the block, best first, until their components are one.  Only links leave a block,
    fewer than it has members.  Nothing is capped: what a star leaves open, the blocks settle.
 5. Components of the confirmed links, by large-star and small-star.
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, keep_ids, materialize, mix64, shingle_set, tune, words_of
+from .common import WordHash, components, keep_ids, materialize, mix64, shingle_set, text_hash, tune, words_of
 
 
 @dataclass(frozen=True)
@@ -49,8 +53,8 @@ class NearDup:
     samples: int = 256
     bits: int = 1024
     margin: float = 0.13
-    block: int = 1024
-    block_shingles: int = 500_000
+    block: int = 64
+    block_shingles: int = 250_000
     seed: int = 20240917
 
     def permutations(self) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +116,11 @@ def band_keys(samples: np.ndarray, p: NearDup) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
 
 def sketch_documents(docs: DataFrame, p: NearDup) -> DataFrame:
-    """``doc_id, n_shingles, f1, f2, bands, sketch``; the last four are null for an empty set."""
+    """``doc_id, text_hash, n_shingles, f1, f2, bands, sketch``; the last four are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -135,16 +139,17 @@ def sketch_documents(docs: DataFrame, p: NearDup) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(map(len, sets), pa.int64()),
                     pa.array((pairs[i][0] if i in pairs else None for i in each), pa.int64()),
                     pa.array((pairs[i][1] if i in pairs else None for i in each), pa.int64()),
                     pa.array((bands.get(i) for i in each), pa.list_(pa.int64())),
                     pa.array((sketch.get(i) for i in each), pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, p: NearDup) -> DataFrame:
@@ -191,40 +196,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _blocks(members: DataFrame, p: NearDup) -> DataFrame:
-    """``members`` with group keys ``key, lo, hi``: one group for each pair of a bucket's blocks.
+    """``(cell keys, band, doc_id, part, n_shingles, role)`` of the buckets that hold several components.
 
-    A block has about ``block`` members or ``block_shingles`` shingles, whichever is less, so a
-    group's sets fit a worker; a bucket within both is one group.
+    A group ``key, level, block, chunk`` has a block of a cell's members (role 0) and a chunk of the loose documents
+    (role 1) that may be within the size bound of them; either is about ``block`` documents or ``block_shingles`` shingles,
+    whichever is less, so a group's sets fit a worker.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("mass") / p.block_shingles)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    cut = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "size", "mass")
-
-
-GROUP = "key long, lo int, hi int, own int, band int, doc_id long, part long, n_shingles long, bands array<long>, sketch binary"
+    sums = members.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"))
+    most = F.max(F.struct("n", "part", "mass")).alias("most")
+    mixed = sums.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("mass").alias("mass"), most).where("parts > 1")
+    pieces = lambda n, mass: F.greatest(F.ceil(n / p.block), F.ceil(mass / p.block_shingles)).cast("int")
+    mixed = mixed.select("key", F.col("most.part").alias("largest"), pieces(F.col("n") - F.col("most.n"), F.col("mass") - F.col("most.mass")).alias("chunks"))
+    # a little over the bound, so that rounding can't part two sizes by more than one level
+    base = 100 / p.percent * (1 + 1e-9) if p.percent < 100 else 1 + 1e-6
+    own = members.join(mixed, "key").withColumn("level", F.floor(F.log("n_shingles") / float(np.log(base))).cast("int"))
+    cells = own.groupBy("key", "level").agg(pieces(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    part_of = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+    names = ["key", "level", "block", "chunk", "band", "doc_id", "part", "n_shingles", "role"]
+    held = own.join(cells, ["key", "level"]).withColumn("block", part_of(F.col("blocks"), 0)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    loose = own.where("part <> largest").withColumn("level", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1))).join(cells, ["key", "level"])
+    loose = loose.withColumn("chunk", part_of(F.col("chunks"), 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a loose document meets a loose member once: the one of the smaller id is the one that comes to the other's block
+    role = F.when(F.col("part") == F.col("largest"), 0).otherwise(2)
+    return held.withColumn("role", role).select(names).unionByName(loose.withColumn("role", F.lit(1)).select(names))
+
+
+CELL = ["key", "level", "block", "chunk"]
+GROUP = "key long, level int, block int, chunk int, band int, doc_id long, part long, n_shingles long, role int, bands array<long>, sketch binary"
+NAMES = [c.split()[0] for c in GROUP.split(", ")]
 
 
 def _open(group: pa.Table, p: NearDup) -> Iterator[tuple[int, np.ndarray]]:
     """Of a group, ``(i, js)``: pairs of different components that the sketches can't rule out.
 
-    Pairs within the group's largest component or another one are settled.  A pair counts only
-    in the first band in which its two documents meet, and of two blocks only across them.
+    ``i`` is a loose document, ``js`` are members (role 0 those of the bucket's largest component, 2 loose ones).  A pair
+    counts only in the first band in which its two documents meet.
     """
     n = group.num_rows
-    ids, part, sizes, own = (group[c].to_numpy() for c in ("doc_id", "part", "n_shingles", "own"))
-    band, across = group["band"][0].as_py(), group["lo"][0].as_py() != group["hi"][0].as_py()
+    ids, part, sizes, role = (group[c].to_numpy() for c in ("doc_id", "part", "n_shingles", "role"))
+    band = group["band"][0].as_py()
+    member = np.flatnonzero(role != 1)
+    if not len(member):
+        return
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(n, -1)
     keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :band]
-    values, counts = np.unique(part, return_counts=True)
-    small = np.flatnonzero(part != values[np.argmax(counts)])
-    rank = np.full(n, n)
-    rank[small] = np.arange(len(small))
-    for i in small:
-        ok = (part != part[i]) & (rank > rank[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * p.percent)
-        if across:
-            ok &= own != own[i]
-        j = np.flatnonzero(ok)
+    for i in np.flatnonzero(role == 1):
+        ok = (part[member] != part[i]) & (np.minimum(sizes[member], sizes[i]) * 100 >= np.maximum(sizes[member], sizes[i]) * p.percent)
+        ok &= (role[member] == 0) | (ids[member] > ids[i])
+        j = member[ok]
         if len(j):
             near = estimate(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1), p)
             j = j[np.argsort(-near, kind="stable")][: int((near >= p.percent / 100 - p.margin).sum())]
@@ -244,10 +263,7 @@ def _open_members(groups: DataFrame, p: NearDup) -> DataFrame:
             held[j] = True
         return group.select(NAMES).filter(pa.array(held))
 
-    return groups.groupBy("key", "lo", "hi").applyInArrow(run, GROUP)
-
-
-NAMES = [c.split()[0] for c in GROUP.split(", ")]
+    return groups.select(NAMES).groupBy(CELL).applyInArrow(run, GROUP)
 
 
 def _settle(groups: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
@@ -278,7 +294,7 @@ def _settle(groups: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
                     dst.append(int(ids[j]))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return groups.join(sets, "doc_id").select(*NAMES, "shingles").groupBy("key", "lo", "hi").applyInArrow(run, "src long, dst long")
+    return groups.join(sets, "doc_id").select(*NAMES, "shingles").groupBy(CELL).applyInArrow(run, "src long, dst long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -288,7 +304,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: ``doc_id, n_shingles, component_id, kept``."""
+    """Per input row: ``doc_id, n_shingles, component_id, kept, text_hash``."""
     p = p or NearDup()
     tune(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
@@ -299,13 +315,13 @@ def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id"
     # a document stands for its set unless its set has copies and another is the least of them
     marked = filled.join(copies, ["f1", "f2", "n_shingles"], "left").where("rep is null or rep = doc_id").where("doc_id is not null")
     traits = materialize(marked.select("doc_id", "n_shingles", "bands", "sketch"), "traits")
-    keyed = traits.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    keyed = traits.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     # the hub is a pseudo-random member, another one in each bucket
     hubs = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("at"), F.col("doc_id").alias("hub"))).alias("first"))
     hubs = materialize(hubs.where("size > 1").select("key", "size", F.col("first.hub").alias("hub")), "hubs", small=True)
     members = materialize(keyed.join(hubs, "key"), "members", small=True)
     slim = materialize(traits.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "slim")
-    sets = materialize(shingle_sets(keep_ids(texts, slim.select("doc_id").distinct()), p), "sets")
+    sets = materialize(shingle_sets(keep_ids(texts.drop("text_hash"), slim.select("doc_id").distinct()), p), "sets")
     # a document that meets many others is near the centre of its family and links most of it
     meets = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
     centres = members.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("centre"))
@@ -313,14 +329,13 @@ def near_dedup(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id"
     stars = stars.select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
     parts = components(confirm(_likely(stars.distinct(), slim, p), sets, p))
     now = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    now = materialize(now.select("key", "band", "doc_id", "size", "part"), "parts").join(slim, "doc_id")
-    mixed = now.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.sum("n_shingles").alias("mass")).where("a <> b").select("key", "mass")
-    groups = materialize(_open_members(_blocks(now.join(mixed, "key"), p), p), "open")
+    now = materialize(now.select("key", "band", "doc_id", "n_shingles", "part"), "parts")
+    groups = materialize(_open_members(_blocks(now, p).join(slim.select("doc_id", "bands", "sketch"), "doc_id"), p), "open")
     more = _settle(groups, sets, p)
     # what the stars joined is given by one edge to its least member
     known = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
     final = components(known.unionByName(more.select("src", "dst")))
     rep = F.coalesce("rep", "doc_id")
-    rows = sketches.select("doc_id", "n_shingles", "f1", "f2").join(copies, ["f1", "f2", "n_shingles"], "left").withColumn("rep", rep)
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(copies, ["f1", "f2", "n_shingles"], "left").withColumn("rep", rep)
     rows = rows.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
