@@ -2,13 +2,15 @@
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased.
 Each document sends the 128-bit hash of each of its distinct eligible keys once; Spark combines
-them before and after the shuffle into the number of documents and the largest id per hash.
+them to one row per hash and doc_id, then to the number of documents and the largest id per hash, each time
+before and after the shuffle, so a line of a third of all documents is spread by their ids first.
 Only hashes over the threshold go back to the documents: as a broadcast table while their
 counted number is within ``broadcast_lines``, else by joins on hash and on doc_id, in which
 adaptive execution splits a line that a third of all documents hold.
 
-Defined cases: a null or empty text is one empty line.  Each row counts as a document; rows
-repeated with the largest doc_id all keep the line, and so do lines of null ids alone.
+Defined cases: a null or empty text is one empty line.  Rows repeated with one doc_id count as one document,
+and those with the largest doc_id all keep the line; null ids count together as one document that
+is never the largest, and lines of null ids alone stay.
 Characters beyond ASCII are never folded or stripped.  An empty table gives no rows.  Columns
 other than the id and the text are not read.
 """
@@ -69,16 +71,14 @@ def _find(table: tuple[np.ndarray, np.ndarray, np.ndarray], h1: np.ndarray, h2:
     t1, t2, _ = table
     at = np.searchsorted(t1, h1)
     found = np.full(len(h1), -1)
-    for _ in range(8):  # equal first halves stand side by side; there is hardly ever a second
-        ok = at < len(t1)
-        same = np.zeros(len(h1), bool)
-        same[ok] = t1[at[ok]] == h1[ok]
-        hit = same.copy()
-        hit[same] = t2[at[same]] == h2[same]
-        found[hit] = at[hit]
-        if not (same & ~hit).any():
-            break
-        at = at + 1
+    left = np.arange(len(h1))
+    while len(left):  # equal first halves stand side by side; there is hardly ever a second
+        left = left[at[left] < len(t1)]
+        left = left[t1[at[left]] == h1[left]]
+        hit = t2[at[left]] == h2[left]
+        found[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
     return found
 
 
@@ -100,15 +100,14 @@ def dedup_lines(
     spark = docs.sparkSession
     tune(spark)
     hashes = line_hashes(docs, min_chars, id_col, text_col)
-    hot = materialize(
-        hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id")).where(F.col("n") >= min_docs).drop("n"), "lines", small=True
-    )
+    held = hashes.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+    hot = materialize(held.where((F.col("n") >= min_docs) & F.col("last_id").isNotNull()).drop("n"), "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if hot.count() <= broadcast_lines:
         found = hot.toArrow()
         h1, h2 = found["h1"].to_numpy(), found["h2"].to_numpy()
         order = np.lexsort((h2, h1))
-        last = found["last_id"].to_pandas().to_numpy(dtype="float64", na_value=np.nan) if found["last_id"].null_count else found["last_id"].to_numpy()
+        last = found["last_id"].to_numpy()
         table = spark.sparkContext.broadcast((h1[order], h2[order], last[order]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +125,7 @@ def dedup_lines(
                             continue
                         p = at[k]
                         k += 1
-                        if p < 0 or table.value[2][p] == own or (own is None and table.value[2][p] != table.value[2][p]):
+                        if p < 0 or table.value[2][p] == own:
                             kept.append(line)
                     out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
                 yield _emit(ids, out)
