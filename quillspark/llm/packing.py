@@ -37,6 +37,8 @@ from .common import materialize, tune
 
 CAPACITY = 4096
 END_ID = 1
+#: Rows of three numbers: some 10 MB as a relation.
+BROADCAST_SHARDS = 200_000
 
 
 class Recent(dict):
@@ -247,12 +249,15 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.
     return np.array(plan, dtype=np.int64).reshape(-1, 5), opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, broadcast_shards: int = BROADCAST_SHARDS) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
     made = materialize(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids).withColumn("shard", F.spark_partition_id()), "pieces")
     shards = made.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = materialize(shards.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards", small=True)
+    shards = materialize(shards.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards")
+    # a row per length and input partition: beyond the bound both sides are sorted and merged
+    bases = shards.select("length", "shard", "base")
+    bases = F.broadcast(bases) if shards.count() <= broadcast_shards else bases.hint("merge")
     # at most `capacity` rows, whatever the input
     counts = {r["length"]: r["n"] for r in shards.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_plan(counts, capacity)
@@ -274,7 +279,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             out = [*batch.columns[:5], as_long(sequence), as_long(offset), *([batch.column(6)] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    ranked = made.join(shards.select("length", "shard", "base"), ["length", "shard"]).select(
+    ranked = made.join(bases, ["length", "shard"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"), *(["ids"] if with_ids else [])
     )
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))

@@ -13,7 +13,8 @@ table of sites is broadcast while its counted size is within ``broadcast_sites``
 adaptive splitting of skewed hosts.
 
 Defined cases: a null text counts as empty; an empty text's evidence is the model's for zero words.
-A null host or path is a site of its own.  Null labels are not learned from; without labels of both
+A null host or path is a site of its own.  The posterior of a labelled document's site has its own label in it, and a row
+repeated with one doc_id counts its label as often as it occurs.  Null labels are not learned from; without labels of both
 kinds a fixed rule (share of letters) holds.  Repeated rows are scored alike.  Empty tables give no
 rows.  Columns other than those named are not read.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import materialize, text_hash, tune
 from .toxicity import logistic
 
 FEATURES = 12
@@ -158,11 +159,11 @@ def quality(
     site_weight: float = 0.5,
     broadcast_sites: int = BROADCAST_SITES,
 ) -> DataFrame:
-    """Per input row: ``doc_id, host, path, doc_log_odds, site_log_odds, score, kept``."""
+    """Per input row: ``doc_id, host, path, doc_log_odds, site_log_odds, score, kept, text_hash``."""
     spark = docs.sparkSession
     tune(spark)
     path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in path_cols))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(host_col).cast("string").alias("host"), path.alias("path"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_hash().alias("text_hash"), F.col(host_col).cast("string").alias("host"), path.alias("path"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     model = fit(rows, labels, train_rows)
     table, base = sites(rows.select("doc_id", "host", "path"), labels)
@@ -172,12 +173,13 @@ def quality(
         for batch in batches:
             x = np.array([shape(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             own = pa.array(_log_odds(x, shared.value))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), own], names=["doc_id", "host", "path", "doc_log_odds"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), own], names=[*told, "doc_log_odds"])
 
-    scored = rows.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, doc_log_odds double")
+    told = ["doc_id", "host", "path", "text_hash"]
+    scored = rows.select(*told, "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, doc_log_odds double")
     right = table.select(F.col("host").alias("h"), F.col("path").alias("p"), "site")
     right = F.broadcast(right) if right.count() <= broadcast_sites else right
     joined = scored.join(right, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left")
     lift = F.coalesce(F.col("site"), F.lit(base)) - F.lit(base)
     score = 1 / (1 + F.exp(-(F.col("doc_log_odds") + site_weight * lift)))
-    return joined.select("doc_id", "host", "path", "doc_log_odds", lift.alias("site_log_odds"), score.alias("score"), (score >= threshold).alias("kept"))
+    return joined.select("doc_id", "host", "path", "doc_log_odds", lift.alias("site_log_odds"), score.alias("score"), (score >= threshold).alias("kept"), "text_hash")

@@ -27,6 +27,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +202,8 @@ def _marks(text: str) -> set[str]:
     return words | {"^" + w[:k] for w in words for k in range(3, min(10, len(w)))}
 
 
-def _counts(training: DataFrame) -> DataFrame:
-    """``(mark, toxic, other)``: of clusters of near copies, one row each, how many hold the mark."""
+def _counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(mark, toxic, other)``: of clusters of near copies, one row each, how many hold the mark; and those rows."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
@@ -222,7 +223,7 @@ def _counts(training: DataFrame) -> DataFrame:
     rows = training.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(prints, "doc_id long, y int, text string, near long")
     rows = materialize(rows, "labelled")
     first = rows.groupBy("near", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    single = rows.join(first, "doc_id", "left_semi").select("y", "text")
+    single = materialize(rows.join(first, "doc_id", "left_semi").select("y", "text"), "single")
     return single.mapInArrow(marks, "mark string, toxic long, other long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), single
 
 
@@ -234,12 +235,9 @@ def _select(marks: dict[str, tuple[int, int]], single: DataFrame) -> set[str]:
     least 0.93.  Then, greedily, the mark that explains most toxic rows left, at least three.
     """
     lower = lambda a, b: ((a + 1.35) / (a + b) - 1.64 * math.sqrt(a * b / (a + b) + 0.67) / (a + b)) / (1 + 2.69 / (a + b))
-    begins = sorted((m for m in marks if m[0] == "^"), key=len)
-    vague = {
-        m
-        for m in begins
-        if any(len(x) > len(m) and x.startswith(m) and marks[x][0] >= 0.9 * marks[m][0] and marks[x][1] < marks[m][1] for x in begins)
-    }
+    # each longer beginning speaks against its own few shorter ones
+    shorter = ((x[:k], x) for x in marks if x[0] == "^" for k in range(2, len(x)))
+    vague = {m for m, x in shorter if m in marks and marks[x][0] >= 0.9 * marks[m][0] and marks[x][1] < marks[m][1]}
     usable = {m: c for m, c in marks.items() if m not in vague}
     chosen = {m for m, (a, b) in usable.items() if lower(a, b) >= 0.93}
     names = sorted(usable)
@@ -254,13 +252,26 @@ def _select(marks: dict[str, tuple[int, int]], single: DataFrame) -> set[str]:
     rows = single.where("y = 1").mapInArrow(run, "y int, held array<int>").toArrow()
     left = [{names[i] for i in held} for held in rows["held"].to_pylist()]
     left = [held for held in left if held and not held & chosen]
-    while left:
-        tally = Counter(m for held in left for m in held)
-        best = max(sorted(tally), key=lambda m: (tally[m] - 2 * usable[m][1], len(m)))
+    tally, holders = Counter(m for held in left for m in held), defaultdict(list)
+    for k, held in enumerate(left):
+        for m in held:
+            holders[m].append(k)
+    # values only fall, so the first that comes from the heap with its value of now is the best
+    value = lambda m: (2 * usable[m][1] - tally[m], -len(m), m)
+    heap, done = [value(m) for m in tally], set()
+    heapify(heap)
+    while heap:
+        best = heap[0][2]
+        if heap[0] != value(best):
+            heapreplace(heap, value(best))
+            continue
         if tally[best] < 3 or tally[best] <= 2 * usable[best][1]:
             break
         chosen.add(best)
-        left = [held for held in left if best not in held]
+        heappop(heap)
+        for k in set(holders[best]) - done:
+            done.add(k)
+            tally.subtract(left[k])
     return chosen
 
 
@@ -277,13 +288,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, fold: in
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     ratio = 2 * (part(k, n * base) + part(n - k, n * (1 - base)))
     weight = F.log((k + 0.5) / (n1 + 1)) - F.log((n - k + 0.5) / (n0 + 1))
-    strong = counts.withColumn("ratio", ratio).withColumn("weight", weight).where((ratio >= least_ratio) & (k / n >= 0.8))
-    found = strong.orderBy(F.desc("ratio"), "mark").limit(lexicon_size).collect()
+    weighed = materialize(counts.withColumn("ratio", ratio).withColumn("weight", weight).where(((ratio >= least_ratio) & (k / n >= 0.8)) | F.col("mark").isin(INSULTS)), "marks")
+    found = weighed.where((F.col("ratio") >= least_ratio) & (k / n >= 0.8)).orderBy(F.desc("ratio"), "mark").limit(lexicon_size).collect()
     chosen = _select({r["mark"]: (r["toxic"], r["other"]) for r in found}, single)
     kept = [r for r in found if r["mark"] in chosen]
     whole = {r["mark"]: r["weight"] for r in kept if r["mark"][0] != "^"}
     begins = {r["mark"][1:]: r["weight"] for r in kept if r["mark"][0] == "^"}
-    seen = {r["mark"]: (r["toxic"], r["other"]) for r in counts.where(F.col("mark").isin(INSULTS)).collect()}
+    seen = {r["mark"]: (r["toxic"], r["other"]) for r in weighed.where(F.col("mark").isin(INSULTS)).collect()}
     for word in INSULTS:  # the fixed list holds where the labels don't speak against it
         a, b = seen.get(word, (0, 0))
         whole.setdefault(word, max(0.0, math.log((a + 1) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))) if a + b else 1.0)
