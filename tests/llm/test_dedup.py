@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
-from quillspark.llm.exact_dedup import exact_dedup
-from quillspark.llm.line_dedup import dedup_lines
+from quillspark.llm.exact_dedup import digests, exact_dedup, merge_runs
+from quillspark.llm.line_dedup import _find, dedup_lines
 from quillspark.llm.near_dedup import NearDup, near_dedup
 
 from .conftest import ODD
@@ -14,10 +15,11 @@ from .conftest import ODD
 IDS = [None, 1, 2, 3, 3, 5, 6, 7, 8, None]
 
 
-def test_exact_dedup(make):
+@pytest.mark.parametrize("radix,bound", [(None, 1000), (2, 0)])
+def test_exact_dedup(make, radix, bound):
     texts = [*ODD, "a b", ""]
     ids = [*IDS, 11, 12]
-    rows = exact_dedup(make(texts, ids), runs=5, radix=2).collect()
+    rows = exact_dedup(make(texts, ids).repartition(11), radix=radix, broadcast_classes=bound).collect()
     members = defaultdict(list)
     for i, t in zip(ids, texts, strict=True):
         members[t or ""].append(i)
@@ -30,18 +32,27 @@ def test_exact_dedup(make):
     assert exact_dedup(make([])).count() == 0
 
 
+def test_merge_runs_is_a_tree(make):
+    """With radix 2, eleven runs meet in four rounds: one aggregation and three sorted merges."""
+    keyed = digests(make([f"t{k % 40}" for k in range(200)]).repartition(11))
+    plan = merge_runs(keyed, 11, 2)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("row_number()") == 3 or text.count("Window [") >= 3
+    assert sorted(r["members"] for r in plan.collect()) == [5] * 40
+
+
 def lines_by_hand(ids, texts, least=20):
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\x0b\x0c\r"))
-    held, last = defaultdict(int), {}
+    held, last = defaultdict(set), {}
     for i, t in zip(ids, texts, strict=True):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= least:
-                held[k] += 1
+                held[k].add(i)
                 last[k] = max((x for x in (last.get(k), i) if x is not None), default=None)
     out = []
     for i, t in zip(ids, texts, strict=True):
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (held[key(x)] >= 3 and last[key(x)] != i)]
+        kept = [x for x in lines if not (len(held[key(x)]) >= 3 and last[key(x)] != i)]
         out.append(repr((i, "\n".join(kept), len(lines), len(lines) - len(kept))))
     return sorted(out)
 
@@ -55,6 +66,18 @@ def test_line_dedup(make, bound):
     rows = dedup_lines(make(texts, ids), broadcast_lines=bound).collect()
     assert sorted(repr((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"])) for r in rows) == lines_by_hand(ids, texts)
     assert dedup_lines(make([]), broadcast_lines=bound).count() == 0
+    # ids that doubles can't tell, a line of null ids alone, one of two documents of which one is repeated
+    line, alone, twice = ("the first line of all", "a line of null ids alone", "a line of two documents")
+    ids = [2**53, 2**53 + 1, 7, None, None, None, 8, 9, 9]
+    texts = [line, line, line, alone, alone, f"{alone}\n{line}", twice, twice, twice]
+    rows = dedup_lines(make(texts, ids), broadcast_lines=bound).collect()
+    assert sorted(repr((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"])) for r in rows) == lines_by_hand(ids, texts)
+    assert {r["doc_id"] for r in rows if r["n_dropped"]} == {2**53, 7, None}
+
+
+def test_find_goes_through_equal_halves():
+    h1, h2 = np.zeros(40, np.int64), np.arange(40)
+    assert _find((h1, h2, h2), np.zeros(3, np.int64), np.array([39, 17, 99])).tolist() == [39, 17, -1]
 
 
 def near_by_hand(ids, texts, percent):

@@ -38,14 +38,15 @@ def test_plan_is_best_fit(seed):
     assert bins == len(rooms) and sorted(capacity - u for u in used.values()) == sorted(rooms)
 
 
-def test_pack_round_trip(make):
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_pack_round_trip(make, bound):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     rnd = random.Random(4)
     alphabet = "aAéÉß .,'\n\t1#|ÿıİK\xa0\x85́xXsS"
     texts = [*ODD, "<|ENDOFTEXT|> don't", *("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 300))) for _ in range(80))]
-    rows = pack(make(texts), tokenizer_path(), capacity=64, with_ids=True).collect()
+    rows = pack(make(texts), tokenizer_path(), capacity=64, with_ids=True, broadcast_shards=bound).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         ids = np.frombuffer(r["ids"], "<u4").tolist()
@@ -177,3 +178,42 @@ def test_pipeline(spark, tmp_path):
             assert not any(x and len(runs & x) > 0.6 * len(x) for x in items)
     assert {r["doc_id"] for r in kept[5].select("doc_id").collect()} == set(clean)
     assert P.run(spark, sf).count() == kept[5].count()
+
+
+def test_pipeline_odd_rows(spark, make, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts, another column; then empty tables."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(21)
+    prose = lambda: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(80)) + "."
+    a, b, c, d, e, item = (prose() for _ in range(6))
+    near = " ".join([*a.split()[:-1], "changed"])
+    junk = "%%% *** ### " * 40
+    good = [prose() for _ in range(60)]
+    rows = [
+        (None, a), (None, near), (None, junk), (7, b), (7, b), (7, c), (None, c), (8, junk), (8, d), (None, f"{e} {item} {e}"), (9, item), (9, e), (None, None), (10, ""), (11, ""),
+        *((100 + k, t) for k, t in enumerate(good)),
+    ]
+    docs = make([t for _, t in rows], [i for i, _ in rows])
+    labels = [(100 + k, 1, 0) for k in range(60)] + [(1000 + k, 0, 0) for k in range(60)]
+    docs = docs.unionByName(make([junk + str(k) for k in range(60)], [1000 + k for k in range(60)]))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        left.append(sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr))
+    odd = lambda rows: sorted(((i, t) for i, t in rows if (i is None or i < 100) and t), key=repr)
+    assert junk not in {t for _, t in left[0]} and odd(left[0]) == odd([r for r in rows if r[1] != junk])
+    # one row a text, a null id only where there is no other
+    assert len({t or "" for _, t in left[1]}) == len(left[1])
+    assert odd(left[1]) == odd([(None, a), (None, near), (7, b), (7, c), (8, d), (None, f"{e} {item} {e}"), (9, item), (9, e)])
+    assert len(odd(left[2])) == len(odd(left[1])) - 1 and len({a, near} & {t for _, t in left[2]}) == 1
+    assert odd(left[3]) == odd([r for r in left[2] if item not in r[1]])
+    pieces = P.run(spark, str(tmp_path))
+    assert pieces.count() == len(left[3])
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
