@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beyond it by a shuffle in which adaptive execution splits a class of many members.
     """
     keyed = materialize(digests(docs, id_col, text_col), "digests")
-    runs = (keyed.agg(F.max(F.spark_partition_id()).alias("last")).first()["last"] or 0) + 1
+    runs = (keyed.select(F.spark_partition_id().alias("run")).agg(F.max("run").alias("last")).first()["last"] or 0) + 1
     groups = materialize(merge_runs(keyed, runs, radix or max(2, ceil(sqrt(runs)))).where("members > 1"), "classes", small=True)
     groups = F.broadcast(groups) if groups.count() <= broadcast_classes else groups.hint("merge")
     rows = keyed.join(groups, KEY, "left")

@@ -185,18 +185,18 @@ def test_pipeline_odd_rows(spark, make, tmp_path):
     import corpus_pipeline as P
 
     rnd = random.Random(21)
-    prose = lambda: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(80)) + "."
+    prose = lambda n=80: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(n)) + "."
     a, b, c, d, e, item = (prose() for _ in range(6))
     near = " ".join([*a.split()[:-1], "changed"])
     junk = "%%% *** ### " * 40
-    good = [prose() for _ in range(60)]
+    good = [prose(rnd.randrange(40, 400)) for _ in range(60)]
     rows = [
         (None, a), (None, near), (None, junk), (7, b), (7, b), (7, c), (None, c), (8, junk), (8, d), (None, f"{e} {item} {e}"), (9, item), (9, e), (None, None), (10, ""), (11, ""),
         *((100 + k, t) for k, t in enumerate(good)),
     ]
     docs = make([t for _, t in rows], [i for i, _ in rows])
     labels = [(100 + k, 1, 0) for k in range(60)] + [(1000 + k, 0, 0) for k in range(60)]
-    docs = docs.unionByName(make([junk + str(k) for k in range(60)], [1000 + k for k in range(60)]))
+    docs = docs.unionByName(make([junk[: rnd.randrange(100, 480)] + str(k) for k in range(60)], [1000 + k for k in range(60)]))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
