@@ -130,6 +130,77 @@ def test_quality(spark, make):
     assert quality(make([]), labels).count() == 0
 
 
+def sites_by_hand(rows, labels):
+    """Posterior log-odds per (host, path) in plain numbers, and the global ones."""
+    good, bad = Counter(), Counter()
+    for i, host, path in rows:
+        if labels.get(i) is not None:
+            (good if labels[i] else bad)[host, path] += 1
+    paths = sorted({(h, p) for _, h, p in rows}, key=repr)
+    hosts = sorted({h for h, _ in paths}, key=repr)
+    rate = (sum(good.values()) + 1) / (sum(good.values()) + sum(bad.values()) + 2)
+
+    def strength(counts):
+        """Of (good, bad, centre)."""
+        some = [(g, b, m) for g, b, m in counts if g + b]
+        excess = sum((g + b) * (g / (g + b) - m) ** 2 - m * (1 - m) for g, b, m in some)
+        more = sum(m * (1 - m) * (g + b - 1) for g, b, m in some)
+        return min(1e4, max(1.0, more / excess - 1)) if excess > 0 else 1e4
+
+    of = {h: (sum(good[x] for x in paths if x[0] == h), sum(bad[x] for x in paths if x[0] == h)) for h in hosts}
+    s = strength([(*of[h], rate) for h in hosts])
+    host_rate = {h: (of[h][0] + s * rate) / (sum(of[h]) + s) for h in hosts}
+    t = strength([(good[x], bad[x], host_rate[x[0]]) for x in paths])
+    out = {}
+    for x in paths:
+        p = (good[x] + t * host_rate[x[0]]) / (good[x] + bad[x] + t)
+        out[x] = math.log(p / (1 - p))
+    return out, math.log(rate / (1 - rate))
+
+
+def test_quality_posteriors(spark):
+    """Sites against the formulas in plain numbers; unlabelled, sparse and null sites are drawn to their hosts."""
+    from quillspark.llm.quality import sites
+
+    rnd = random.Random(17)
+    share = {("a", "a/en"): 0.95, ("a", "a/de"): 0.9, ("b", "b/en"): 0.1, ("b", "b/fr"): 0.3, (None, "x"): 0.5, ("c", "c/en"): 0.8}
+    rows, labels = [], {}
+    for i in range(600):
+        host, path = rnd.choice(sorted(share, key=repr))
+        rows.append((i, host, path))
+        if i % 3:
+            labels[i] = int(rnd.random() < share[host, path])
+    rows += [(1000, "b", "b/new"), (1001, "d", "d/en"), (1002, "b", "b/one"), (None, "a", "a/en"), (rows[1][0], *rows[1][1:])]
+    labels |= {1002: 1, 77: None}
+    docs = spark.createDataFrame(rows, "doc_id long, host string, path string")
+    frame = spark.createDataFrame([*labels.items(), (None, 1), (5, labels[5])], "doc_id long, quality int")
+    table, base = sites(docs, frame)
+    want, centre = sites_by_hand(rows, labels)
+    got = {(r["host"], r["path"]): r["site"] for r in table.collect()}
+    assert math.isclose(base, centre, rel_tol=1e-9) and got.keys() == want.keys()
+    assert all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
+    assert got["b", "b/new"] < got["d", "d/en"] < got["a", "a/en"] and abs(got["d", "d/en"] - base) < 1e-9
+    assert got["b", "b/new"] < got["b", "b/one"] < 0  # one good page hardly lifts a bad host's path
+
+
+def test_quality_scores(spark):
+    """Document evidence and half of the site's lift, alike in both join forms; a bad site tips an even document."""
+    rnd = random.Random(18)
+    rows = [(i, prose(rnd) if i % 2 else junk(rnd), ("good" if i < 300 else "bad") if i < 600 else "new", "en") for i in range(640)]
+    even = "abc %%% " * 12
+    rows += [(1000, even, "good", "en"), (1001, even, "bad", "en"), (1002, even, "new", "en"), (1003, None, None, None), (1003, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = [(i, int(i % 2 and rnd.random() < 0.9) if i >= 300 else int(i % 2 or rnd.random() < 0.5)) for i in range(600)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    told = [sorted(map(tuple, quality(docs, frame, broadcast_sites=n).select("doc_id", "doc_log_odds", "site_log_odds", "score", "kept").collect())) for n in (1000, 0)]
+    assert told[0] == told[1] and len(told[0]) == len(rows)
+    for _, own, lift, score, kept in told[0]:
+        assert math.isclose(score, 1 / (1 + math.exp(-(own + 0.5 * lift))), rel_tol=1e-9) and kept == (score >= 0.5)
+    by = {r[0]: r for r in told[0]}
+    assert by[1000][1] == by[1001][1] == by[1002][1] and by[1000][2] > 0 > by[1001][2]
+    assert by[1000][3] > by[1002][3] > by[1001][3]
+
+
 def test_grammar():
     g, state, out = grammar(), 0, ""
     for s in "oTIoNIoRooI":
