@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import base_key, path_key
-from ..functions.regex import let, matches_of
+from ..functions.regex import let, rewrite_matches
 
 # Folders under which a picture is commonly referred to.
 FOLDERS = ["image", "images", "img", "imgs", "media", "assets", "pic", "pics", "static", "figures", "figure"]
@@ -62,7 +62,14 @@ def rewrite_images(docs: DataFrame, images: DataFrame, by: list[str], text: str,
     keys = named.unionByName(stem).unionByName(number).groupBy(*by, "k").agg(F.max_by("name", "seq").alias("name"))
     table = keys.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("__names"))
 
-    def one(match: Column, names: Column) -> Column:
+    joined = docs.join(table, by, "left")
+    return joined.withColumn(text, F.when(F.col("__names").isNull(), F.col(text)).otherwise(rewritten(F.col(text), F.col("__names"), folder))).drop("__names")
+
+
+def rewritten(text: Column, names: Column, folder: str) -> Column:
+    """The text with its picture links rewritten by a map of lower-case names, stems and ``#`` numbers to names."""
+
+    def one(match: Column) -> Column:
         alt, path = F.regexp_extract(match, r"!\[([^\]]*)\]\(([^)]+)\)", 1), F.regexp_extract(match, r"!\[([^\]]*)\]\(([^)]+)\)", 2)
         norm = F.replace(F.regexp_replace(F.element_at(F.split(F.trim(path), " "), 1), "[\"']", ""), F.lit("\\"), F.lit("/"))
         base = F.element_at(F.split(norm, "/", -1), -1)
@@ -75,7 +82,4 @@ def rewrite_images(docs: DataFrame, images: DataFrame, by: list[str], text: str,
         link = lambda x: F.concat(F.lit("!["), alt, F.lit(f"]({folder}/"), x, F.lit(")"))
         return F.when(own & norm.contains("/"), match).when(own, link(base)).when(name.isNull(), match).otherwise(link(name))
 
-    pattern = r"!\[[^\]]*\]\([^)]+\)"
-    put = lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), matches_of(t, pattern), lambda p, m: F.concat(p, F.coalesce(one(m, F.col("__names")), F.lit("")))), "")
-    joined = docs.join(table, by, "left")
-    return joined.withColumn(text, F.when(F.col("__names").isNull(), F.col(text)).otherwise(let(F.col(text), put))).drop("__names")
+    return let(text, lambda t: rewrite_matches(t, r"!\[[^\]]*\]\([^)]+\)", one))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.docx import NS, _q, holds, parse
+from ..sources.docx import NS, Package, _q, holds, parse, split_tag, targets, zipped
 
 Rule = Callable[[ET.Element, ET.Element], bool]
 
@@ -110,6 +110,47 @@ def preprocess_document(xml: bytes | str | None) -> tuple[str | None, int, int]:
     return ET.tostring(root, encoding="unicode"), tabs, blank
 
 
+def objects_as_latex(content: bytes | None, known: list[dict]) -> tuple[bytes | None, list[dict]]:
+    """A file whose embedded objects are ``$LaTeX$``, and the formulas put in, in document order.
+
+    ``known`` are ``source, mathml, latex`` by the name of the embedded file.
+    """
+    package, by_name = Package(content), {k["source"]: k for k in known}
+    root = parse(package.read("word/document.xml"))
+    if root is None:
+        return content, []
+    rels = "word/_rels/document.xml.rels"
+    target = targets(package.read(rels))
+    above = {c: p for p in root.iter() for c in p}
+    put, gone, dropped = [], set(), set()
+    embedded = lambda rid: f"word/{target[rid]}" if "embeddings/" in target.get(rid, "") else None
+    rids = lambda el: (v for k, v in el.attrib.items() if k.rpartition("}")[2] == "id" and v in target)
+    for obj in [el for el in root.iter() if split_tag(el.tag)[1] == "OLEObject"]:
+        part = next(filter(None, map(embedded, rids(obj))), None)
+        formula = by_name.get(part.rpartition("/")[2]) if part in package.items else None
+        if formula is None:
+            continue
+        el = up = obj
+        while up is not None and split_tag(up.tag)[1] != "object":
+            up = above.get(up)
+        el = obj if up is None else up
+        for node in el.iter():
+            gone |= set(rids(node))
+            dropped |= {p for p in map(embedded, rids(node)) if p}
+        text = ET.Element(_q("w:t"), {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+        text.text = f"${formula['latex']}$"
+        parent = above.get(el)
+        if parent is not None and el in list(parent):
+            parent[list(parent).index(el)] = text
+        put.append(formula)
+    links = parse(package.read(rels))
+    if links is not None:
+        links[:] = [r for r in links if r.get("Id") not in gone]
+    new = {"word/document.xml": root, rels: links}
+    made = lambda part: package.read(part) if new.get(part) is None else ET.tostring(new[part], encoding="UTF-8", xml_declaration=True)
+    return zipped((p, made(p) or b"") for p in package.items if p not in dropped), put
+
+
 def clean(part_rows: DataFrame, level: str = "aggressive", by: str = "doc_id") -> DataFrame:
     """Parts with the document cleaned, headers and footers blank and comments left out."""
     name = F.col("part")

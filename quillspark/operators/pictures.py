@@ -63,3 +63,17 @@ def ole_parts(nodes: DataFrame, rels: DataFrame, parts: DataFrame, by: str = "do
 def without_objects(parts: DataFrame, rels: DataFrame, found: DataFrame, by: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Parts and relationships less those of the objects that were replaced."""
     return parts.join(found.select(by, "part"), [by, "part"], "left_anti"), rels.join(found.select(by, "rid"), [by, "rid"], "left_anti")
+
+
+def formula_pictures(formulas: DataFrame, rels: DataFrame, parts: DataFrame, pngs: DataFrame | None = None, by: str = "doc_id", folder: str = "image") -> DataFrame:
+    """``(doc_id, formula_id, sha1, image_path)`` of ``formulas(doc_id, formula_id, rid)`` whose picture is there.
+
+    The picture's relationship and part are found by equi-joins within the document; ``pngs(sha1)`` are pictures
+    that were rasterised, by digest, as one picture stands in many documents; the others keep their vector file.
+    """
+    blobs = parts.select(by, F.col("part").alias("target"), F.sha1("data").alias("sha1"))
+    found = formulas.join(rels, [by, "rid"]).join(blobs, [by, "target"])
+    done = F.lit(False) if pngs is None else F.col("done").isNotNull()
+    found = found if pngs is None else found.join(pngs.select("sha1", F.lit(True).alias("done")).distinct(), "sha1", "left")
+    name = F.concat(F.lit(f"{folder}/formula"), "formula_id", F.when(done, ".png").otherwise(".wmf"))
+    return found.select(by, "formula_id", "sha1", name.alias("image_path"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mtef as E
+from ..operators import pictures as P
 from ..sources import docx as D
 from ..sources.tables import spread, table
 from . import convert
-from .docx_queries import body, files
+from .docx_queries import body, files, when
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,7 +38,71 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(table(spark, sf_dir, "supplier"), "s_suppkey", {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/embeddings/oleObject1.bin": "not-an-ole", "word/embeddings/oleObject2.bin": "..<math>q</math>.."})
 
 
+def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures, an equation object and its preview, a formula and a typed link, each in some of the files."""
+    k = F.col("s_suppkey")
+    para = lambda x: f"<w:p><w:r>{x}</w:r></w:p>"
+    shape = "<w:object><v:shape style='width:30pt;height:12pt'><v:imagedata r:id='r3'/></v:shape><o:OLEObject ProgID='Equation.DSMT4' r:id='r4'/></w:object>"
+    doc = body(
+        "<w:p><w:r><w:t>q", k, "</w:t></w:r></w:p>", when(para("<w:drawing><wp:inline><a:blip r:embed='r1'/></wp:inline></w:drawing>"), k % 2 == 0), when(para("<w:pict><v:imagedata r:id='r2'/></w:pict>"), k % 3 == 0), when(para(shape), k % 3 == 1),
+        when("<w:p><m:oMath><m:r><m:t>y</m:t></m:r></m:oMath></w:p>", k % 4 == 0), when(para("<w:t>![t](x/Image1.gif)</w:t>"), k % 5 == 0),
+    )
+    rel = lambda i, t: f'<Relationship Id="{i}" Target="{t}"/>'
+    rels = f'<Relationships xmlns="{D.NS["rel"]}">{rel("r1", "media/a.JPEG")}{rel("r2", "/word/media/b.emf")}{rel("r3", "media/m.wmf")}{rel("r4", "embeddings/o1.bin")}</Relationships>'
+    digit = lambda x, n: F.concat(F.lit(x), (k % n).cast("string"))
+    members = {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/media/a.JPEG": "j", "word/media/b.emf": digit("e", 6), "word/media/m.wmf": digit("w", 2), "word/embeddings/o1.bin": F.when(k % 2 == 0, "..<math>q</math>..").otherwise("no")}
+    return files(table(spark, sf_dir, "supplier"), "s_suppkey", members)
+
+
+def _pngs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("e0",), ("w1",)], "text string").select(F.sha1("text").alias("sha1"))
+
+
 NL = "chr(10)||chr(10)"
+VECTOR = "printf('glyph%03d', 1 + (s_suppkey % 2 = 0)::INTEGER) || CASE WHEN s_suppkey % 6 = 0 THEN '.png' ELSE '.emf' END"
+FIRST = "CASE WHEN s_suppkey % 2 = 0 THEN 'image/image001.jpg' WHEN s_suppkey % 3 = 0 THEN 'image/glyph001.emf' ELSE 'x/Image1.gif' END"
+# A formula's number: displayed ones and loose ones come before objects.
+OBJECT = "printf('%03d', 1 + (s_suppkey % 4 = 0)::INTEGER)"
+
+
+@query(
+    f"""SELECT s_suppkey, 'q' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN {NL} || '![](image/image001.jpg)' ELSE '' END || CASE WHEN s_suppkey % 3 = 0 THEN {NL} || '![](image/' || {VECTOR} || ')' ELSE '' END
+    || CASE WHEN s_suppkey % 3 = 1 THEN {NL} || '![' || {OBJECT} || '](image/formula' || {OBJECT} || CASE WHEN s_suppkey % 2 = 1 THEN '.png)' ELSE '.wmf)' END ELSE '' END || CASE WHEN s_suppkey % 4 = 0 THEN {NL} || '$y$' ELSE '' END
+    || CASE WHEN s_suppkey % 5 = 0 THEN {NL} || '![t](' || {FIRST} || ')' ELSE '' END || chr(10) AS md FROM supplier"""
+)
+def docx_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.to_markdown(_pictured(spark, sf_dir), by="s_suppkey", pngs=_pngs(spark)).select("s_suppkey", "md")
+
+
+@query(
+    f"""SELECT s_suppkey, u.path, u.data FROM supplier, LATERAL (SELECT * FROM (VALUES ('image/image001.jpg', 'j', s_suppkey % 2 = 0), ('image/' || {VECTOR}, 'e' || s_suppkey % 6, s_suppkey % 6 = 3),
+    ('image/formula' || {OBJECT} || '.wmf', 'w' || s_suppkey % 2, s_suppkey % 3 = 1)) v(path, data, here)) u WHERE u.here"""
+)
+def docx_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _pictured(spark, sf_dir)
+    made = convert.image_files(docs, convert.to_markdown(docs, by="s_suppkey", pngs=_pngs(spark)), "s_suppkey")
+    return made.select("s_suppkey", "path", F.decode("data", "UTF-8").alias("data"))
+
+
+@query(
+    """SELECT s_suppkey, s_suppkey % 3 = 1 AS replaced, CASE WHEN s_suppkey % 3 = 1 THEN '$' || CASE WHEN s_suppkey % 2 = 0 THEN '【MathML转LaTeX失败】' ELSE '【无法提取】' END || '$' END AS put,
+    CASE WHEN s_suppkey % 3 = 1 THEN 5 ELSE 6 END::BIGINT AS parts, CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 4 END::BIGINT AS rels FROM supplier"""
+)
+def docx_without_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects replaced by their LaTeX, and what is left in the rewritten file."""
+    made = convert.without_objects(_pictured(spark, sf_dir), "s_suppkey")
+    parts = D.parts(made, "s_suppkey")
+    texts = D.nodes(parts.where(F.col("part").rlike(r"\.(xml|rels)\z")), "s_suppkey").groupBy("s_suppkey").agg(F.max(F.when(F.col("text").startswith("$"), F.col("text"))).alias("put"), F.count_if(F.col("local") == "Relationship").alias("rels"))
+    sizes = parts.groupBy("s_suppkey").agg(F.count("*").alias("parts"))
+    return made.select("s_suppkey", (F.size("formulas") > 0).alias("replaced")).join(texts, "s_suppkey").join(sizes, "s_suppkey").select("s_suppkey", "replaced", "put", "parts", "rels")
+
+
+@query("SELECT s_suppkey, '001' AS formula_id, sha1('w' || s_suppkey % 2) AS sha1, 'image/formula001' || CASE WHEN s_suppkey % 2 = 1 THEN '.png' ELSE '.wmf' END AS image_path FROM supplier WHERE s_suppkey % 3 = 1")
+def formula_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = D.parts(_pictured(spark, sf_dir), "s_suppkey")
+    nodes = D.nodes(parts.where(F.col("part").rlike(r"\.(xml|rels)\z")), "s_suppkey")
+    marks = nodes.where((F.col("local") == "imagedata") & (F.col("depth") == 6)).select("s_suppkey", F.lit("001").alias("formula_id"), F.col("attrs")[f"{{{D.NS['r']}}}id"].alias("rid"))
+    return P.formula_pictures(marks, D.relationships(nodes, "math", "s_suppkey"), parts, _pngs(spark), "s_suppkey")
 
 
 @query(f"SELECT s_suppkey, '## ' || s_name || {NL} || '1. first ' || s_suppkey || {NL} || '【答案】A' || {NL} || '2、second' || {NL} || '**bold** a<b ${{x}}^{{2}}$[link](http://a.b/c)' || {NL} || '| h |' || chr(10) || '| --- |' || chr(10) || '| c |' || chr(10) AS md FROM supplier")

@@ -11,7 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,15 +98,16 @@ class Package:
             return None
 
 
-def _members(content: bytes | None) -> Iterator[dict]:
+def _members(content: bytes | None, under: str = "") -> Iterator[dict]:
     package = Package(content)
     for k, part in enumerate(package.items):
-        yield {"ord": k, "part": part, "data": package.read(part)}
+        if part.startswith(under):
+            yield {"ord": k, "part": part, "data": package.read(part)}
 
 
-def parts(docs: DataFrame, by: str = "doc_id", content: str = "content") -> DataFrame:
-    """``(doc_id, ord, part, data)``; what is no zip gives no rows."""
-    return _each(docs, [by], content, _members, "ord int, part string, data binary")
+def parts(docs: DataFrame, by: str = "doc_id", content: str = "content", under: str = "") -> DataFrame:
+    """``(doc_id, ord, part, data)`` of the members whose names begin so; what is no zip gives no rows."""
+    return _each(docs, [by], content, lambda data: _members(data, under), "ord int, part string, data binary")
 
 
 def parse(data: bytes | str | None) -> ET.Element | None:
@@ -223,24 +224,38 @@ def relationships(node_rows: DataFrame, rule: str = "math", by: str = "doc_id")
     return node_rows.where(F.col("local") == "Relationship").select(by, F.col("attrs")["Id"].alias("rid"), made.alias("target"))
 
 
+def part_of(target: str) -> str:
+    """The part that a relationship of the main document points to, by the rule ``math``."""
+    target = target.replace("\\", "/")
+    return target.lstrip("/") if target.startswith("/") else "word/" + target
+
+
+def targets(rels: bytes | None) -> dict[str, str]:
+    """Relationship id -> target as it stands."""
+    root = parse(rels)
+    return {r.get("Id") or "": (r.get("Target") or "").replace("\\", "/") for r in root} if root is not None else {}
+
+
 def members_under(part_rows: DataFrame, prefix: str) -> DataFrame:
     """Files under a folder, folders left out."""
     return part_rows.where(F.col("part").startswith(prefix) & ~F.col("part").endswith("/"))
 
 
+def zipped(members: Iterable[tuple[str, bytes]]) -> bytes:
+    """A zip file; the same members give the same bytes."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members:
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
+
+
 @F.pandas_udf(BinaryType())
 def pack_parts(names, bodies):
-    """A zip file of parallel arrays of names and binary bodies; the same input gives the same bytes."""
+    """A zip file of parallel arrays of names and binary bodies."""
     import pandas as pd
 
-    def one(ns, bs) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for n, b in zip(ns, bs, strict=True):
-                z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), bytes(b))
-        return out.getvalue()
-
-    return pd.Series([one(n, b) for n, b in zip(names, bodies, strict=True)])
+    return pd.Series([zipped((n, bytes(b)) for n, b in zip(ns, bs, strict=True)) for ns, bs in zip(names, bodies, strict=True)])
 
 
 def rebuild(part_rows: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -37,6 +37,44 @@ def test_batch(spark, folder):
     assert spark.read.parquet(str(folder / "out")).count() == 3
 
 
+def test_objects_become_latex(spark):
+    """An object that decodes goes into the text, and its part and relationships go; in Markdown by choice."""
+    from test_mtef import char, compound, line, native
+
+    from quillspark.plans.convert import without_objects
+
+    data = compound("Equation Native", native(line(char("x"), char("+"), char("1"))) + bytes(300))
+    names = " ".join(f'xmlns:{p}="{u}"' for p, u in D.NS.items() if p != "rel")
+    shape = "<w:object><v:shape style='width:30pt;height:12pt'><v:imagedata r:id='r3'/></v:shape><o:OLEObject ProgID='Equation.DSMT4' r:id='r4'/></w:object>"
+    xml = f"<w:document {names}><w:body><w:p><w:r><w:t>a</w:t></w:r><w:r>{shape}</w:r></w:p><w:p><w:r><o:OLEObject r:id='r9'/></w:r></w:p></w:body></w:document>"
+    rels = f'<Relationships xmlns="{D.NS["rel"]}"><Relationship Id="r3" Target="media/m.wmf"/><Relationship Id="r4" Target="embeddings/o.bin"/><Relationship Id="r9" Target="embeddings/none.bin"/></Relationships>'
+    content = D.zipped([("word/document.xml", xml.encode()), ("word/_rels/document.xml.rels", rels.encode()), ("word/media/m.wmf", b"w"), ("word/embeddings/o.bin", data)])
+    docs = spark.createDataFrame([("d", content), ("none", b"no zip"), ("null", None)], "doc_id string, content binary")
+    rows = {r["doc_id"]: r for r in without_objects(docs).collect()}
+    assert bytes(rows["none"]["content"]) == b"no zip" and rows["null"]["content"] is None and rows["none"]["formulas"] == []
+    assert [f["latex"] for f in rows["d"]["formulas"]] == ["x+1"]
+    package = D.Package(bytes(rows["d"]["content"]))
+    assert "word/embeddings/o.bin" not in package.items and b"$x+1$" in package.read("word/document.xml") and D.targets(package.read("word/_rels/document.xml.rels")) == {"r9": "embeddings/none.bin"}
+    shown = {o: to_markdown(docs.where("doc_id = 'd'"), objects=o).first()["md"] for o in ("picture", "latex")}
+    assert shown == {"picture": "a![001](image/formula001.wmf)\n", "latex": "a$x+1$\n"}
+
+
+def test_damaged_files(spark):
+    """Bytes that are no UTF-8, a cut zip, a damaged member: rows with errors, and the others go on."""
+    from quillspark.operators.inspector import inspect, raw_counts
+
+    whole = D.zipped([("word/document.xml", DOC.encode()), ("word/media/a.png", b"y")])
+    latin = D.zipped([("word/document.xml", b"<w:document>\xff PAGE </w:document>")])
+    at = whole.find(b"word/document.xml") + 40
+    torn = whole[:at] + b"\xff" * 20 + whole[at + 20 :]
+    docs = spark.createDataFrame([("good", whole), ("latin", latin), ("torn", torn), ("cut", whole[:50]), ("null", None), ("empty", D.zipped([]))], "doc_id string, content binary")
+    rows = {r["doc_id"]: r for r in inspect(docs).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"good": None, "latin": "word/document.xml is no XML", "torn": "no word/document.xml", "cut": "no zip file", "null": "no zip file", "empty": "no word/document.xml"}
+    assert rows["good"]["o_math_para"] == 1 and rows["latin"]["page_fields"] == 1 and rows["torn"]["media"] == 1 and rows["cut"]["summary"]
+    assert {r["doc_id"]: r["page_fields"] for r in raw_counts(D.parts(docs)).collect() if r["page_fields"] is not None} == {"good": 0, "latin": 1}
+    assert {r["doc_id"]: r["error"] is None for r in to_markdown(docs).collect()} == {"good": True, "latin": False, "torn": False, "cut": False, "null": False, "empty": False}
+
+
 def test_stream(spark, folder):
     for _ in range(2):
         convert_arriving(spark, str(folder / "in"), str(folder / "stream"), str(folder / "marks")).awaitTermination(60)
