@@ -88,15 +88,23 @@ def questions(raw: Column) -> Column:
     return F.array_sort(F.transform(let(segments, _bodies), made))
 
 
-def notices(raw: Column, found: Column) -> Column:
-    """``array<struct<level, text>>`` of a paper and its ``questions``."""
+def notices(raw: Column, found: Column, keys: Column | None = None, missing: Column | None = None) -> Column:
+    """``array<struct<level, text>>`` of a paper and its ``questions``.
+
+    ``keys``: under how many names pictures are at hand; ``missing``: references without a picture, as they come.
+    """
     note = lambda level, *text: F.struct(F.lit(level).alias("level"), F.concat(*(F.lit(t) if isinstance(t, str) else t.cast("string") for t in text)).alias("text"))
     whole = lambda q: F.concat_ws("\n", q["stem"], q["answer"], q["analysis"], q["detail"])
     bare = F.filter(F.array_sort(found, lambda a, b: a["place"] - b["place"]), lambda q: (q["answer"] == "") & (q["analysis"] == "") & (q["detail"] == ""))
     tips = F.transform(bare, lambda q: note("tip", "第 ", q["index"], " 题未找到【答案】/【分析】/【详解】标记。"))
     maths = F.size(F.filter(found, lambda q: whole(q).rlike(r"\$[^$]+\$|\$\$[\s\S]+?\$\$")))
     images = F.size(F.filter(found, lambda q: whole(q).rlike(r"(?i)!\[[^\]]*\]\([^)]+\)|!\[\[[^\]]+\]\]|<img\b")))
-    some = lambda n, *text: F.when(n > 0, F.array(note("ok", "其中 ", n, *text))).otherwise(F.array().cast("array<struct<level:string,text:string>>"))
-    full = F.concat(F.array(note("ok", "成功从 Markdown 识别 ", F.size(found), " 道题。")), tips, some(maths, " 题含 LaTeX 公式，已用 KaTeX 渲染。"), some(images, " 题含图片引用。"))
+    none = F.array().cast("array<struct<level:string,text:string>>")
+    some = lambda n, *text: F.when(n > 0, F.array(note("ok", "其中 ", n, *text))).otherwise(none)
+    matched = F.lit("") if keys is None else F.when(keys > 0, F.concat(F.lit("已匹配本地图片 "), keys.cast("string"), F.lit(" 个。"))).otherwise("")
+    # Fixed value: the text of the notice.
+    lost = "张图片未加载成功（多为相对路径）。请在选择文件时同时选中 .md 与对应的 .jpg/.png 等图片文件。例如："
+    gone = none if missing is None else F.when(F.size(missing) > 0, F.array(note("tip", "有 ", F.size(missing), f" {lost}", F.array_join(F.slice(missing, 1, 3), "、")))).otherwise(none)
+    full = F.concat(F.array(note("ok", "成功从 Markdown 识别 ", F.size(found), " 道题。")), tips, some(maths, " 题含 LaTeX 公式，已用 KaTeX 渲染。"), some(images, " 题含图片引用。", matched), gone)
     unnumbered = "未识别到大题题号。请确认题号在段首，格式如：1.  / 1． / 1、 / 第1题（小题（1）不会当作大题）。"
     return F.when(normalize(raw) == "", F.array(note("warn", "文件内容为空。"))).when(F.size(found) == 0, F.array(note("warn", unnumbered))).otherwise(full)

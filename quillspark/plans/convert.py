@@ -20,7 +20,7 @@ from ..operators.assets import rewritten
 from ..operators.clean import clean_document, objects_as_latex, preprocess_document
 from ..operators.docx_html import Media, to_html
 from ..operators.fragment import fragment_html
-from ..operators.latex_repair import math_prepared
+from ..operators.latex_repair import prepare
 from ..operators.mtef import convert_object, ole_formula
 from ..sources import docx as D
 
@@ -143,15 +143,24 @@ def questions(markdown: DataFrame, column: str = "md", by: str = "doc_id") -> Da
     return rows.select(by, uid.alias("id"), "q.index", "q.stem", "q.answer", "q.analysis", "q.detail")
 
 
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = pa.array([None if t is None else prepare(t) for t in batch.column("paper").to_pylist()], pa.string())
+        yield batch.set_column(batch.schema.get_field_index("paper"), "paper", text)
+
+
 def parse_papers(papers: DataFrame, column: str = "text", by: str = "doc_id") -> DataFrame:
     """``doc_id, notices, questions`` of raw Markdown papers, the questions' parts as HTML.
 
     The text's formulas are repaired before it is split; ``stem_text`` is the stem's first 200
     characters without tags.  The result has the shape of the JSON that ``to_json`` makes of it.
+    Columns ``keys`` and ``missing``, where there are such, go to the notices.
     """
-    text = P.normalize(math_prepared(P.normalize(F.col(column))))
-    found = papers.select(by, text.alias("paper")).withColumn("qs", P.questions(F.col("paper")))
-    notes = found.select(by, P.notices(F.col("paper"), F.col("qs")).alias("notices"))
+    more = [c for c in ("keys", "missing") if c in papers.columns]
+    rows = papers.select(by, P.normalize(F.col(column)).alias("paper"), *more)
+    # a stage of its own, so that the optimizer copies the scanners into no other expression
+    found = rows.mapInArrow(_repaired, rows.schema).withColumn("paper", P.normalize(F.col("paper"))).withColumn("qs", P.questions(F.col("paper")))
+    notes = found.select(by, P.notices(F.col("paper"), F.col("qs"), **{c: F.col(c) for c in more}).alias("notices"))
     rows = found.select(by, F.explode("qs").alias("q")).select(
         by, "q.index", "q.place", *(fragment_html(F.col(f"q.{k}")).alias(f"{k}_html") for k in ("stem", "answer", "analysis", "detail"))
     )
