@@ -8,7 +8,7 @@ they are applied, names and SPDX lines.  Of places that overlap, that with most
 Its words and up to ``context`` words on either side within the sentence, with marks where the sentence begins or ends, go
 to a multinomial logistic regression over sparse word n-grams (one to three words) with one class per licence family and one
 for unknown text.  It is fitted on notices in the ways they are put, and for the unknown class on negated and mentioned
-notices, shuffled ones and sentences of the corpus itself (``corpus_rows`` documents of least hash are read for them, those that hold a
+notices, shuffled ones and sentences of the corpus itself (about ``corpus_rows`` documents, drawn by hash, are read for them, runs that hold a
 template left out).  Its probabilities are calibrated by a temperature, chosen on phrasings that a first fit has not seen.  A
 place whose best family stays under ``least_probability`` is unknown.  A prediction counts only when it is
 confirmed: a template of the predicted family must reach ``least_overlap`` in the place as above.
@@ -369,11 +369,17 @@ def scan(text: str | None, model: Classifier, p: Scan = Scan()) -> list[Found]:
 
 
 def corpus_sentences(rows: DataFrame, p: Scan) -> list[list[str]]:
-    """Up to ten short runs of words each from ``corpus_rows`` documents of least hash, none with a notice."""
+    """Up to ten short runs of words each from about ``corpus_rows`` documents, none with a notice.
+
+    Documents are drawn by their id's hash, so each task sends its share of them alone.
+    """
     rng, out = np.random.default_rng(9), []
-    chosen = rows.where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "text").alias("h")).select("h", F.substring("text", 1, p.corpus_chars).alias("text"))
-    for r in chosen.orderBy("h", "text").limit(p.corpus_rows).collect():
-        w = words(r["text"])
+    share = min(1.0, p.corpus_rows / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)) + 1).where(F.length("text") > 0)
+    # ids that are null or repeated are drawn together; the limit bounds those
+    found = drawn.select(F.substring("text", 1, p.corpus_chars).alias("text")).limit(2 * p.corpus_rows).collect()
+    for text in sorted(r["text"] for r in found):
+        w = words(text)
         for at in rng.integers(0, max(1, len(w)), 10).tolist():
             part = w[at : at + int(rng.integers(3, 20))]
             if part and not candidates(part, p.least_overlap):
