@@ -54,7 +54,10 @@ def pipe_table(block: str) -> str:
 
 
 def to_html(md: str) -> str:
-    """Ordered stages; each parks what it has made, so that no later stage reads it as Markdown."""
+    """Ordered stages; each parks what it has made, so that no later stage reads it as Markdown.
+
+    Fixed values: the patterns of the stages, in their order.
+    """
     s = md.strip()
     if not s:
         return ""

@@ -8,7 +8,9 @@ every loop is bounded by the input's length.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -36,6 +38,14 @@ SPECIAL_FONT = {
     0xEF00: " & ", 0xEF02: "\\,", 0xEF03: "\\;", 0xEF04: "\\ ", 0xEF05: "\\quad ", 0xEF06: "\\qquad ",
 }
 ESCAPED = frozenset("!#$%&:;_{|}")
+# Accents by their combining mark, Greek forms that aren't called by their letter, alphabets by their first code.
+ACCENTS = {0x300: "grave", 0x301: "acute", 0x302: "hat", 0x303: "tilde", 0x304: "bar", 0x306: "breve", 0x307: "dot", 0x308: "ddot", 0x30C: "check"}
+GREEK = {
+    0x39F: "{\\mathrm O}", 0x3B5: "\\varepsilon ", 0x3C2: "\\varsigma ", 0x3C6: "\\varphi ", 0x3D1: "\\vartheta ", 0x3D2: "\\Upsilon ", 0x3D5: "\\phi ", 0x3D6: "\\varpi ", 0x3DB: "\\varsigma ", 0x3DC: "\\digamma ",
+    0x3F0: "\\varkappa ", 0x3F1: "\\varrho ", 0x3F5: "\\epsilon ", 0x3F6: "\\backepsilon ",
+}
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {0xF000: ("mathfrak", LETTERS), 0xF080: ("mathbb", LETTERS[:26]), 0xF100: ("mathcal", LETTERS[:26])}
 
 
 @dataclass
@@ -106,9 +116,26 @@ def _character(r: Reader) -> Node:
     return Node(CHAR, text=shown(code or wide or low, face))
 
 
+def special(code: int) -> str | None:
+    """A character of the symbol and space fonts: its table entry, or by rule an accented letter, a Greek one or one of the alphabets."""
+    if code in SPECIAL_FONT or code in GREEK:
+        return SPECIAL_FONT.get(code) or GREEK.get(code)
+    for first, (command, letters) in ALPHABETS.items():
+        if first <= code < first + len(letters):
+            return f"\\{command}{{{letters[code - first]}}}"
+    parts = unicodedata.normalize("NFD", chr(code))
+    if len(parts) == 2 and parts[0] in LETTERS and ord(parts[1]) in ACCENTS:
+        return f"\\{ACCENTS[ord(parts[1])]}{{{parts[0]}}}"
+    greek = re.fullmatch("GREEK (SMALL|CAPITAL) LETTER ([A-Z]+)", unicodedata.name(chr(code), ""))
+    if not greek or not 0x391 <= code <= 0x3C9:
+        return None
+    name = greek[2].replace("LAMDA", "LAMBDA")
+    return f"\\{name.capitalize() if greek[1] == 'CAPITAL' else name.lower()} "
+
+
 def shown(code: int, face: int) -> str:
     """A character's LaTeX: its table entry, an escape, or itself; control characters vanish."""
-    own = SPECIAL_FONT.get(code) if face in (EXTRA, SPACE) else CHARACTERS.get(code, chr(code) if chr(code) in PLAIN else None)
+    own = special(code) if face in (EXTRA, SPACE) else CHARACTERS.get(code, chr(code) if chr(code) in PLAIN else None)
     if code == 0 or (own is None and code < 32 and code not in (9, 10, 13)):
         return ""
     text = own if own else chr(code)

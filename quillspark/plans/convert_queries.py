@@ -143,3 +143,59 @@ def mtef_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", E.mtef_to_latex(made).alias("latex"))
 
 
+def _native(body: bytes) -> tuple[bytes, bytes]:
+    """Header and records with one line, cut where its first ``@`` stands."""
+    head = bytes([5, 1, 0, 5, 0]) + b"DSMT\0" + b"\0" + b"\x0a\x01\x00"
+    records = head + body + b"\0\0"
+    whole = struct.pack("<HIH", 28, 0, 0) + struct.pack("<I", len(records)) + bytes(16) + records
+    before, _, after = whole.partition(b"@")
+    return before, after
+
+
+def _char(c: str, face: int = 0x83) -> bytes:
+    return bytes([2, 0, face]) + struct.pack("<H", ord(c))
+
+
+def _slot(*xs: bytes) -> bytes:
+    return b"\x01\x00" + b"".join(xs) + b"\0"
+
+
+MAIN = _slot(_char("@"))
+LOW, HIGH = _slot(_char("1")), _slot(_char("n"))
+#: selector, variation, slots, LaTeX with # for the digit
+TEMPLATES = [
+    (0, 0, [MAIN, _char("("), _char(")")], r"\left ( { # } \right )"), (1, 0, [MAIN, _char("("), _char(")")], r"\left ( { # } \right )"), (9, 0, [MAIN, _char("["), _char("]")], r"\left [ { # } \right ]"),
+    (2, 0, [MAIN, _char("{")], r"\left \{ \begin{array}{l} # \end{array} \right."), (3, 0, [MAIN, _char("["), _char("]")], r"\left[ # \right]"), (4, 0, [MAIN, _char("|"), _char("|")], r"\left \| { # } \right  \|"),
+    (10, 0, [MAIN, LOW], r"\sqrt[1] { # }"), (11, 0, [MAIN, LOW], r"\frac { # } { 1 }"), (12, 0, [MAIN], r"{\underline{ # }}"), (14, 0x20, [MAIN, _slot()], r"\xrightarrow  {\mathrm{ # }}"),
+    (16, 0, [MAIN, LOW, HIGH, _char("\u2211")], "\u2211 \\limits_{ 1 } ^ n { # }"), (23, 0, [MAIN, LOW], r"\mathop { # } \limits_{ 1 }"), (27, 0, [MAIN, HIGH], "_{ # }  ^{ n }"), (28, 0, [_slot(), MAIN], "^ { # }"),
+    (29, 0, [MAIN, HIGH], "_{ # }  ^{ n }"), (31, 2, [MAIN], r"\overset\rightarrow { # }"), (33, 0, [MAIN, LOW], "1  { # }"), (34, 0, [MAIN, LOW], r"\overset 1 { # }"), (15, 0, [MAIN], ""), (11, 0, [MAIN], ""),
+]
+_VALUES = ", ".join(f"({k}, '{latex.replace(chr(39), chr(39) * 2)}')" for k, (*_, latex) in enumerate(TEMPLATES))
+
+
+@query(f"SELECT s_suppkey, u.k::INTEGER AS k, replace(u.latex, '#', (s_suppkey % 10)::VARCHAR) AS latex FROM supplier, (SELECT * FROM (VALUES {_VALUES}) v(k, latex)) u")
+def mtef_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template that is known, one that isn't, and one with a slot too few."""
+    made = []
+    for k, (selector, variation, slots, _) in enumerate(TEMPLATES):
+        before, after = _native(bytes([3, 0, selector, variation, 0]) + b"".join(slots) + b"\0")
+        digit = F.encode((F.col("s_suppkey") % 10).cast("string"), "UTF-8")
+        made.append(F.struct(F.lit(k).alias("k"), F.concat(F.lit(before), digit, F.lit(after)).alias("native")))
+    rows = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
+    return rows.select("s_suppkey", "m.k", E.mtef_to_latex("m.native").alias("latex"))
+
+
+#: code in the symbol font, LaTeX
+SYMBOLS = [(0x3B1, "\\alpha "), (0x3BB, "\\lambda "), (0x3A9, "\\Omega "), (0x3B5, "\\varepsilon "), (0xC0, "\\grave{A}"), (0x10D, "\\check{c}"), (0xF000, "\\mathfrak{A}"), (0xF01A, "\\mathfrak{a}"), (0xF08B, "\\mathbb{L}"), (0xF109, "\\mathcal{J}"), (0x24, "\\$"), (0x221E, "\u221e")]
+
+
+@query(f"SELECT s_suppkey, u.k::INTEGER AS k, u.latex || (s_suppkey % 10) AS latex FROM supplier, (SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{x}{chr(39)})' for k, (_, x) in enumerate(SYMBOLS))}) v(k, latex)) u")
+def mtef_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the symbol font before a digit."""
+    made = []
+    for k, (code, _) in enumerate(SYMBOLS):
+        before, after = _native(_char(chr(code), E.EXTRA) + _char("@"))
+        digit = F.encode((F.col("s_suppkey") % 10).cast("string"), "UTF-8")
+        made.append(F.struct(F.lit(k).alias("k"), F.concat(F.lit(before), digit, F.lit(after)).alias("native")))
+    rows = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
+    return rows.select("s_suppkey", "m.k", E.mtef_to_latex("m.native").alias("latex"))
