@@ -177,9 +177,24 @@ def embedded_formulas(docs: DataFrame, by: str = "doc_id") -> DataFrame:
     return objects.drop("data").join(decoded, "sha1").select(by, "source", F.col("f.mathml").alias("mathml"), latex.alias("latex"))
 
 
+def conversion_counts(markdown: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``doc_id, formulas, math_converted, image_count`` of converted files; those that failed have zeros."""
+    many = lambda x: F.greatest(F.size(F.coalesce(x, F.array())), F.lit(0))
+    done = F.filter("formulas", lambda f: F.coalesce(f["latex"], F.lit("")) != "")
+    return markdown.select(by, many(F.col("formulas")).alias("formulas"), many(done).alias("math_converted"), many(F.col("images")).alias("image_count"))
+
+
+def batch_counts(markdown: DataFrame, by: str = "doc_id") -> DataFrame:
+    """One row: ``files, failed, formulas, math_converted, images`` of a batch, by partial sums."""
+    counted = conversion_counts(markdown.withColumn(by, F.struct(by, "error")), by)
+    return counted.agg(
+        F.count("*").alias("files"), F.count(f"{by}.error").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("formulas", "formulas"), ("math_converted", "math_converted"), ("image_count", "images")))
+    )
+
+
 def write_markdown(markdown: DataFrame, path: str, by: str = "doc_id") -> None:
     """The batch sink: one Parquet table of documents, overwritten as a whole."""
     markdown.select(by, "md").write.mode("overwrite").parquet(path)
 
 
-__all__ = ["embedded_formulas", "image_files", "parse_papers", "questions", "to_markdown", "without_objects", "write_markdown"]
+__all__ = ["batch_counts", "conversion_counts", "embedded_formulas", "image_files", "parse_papers", "questions", "to_markdown", "without_objects", "write_markdown"]

@@ -12,7 +12,7 @@ from ..operators import pictures as P
 from ..sources import docx as D
 from ..sources.tables import spread, table
 from . import convert
-from .docx_queries import body, files, when
+from .docx_queries import body, files, sample, when
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,19 @@ def docx_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.to_markdown(_pictured(spark, sf_dir), by="s_suppkey", pngs=_pngs(spark)).select("s_suppkey", "md")
 
 
+@query("SELECT s_suppkey, (s_suppkey % 4 = 0)::INTEGER + (s_suppkey % 3 = 1)::INTEGER AS formulas, (s_suppkey % 4 = 0)::INTEGER AS math_converted, (s_suppkey % 2 = 0)::INTEGER + (s_suppkey % 3 = 0)::INTEGER AS image_count FROM supplier")
+def conversion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.conversion_counts(convert.to_markdown(_pictured(spark, sf_dir), by="s_suppkey"), "s_suppkey")
+
+
+@query(
+    """SELECT count(*) AS files, count(*) FILTER (s_suppkey % 7 = 6) AS failed, sum(CASE WHEN s_suppkey % 7 = 6 THEN 0 ELSE s_suppkey % 3 + s_suppkey % 4 + (s_suppkey % 4 < 2)::BIGINT END)::BIGINT AS formulas,
+    sum(CASE WHEN s_suppkey % 7 = 6 THEN 0 ELSE s_suppkey % 3 + s_suppkey % 4 END)::BIGINT AS math_converted, 0::BIGINT AS images FROM supplier"""
+)
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.batch_counts(convert.to_markdown(sample(spark, sf_dir), by="s_suppkey"), "s_suppkey")
+
+
 @query(
     f"""SELECT s_suppkey, u.path, u.data FROM supplier, LATERAL (SELECT * FROM (VALUES ('image/image001.jpg', 'j', s_suppkey % 2 = 0), ('image/' || {VECTOR}, 'e' || s_suppkey % 6, s_suppkey % 6 = 3),
     ('image/formula' || {OBJECT} || '.wmf', 'w' || s_suppkey % 2, s_suppkey % 3 = 1)) v(path, data, here)) u WHERE u.here"""
@@ -110,10 +123,14 @@ def docx_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.to_markdown(_files(spark, sf_dir), by="s_suppkey").select("s_suppkey", "md")
 
 
-@query("SELECT s_suppkey, u.q AS \"index\", CASE u.q WHEN 1 THEN 'first ' || s_suppkey ELSE 'second' END AS stem1, CASE u.q WHEN 1 THEN 'A' ELSE '' END AS answer FROM supplier, (SELECT unnest([1, 2])::BIGINT AS q) u")
+@query(
+    f"""SELECT s_suppkey, 'imp-q-' || q || '-' || substr(sha1(s_suppkey || '|' || stem), 1, 8) AS id, q AS "index", split_part(stem, chr(10), 1) AS stem1, CASE q WHEN 1 THEN 'A' ELSE '' END AS answer FROM
+    (SELECT s_suppkey, u.q, CASE u.q WHEN 1 THEN 'first ' || s_suppkey ELSE 'second' || {NL} || '**bold** a<b ${{x}}^{{2}}$[link](http://a.b/c)' || {NL} || '| h |' || chr(10) || '| --- |' || chr(10) || '| c |' END AS stem
+    FROM supplier, (SELECT unnest([1, 2])::BIGINT AS q) u)"""
+)
 def docx_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     md = convert.to_markdown(_files(spark, sf_dir), by="s_suppkey")
-    return convert.questions(md, by="s_suppkey").select("s_suppkey", "index", F.element_at(F.split("stem", "\n"), 1).alias("stem1"), "answer")
+    return convert.questions(md, by="s_suppkey").select("s_suppkey", "id", "index", F.element_at(F.split("stem", "\n"), 1).alias("stem1"), "answer")
 
 
 @query(
