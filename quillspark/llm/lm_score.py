@@ -19,7 +19,9 @@ Size.  Both filters (words, bigrams) and the exact counts grow with the corpus,
 how they are used; no size changes a score.  A filter over ``filter_bytes`` is used in shards, runs of segments
 within that size.  Each pass over the texts has one shard of either broadcast; it adds the numerators of the tokens
 whose word and bigram fall to them, and once per shard of words the denominators of the contexts in it.  Its sums are written
-and its shards released before the next ones come.  Exact counts of more than ``broadcast_words`` words are joined by a
+and its shards released before the next ones come.  Where the bigrams would take more than ``passes`` shards, their probes are
+sent to their segments instead: a pass for each shard of words sends every text's bigrams, counted, by ranges of the hash to
+the tasks that have these ranges' segments, so the texts are read twice per shard of words, whatever the filter's size.  Exact counts of more than ``broadcast_words`` words are joined by a
 shuffle with adaptive splitting of frequent words.
 
 Defined cases: a null or empty text is one end token.  Rows repeated with one doc_id are counted and
@@ -61,6 +63,8 @@ class LanguageModel:
     #: Training text whose grams meet in one task.
     task_bytes: int = 8 << 20
     filter_bytes: int = 128 << 20
+    #: Shards of bigrams up to which texts are read anew for each.
+    passes: int = 3
     broadcast_words: int = 6_000_000
     #: Tokens that a worker counts together; it scores half as many together, as it holds the filters then.
     portion: int = 400_000
@@ -185,15 +189,20 @@ def segments(keys: np.ndarray, counts: np.ndarray, bits: int, p: LanguageModel)
         yield int(seg[a]), int(sizes[k]), b - a, int(counts[a:b].sum()), packed[starts[k] // 8 : starts[k + 1] // 8].tobytes()
 
 
+def dealt(rows: DataFrame, size: int, bits: int, p: LanguageModel) -> tuple[int, int]:
+    """Tasks for this much training text, and the bits of a range of keys: four to eight ranges a task, each of
+    whole segments, so that hashing deals them out evenly."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // p.task_bytes))
+    ranges = min(bits, max(1, (4 * tasks - 1).bit_length()))
+    return min(tasks, 1 << ranges), ranges
+
+
 def build(training: DataFrame, size: int, bits: int, p: LanguageModel) -> DataFrame:
     """``(kind, seg, size, grams, total, data)``: the segments of words and of bigrams, and blocks of exact counts.
 
     A block's ``data`` are the keys of words followed by their counts, 8 bytes each.
     """
-    spark = training.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.task_bytes))
-    # four to eight ranges of keys a task, each of whole segments, so that hashing deals them out evenly
-    ranges = min(bits, max(1, (4 * tasks - 1).bit_length()))
+    tasks, ranges = dealt(training, size, bits, p)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -240,7 +249,7 @@ def build(training: DataFrame, size: int, bits: int, p: LanguageModel) -> DataFr
             yield flush()
 
     blocks = training.select("text").mapInArrow(count, "part long, keys binary, n binary")
-    placed = blocks.repartition(min(tasks, 1 << ranges), "part").sortWithinPartitions("part")
+    placed = blocks.repartition(tasks, "part").sortWithinPartitions("part")
     return placed.mapInArrow(make, "kind int, seg long, size long, grams long, total long, data binary")
 
 
@@ -325,6 +334,56 @@ def exact_counts(built: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 SUMS = ["n_tokens", "n_known", "base_score", "score"]
+PART = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
+
+
+@dataclass
+class Portion:
+    """Tokens of some rows with what the words' filter says of them."""
+
+    ids: pa.Array
+    prints: pa.Array
+    length: np.ndarray
+    tokens: np.ndarray
+    keys: np.ndarray
+    #: Per token: whether its word falls to the shard, mu p(w), log10 of its context's denominator or 0 outside the shard.
+    own: np.ndarray
+    mass: np.ndarray
+    below: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+
+def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, exact: tuple | None, total: float, p: LanguageModel) -> Iterator[Portion]:
+    from xxhash import xxh3_64_intdigest
+
+    seen = Words()
+    mass, denominator, own, known, base = (np.zeros(0, t) for t in (float, float, bool, np.int64, float))
+    for held, texts in portions(batches, 1, p.portion // 2):
+        if len(seen) > Words.LIMIT:
+            seen.forget()
+            mass, denominator, own, known, base = (x[:0] for x in (mass, denominator, own, known, base))
+        tokens, length = seen.tokens(texts)
+        keys = seen.keys[len(mass) :]
+        if len(keys):  # words that are new to this worker
+            here = words.holds(keys)
+            count = np.zeros(len(keys))
+            count[here] = expected(words.levels(keys[here]))
+            c = np.zeros(len(keys))
+            if exact is not None and len(exact[0]):
+                k, n = exact
+                at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                c = np.where(k[at] == keys, n[at], 0).astype(float)
+            mass = np.append(mass, p.mu * (count + 1) / total)
+            denominator = np.append(denominator, np.where(here, np.log10(count + p.mu), 0.0))
+            own, known, base = np.append(own, here), np.append(known, c > 0).astype(np.int64), np.append(base, np.log10((c + 1) / total))
+        prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
+        ids = pa.concat_arrays([b.column(0) for b in held])
+        yield Portion(ids, as_i64(prints), length, tokens, bigram_keys(seen, tokens), own[tokens], mass[tokens], denominator[before(tokens)], known[tokens], base[tokens])
 
 
 def one_pass(rows: DataFrame, words: Broadcast, pairs: Broadcast, exact: Broadcast | None, first: bool, contexts: bool, total: float, p: LanguageModel) -> DataFrame:
@@ -334,42 +393,68 @@ def one_pass(rows: DataFrame, words: Broadcast, pairs: Broadcast, exact: Broadca
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        seen, ours = Words(), words.value
-        mass, denominator, own, known, base = (np.zeros(0, t) for t in (float, float, bool, np.int64, float))
-        for held, texts in portions(batches, 1, p.portion // 2):
-            if len(seen) > Words.LIMIT:
-                seen.forget()
-                mass, denominator, own, known, base = (x[:0] for x in (mass, denominator, own, known, base))
-            tokens, length = seen.tokens(texts)
-            keys = seen.keys[len(mass) :]
-            if len(keys):  # words that are new to this worker
-                here = ours.holds(keys)
-                count = np.zeros(len(keys))
-                count[here] = expected(ours.levels(keys[here]))
-                c = np.zeros(len(keys))
-                if exact is not None and len(exact.value[0]):
-                    k, n = exact.value
-                    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-                    c = np.where(k[at] == keys, n[at], 0).astype(float)
-                mass = np.append(mass, p.mu * (count + 1) / total)
-                denominator = np.append(denominator, np.where(here, np.log10(count + p.mu), 0.0))
-                own, known, base = np.append(own, here), np.append(known, c > 0).astype(np.int64), np.append(base, np.log10((c + 1) / total))
-            pair, at = np.unique(bigram_keys(seen, tokens), return_inverse=True)
+        for x in read_portions(batches, words.value, exact and exact.value, total, p):
+            pair, at = np.unique(x.keys, return_inverse=True)
             joint, here = np.zeros(len(pair)), pairs.value.holds(pair)
             joint[here] = expected(pairs.value.levels(pair[here]))
-            logs = np.log10(joint[at] + mass[tokens])
-            logs[~(own[tokens] & here[at])] = 0.0
+            logs = np.log10(joint[at] + x.mass)
+            logs[~(x.own & here[at])] = 0.0
             if contexts:
-                logs -= denominator[before(tokens)]
-            starts = np.cumsum(length) - length
-            told = [length, np.add.reduceat(known[tokens], starts), np.add.reduceat(base[tokens], starts)] if first else [np.zeros(len(length), t) for t in (np.int64, np.int64, float)]
-            prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            yield pa.RecordBatch.from_arrays([ids, as_i64(prints), *map(pa.array, (*told, np.add.reduceat(logs, starts)))], names=["doc_id", "text_hash", *SUMS])
+                logs -= x.below
+            told = [x.length, *(np.add.reduceat(v, x.starts) for v in (x.known, x.base))] if first else [np.zeros(len(x.length), t) for t in (np.int64, np.int64, float)]
+            yield pa.RecordBatch.from_arrays([x.ids, x.prints, *map(pa.array, (*told, np.add.reduceat(logs, x.starts)))], names=["doc_id", "text_hash", *SUMS])
+
+    return rows.mapInArrow(run, PART)
+
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double")
+def probes_sent(rows: DataFrame, built: DataFrame, words: Broadcast, tasks: int, ranges: int, bits: int, total: float, p: LanguageModel) -> DataFrame:
+    """Sums of the numerators of the tokens whose word falls to the shard, from probes made where the bigrams' segments are.
+
+    A block has a portion's bigrams of one range, once for each text with their number there.
+    """
+    schema = "part long, seg long, size long, data binary, mass binary, text binary, times binary, ids array<long>, prints array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in read_portions(batches, words.value, None, total, p):
+            keys, text, mass = x.keys[x.own], np.repeat(np.arange(len(x.length)), x.length)[x.own], x.mass[x.own]
+            order = np.lexsort((text, keys))
+            keys, text, mass = keys[order], text[order], mass[order]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])[: len(keys)])
+            times = np.diff(np.append(new, len(keys)))
+            keys, text, mass = keys[new], text[new], mass[new]
+            out = []
+            part = prefix(keys, ranges)
+            for a, b in runs(part):
+                some, at = np.unique(text[a:b], return_inverse=True)
+                which = pa.array(some)
+                out.append((int(part[a]), None, None, keys[a:b].tobytes(), mass[a:b].tobytes(), at.astype("<i4").tobytes(), times[a:b].astype("<i4").tobytes(), x.ids.take(which).to_pylist(), x.prints.take(which).to_pylist()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, bloom = None, {}, None
+        for batch in batches:
+            for part, seg, size, data, mass, text, times, ids, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, held, bloom = part, {}, None
+                if seg is not None:  # segments come before the blocks of their range
+                    held[seg] = size, data
+                    continue
+                if bloom is None:
+                    first, n = part << (bits - ranges), 1 << (bits - ranges)
+                    found = [held.get(first + k, (0, b"")) for k in range(n)]
+                    bloom = LogBloom(np.frombuffer(b"".join(d for _, d in found) or b"\0", np.uint8), np.cumsum([0, *(z for z, _ in found)]), first, bits, p.probes)
+                logs = np.log10(expected(bloom.levels(np.frombuffer(data, "<u8"))) + np.frombuffer(mass, "<f8")) * np.frombuffer(times, "<i4")
+                sums = np.bincount(np.frombuffer(text, "<i4"), logs, minlength=len(ids))
+                none = [pa.array(np.zeros(len(ids), t)) for t in (np.int64, np.int64, float)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), *none, pa.array(sums)], names=["doc_id", "text_hash", *SUMS])
+
+    own = built.where(F.col("kind") == BIGRAMS).select(F.shiftright("seg", bits - ranges).alias("part"), "seg", "size", "data")
+    blocks = rows.mapInArrow(send, schema).unionByName(own, allowMissingColumns=True)
+    placed = blocks.repartition(tasks, "part").sortWithinPartitions("part", F.col("seg").isNull())
+    return placed.mapInArrow(probe, PART)
 
 
 def joined_counts(rows: DataFrame, built: DataFrame, total: float, p: LanguageModel) -> DataFrame:
@@ -420,24 +505,29 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     share = lambda kind, run: spark.sparkContext.broadcast(load(built, kind, *run, bits, p.probes))
     exact = spark.sparkContext.broadcast(exact_counts(built)) if v <= p.broadcast_words else None
     word_runs, pair_runs = (shards(built, kind, bits, p.filter_bytes) for kind in (WORDS, BIGRAMS))
-    passes = [(i, j) for i in range(len(word_runs)) for j in range(len(pair_runs))]
+    sent = len(pair_runs) > p.passes
+    # where probes are sent, one pass without any bigrams tells all else
+    none = LogBloom(np.zeros(1, np.uint8), np.zeros(1, np.int64), 0, bits, p.probes)
+    passes = [(i, j) for i in range(len(word_runs)) for j in range(1 if sent else len(pair_runs))]
     parts = []
     for i, j in passes:
         words = words if j else share(WORDS, word_runs[i])
-        pairs = share(BIGRAMS, pair_runs[j])
-        part = one_pass(rows, words, pairs, exact, (i, j) == (0, 0), j == 0, total, p)
+        pairs = spark.sparkContext.broadcast(none) if sent else share(BIGRAMS, pair_runs[j])
+        made = [one_pass(rows, words, pairs, exact, (i, j) == (0, 0), j == 0, total, p)]
+        if sent:
+            made.append(probes_sent(rows, built, words, *dealt(training, size, bits, p), bits, total, p))
         if len(passes) > 1:
             # its sums are written before the next shard comes, so one of either is held at a time
-            part = materialize(part, "partial")
-            for done in (pairs, *([words] if j == len(pair_runs) - 1 else [])):
+            made = [materialize(x, "partial") for x in made]
+            for done in (pairs, *([words] if j == len(pair_runs) - 1 or sent else [])):
                 done.destroy(blocking=True)
-        parts.append(part)
+        parts += made
     out, by = parts[0], ["doc_id", "text_hash"]
     if len(parts) > 1:
         for other in parts[1:]:
             out = out.unionByName(other)
-        # repeated rows add up alike in every pass: as many as the rows over the passes
-        copies = F.count("*") / len(parts)
+        # repeated rows add up alike in every pass; only the first tells tokens, of which every row has some
+        copies = F.count_if(F.col("n_tokens") > 0)
         out = out.groupBy(*by).agg(copies.cast("int").alias("copies"), *((F.sum(c) / copies).alias(c) for c in SUMS))
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*by, *(F.col(c).cast("long").alias(c) for c in SUMS[:2]), *SUMS[2:])
     if exact is None:

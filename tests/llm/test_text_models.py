@@ -360,7 +360,7 @@ def test_lm_score_in_shards(make):
     ids, texts = lm_texts(12, 40)
     p = LanguageModel(segment_bytes=16_000)
     whole = lm_rows(lm_score(make(texts, ids), p))
-    for other in (replace(p, filter_bytes=200), replace(p, task_bytes=3000, portion=300), replace(p, filter_bytes=1000, broadcast_words=0)):
+    for other in (replace(p, filter_bytes=200, passes=99), replace(p, filter_bytes=200, passes=1), replace(p, filter_bytes=100, passes=1, portion=300), replace(p, task_bytes=3000, portion=300), replace(p, filter_bytes=1000, broadcast_words=0)):
         parts = lm_rows(lm_score(make(texts, ids), other))
         assert [r[:5] for r in parts] == [r[:5] for r in whole]
         assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for a, b in zip(parts, whole, strict=True) for k in (5, 6))
