@@ -169,7 +169,10 @@ def parse_papers(papers: DataFrame, column: str = "text", by: str = "doc_id") ->
 
 
 def embedded_formulas(docs: DataFrame, by: str = "doc_id") -> DataFrame:
-    """``doc_id, source, mathml, latex`` of embedded objects; equal objects are decoded once."""
+    """``doc_id, source, mathml, latex`` of embedded objects; equal objects are decoded once.
+
+    Digests and results are joined back, not bytes; an object that very many files share is split by adaptive execution.
+    """
     objects = D.members_under(D.parts(docs, by, under="word/embeddings/"), "word/embeddings/").select(by, F.element_at(F.split("part", "/", -1), -1).alias("source"), "data", F.sha1("data").alias("sha1"))
     decoded = objects.dropDuplicates(["sha1"]).select("sha1", ole_formula("data").alias("f"))
     marked = F.col("f.latex").startswith("【")

@@ -70,18 +70,29 @@ def web_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", W.web_markdown(html).alias("md"))
 
 
-@query("SELECT o_custkey, (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM orders i WHERE i.o_custkey = o.o_custkey AND i.o_orderstatus <> 'F'))::BIGINT AS n FROM (SELECT DISTINCT o_custkey FROM orders) o")
+@query(
+    """SELECT o_custkey, least(8, count(DISTINCT o_orderpriority || (o_orderkey % 4)) FILTER (o_orderstatus <> 'F' AND o_orderkey % 5 > 0))::BIGINT AS n FROM orders GROUP BY 1"""
+)
 def warning_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.struct(F.lit("warning").alias("type"), F.when(F.col("o_orderstatus") == "F", F.lit("Unrecognised element: x")).otherwise(F.col("o_orderpriority")).alias("message"))
+    """Noise, notes that are no warnings, repeats, and more than eight messages."""
+    k = F.col("o_orderkey")
+    told = F.when(F.col("o_orderstatus") == "F", F.lit("Unrecognised element: x")).otherwise(F.concat("o_orderpriority", (k % 4).cast("string")))
+    message = F.struct(F.when(k % 5 == 0, "info").when(k % 2 == 0, "error").otherwise("warning").alias("type"), told.alias("message"))
     held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(message)).alias("m"))
     return held.select("o_custkey", F.size(W.warnings(F.col("m"))).cast("long").alias("n"))
 
 
-@query("SELECT c_nationkey, 'a/' || min(c_name) || '.md' AS path FROM customer GROUP BY 1")
+@query(
+    """SELECT c_nationkey, path FROM (SELECT c_nationkey, path, row_number() OVER (PARTITION BY c_nationkey ORDER BY len(string_split(path, '/')), path) AS n FROM
+    (SELECT c_nationkey, unnest(CASE WHEN c_nationkey % 3 = 0 THEN [c_name || '.txt'] ELSE [] END || CASE WHEN c_nationkey % 2 = 0 THEN ['a/' || c_name || '.MD'] ELSE [] END || ['a/b/' || c_name || '.markdown']) AS path FROM customer)) WHERE n = 1"""
+)
 def markdown_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    paths = F.array(F.concat(F.lit("a/b/"), "c_name", F.lit(".md")), F.concat(F.lit("a/"), "c_name", F.lit(".md")), F.concat(F.lit("0"), "c_name", F.lit(".txt")))
-    return W.pick_markdown(c.select("c_nationkey", F.explode(paths).alias("path"), F.lit(None).cast("string").alias("type")), ["c_nationkey"]).select("c_nationkey", "path")
+    """The least depth, then the first name; some by extension, some by type, and others no Markdown."""
+    c, n = table(spark, sf_dir, "customer"), F.col("c_nationkey")
+    item = lambda before, after, kind, here: F.when(here, F.struct(F.concat(F.lit(before), "c_name", F.lit(after)).alias("path"), F.lit(kind).alias("type")))
+    items = F.array(item("", ".txt", "text/markdown", n % 3 == 0), item("a/", ".MD", None, n % 2 == 0), item("a/b/", ".markdown", None, F.lit(True)), item("", ".txt", "text/plain", F.lit(True)))
+    files = c.select("c_nationkey", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("i")).select("c_nationkey", "i.path", "i.type")
+    return W.pick_markdown(files, ["c_nationkey"]).select("c_nationkey", "path")
 
 
 @query("SELECT s_suppkey, 'x <img class=\"formula\" src=\"/files/j/assets/formula001.png\" alt=\"f\"> <img class=\"figure\" src=\"/files/j/assets/' || s_name || '\" alt=\"\">' AS html, true AS image FROM supplier")
