@@ -7,7 +7,9 @@ after is relational.  Each works part by part in the partition where the bytes a
 from __future__ import annotations
 
 import io
+import lzma
 import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
@@ -78,7 +80,7 @@ def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
 
 
 #: What reading a damaged zip or a damaged member of one raises.
-BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError)
+BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, ValueError, EOFError, NotImplementedError, RuntimeError, OSError)
 
 
 class Package:

@@ -3,7 +3,10 @@
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from quillspark.operators.clean import objects_as_latex
 from quillspark.plans.convert import questions, to_markdown, write_markdown
 from quillspark.sources import docx as D
 from quillspark.streaming.ingest import convert_arriving
@@ -59,6 +62,26 @@ def test_objects_become_latex(spark):
     assert shown == {"picture": "a![001](image/formula001.wmf)\n", "latex": "a$x+1$\n"}
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_damage_never_raises(data):
+    """Bytes changed, cut out or put in anywhere: parts and records come or don't, and nothing is raised."""
+    whole = bytearray(D.zipped([("word/document.xml", DOC.encode()), ("word/_rels/document.xml.rels", b"<a/>"), ("word/media/\u00e9.png", b"y" * 50)]))
+    for _ in range(data.draw(st.integers(1, 4))):
+        at = data.draw(st.integers(0, len(whole) - 1))
+        kind = data.draw(st.integers(0, 2))
+        if kind == 0:
+            whole[at] = data.draw(st.integers(0, 255))
+        elif kind == 1:
+            del whole[at : at + data.draw(st.integers(1, 30))]
+        else:
+            whole[at:at] = data.draw(st.binary(max_size=10))
+        if not whole:
+            whole = bytearray(b"PK")
+    assert isinstance(list(D._members(bytes(whole))), list) and isinstance(list(D._records(bytes(whole))), list)
+    assert isinstance(objects_as_latex(bytes(whole), [])[1], list)
+
+
 def test_damaged_files(spark):
     """Bytes that are no UTF-8, a cut zip, a damaged member: rows with errors, and the others go on."""
     from quillspark.operators.inspector import inspect, raw_counts
