@@ -81,6 +81,10 @@ def test_align():
         a, b = rnd.integers(0, 4, rnd.integers(1, 12)).astype(np.uint64), rnd.integers(0, 4, rnd.integers(1, 15)).astype(np.uint64)
         score, matched, start, end = align(a, b, Decontamination())
         assert score == naive_align(a.tolist(), b.tolist()) and 0 <= start <= end <= len(b) and 2 * matched >= score
+        # the place alone gives the same
+        assert align(a, b[start:end], Decontamination())[:2] == (score, matched)
+    long = np.arange(50_000).astype(np.uint64)
+    assert align(long[100:160], long, Decontamination()) == (120, 60, 100, 160)
 
 
 @pytest.mark.parametrize("block_words", [1_000_000, 60])
