@@ -244,6 +244,17 @@ def rebuild_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.max(F.when(F.col("part") == "word/document.xml", heading)).alias("heading"))
 
 
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN '/out/' || s_name || '.md' ELSE '/out/' || CASE WHEN s_suppkey % 3 = 1 THEN 'deep/er/' ELSE '' END || s_name || CASE WHEN s_suppkey % 5 = 0 THEN '.doc' ELSE '.md' END END AS path FROM supplier"""
+)
+def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs mirror the folders below the root; a file elsewhere keeps its name."""
+    k = F.col("s_suppkey")
+    folder = F.when(k % 3 == 0, "file:/data/in/").when(k % 3 == 1, "file:/data/in/deep/er/").otherwise("file:/other/")
+    path = F.concat(folder, "s_name", F.when((k % 5 == 0) & (k % 3 != 2), ".doc").when(k % 2 == 0, ".docx").otherwise(".DOCX"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", D.output_path(path, "/data/in/", "/out").alias("path"))
+
+
 @query(
     r"""SELECT l_orderkey, l_linenumber, '\dfrac{' || q || '}{' || l_linenumber || '}' AS fraction, '{' || q || '}^{' || l_linenumber || '}' AS power, '\sqrt[' || l_linenumber || ']{' || q || '}' AS root,
     '\int _{0}^{' || q || '}{x\le \%}' AS integral, '\sin{' || q || '}' AS sine, '\begin{aligned}a \\ ' || q || '\end{aligned}' AS lines
