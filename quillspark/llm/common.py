@@ -24,7 +24,10 @@ BROADCAST_IDS = 500_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches, in rows and in bytes, so that long texts don't fill a worker."""
+    """Bound the Arrow batches, in rows and in bytes, so that long texts don't fill a worker.
+
+    Set for the session, as the plans that are returned run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
