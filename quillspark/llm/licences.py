@@ -24,7 +24,7 @@ than the id and the text are not read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,21 +201,39 @@ def candidates(tokens: list[str], least_overlap: float) -> list[tuple[int, int]]
     """Places ``(first word, end)`` that hold enough of a template, apart, in order."""
     ix = index(least_overlap)
     places: dict[int, list] = defaultdict(list)
+    own: dict[int, list[int]] = defaultdict(list)
     for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
         for t in ix.by_pair.get(pair, ()):
             places[t].append((i, pair))
-    tried: dict[tuple[int, int], tuple[int, float]] = {}
-    for t, found in places.items():
-        template = ix.templates[t]
-        for least in range(template.need, len({pair for _, pair in found}) + 1):
-            for i, j in _runs(found, least):
-                if j + 2 - i <= template.room and template.own & pairs(tokens[i : j + 2]):
-                    tried[i, j + 2] = max(tried.get((i, j + 2), (0, 0.0)), (least, least / len(template.pairs)))
+            if pair in ix.templates[t].own:
+                own[t].append(i)
     taken: list[tuple[int, int]] = []
-    for (i, j), _ in sorted(tried.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1] - x[0][0], x[0])):
-        k = bisect_right(taken, (i, j))
-        if (k == 0 or taken[k - 1][1] <= i) and (k == len(taken) or j <= taken[k][0]):
-            taken.insert(k, (i, j))
+
+    def free(i: int, j: int) -> bool:
+        k = bisect_right(taken, (i, len(tokens)))
+        return (k == 0 or taken[k - 1][1] <= i) and (k == len(taken) or j <= taken[k][0])
+
+    def has_own(t: int, i: int, j: int) -> bool:
+        k = bisect_left(own[t], i)
+        return k < len(own[t]) and own[t][k] < j
+
+    most = {t: len({pair for _, pair in found}) for t, found in places.items()}
+    # most pairs first; a word that is taken is in no later place, so texts full of notices are gone through quickly
+    for level in range(max(most.values(), default=0), 0, -1):
+        tried = []
+        for t, found in places.items():
+            template = ix.templates[t]
+            if template.need <= level <= most[t]:
+                runs = ((i, j + 2) for i, j in _runs(found, level))
+                tried += [(-level / len(template.pairs), j - i, i, j) for i, j in runs if j - i <= template.room and has_own(t, i, j - 1) and free(i, j)]
+        before = len(taken)
+        for _, _, i, j in sorted(tried):
+            if free(i, j):
+                taken.insert(bisect_right(taken, (i, j)), (i, j))
+        if len(taken) > before:
+            for t in places:
+                places[t] = [x for x in places[t] if free(x[0], x[0] + 2)]
+                most[t] = len({pair for _, pair in places[t]})
     return taken
 
 

@@ -91,6 +91,9 @@ def test_licence_places_by_brute_force():
         assert not good or ix.some.search(" ".join(tokens))
         some += bool(good)
     assert some > 100
+    # a long text of nothing but licence texts: each is one place
+    text = " ".join(L.TEMPLATES["GPL"][-1] + " end of it " for _ in range(400))
+    assert len(L.candidates(L.words(text), 0.6)) == 400
 
 
 def test_licence_calibration(licence_model):
