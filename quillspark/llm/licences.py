@@ -387,7 +387,7 @@ def scan(text: str | None, model: Classifier, p: Scan = Scan()) -> list[Found]:
 
 
 def corpus_sentences(rows: DataFrame, p: Scan) -> list[list[str]]:
-    """Up to ten short runs of words each from about ``corpus_rows`` documents, none with a notice.
+    """Up to two short runs of words each from about ``corpus_rows`` documents, none with a notice.
 
     Documents are drawn by their id's hash, so each task sends its share of them alone.
     """
@@ -398,7 +398,7 @@ def corpus_sentences(rows: DataFrame, p: Scan) -> list[list[str]]:
     found = drawn.select(F.substring("text", 1, p.corpus_chars).alias("text")).limit(2 * p.corpus_rows).collect()
     for text in sorted(r["text"] for r in found):
         w = words(text)
-        for at in rng.integers(0, max(1, len(w)), 10).tolist():
+        for at in rng.integers(0, max(1, len(w)), 2).tolist():
             part = w[at : at + int(rng.integers(3, 20))]
             if part and not candidates(part, p.least_overlap):
                 out.append(part)
