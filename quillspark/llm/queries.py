@@ -98,7 +98,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup, op13_prefix_trie)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
@@ -137,4 +143,34 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, max(pos) AS own,
+         xor(list_reduce(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+             lambda crc, c: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, c)),
+             4294967295), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, t.pos AS part, t.r, t.x FROM convs c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos + 1000000 AS part, t.r, t.x FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+s AS (SELECT conv_id, list(sha256(length(r) || ':' || r || x) ORDER BY part) AS path, list(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) ORDER BY part) AS words FROM rebuilt GROUP BY conv_id),
+full_convs AS (SELECT c.conv_id, coalesce(s.path, []) AS path, coalesce(s.words, []) AS words FROM convs c LEFT JOIN s USING (conv_id)),
+steps AS (SELECT conv_id, path, words, unnest(range(0, len(path) + 1)) AS depth FROM full_convs),
+keyed AS (SELECT conv_id, depth, array_to_string(path[1:depth], ',') AS k, array_to_string(path[1:depth - 1], ',') AS up, len(path) = depth AS ended,
+                 CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS n_words FROM steps),
+nodes AS (SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_words) AS n_words,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM keyed GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT a.depth, a.k, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.n_words) AS saved_tokens
+  FROM nodes n LEFT JOIN kids c ON c.depth = n.depth AND c.k = n.k JOIN keyed a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.k = n.k
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = n.up
+LEFT JOIN kids c ON c.depth = n.depth AND c.k = n.k""",
 }
