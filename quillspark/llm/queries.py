@@ -98,17 +98,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie
 
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup, op12_ranked_search, op13_prefix_trie)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
 FOLD = f"translate({{}}, '{UPPER}', '{LOWER}')"
+#: Terms of ranked search.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 SQL = {
@@ -143,6 +151,22 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)""",
+    "op12_ranked_search": f"""
+WITH d AS (
+  SELECT doc_id, no, a, len(a) AS n
+  FROM (SELECT doc_id, row_number() OVER () AS no, regexp_extract_all({FOLD.format("text")}, '{TERM}') AS a FROM documents WHERE text IS NOT NULL)
+  WHERE len(a) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+asked AS (
+  SELECT no, item_id, t, count(*) AS r
+  FROM (SELECT row_number() OVER () AS no, item_id, unnest(regexp_extract_all({FOLD.format("text")}, '{TERM}')) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT no AS doc_no, doc_id, n, t, count(*) AS tf FROM (SELECT no, doc_id, n, unnest(a) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+s AS (
+  SELECT no, item_id, doc_no, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))))::BIGINT AS score
+  FROM asked JOIN p USING (t) JOIN w USING (t), g GROUP BY no, item_id, doc_no, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
     "op13_prefix_trie": """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
