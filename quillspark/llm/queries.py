@@ -98,6 +98,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(spread(table(spark, sf_dir, "pages")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked_search import ranked_search
 
@@ -110,7 +116,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup, op12_ranked_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_quality_classifier, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_decontamination, op7_toxicity, op8_secret_scan, op9_lm_score, op10_exact_dedup, op11_html_extraction, op12_ranked_search, op13_prefix_trie)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z lower-cased; the six ASCII white-space characters.
