@@ -9,12 +9,12 @@ log-odds: the document's own plus what its path's posterior says beyond the glob
 
 Sites are made by grouped aggregation with partial sums, so a host that holds a third of all rows
 is one row per task before it moves.  Only counts and posteriors are joined back, never texts: the
-table of sites is broadcast while its counted size is within ``broadcast_sites``, else joined with
+table of sites is broadcast while its counted bytes are within ``broadcast_sites``, else joined with
 adaptive splitting of skewed hosts.
 
 Defined cases: a null text counts as empty; an empty text's evidence is the model's for zero words.
 A null host or path is a site of its own.  The posterior of a labelled document's site has its own label in it, and a row
-repeated with one doc_id counts its label as often as it occurs.  Null labels are not learned from; without labels of both
+repeated with one doc_id counts its label as often as it occurs.  Labels other than 0 and 1 are not learned from; without labels of both
 kinds a fixed rule (share of letters) holds.  Repeated rows are scored alike.  Empty tables give no
 rows.  Columns other than those named are not read.
 """
@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_hash, tune
+from .common import BROADCAST_IDS, materialize, text_hash, tune
 from .toxicity import logistic
 
 FEATURES = 12
-BROADCAST_SITES = 200_000
+#: Bytes of the sites' names and posteriors.
+BROADCAST_SITES = 16 << 20
 
 
 def shape(text: str) -> list[float]:
@@ -79,10 +80,14 @@ FIXED = (np.array([4.0, -4, -2, -8, -1, -4, -8, 0, -2, 0, 0, -6]), 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights, bias, means and scales; reads the labelled rows of least hash, at most ``train_rows``."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    """Weights, bias, means and scales; reads the labelled rows of least hash, at most ``train_rows``.
+
+    Of documents that repeat an id, one stands for its label: that of the least text hash.
+    """
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows bounds it
+    rows = docs.select("doc_id", "text", "text_hash").join(F.broadcast(chosen), "doc_id")  # train_rows bounds it
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", "text_hash").alias("text"), F.max("y").alias("y"))
     got = _features(rows, ["y"], "y int").toArrow()
     y = got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -127,7 +132,9 @@ def sites(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
 
     ``docs(doc_id, host, path)``; counts are of labelled documents.
     """
-    y = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    y = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    # labels are the small side as long as their counted number is
+    y = F.broadcast(y) if labels.count() <= BROADCAST_IDS else y
     paths = (
         docs.join(y, "doc_id", "left")
         .groupBy("host", "path")
@@ -178,7 +185,8 @@ def quality(
     told = ["doc_id", "host", "path", "text_hash"]
     scored = rows.select(*told, "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, doc_log_odds double")
     right = table.select(F.col("host").alias("h"), F.col("path").alias("p"), "site")
-    right = F.broadcast(right) if right.count() <= broadcast_sites else right
+    size = right.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + F.octet_length("p") + 24)).first()[0] or 0
+    right = F.broadcast(right) if size <= broadcast_sites else right
     joined = scored.join(right, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left")
     lift = F.coalesce(F.col("site"), F.lit(base)) - F.lit(base)
     score = 1 / (1 + F.exp(-(F.col("doc_log_odds") + site_weight * lift)))

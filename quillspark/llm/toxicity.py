@@ -14,8 +14,8 @@ test), their weights, and the logistic model.  The fit reads at most ``train_row
 (those of least hash); scoring reads every text whole.  Broadcast is the model alone: at most
 ``lexicon_size`` entries.
 
-Defined cases: a null or empty text has no clause and gets the model's base score.  Labels that
-are null, and label rows without a document, are not learned from; without any usable label the
+Defined cases: a null or empty text has no clause and gets the model's base score.  Labels
+other than 0 and 1, and label rows without a document, are not learned from; without any usable label the
 fixed lexicon and weights hold.  Repeated rows are scored alike.  A null doc_id counts as not held out.  An empty table gives no
 rows.  Columns other than the id and the text are not read.
 """
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialize, shingle_set, tune, words_of
+from .common import WordHash, materialize, shingle_set, text_hash, tune, words_of
 
 # Small word lists of the grammar's classes.
 INSULTS = "idiot stupid moron loser scum trash worthless pathetic disgusting clown".split()
@@ -190,11 +190,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
 
 
 def _training(docs: DataFrame, labels: DataFrame, train_rows: int, fold: int) -> DataFrame:
-    """At most ``train_rows`` labelled training rows ``(doc_id, text, y)``, one per label row."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    """At most ``train_rows`` labelled training rows ``(doc_id, text, y)``, one per label row: of a repeated id, the least text hash."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % fold != 0)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    return docs.join(F.broadcast(chosen), "doc_id")  # train_rows bounds it
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows bounds it
+    return rows.groupBy("doc_id").agg(F.min_by("text", text_hash()).alias("text"), F.max("y").alias("y"))
 
 
 def _marks(text: str) -> set[str]:
