@@ -7,21 +7,21 @@ shuffle moves a few large rows; where a range's blocks meet, its sums are made a
 built at once.  N and V are exact.
 
 Filter (Talbot and Osborne, 2007).  A count c is quantised to q = 1 + floor(log2 c); the filter holds
-the gram with each of 1..q, and a count is read back by probing 1, 2, ... until a probe misses.  It
-consists of segments: equal ranges of the whole gram's hash, so that no word makes one large.  Their number is
-that of the training text in units of ``segment_bytes``; each takes ``bits`` bits for an item, at any size.
+the gram with each of 1..q, and a count is read back by probing 1, 2, ... until a probe misses.  Levels above the first, of
+which there are few, have ``higher_probes`` bits each and as much more room, so that a count is seldom read too high.  It consists of segments: equal ranges of the whole gram's hash, so that no word makes one large.  Their number is
+that of the training text in units of ``segment_bytes``; each takes ``bits`` bits for an item of ``probes`` probes, at any size.
 
-Score.  p(w|v) = (c(vw) + mu p(w)) / (c(v) + mu) with p(w) = (c(w) + 1) / (N + V + 1), all c from
-probes; the text's score is the sum of log10 p.
+Score.  p(w|v) = (min(c(vw), c(v), c(w)) + mu p(w)) / (c(v) + mu) with p(w) = min(1, (c(w) + 1) / (N + V + 1)), all c from
+probes; the text's score is the sum of log10 p.  A bigram is no more frequent than its words, so whatever a probe says falsely no p exceeds 1.
 Base.  The sum of log10((c+1) / (N+V+1)) over tokens with exact c.
 
 Size.  Both filters (words, bigrams) and the exact counts grow with the corpus, and their counted sizes decide
 how they are used; no size changes a score.  A filter over ``filter_bytes`` is used in shards, runs of segments
-within that size.  Each pass over the texts has one shard of either broadcast; it adds the numerators of the tokens
-whose word and bigram fall to them, and once per shard of words the denominators of the contexts in it.  Its sums are written
+within that size.  Each pass over the texts has one shard of bigrams and one of words for either place broadcast; it adds the
+tokens whose word, context and bigram fall to them.  Its sums are written
 and its shards released before the next ones come.  Where the bigrams would take more than ``passes`` shards, their probes are
-sent to their segments instead: a pass for each shard of words sends every text's bigrams, counted, by ranges of the hash to
-the tasks that have these ranges' segments, so the texts are read twice per shard of words, whatever the filter's size.  Exact counts of more than ``broadcast_words`` words are joined by a
+sent to their segments instead: a pass for each pair of shards of words sends every text's bigrams, counted, by ranges of the hash to
+the tasks that have these ranges' segments, so the texts are read once per pair and once more, whatever the filter's size.  Exact counts of more than ``broadcast_words`` words are joined by a
 shuffle with adaptive splitting of frequent words.
 
 Defined cases: a null or empty text is one end token.  Rows repeated with one doc_id are counted and
@@ -49,7 +49,7 @@ TOP = 48
 END, END_KEY = b"", np.uint64(0x5851F42D4C957F2C)
 WORDS, BIGRAMS, EXACT = 0, 1, 2
 #: Bytes of a filter that the driver fetches at once.
-FETCH = 32 << 20
+FETCH = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -57,11 +57,14 @@ class LanguageModel:
     fold: int = 7
     held: int = 2
     mu: float = 20.0
-    bits: int = 8
-    probes: int = 4
+    bits: int = 10
+    probes: int = 6
+    higher_probes: int = 8
     segment_bytes: int = 1 << 20
     #: Training text whose grams meet in one task.
     task_bytes: int = 8 << 20
+    waves: int = 8
+    range_bytes: int = 32 << 20
     filter_bytes: int = 128 << 20
     #: Shards of bigrams up to which texts are read anew for each.
     passes: int = 3
@@ -174,7 +177,9 @@ def segments(keys: np.ndarray, counts: np.ndarray, bits: int, p: LanguageModel)
     """``(segment, size in bits, grams, their sum, bitmap)`` of sorted keys."""
     seg, level = prefix(keys, bits), quantised(counts)
     cuts = list(runs(seg))
-    sizes = np.array([max(8, -(-int(level[a:b].sum()) * p.bits // 8) * 8) for a, b in cuts], np.int64)
+    # as many bits a probe on every level, so that equal shares of them are set
+    items = [(b - a) * p.probes + (int(level[a:b].sum()) - (b - a)) * p.higher_probes for a, b in cuts]
+    sizes = np.array([max(8, -(-n * p.bits // (8 * p.probes)) * 8) for n in items], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     of = np.repeat(np.arange(len(cuts)), [b - a for a, b in cuts])
     data = np.zeros(starts[-1], bool)
@@ -182,7 +187,7 @@ def segments(keys: np.ndarray, counts: np.ndarray, bits: int, p: LanguageModel)
         some = np.flatnonzero(level >= q)
         a, b = _hashes(keys[some], q)
         start, size = starts[of[some]], sizes[of[some]].astype(np.uint64)
-        for i in range(p.probes):
+        for i in range(p.probes if q == 1 else p.higher_probes):
             data[start + _place(a, b, i, size)] = True
     packed = np.packbits(data, bitorder="little")
     for k, (a, b) in enumerate(cuts):
@@ -190,10 +195,14 @@ def segments(keys: np.ndarray, counts: np.ndarray, bits: int, p: LanguageModel)
 
 
 def dealt(rows: DataFrame, size: int, bits: int, p: LanguageModel) -> tuple[int, int]:
-    """Tasks for this much training text, and the bits of a range of keys: four to eight ranges a task, each of
-    whole segments, so that hashing deals them out evenly."""
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // p.task_bytes))
-    ranges = min(bits, max(1, (4 * tasks - 1).bit_length()))
+    """Tasks for this much training text, and the bits of a range of keys, of which each is of whole segments and held by a task at a time.
+
+    Tasks are at most ``waves`` times the cores (or the session's partitions); four to eight ranges a task deal them out evenly,
+    more where a range would have over ``range_bytes`` of text.
+    """
+    least, cores = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(least, min(-(-size // p.task_bytes), p.waves * cores))
+    ranges = min(bits, max(1, (max(4 * tasks, -(-size // p.range_bytes)) - 1).bit_length()))
     return min(tasks, 1 << ranges), ranges
 
 
@@ -262,6 +271,7 @@ class LogBloom:
     first: int
     bits: int
     probes: int
+    higher_probes: int
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Which keys fall to these segments."""
@@ -279,8 +289,9 @@ class LogBloom:
             base, room = start[alive], size[alive]
             hit = self._bit(base + _place(a, b, 0, room))
             alive, a, b, base, room = (x[hit] for x in (alive, a, b, base, room))
-            hit = self._bit(base + _place(a, b, 1, room)) if self.probes > 1 else np.ones(len(alive), bool)
-            for i in range(2, self.probes):
+            probes = self.probes if level == 1 else self.higher_probes
+            hit = self._bit(base + _place(a, b, 1, room)) if probes > 1 else np.ones(len(alive), bool)
+            for i in range(2, probes):
                 hit &= self._bit(base + _place(a, b, i, room))
             alive = alive[hit]
             out[alive] = level
@@ -306,7 +317,7 @@ def shards(built: DataFrame, kind: int, bits: int, limit: int) -> list[tuple[int
         cut = min(bits, cut + max(1, int(most / limit).bit_length() - 1))
 
 
-def load(built: DataFrame, kind: int, first: int, end: int, bits: int, probes: int) -> LogBloom:
+def load(built: DataFrame, kind: int, first: int, end: int, bits: int, p: LanguageModel) -> LogBloom:
     """The segments from ``first`` up to ``end``, whose total size is bounded, fetched in parts."""
     own = built.where((F.col("kind") == kind) & (F.col("seg") >= first) & (F.col("seg") < end))
     sizes = np.zeros(end - first, np.int64)
@@ -321,7 +332,7 @@ def load(built: DataFrame, kind: int, first: int, end: int, bits: int, probes: i
             at = starts[seg - first] // 8
             held = np.frombuffer(bitmap.as_buffer(), np.uint8)
             data[at : at + len(held)] = held
-    return LogBloom(data, starts, first, bits, probes)
+    return LogBloom(data, starts, first, bits, p.probes, p.higher_probes)
 
 
 def exact_counts(built: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -339,17 +350,16 @@ PART = "doc_id long, text_hash long, n_tokens long, n_known long, base_score dou
 
 @dataclass
 class Portion:
-    """Tokens of some rows with what the words' filter says of them."""
+    """Tokens of some rows with what the filters of words say of them."""
 
     ids: pa.Array
     prints: pa.Array
     length: np.ndarray
-    tokens: np.ndarray
     keys: np.ndarray
-    #: Per token: whether its word falls to the shard, mu p(w), log10 of its context's denominator or 0 outside the shard.
+    #: Per token: whether its word and its context fall to the shards, and the levels of both there.
     own: np.ndarray
-    mass: np.ndarray
-    below: np.ndarray
+    level: np.ndarray
+    context: np.ndarray
     known: np.ndarray
     base: np.ndarray
 
@@ -358,85 +368,96 @@ class Portion:
         return np.cumsum(self.length) - self.length
 
 
-def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, exact: tuple | None, total: float, p: LanguageModel) -> Iterator[Portion]:
+def log_p(joint: np.ndarray, level: np.ndarray, context: np.ndarray, total: float, p: LanguageModel) -> np.ndarray:
+    """log10 p(w|v) of a bigram's count and the levels of its word and context."""
+    word, before = expected(level), expected(context)
+    mass = p.mu * np.minimum(1.0, (word + 1) / total)
+    return np.log10(np.minimum(joint, np.minimum(word, before)) + mass) - np.log10(before + p.mu)
+
+
+def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, contexts: LogBloom, exact: tuple | None, total: float, p: LanguageModel) -> Iterator[Portion]:
     from xxhash import xxh3_64_intdigest
 
+    def levels(bloom: LogBloom, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        here, out = bloom.holds(keys), np.zeros(len(keys), np.uint8)
+        out[here] = bloom.levels(keys[here])
+        return here, out
+
     seen = Words()
-    mass, denominator, own, known, base = (np.zeros(0, t) for t in (float, float, bool, np.int64, float))
+    none = [np.zeros(0, t) for t in (bool, np.uint8, bool, np.uint8, np.int64, float)]
+    told = none
     for held, texts in portions(batches, 1, p.portion // 2):
         if len(seen) > Words.LIMIT:
             seen.forget()
-            mass, denominator, own, known, base = (x[:0] for x in (mass, denominator, own, known, base))
+            told = none
         tokens, length = seen.tokens(texts)
-        keys = seen.keys[len(mass) :]
+        keys = seen.keys[len(told[0]) :]
         if len(keys):  # words that are new to this worker
-            here = words.holds(keys)
-            count = np.zeros(len(keys))
-            count[here] = expected(words.levels(keys[here]))
             c = np.zeros(len(keys))
             if exact is not None and len(exact[0]):
                 k, n = exact
                 at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
                 c = np.where(k[at] == keys, n[at], 0).astype(float)
-            mass = np.append(mass, p.mu * (count + 1) / total)
-            denominator = np.append(denominator, np.where(here, np.log10(count + p.mu), 0.0))
-            own, known, base = np.append(own, here), np.append(known, c > 0).astype(np.int64), np.append(base, np.log10((c + 1) / total))
+            word = levels(words, keys)
+            new = (*word, *(word if contexts is words else levels(contexts, keys)), (c > 0).astype(np.int64), np.log10((c + 1) / total))
+            told = [np.append(x, y) for x, y in zip(told, new, strict=True)]
+        here, level, there, context, known, base = told
+        v = before(tokens)
         prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
         ids = pa.concat_arrays([b.column(0) for b in held])
-        yield Portion(ids, as_i64(prints), length, tokens, bigram_keys(seen, tokens), own[tokens], mass[tokens], denominator[before(tokens)], known[tokens], base[tokens])
+        yield Portion(ids, as_i64(prints), length, bigram_keys(seen, tokens), here[tokens] & there[v], level[tokens], context[v], known[tokens], base[tokens])
 
 
-def one_pass(rows: DataFrame, words: Broadcast, pairs: Broadcast, exact: Broadcast | None, first: bool, contexts: bool, total: float, p: LanguageModel) -> DataFrame:
-    """Sums of the tokens whose word and bigram fall to the broadcast shards, per row.
+def one_pass(rows: DataFrame, words: Broadcast, contexts: Broadcast, pairs: Broadcast, exact: Broadcast | None, first: bool, total: float, p: LanguageModel) -> DataFrame:
+    """Sums of the tokens whose word, context and bigram fall to the broadcast shards, per row.
 
-    ``first``: tokens and exact counts are told; ``contexts``: denominators are added.
+    ``first``: tokens and exact counts are told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in read_portions(batches, words.value, exact and exact.value, total, p):
+        for x in read_portions(batches, words.value, words.value if contexts is words else contexts.value, exact and exact.value, total, p):
             pair, at = np.unique(x.keys, return_inverse=True)
             joint, here = np.zeros(len(pair)), pairs.value.holds(pair)
             joint[here] = expected(pairs.value.levels(pair[here]))
-            logs = np.log10(joint[at] + x.mass)
+            logs = log_p(joint[at], x.level, x.context, total, p)
             logs[~(x.own & here[at])] = 0.0
-            if contexts:
-                logs -= x.below
             told = [x.length, *(np.add.reduceat(v, x.starts) for v in (x.known, x.base))] if first else [np.zeros(len(x.length), t) for t in (np.int64, np.int64, float)]
             yield pa.RecordBatch.from_arrays([x.ids, x.prints, *map(pa.array, (*told, np.add.reduceat(logs, x.starts)))], names=["doc_id", "text_hash", *SUMS])
 
     return rows.mapInArrow(run, PART)
 
 
-def probes_sent(rows: DataFrame, built: DataFrame, words: Broadcast, tasks: int, ranges: int, bits: int, total: float, p: LanguageModel) -> DataFrame:
-    """Sums of the numerators of the tokens whose word falls to the shard, from probes made where the bigrams' segments are.
+def probes_sent(rows: DataFrame, built: DataFrame, words: Broadcast, contexts: Broadcast, tasks: int, ranges: int, bits: int, total: float, p: LanguageModel) -> DataFrame:
+    """Sums of the tokens whose word and context fall to the shards, from probes made where the bigrams' segments are.
 
     A block has a portion's bigrams of one range, once for each text with their number there.
     """
-    schema = "part long, seg long, size long, data binary, mass binary, text binary, times binary, ids array<long>, prints array<long>"
+    schema = "part long, seg long, size long, data binary, level binary, context binary, text binary, times binary, ids array<long>, prints array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in read_portions(batches, words.value, None, total, p):
-            keys, text, mass = x.keys[x.own], np.repeat(np.arange(len(x.length)), x.length)[x.own], x.mass[x.own]
+        for x in read_portions(batches, words.value, words.value if contexts is words else contexts.value, None, total, p):
+            keys, text, level, context = x.keys[x.own], np.repeat(np.arange(len(x.length)), x.length)[x.own], x.level[x.own], x.context[x.own]
             order = np.lexsort((text, keys))
-            keys, text, mass = keys[order], text[order], mass[order]
+            keys, text = keys[order], text[order]
             new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])[: len(keys)])
             times = np.diff(np.append(new, len(keys)))
-            keys, text, mass = keys[new], text[new], mass[new]
+            keys, text, level, context = keys[new], text[new], level[order[new]], context[order[new]]
             out = []
             part = prefix(keys, ranges)
             for a, b in runs(part):
                 some, at = np.unique(text[a:b], return_inverse=True)
                 which = pa.array(some)
-                out.append((int(part[a]), None, None, keys[a:b].tobytes(), mass[a:b].tobytes(), at.astype("<i4").tobytes(), times[a:b].astype("<i4").tobytes(), x.ids.take(which).to_pylist(), x.prints.take(which).to_pylist()))
+                packed = (keys[a:b], level[a:b], context[a:b], at.astype("<i4"), times[a:b].astype("<i4"))
+                out.append((int(part[a]), None, None, *(v.tobytes() for v in packed), x.ids.take(which).to_pylist(), x.prints.take(which).to_pylist()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, bloom = None, {}, None
         for batch in batches:
-            for part, seg, size, data, mass, text, times, ids, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, seg, size, data, level, context, text, times, ids, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     now, held, bloom = part, {}, None
                 if seg is not None:  # segments come before the blocks of their range
@@ -445,8 +466,8 @@ def probes_sent(rows: DataFrame, built: DataFrame, words: Broadcast, tasks: int,
                 if bloom is None:
                     first, n = part << (bits - ranges), 1 << (bits - ranges)
                     found = [held.get(first + k, (0, b"")) for k in range(n)]
-                    bloom = LogBloom(np.frombuffer(b"".join(d for _, d in found) or b"\0", np.uint8), np.cumsum([0, *(z for z, _ in found)]), first, bits, p.probes)
-                logs = np.log10(expected(bloom.levels(np.frombuffer(data, "<u8"))) + np.frombuffer(mass, "<f8")) * np.frombuffer(times, "<i4")
+                    bloom = LogBloom(np.frombuffer(b"".join(d for _, d in found) or b"\0", np.uint8), np.cumsum([0, *(z for z, _ in found)]), first, bits, p.probes, p.higher_probes)
+                logs = log_p(expected(bloom.levels(np.frombuffer(data, "<u8"))), np.frombuffer(level, np.uint8), np.frombuffer(context, np.uint8), total, p) * np.frombuffer(times, "<i4")
                 sums = np.bincount(np.frombuffer(text, "<i4"), logs, minlength=len(ids))
                 none = [pa.array(np.zeros(len(ids), t)) for t in (np.int64, np.int64, float)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), *none, pa.array(sums)], names=["doc_id", "text_hash", *SUMS])
@@ -502,26 +523,32 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     sums = {r["kind"]: (r["v"], r["n"]) for r in built.groupBy("kind").agg(F.sum("grams").alias("v"), F.sum("total").alias("n")).collect()}
     v, n = sums.get(WORDS, (0, 0))
     total = float(n + v + 1)
-    share = lambda kind, run: spark.sparkContext.broadcast(load(built, kind, *run, bits, p.probes))
+    share = lambda kind, run: spark.sparkContext.broadcast(load(built, kind, *run, bits, p))
     exact = spark.sparkContext.broadcast(exact_counts(built)) if v <= p.broadcast_words else None
     word_runs, pair_runs = (shards(built, kind, bits, p.filter_bytes) for kind in (WORDS, BIGRAMS))
     sent = len(pair_runs) > p.passes
     # where probes are sent, one pass without any bigrams tells all else
-    none = LogBloom(np.zeros(1, np.uint8), np.zeros(1, np.int64), 0, bits, p.probes)
-    passes = [(i, j) for i in range(len(word_runs)) for j in range(1 if sent else len(pair_runs))]
+    none = LogBloom(np.zeros(1, np.uint8), np.zeros(1, np.int64), 0, bits, p.probes, p.higher_probes)
+    passes = [(i, j) for i in range(len(word_runs)) for j in range(len(word_runs))]
+    several = len(passes) * len(pair_runs) > 1
     parts = []
     for i, j in passes:
-        words = words if j else share(WORDS, word_runs[i])
-        pairs = spark.sparkContext.broadcast(none) if sent else share(BIGRAMS, pair_runs[j])
-        made = [one_pass(rows, words, pairs, exact, (i, j) == (0, 0), j == 0, total, p)]
-        if sent:
-            made.append(probes_sent(rows, built, words, *dealt(training, size, bits, p), bits, total, p))
-        if len(passes) > 1:
-            # its sums are written before the next shard comes, so one of either is held at a time
-            made = [materialize(x, "partial") for x in made]
-            for done in (pairs, *([words] if j == len(pair_runs) - 1 or sent else [])):
+        words = share(WORDS, word_runs[i]) if j == 0 else words
+        contexts = words if i == j else share(WORDS, word_runs[j])
+        for k in range(1 if sent else len(pair_runs)):
+            pairs = spark.sparkContext.broadcast(none) if sent else share(BIGRAMS, pair_runs[k])
+            first = (i, j, k) == (0, 0, 0)
+            made = [one_pass(rows, words, contexts, pairs, exact, first, total, p)] if first or not sent else []
+            if sent:
+                made.append(probes_sent(rows, built, words, contexts, *dealt(training, size, bits, p), bits, total, p))
+            if several:
+                # its sums are written before the next shard comes, so one of each is held at a time
+                made = [materialize(x, "partial") for x in made]
+                pairs.destroy(blocking=True)
+            parts += made
+        if several:
+            for done in {id(x): x for x in ([contexts] if i != j else []) + ([words] if j == len(word_runs) - 1 else [])}.values():
                 done.destroy(blocking=True)
-        parts += made
     out, by = parts[0], ["doc_id", "text_hash"]
     if len(parts) > 1:
         for other in parts[1:]:

@@ -10,7 +10,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from quillspark.llm import licences as L
-from quillspark.llm.lm_score import BIGRAMS, WORDS, LanguageModel, build, lm_score, shards
+from quillspark.llm.lm_score import BIGRAMS, WORDS, LanguageModel, LogBloom, build, expected, lm_score, log_p, quantised, segments, shards
 from quillspark.llm.quality import quality
 from quillspark.llm.secrets import find_secrets, secrets
 from quillspark.llm.toxicity import compose, context, grammar, toxicity
@@ -313,8 +313,8 @@ def test_secret_keys(size, pad):
     assert find_secrets(f"only {key} here") == ([], [])
 
 
-def lm_by_hand(ids, texts, p, fold=7, held=2):
-    """Per text: tokens, known ones, N, base and the score with true counts quantised."""
+def lm_by_hand(ids, texts, p, fold=7, held=2, quantise=True):
+    """Per text: tokens, known ones, N, base and the score with true counts, quantised or as they are."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % fold == held
     one, two = Counter(), Counter()
@@ -324,12 +324,13 @@ def lm_by_hand(ids, texts, p, fold=7, held=2):
             one.update(w)
             two.update(zip([None, *w], w, strict=False))
     n, v = sum(one.values()), len(one)
-    middle = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    middle = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c and quantise else float(c)
     rows = []
     for i, t in zip(ids, texts, strict=True):
         w = tokens(t)
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        score = sum(math.log10((middle(two[a, b]) + p.mu * (middle(one[b]) + 1) / (n + v + 1)) / (middle(one[a]) + p.mu)) for a, b in zip([None, *w], w, strict=False))
+        least = lambda a, b, m=middle: min(m(two[a, b]), m(one[a]), m(one[b]))
+        score = sum(math.log10((least(a, b) + p.mu * min(1, (middle(one[b]) + 1) / (n + v + 1))) / (middle(one[a]) + p.mu)) for a, b in zip([None, *w], w, strict=False))
         rows.append((i, out_of(i), len(w), sum(one[x] > 0 for x in w), n, base, score))
     return rows
 
@@ -346,7 +347,7 @@ def lm_rows(df):
     return [tuple(r) for r in sorted(df.collect(), key=key)]
 
 
-@pytest.mark.parametrize("p", [LanguageModel(bits=24, probes=12), LanguageModel(bits=24, probes=12, broadcast_words=0), LanguageModel(bits=24, probes=12, filter_bytes=2000, segment_bytes=16_000, task_bytes=20_000, portion=200)])
+@pytest.mark.parametrize("p", [LanguageModel(bits=24, probes=12, higher_probes=12), LanguageModel(bits=24, probes=12, higher_probes=12, broadcast_words=0), LanguageModel(bits=24, probes=12, higher_probes=12, filter_bytes=2000, segment_bytes=16_000, task_bytes=20_000, portion=200)])
 def test_lm_score(make, p):
     """Against true counts: a filter with so many bits hardly ever tells an absent item."""
     ids, texts = lm_texts(8)
@@ -395,7 +396,75 @@ def test_lm_score_counts_single_bigrams(make, monkeypatch):
     monkeypatch.setattr(queries, "documents", lambda *_: make(texts, [*ids, *out]))
     rows = {r["doc_id"]: r["score"] for r in queries.op9_lm_score(None, "").collect()}
     want = {i: s for i, *_, s in lm_by_hand([*ids, *out], texts, LanguageModel())}
-    # eight bits an item tell one in forty absent items
+    # few absent items are told
     assert np.median([rows[i] - want[i] for i in ids]) == pytest.approx(0, abs=1e-6)
     assert np.median([rows[i] - want[i] for i in out]) == pytest.approx(0, abs=1e-6)
     assert min(rows[i] for i in ids) > max(want[i] for i in out)
+
+
+def test_lm_probabilities_are_at_most_one():
+    """With the query's parameters, of 20,000 bigrams whose word always follows its context, whatever the filter tells falsely."""
+    p, draw = LanguageModel(), np.random.default_rng(4)
+    n = 20_000
+    counts = draw.integers(1, 5000, n)
+    keys = np.unique(draw.integers(0, 2**63, 3 * n, dtype=np.uint64))[: 2 * n]
+    draw.shuffle(keys)
+
+    def filled(keys):
+        order = np.argsort(keys)
+        (_, size, _, _, data), *_ = segments(keys[order], counts[order], 0, p)
+        return LogBloom(np.frombuffer(data, np.uint8), np.array([0, size]), 0, 0, p.probes, p.higher_probes)
+
+    pairs, words = filled(keys[:n]), filled(keys[n:])
+    level = words.levels(keys[n:])
+    logs = log_p(expected(pairs.levels(keys[:n])), level, level, float(counts.sum() + n + 1), p)
+    assert logs.max() <= 0
+    true = np.log10((counts + p.mu * (counts + 1) / (counts.sum() + n + 1)) / (counts + p.mu))
+    assert abs(np.median(logs - true)) < 0.01 and np.mean(pairs.levels(keys[:n]) > quantised(counts)) < 0.005
+    assert log_p(np.array([1e9]), np.array([1]), np.array([30]), 1.0, p).max() <= 0
+
+
+def test_lm_score_at_default_parameters(make):
+    """Near exact smoothing, better than the base on held-out texts, and never above 0."""
+    draw = random.Random(6)
+    follow = {w: [draw.randrange(800) for _ in range(6)] for w in range(800)}
+
+    def text():
+        w, out = draw.randrange(800), []
+        for _ in range(draw.randrange(20, 120)):
+            out.append(f"w{w}")
+            w = draw.choice(follow[w]) if draw.random() < 0.9 else draw.randrange(800)
+        return " ".join(out)
+
+    texts = [text() for _ in range(400)] + ["a b " * 600] * 20
+    ids = list(range(len(texts)))
+    rows = lm_rows(lm_score(make(texts, ids)))
+    exact = {w[0]: w[6] for w in lm_by_hand(ids, texts, LanguageModel(), quantise=False)}
+    assert all(r[6] <= 0 for r in rows)
+    held = [r for r in rows if r[1]]
+    total = sum(exact[r[0]] for r in held)
+    assert abs(sum(r[6] for r in held) - total) < 0.01 * abs(total)
+    assert sum(r[6] for r in held) > 0.8 * sum(r[5] for r in held)
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark, make):
+    """One row per label, whatever the documents' repeats; labels of other values are not learned from."""
+    from quillspark.llm import quality as Q
+    from quillspark.llm import toxicity as T
+
+    ids = [1] * 2000 + [2] * 2000 + [3, 4]
+    docs = make([f"text {k % 7} words" for k in range(4000)] + ["three", None], ids)
+    frame = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 1, 0), (3, 7, 7), (4, None, -1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for bound, want in ((1, 1), (2, 2), (100, 2)):
+        told = T._training(docs, frame, bound, 5).collect()
+        assert len(told) == len([i for i in {r["doc_id"] for r in told}]) <= want and all(r["y"] in (0, 1) for r in told)
+    assert {r["doc_id"]: r["text"] for r in T._training(docs, frame, 9, 5).collect()} == {r["doc_id"]: r["text"] for r in T._training(docs.repartition(7), frame, 9, 5).collect()}
+    seen = []
+    real = Q._features
+    try:
+        Q._features = lambda rows, *a: seen.append(rows.count()) or real(rows, *a)
+        quality(docs, frame, train_rows=2)
+    finally:
+        Q._features = real
+    assert seen == [2]
+    assert len(toxicity(docs, frame).collect()) == 4002
