@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources import ole
+from .mathml import to_latex
 
 # Record types, option bits, template selectors and embellishments of the format.
 LINE, CHAR, TMPL, PILE, MATRIX, EMBELL = 1, 2, 3, 4, 5, 6
@@ -331,13 +332,13 @@ NO_FORMULA, NO_CONVERSION = "【无法提取】", "【MathML转LaTeX失败】"
 
 
 def convert_object(data: bytes | None) -> tuple[str | None, str]:
-    """``(mathml, latex)`` of an embedded object; never fails, marks say what was not possible."""
+    """``(mathml, latex)`` of an embedded object: its equation, else its MathML converted; never fails, marks say what was not possible."""
     held = ole.mathml(data)
     try:
         latex = native_to_latex(ole.equation_stream(data or b"") or b"")
     except (ValueError, struct.error, IndexError):
         latex = ""
-    return held, latex or (NO_CONVERSION if held else NO_FORMULA)
+    return held, latex or ((to_latex(held) or NO_CONVERSION) if held else NO_FORMULA)
 
 
 @F.pandas_udf(StringType())

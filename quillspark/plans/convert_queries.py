@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mtef as E
 from ..operators import pictures as P
+from ..operators.mathml import mathml_to_latex
 from ..sources import docx as D
 from ..sources.tables import spread, table
 from . import convert
@@ -35,7 +36,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<w:hyperlink r:id='r1'><w:r><w:t>link</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>h</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc>", p("c"), "</w:tc></w:tr></w:tbl>",
     )
     rels = f'<Relationships xmlns="{D.NS["rel"]}"><Relationship Id="r1" Target="http://a.b/c"/></Relationships>'
-    return files(table(spark, sf_dir, "supplier"), "s_suppkey", {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/embeddings/oleObject1.bin": "not-an-ole", "word/embeddings/oleObject2.bin": "..<math>q</math>.."})
+    return files(table(spark, sf_dir, "supplier"), "s_suppkey", {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/embeddings/oleObject1.bin": "not-an-ole", "word/embeddings/oleObject2.bin": F.when(F.col("s_suppkey") % 3 == 0, "..<math><mi>q</math>..").otherwise(F.concat(F.lit("..<math><mfrac><mi>q</mi><mn>"), F.col("s_suppkey").cast("string"), F.lit("</mn></mfrac></math>..")))})
 
 
 def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = lambda i, t: f'<Relationship Id="{i}" Target="{t}"/>'
     rels = f'<Relationships xmlns="{D.NS["rel"]}">{rel("r1", "media/a.JPEG")}{rel("r2", "/word/media/b.emf")}{rel("r3", "media/m.wmf")}{rel("r4", "embeddings/o1.bin")}</Relationships>'
     digit = lambda x, n: F.concat(F.lit(x), (k % n).cast("string"))
-    members = {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/media/a.JPEG": "j", "word/media/b.emf": digit("e", 6), "word/media/m.wmf": digit("w", 2), "word/embeddings/o1.bin": F.when(k % 2 == 0, "..<math>q</math>..").otherwise("no")}
+    members = {"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/media/a.JPEG": "j", "word/media/b.emf": digit("e", 6), "word/media/m.wmf": digit("w", 2), "word/embeddings/o1.bin": F.when(k % 4 == 0, "..<math><mi></math>..").when(k % 4 == 2, "..<math><msup><mi>q</mi><mn>2</mn></msup></math>..").otherwise("no")}
     return files(table(spark, sf_dir, "supplier"), "s_suppkey", members)
 
 
@@ -98,7 +99,7 @@ def docx_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s_suppkey, s_suppkey % 3 = 1 AS replaced, CASE WHEN s_suppkey % 3 = 1 THEN '$' || CASE WHEN s_suppkey % 2 = 0 THEN '【MathML转LaTeX失败】' ELSE '【无法提取】' END || '$' END AS put,
+    """SELECT s_suppkey, s_suppkey % 3 = 1 AS replaced, CASE WHEN s_suppkey % 3 = 1 THEN '$' || CASE s_suppkey % 4 WHEN 0 THEN '【MathML转LaTeX失败】' WHEN 2 THEN 'q^{2}' ELSE '【无法提取】' END || '$' END AS put,
     CASE WHEN s_suppkey % 3 = 1 THEN 5 ELSE 6 END::BIGINT AS parts, CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 4 END::BIGINT AS rels FROM supplier"""
 )
 def docx_without_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,11 @@ def paper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", "q.index", "q.stem_html", "q.answer_html", "tip", "q.stem_text")
 
 
-@query("SELECT s_suppkey, u.source, u.mathml, u.latex FROM supplier, (SELECT * FROM (VALUES ('oleObject1.bin', NULL, '【无法提取】'), ('oleObject2.bin', '<math>q</math>', '【MathML转LaTeX失败】')) v(source, mathml, latex)) u")
+@query(
+    """SELECT s_suppkey, u.source, u.mathml, u.latex FROM supplier, LATERAL (SELECT * FROM (VALUES ('oleObject1.bin', NULL, '【无法提取】'),
+    ('oleObject2.bin', CASE WHEN s_suppkey % 3 = 0 THEN '<math><mi>q</math>' ELSE '<math><mfrac><mi>q</mi><mn>' || s_suppkey || '</mn></mfrac></math>' END,
+     CASE WHEN s_suppkey % 3 = 0 THEN '【MathML转LaTeX失败】' ELSE '\\frac{q}{' || s_suppkey || '}' END)) v(source, mathml, latex)) u"""
+)
 def ole_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.embedded_formulas(_files(spark, sf_dir), "s_suppkey")
 
@@ -216,3 +221,34 @@ def mtef_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.append(F.struct(F.lit(k).alias("k"), F.concat(F.lit(before), digit, F.lit(after)).alias("native")))
     rows = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("s_suppkey", "m.k", E.mtef_to_latex("m.native").alias("latex"))
+
+
+#: MathML and its LaTeX with # for a number; null: no MathML or none that says anything.
+MATHML = [
+    ("<math><mfrac><mn>#</mn><mi>x</mi></mfrac></math>", r"\frac{#}{x}"),
+    ("<math><mfrac linethickness='0'><mi>n</mi><mn>#</mn></mfrac><mfrac bevelled='true'><mi>x</mi><mi>y</mi></mfrac></math>", r"{n \atop#}x/y"),
+    ("<m:math><m:msubsup><m:mi>&alpha;</m:mi><m:mi>i</m:mi><m:mn>#</m:mn></m:msubsup></m:math>", r"\alpha_{i}^{#}"),
+    ("<math><munderover><mo>&sum;</mo><mrow><mi>i</mi><mo>=</mo><mn>#</mn></mrow><mi>n</mi></munderover><mi>i</mi></math>", r"\sum_{i=#}^{n}i"),
+    ("<math><munder><mi>lim</mi><mrow><mi>x</mi><mo>&rarr;</mo><mi>&infin;</mi></mrow></munder><mi>sin</mi><mo>&ApplyFunction;</mo><mi>#</mi></math>", r"\lim_{x\to\infty}\sin#"),
+    ("<math><mroot><mi>x</mi><mn>#</mn></mroot><mo>&le;</mo><msqrt><mi>a</mi><mo>&times;</mo><mi>b</mi></msqrt></math>", r"\sqrt[#]{x}\le\sqrt{a\times b}"),
+    ("<math><mfenced open='[' close=')' separators=';'><mn>#</mn><mi>b</mi></mfenced></math>", r"\left[ #;b \right)"),
+    ("<math><mrow><mo>|</mo><mtable><mtr><mtd><mn>#</mn></mtd><mtd><mi>b</mi></mtd></mtr><mtr><mtd><mi>c</mi></mtd><mtd><mi>d</mi></mtd></mtr></mtable><mo>|</mo></mrow></math>", r"\begin{vmatrix}# & b \\ c & d\end{vmatrix}"),
+    ("<math><mrow><mo>{</mo><mtable columnalign='left'><mtr><mtd><mi>x</mi><mo>&gt;</mo><mn>#</mn></mtd></mtr><mtr><mtd><mi>y</mi></mtd></mtr></mtable></mrow></math>", r"\begin{cases}x>#  \\ y\end{cases}".replace("  ", " ")),
+    ("<math><mtable columnalign='left right'><mtr><mtd><mn>#</mn></mtd><mtd><mi>b</mi></mtd></mtr></mtable></math>", r"\begin{array}{lr}# & b\end{array}"),
+    ("<math><mover accent='true'><mrow><mi>A</mi><mi>B</mi></mrow><mo>&rarr;</mo></mover><mover><mi>x</mi><mo>&macr;</mo></mover><mn>#</mn></math>", r"\overrightarrow{AB}\overline{x}#"),
+    ("<math><munder><munder><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><mo>&UnderBrace;</mo></munder><mn>#</mn></munder></math>", r"\underbrace{a+b}_{#}"),
+    ("<math><mmultiscripts><mi>C</mi><mi>k</mi><none/><mprescripts/><none/><mn>#</mn></mmultiscripts><msup><mi>f</mi><mo>&prime;</mo></msup></math>", r"{}^{#}C_{k}f'"),
+    ("<math><mi mathvariant='double-struck'>R</mi><mtext>up to # %</mtext><mspace width='1em'/><menclose notation='box'><mi>z</mi></menclose></math>", r"\mathbb{R}\text{up to # \%}\quad\boxed{z}"),
+    ("<math><semantics><mrow><mi>a</mi><mo>&InvisibleTimes;</mo><mn>#</mn></mrow><annotation>no</annotation></semantics><mphantom><mi>w</mi></mphantom></math>", r"a#\phantom{w}"),
+    ("<math><mi>#</math>", None),
+    ("<math><mrow/><!-- # --></math>", None),
+]
+_QUOTED = ", ".join(f"({k}, {'NULL' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)})" for k, (_, x) in enumerate(MATHML))
+
+
+@query(f"SELECT c_custkey, u.k::INTEGER AS k, replace(u.latex, '#', (c_custkey % 97)::VARCHAR) AS latex FROM customer, (SELECT * FROM (VALUES {_QUOTED}) v(k, latex)) u")
+def mathml_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every construct of MathML that is known, with a number of the row in it."""
+    made = [F.struct(F.lit(k).alias("k"), F.replace(F.lit(x), F.lit("#"), (F.col("c_custkey") % 97).cast("string")).alias("x")) for k, (x, _) in enumerate(MATHML)]
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    return rows.select("c_custkey", "m.k", mathml_to_latex("m.x").alias("latex"))

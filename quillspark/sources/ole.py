@@ -64,16 +64,28 @@ def equation_stream(data: bytes) -> bytes | None:
     return CompoundFile(data).stream(lambda n: "Equation Native" in n or n.replace(" ", "") == "EquationNative")
 
 
+def _decoded(data: bytes) -> str:
+    """UTF-8, or UTF-16 where the zero bytes of a tag say so.
+
+    Of its two byte orders the one with more tags is right: where only ASCII stands both read the same, else the wrong one loses some.
+    """
+    found = []
+    for encoding in ("utf-16-le", "utf-16-be"):
+        at = data.find("<math".encode(encoding))
+        if at >= 0:
+            # as raw bytes before may be odd in number
+            found.append(data[at % 2 :].decode(encoding, "ignore"))
+    return max(found, key=lambda t: t.count("<") + t.count(">")) if found else data.decode("utf-8", "ignore")
+
+
 def mathml(data: bytes | None) -> str | None:
     """MathML of a stream named so, else between the first ``<math`` and the last ``</math>`` of the raw bytes."""
     try:
         held = CompoundFile(data or b"").stream(lambda n: "mathml" in n.lower())
     except (ValueError, struct.error, IndexError):
         held = None
+    text = _decoded(held or data or b"")
+    start, end = text.find("<math"), text.rfind("</math>")
     if held:
-        text = held.decode("utf-8", "ignore")
-        start, end = text.find("<math"), text.rfind("</math>")
         return text if start < 0 else text[start : end + 7] if end > start else text[start:]
-    text = (data or b"").decode("utf-8", "ignore")
-    start, end = text.find("<math"), text.rfind("</math>")
     return text[start : end + 7] if 0 <= start < end else None
