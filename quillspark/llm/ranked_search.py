@@ -46,7 +46,7 @@ NULL_ID = np.iinfo(np.int64).max
 class Search:
     top: int = 10
     block: int = 128
-    shard_postings: int = 2_000_000
+    shard_postings: int = 1_000_000
     block_terms: int = 200_000
 
 
