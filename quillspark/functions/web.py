@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.html_markdown import structured_markdown
 from ..operators.latex_repair import options_wrapped
-from .markdown import html_to_markdown
 from .regex import JS_SPACE, let, replace_all, rewrite_matches, strip
 
 #: Converter messages that say nothing to a user.
@@ -17,16 +17,10 @@ def drop_empty_images(html: Column) -> Column:
     return F.regexp_replace(html, r"""(?i)<img\b[^>]*src=(""|'')[^>]*>""", "")
 
 
-def _image(tag: Column) -> Column:
-    alt, src = F.regexp_extract(tag, r'(?i)\balt="([^"]*)"', 1), F.regexp_extract(tag, r'(?i)\bsrc="([^"]*)"', 1)
-    named = F.when(alt == "", "配图").otherwise(alt)
-    return F.when(src == "", "").otherwise(F.concat(F.lit("\n\n!["), named, F.lit("]("), src, F.lit(")\n\n")))
-
-
 def web_markdown(html: Column) -> Column:
-    """HTML to Markdown with pictures on their own, numbers, options and sections on new lines."""
-    text = html_to_markdown(rewrite_matches(drop_empty_images(html), r"(?i)<img\b[^>]*>", _image))
-    text = strip(replace_all(text, (" ", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")), JS_SPACE)
+    """HTML to Markdown with its structure, pictures on their own, numbers, options and sections on new lines."""
+    text = structured_markdown(drop_empty_images(html))
+    text = strip(replace_all(text, ("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")), JS_SPACE)
     text = replace_all(text, (r"(?md)(^|\n)([ \t]*)([0-9]+)\\([.．])", "$1$2$3$4"), (r"([A-Da-d])\\([.．、])", "$1$2"), (r"\\\$", r"\$"), (r"(?i)</?(?:span|div|font)[^>]*>", ""))
     # The marks of sections, numbers and options.
     text = replace_all(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import web as W
 from ..operators import pictures as P
 from ..sources import docx as D
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .docx_queries import body, files
 
 QUERIES: dict = {}
@@ -64,12 +64,40 @@ def ole_rel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 NL = "chr(10)"
 
 
-@query(f"SELECT s_suppkey, '1. q' || s_suppkey || {NL} || 'A. $\\frac{{1}}{{2}}$' || {NL} || 'B. x ' || {NL} || '【答案】A' || {NL}||{NL} || '![配图](p.png)' || {NL}||{NL} || '2、z' || {NL} AS md FROM supplier")
+@query(f"SELECT s_suppkey, '1. q' || s_suppkey || {NL} || 'A. \\$\\frac{{1}}{{2}}$' || {NL} || 'B. x ' || {NL} || '【答案】A' || {NL}||{NL} || '![配图](p.png)' || {NL}||{NL} || '2、z' || {NL} AS md FROM supplier")
 def web_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.concat(F.lit("<p>1\\. q"), F.col("s_suppkey").cast("string"), F.lit(" A\\. \\frac { 1 } { 2 }  B\\. x 【答案】A</p><img alt='' src=''/><img src=\"p.png\"/><p>2、z</p>"))
+    html = F.concat(F.lit("<p>1. q"), F.col("s_suppkey").cast("string"), F.lit(" A. \\frac { 1 } { 2 }  B. x 【答案】A</p><img alt='' src=''/><img src=\"p.png\"/><p>2、z</p>"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", W.web_markdown(html).alias("md"))
 
 
+#: HTML and the Markdown of the web path, with № for a number and ¶ for a line end.
+STRUCTURES = [
+    ("<h1>T №</h1><p>a <b>bold </b>t<i>x</i><br>next №</p>", "# T №¶¶a **bold** t*x*¶next №"),
+    ("<ul><li>one №</li><li>two<ul><li>in</li><li>in №</li></ul></li></ul><p>z</p>", "-   one №¶-   two¶    -   in¶    -   in №¶¶z"),
+    ("<p>x</p><ol start='4'><li>c</li><li><p>d №</p><p>e</p></li><li>f</li></ol>", "x¶¶4.  c¶¶5.  d №¶¶    e¶¶6.  f"),
+    ("<blockquote><p>q №</p><blockquote>w</blockquote></blockquote>", "> q №¶>¶> > w"),
+    ("<pre><code class='language-py'>x = №¶  y*z</code></pre><p>in <code>a`№_b</code></p>", "```py¶x = №¶  y*z¶```¶¶in ``a`№_b``"),
+    ("<p>$<i>a</i>_№$ and a_b * c [d]</p><p>$$x¶y$$</p>", "$<i>a</i>_№$ and a\\_b \\* c \\[d\\]¶¶$$x¶y$$"),
+    ("<p>+ №</p><p>- x</p><p>&gt; y</p><p># z</p><p>=== w</p>", "\\+ №¶¶\\- x¶¶\\> y¶¶\\# z¶¶\\=== w"),
+    ("<p>see <a href='u(№)' title='t'>l</a><img alt='n' src='x№.png'>end</p><hr>", "see [l](u\\(№\\) \"t\")¶¶![n](x№.png)¶¶end¶¶* * *"),
+    ("<table><tr><td>a №</td><td><p>b</p></td></tr></table><p></p><div> <span> s </span>t</div>", "a №¶¶b¶¶s t"),
+    ("<p>un<em>closed №<ul><li>a<li>b</ul>", "un*closed №*¶¶-   a¶-   b"),
+    ("<!-- № --><script>no</script><p>&lt;x&gt; &amp;amp; &eacute;&nbsp;№</p>", "<x> &amp; é №"),
+    ("", ""),
+]
+_WEB = ", ".join(f"({k}, '{md.replace(chr(39), chr(39) * 2)}')" for k, (_, md) in enumerate(STRUCTURES))
+
+
+@query(f"SELECT c_custkey, u.k::INTEGER AS k, replace(replace(u.md, '№', (c_custkey % 97)::VARCHAR), '¶', chr(10)) || chr(10) AS md FROM customer, (SELECT * FROM (VALUES {_WEB}) v(k, md)) u")
+def web_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, lists, quotes, code, formulas, escapes, links, tables and damage, with a number of the row in each."""
+    filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("№"), (F.col("c_custkey") % 97).cast("string")), F.lit("¶"), F.lit("\n"))
+    made = [F.struct(F.lit(k).alias("k"), filled(x).alias("x")) for k, (x, _) in enumerate(STRUCTURES)]
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    return rows.select("c_custkey", "m.k", W.web_markdown(F.col("m.x")).alias("md"))
+
+
+
 @query(
     """SELECT o_custkey, least(8, count(DISTINCT o_orderpriority || (o_orderkey % 4)) FILTER (o_orderstatus <> 'F' AND o_orderkey % 5 > 0))::BIGINT AS n FROM orders GROUP BY 1"""
 )
