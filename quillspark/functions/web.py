@@ -39,10 +39,14 @@ def warnings(messages: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.transform(told, lambda m: m["message"])), 1, most)
 
 
+def is_markdown(path: Column, mime: Column) -> Column:
+    return path.rlike(r"(?i)\.(md|markdown|mdown)\z") | F.coalesce(mime, F.lit("")).rlike("(?i)markdown")
+
+
 def pick_markdown(files: DataFrame, by: list[str]) -> DataFrame:
     """Of ``files(by, path, type)`` the Markdown file of least depth, then first by name."""
     depth = F.size(F.split("path", r"[/\\]", -1))
-    candidates = files.where(F.col("path").rlike(r"(?i)\.(md|markdown|mdown)\z") | F.coalesce(F.col("type"), F.lit("")).rlike("(?i)markdown"))
+    candidates = files.where(is_markdown(F.col("path"), F.col("type")))
     first = F.row_number().over(Window.partitionBy(*by).orderBy(depth, "path"))
     return candidates.withColumn("__n", first).where("__n = 1").drop("__n")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import base_key, path_key
-from ..functions.regex import let, rewrite_matches
+from ..functions.regex import JS_SPACE, let, rewrite_matches, strip
+from ..functions.uris import decode_component, normal_uri
 
 # Folders under which a picture is commonly referred to.
 FOLDERS = ["image", "images", "img", "imgs", "media", "assets", "pic", "pics", "static", "figures", "figure"]
@@ -26,9 +27,21 @@ def keys_of(path: Column) -> Column:
     return let(path_key(path), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(made(n)))
 
 
+def is_direct(src: Column) -> Column:
+    """Whether a reference holds its picture or says where on the web it is."""
+    return strip(src, JS_SPACE).rlike(r"(?i)\A(https?:|data:|blob:)")
+
+
+def _both(*keys: Column) -> Column:
+    """Each key with and without ``./``, once each, in order; null and empty ones are none."""
+    each = F.filter(F.array(*keys), lambda k: F.coalesce(k, F.lit("")) != "")
+    return F.array_distinct(F.flatten(F.transform(each, lambda k: F.array(k, F.concat(F.lit("./"), k)))))
+
+
 def resolve(refs: DataFrame, assets: DataFrame, by: list[str]) -> DataFrame:
-    """``refs(by, src)`` with the ``url`` of the same document's ``assets(by, path, url, seq)`` or null; http and data stay.
+    """``refs(by, src)`` with the ``url`` of the same document's ``assets(by, path, url, seq)`` or null; http and data stay, as normal addresses.
 
+    A reference is tried as it stands, by its last segment, both with its escapes decoded, and without ``/./``.
     All fallbacks of a reference need the same last segment, so after the exact candidates one
     equi-join on it is left.  Keys are reduced to their last writer before the join.  All keys hold the document and
     the path, so one document with very many pictures is spread over all tasks.
@@ -36,13 +49,13 @@ def resolve(refs: DataFrame, assets: DataFrame, by: list[str]) -> DataFrame:
     keys = assets.select(*by, F.explode(keys_of(F.col("path"))).alias("key"), "url", "seq")
     last = keys.groupBy(*by, "key").agg(F.max_by("url", "seq").alias("hit"))
     bases = assets.groupBy(*by, base_key(F.col("path")).alias("base")).agg(F.min_by("url", "seq").alias("near"))
-    src = F.replace(F.col("src"), F.lit("\\"), F.lit("/"))
-    direct = src.rlike(r"(?i)\A(https?:|data:|blob:)")
-    candidates = F.array_distinct(F.array(path_key(src), F.concat(F.lit("./"), path_key(src)), base_key(src), F.concat(F.lit("./"), base_key(src))))
+    src = F.replace(strip(F.col("src"), JS_SPACE), F.lit("\\"), F.lit("/"))
+    direct = is_direct(F.col("src"))
+    candidates = let(src, lambda s: let(decode_component(s), lambda d: _both(path_key(s), base_key(s), path_key(d), base_key(d), path_key(F.replace(s, F.lit("/./"), F.lit("/"))))))
     tried = refs.select(*by, "src", F.posexplode(candidates).alias("pos", "key")).join(last, [*by, "key"])
     best = tried.groupBy(*by, "src").agg(F.min_by("hit", "pos").alias("hit"))
     joined = refs.withColumn("base", base_key(src)).join(best, [*by, "src"], "left").join(bases, [*by, "base"], "left")
-    return joined.withColumn("url", F.when(direct, src).otherwise(F.coalesce("hit", "near"))).drop("base", "hit", "near")
+    return joined.withColumn("url", F.when(direct, normal_uri(src)).otherwise(F.coalesce("hit", "near"))).drop("base", "hit", "near")
 
 
 def unresolved(resolved: DataFrame, by: list[str]) -> DataFrame:

@@ -149,15 +149,15 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("paper"), "paper", text)
 
 
-def parse_papers(papers: DataFrame, column: str = "text", by: str = "doc_id") -> DataFrame:
+def parse_papers(papers: DataFrame, column: str = "text", by: str = "doc_id", keys: str | None = None, missing: str | None = None) -> DataFrame:
     """``doc_id, notices, questions`` of raw Markdown papers, the questions' parts as HTML.
 
     The text's formulas are repaired before it is split; ``stem_text`` is the stem's first 200
     characters without tags.  The result has the shape of the JSON that ``to_json`` makes of it.
-    Columns ``keys`` and ``missing``, where there are such, go to the notices.
+    ``keys`` and ``missing`` name the columns with the number of keys of pictures and the references without one, for the notices.
     """
-    more = [c for c in ("keys", "missing") if c in papers.columns]
-    rows = papers.select(by, P.normalize(F.col(column)).alias("paper"), *more)
+    more = {c: name for c, name in (("keys", keys), ("missing", missing)) if name}
+    rows = papers.select(by, P.normalize(F.col(column)).alias("paper"), *(F.col(name).alias(c) for c, name in more.items()))
     # a stage of its own, so that the optimizer copies the scanners into no other expression
     found = rows.mapInArrow(_repaired, rows.schema).withColumn("paper", P.normalize(F.col("paper"))).withColumn("qs", P.questions(F.col("paper")))
     notes = found.select(by, P.notices(F.col("paper"), F.col("qs"), **{c: F.col(c) for c in more}).alias("notices"))

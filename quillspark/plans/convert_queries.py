@@ -208,7 +208,12 @@ def mtef_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: code in the symbol font, LaTeX
-SYMBOLS = [(0x3B1, "\\alpha "), (0x3BB, "\\lambda "), (0x3A9, "\\Omega "), (0x3B5, "\\varepsilon "), (0xC0, "\\grave{A}"), (0x10D, "\\check{c}"), (0xF000, "\\mathfrak{A}"), (0xF01A, "\\mathfrak{a}"), (0xF08B, "\\mathbb{L}"), (0xF109, "\\mathcal{J}"), (0x24, "\\$"), (0x221E, "\u221e")]
+SYMBOLS = [
+    (0x3B1, "\\alpha "), (0x3BB, "\\lambda "), (0x3A9, "\\Omega "), (0x3B5, "\\varepsilon "), (0xC0, "\\grave{A}"), (0x10D, "\\check{c}"), (0xF000, "\\mathfrak{A}"), (0xF01A, "\\mathfrak{a}"), (0xF08B, "\\mathbb{L}"), (0xF109, "\\mathcal{J}"),
+    (0x24, "\\$"), (0x221E, "\\infty "), (0x2264, "\\le "), (0x2265, "\\ge "), (0x2208, "\\in "), (0x2209, "\\notin "), (0x2192, "\\to "), (0x21D2, "\\Rightarrow "), (0xB1, "\\pm "), (0xD7, "\\times "), (0x222B, "\\int "), (0x2211, "\\sum "),
+    (0x2284, "\\not\\subset "), (0x2286, "\\subseteq "), (0x211D, "\\mathbb{R}"), (0x210B, "\\mathcal{H}"), (0x212D, "\\mathfrak{C}"), (0xB2, "{}^\\text{2}"), (0x25B3, "\\vartriangle "), (0x27F9, "\\Longrightarrow "), (0xE930, "\\leqslant "),
+    (0xEF05, "\\quad "), (0x2254, ":=\\,\\!"), (0x20AC, "\\euro "), (0x2A01, "\\bigoplus "), (0x228D, "⊍"), (0x3BF, "ο"), (0x219F, "↟"), (0x41, "A"), (0x3A, "\\:"),
+]
 
 
 @query(f"SELECT s_suppkey, u.k::INTEGER AS k, u.latex || (s_suppkey % 10) AS latex FROM supplier, (SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{x}{chr(39)})' for k, (_, x) in enumerate(SYMBOLS))}) v(k, latex)) u")

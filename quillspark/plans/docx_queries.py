@@ -252,7 +252,7 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     folder = F.when(k % 3 == 0, "file:/data/in/").when(k % 3 == 1, "file:/data/in/deep/er/").otherwise("file:/other/")
     path = F.concat(folder, "s_name", F.when((k % 5 == 0) & (k % 3 != 2), ".doc").when(k % 2 == 0, ".docx").otherwise(".DOCX"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", D.output_path(path, "/data/in/", "/out").alias("path"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", D.output_path(path, "file:/data/in/", "/out").alias("path"))
 
 
 @query(

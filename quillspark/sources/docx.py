@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .files import below, qualified, scan_files
+
 # XML namespaces of Word files, by their usual prefix.
 NS = {
     "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main",
@@ -36,24 +38,22 @@ NS = {
 def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``doc_id, path, content`` of the ``.docx`` files under a path, lock files left out.
 
-    In no order, as sorting would move all contents; ``listing`` sorts paths alone.
+    In no order, as sorting would move all contents; ``listing`` sorts paths alone.  Paths are whole, with their scheme.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    name = F.element_at(F.split("path", "/", -1), -1)
-    kept = files.where(F.lower("path").endswith(".docx") & ~name.startswith("~$"))
+    files = scan_files(spark, path, "*.[dD][oO][cC][xX]", recursive).withColumn("path", F.concat(F.lit(qualified(spark, path) + "/"), "path"))
+    kept = files.where(~F.element_at(F.split("path", "/", -1), -1).startswith("~$"))
     return kept.select(F.sha1("path").alias("doc_id"), "path", "content")
 
 
 def listing(files: DataFrame, root: str, out: str) -> DataFrame:
     """``doc_id, path, out_path`` of scanned files by path, contents unread; outputs mirror the folders under ``root``."""
-    return files.select("doc_id", "path", output_path(F.col("path"), root, out).alias("out_path")).orderBy("path")
+    return files.select("doc_id", "path", output_path(F.col("path"), qualified(files.sparkSession, root), out).alias("out_path")).orderBy("path")
 
 
 def output_path(path: Column, root: str, out: str) -> Column:
     """``out`` and the path below ``root``, with ``.md`` for ``.docx``; a file elsewhere keeps its name alone."""
-    at = F.instr(path, F.lit(root.rstrip("/") + "/"))
-    below = F.when(at > 0, F.substring(path, at + len(root.rstrip("/")) + 1, F.length(path))).otherwise(F.element_at(F.split(path, "/", -1), -1))
-    return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(below, r"(?i)\.docx\z", ".md"))
+    name = F.coalesce(below(path, root.rstrip("/")), F.element_at(F.split(path, "/", -1), -1))
+    return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(name, r"(?i)\.docx\z", ".md"))
 
 
 def _each(rows: DataFrame, keep: list[str], column: str, read, schema: str) -> DataFrame:

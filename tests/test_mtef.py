@@ -88,7 +88,18 @@ def test_compound_file():
     assert ole.equation_stream(data) == body
     assert M.convert_object(data) == (None, "x+1")
     held = compound("MathML", b"..<math>y</math>..")
-    assert M.convert_object(held) == ("<math>y</math>", M.NO_CONVERSION)
-    assert M.convert_object(b"zz<math>q</math>") == ("<math>q</math>", M.NO_CONVERSION)
+    assert M.convert_object(held) == ("<math>y</math>", "y")
+    assert M.convert_object(b"zz<math>q</math>") == ("<math>q</math>", "q")
     assert M.convert_object(b"not-an-ole") == (None, M.NO_FORMULA)
     assert M.convert_object(None) == (None, M.NO_FORMULA)
+
+
+def test_characters_of_the_symbol_fonts():
+    """By rule and by table, and those that have neither; other faces keep Unicode."""
+    told = {0x2264: "\\le ", 0x2209: "\\notin ", 0x220C: "\\not\\ni ", 0x21D2: "\\Rightarrow ", 0x21B0: "\\Lsh ", 0x2115: "\\mathbb{N}", 0x2128: "\\mathfrak{X}", 0xAA: "{}^\\text{a}", 0x16E: "\\overset{\\circ}{U}", 0x3A3: "\\Sigma ", 0x20A7: "\\peseta ", 0xF104: "\\mathcal{E}", 0xEF22: "\\!", 0x22ED: "\\ntrianglerighteq ", 0x2A0C: "\\iiiint "}
+    for code, want in told.items():
+        assert M.shown(code, M.EXTRA) == M.shown(code, M.SPACE) == want
+        assert M.shown(code, 131) == chr(code)
+    for code in (0x219F, 0x2212, 0x3BF, 0x1CD, 0x2C6, 0x41):
+        assert M.shown(code, M.EXTRA) == chr(code)
+    assert M.shown(0x3A, M.EXTRA) == "\\:" and M.shown(0x2212, 131) == "-"
