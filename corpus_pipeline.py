@@ -27,7 +27,15 @@ from quillspark.llm.queries import documents, table, tokenizer_path
 
 #: Ids of rows without one are beyond this, or below its negative where the larger id wins.
 NULL_IDS = 1 << 62
-ID, HASH = "__row_id", "__row_hash"
+
+
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until the documents have no such column."""
+    used = {c.lower() for c in docs.columns}
+    end = ""
+    while any(f"{n}{end}".lower() in used for n in names):
+        end += "_"
+    return [n + end for n in names]
 
 
 def _own_id(sign: int):
@@ -39,15 +47,13 @@ def _told(docs: DataFrame, sign: int = 1) -> DataFrame:
     return docs.withColumn("doc_id", _own_id(sign))
 
 
-def _marked(docs: DataFrame, sign: int) -> DataFrame:
-    return docs.withColumn(ID, _own_id(sign)).withColumn(HASH, text_hash())
-
-
 def _among(docs: DataFrame, rows: DataFrame, how: str, sign: int = 1) -> DataFrame:
     """Rows of ``docs`` that are (``left_semi``) or aren't (``left_anti``) among ``rows(doc_id, text_hash)``."""
-    right = rows.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"))
+    own_id, own_hash, r_id, r_hash = _free(docs, "__row_id", "__row_hash", "__of_id", "__of_hash")
+    right = rows.select(F.col("doc_id").alias(r_id), F.col("text_hash").alias(r_hash))
     right = F.broadcast(right) if right.count() <= BROADCAST_IDS else right
-    return _marked(docs, sign).join(right, (F.col(ID) == F.col("r_id")) & (F.col(HASH) == F.col("r_hash")), how).drop(ID, HASH)
+    marked = docs.withColumn(own_id, _own_id(sign)).withColumn(own_hash, text_hash())
+    return marked.join(right, (F.col(own_id) == F.col(r_id)) & (F.col(own_hash) == F.col(r_hash)), how).drop(own_id, own_hash)
 
 
 def _without(docs: DataFrame, rejected: DataFrame, sign: int = 1) -> DataFrame:
@@ -67,7 +73,8 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if again.isEmpty():
         return rest
     # only repeated rows are compared as rows
-    one = _marked(_among(rest, again, "left_semi", -1), -1).dropDuplicates([ID, HASH]).drop(ID, HASH)
+    own_id, own_hash = _free(rest, "__row_id", "__row_hash")
+    one = _among(rest, again, "left_semi", -1).withColumn(own_id, _own_id(-1)).withColumn(own_hash, text_hash()).dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
     return _among(rest, again, "left_anti", -1).unionByName(one)
 
 
