@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_i64, materialize, tune
+from .common import as_i64, materialize, text_hash, tune
 
 #: 24 bytes each: at most 24 MB are broadcast.
 BROADCAST_LINES = 1_000_000
@@ -50,7 +50,7 @@ def _halves(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_hashes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, h1, h2)`` for each distinct eligible line of each document."""
+    """``(doc_id, text_hash, h1, h2)`` for each distinct eligible line of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +61,11 @@ def line_hashes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
                 out += own
                 index += [i] * len(own)
             h1, h2 = _halves(out)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(index, pa.int64())), as_i64(h1), as_i64(h2)], names=["doc_id", "h1", "h2"])
+            which = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(which), batch.column(2).take(which), as_i64(h1), as_i64(h2)], names=["doc_id", "text_hash", "h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long")
 
 
 def _find(table: tuple[np.ndarray, np.ndarray, np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def dedup_lines(
     spark = docs.sparkSession
     tune(spark)
     hashes = line_hashes(docs, min_chars, id_col, text_col)
-    held = hashes.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+    held = hashes.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
     hot = materialize(held.where((F.col("n") >= min_docs) & F.col("last_id").isNotNull()).drop("n"), "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if hot.count() <= broadcast_lines:
@@ -135,11 +137,12 @@ def dedup_lines(
     drop = (
         hashes.join(hot, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
-        .groupBy("doc_id")
+        # by text too: no array holds more than one text's lines, however many rows have no id
+        .groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
-        .withColumnRenamed("doc_id", "drop_id")
+        .select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), "drop")
     )
-    joined = rows.join(drop, rows["doc_id"].eqNullSafe(drop["drop_id"]), "left").select("doc_id", "text", "drop")
+    joined = rows.join(drop, rows["doc_id"].eqNullSafe(drop["drop_id"]) & (text_hash() == drop["drop_hash"]), "left").select("doc_id", "text", "drop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("kept", "component_id", "key", "rep", "members", "run", "host", "path", "found")]
+    + [T.StructField(c, T.StringType()) for c in ("kept", "component_id", "key", "rep", "members", "run", "host", "path", "found", "r_id", "r_hash", "__row_id", "__row_hash", "__of_id")]
 )
 
 
@@ -13,7 +13,7 @@ def make(spark):
 
     def build(texts, ids=None):
         ids = range(len(texts)) if ids is None else ids
-        return spark.createDataFrame([(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None, *["x"] * 9) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA).repartition(3)
+        return spark.createDataFrame([(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None, *["x"] * 14) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA).repartition(3)
 
     return build
 

@@ -111,6 +111,32 @@ def test_decontaminate(spark, make, block_words):
     assert decontaminate(make(texts), table.where("false")).count() == 0
 
 
+def test_decontaminate_with_repeated_words(spark, make, monkeypatch):
+    """Runs of equal words are searched in parts, with the same result and few hits at once."""
+    from quillspark.llm import decontaminate as D
+
+    items = [(k, " ".join(["la"] * 12 + [f"i{k}_{j}" for j in range(8)])) for k in range(40)] + [(99, " ".join(f"x{j}" for j in range(120)))]
+    texts = ["la " * 20_000, "la " * 3000 + items[3][1] + " la" * 3000, "a b " * 4000 + items[40][1], None, ""]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(map(tuple, decontaminate(make(texts), table).collect()))
+    most = []
+    real = D.Seeds.hits
+    monkeypatch.setattr(D.Seeds, "hits", lambda self, found, values: most.append(self.times(values)) or real(self, found, values))
+    words, starts = D.batch_words(texts, D.WordHash())
+    block = next(D._blocks(table, "item_id", "text", Decontamination()))
+    known = block.all_words()
+    block.choose(known, np.zeros(len(known), np.int64), Decontamination())
+    parts = {}
+    for limit in (10**9, 100_000):
+        most.clear()
+        monkeypatch.setattr(D, "HITS", limit)
+        parts[limit] = D.candidates(words, starts, block, block.among(), Decontamination())
+        assert limit == 10**9 or max(most) <= limit
+    assert parts[10**9] == parts[100_000] and parts[100_000]
+    monkeypatch.undo()
+    assert {(r[0], r[2]) for r in found()} >= {(1, 3), (2, 99)}
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 300])
 def test_decontaminate_finds_what_aligns(spark, make, block_words):
     """Against the alignment of every item with every whole document."""
