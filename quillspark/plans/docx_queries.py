@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import formula_runs as R
 from ..operators import inspector as I
 from ..operators import omml as O
 from ..sources import docx as D
@@ -275,3 +276,39 @@ def omml_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
         made(tag("func", tag("fName", r("sin")), tag("e", r(q)))).alias("sine"),
         made(tag("eqArr", tag("e", r("a")), tag("e", r(q)))).alias("lines"),
     )
+
+
+_RUNS = "z * (s_suppkey % 3 + s_suppkey % 4 + (s_suppkey % 4 < 2)::BIGINT)"
+
+
+@query(
+    f"""SELECT s_suppkey, coalesce((SELECT string_agg(printf('⟦MT:%03d⟧', n), '' ORDER BY n) FROM range(1, {_RUNS} + 1) r(n)), '') AS marks, {_RUNS} AS formulas, z * (s_suppkey % 3 + s_suppkey % 4) AS converted, 0::BIGINT AS math_left,
+    ({_RUNS} = 0)::BIGINT AS changed_more, true AS same_parts FROM (SELECT *, CASE WHEN s_suppkey % 7 = 6 THEN 0 ELSE 1 END AS z FROM supplier)"""
+)
+def docx_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written again with marks for formulas: the marks, what is left, and whether all other parts kept their bytes."""
+    made = R.with_marks(sample(spark, sf_dir), "s_suppkey")
+    return _compared(spark, sf_dir, made, "marks", r"\A⟦MT:[0-9]+⟧\z").withColumn("converted", F.col("converted").cast("long"))
+
+
+@query(
+    """SELECT s_suppkey, repeat('$$x$$', (z * (s_suppkey % 3))::INTEGER) || repeat('$y$', (z * (s_suppkey % 4))::INTEGER) AS texts, z * (s_suppkey % 3 + s_suppkey % 4) AS formulas, z * (s_suppkey % 3 + s_suppkey % 4) AS converted, 0::BIGINT AS math_left,
+    (z * (s_suppkey % 3 + s_suppkey % 4) = 0)::BIGINT AS changed_more, true AS same_parts FROM (SELECT *, CASE WHEN s_suppkey % 7 = 6 THEN 0 ELSE 1 END AS z FROM supplier)"""
+)
+def docx_inline_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written again with LaTeX in the text."""
+    return _compared(spark, sf_dir, R.with_latex(sample(spark, sf_dir), "s_suppkey"), "texts", r"\A\$.*\$\z")
+
+
+def _compared(spark: SparkSession, sf_dir: str, made: DataFrame, name: str, pattern: str) -> DataFrame:
+    """``changed_more``: 1 where the document kept its bytes though it was to change, or changed though it was not."""
+    old, new = D.parts(sample(spark, sf_dir), "s_suppkey"), D.parts(made, "s_suppkey")
+    both = old.select("s_suppkey", "part", F.sha1("data").alias("a")).join(new.select("s_suppkey", "part", F.sha1("data").alias("b")), ["s_suppkey", "part"], "full")
+    same, body = F.col("a").eqNullSafe(F.col("b")), F.col("part") == "word/document.xml"
+    kept = both.groupBy("s_suppkey").agg(F.bool_and(same | body).alias("same_parts"), F.count_if(same & body).alias("changed_more"))
+    nodes = D.nodes(new.where(F.col("part") == "word/document.xml"), "s_suppkey")
+    hit = F.when(F.col("text").rlike(pattern), F.struct("node_id", "text"))
+    left = nodes.groupBy("s_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["text"]), "").alias(name), F.count_if(F.col("local").isin("oMath", "oMathPara")).alias("math_left"))
+    counts = made.select("s_suppkey", F.size("formulas").cast("long").alias("formulas"), F.size(F.filter("formulas", lambda f: f["latex"].isNotNull())).cast("long").alias("converted"))
+    out = counts.join(kept, "s_suppkey").join(left, "s_suppkey", "left")
+    return out.select("s_suppkey", F.coalesce(name, F.lit("")).alias(name), "formulas", "converted", F.coalesce("math_left", F.lit(0).cast("long")).alias("math_left"), "changed_more", "same_parts")
