@@ -1,17 +1,21 @@
-"""What in a Word file makes conversion risky: one conditional aggregation over its elements.
+"""What in a Word file makes conversion risky: counts of its elements, and reports on them.
 
-The element table is read once; all counts of a document come from a single group-by with partial
-sums.  Reports are arrays built from the wide row of counts, so no further shuffle follows.
+A file's counts are made while its XML is read (``sources.tally``), a row per part, and summed up by one group-by with partial
+sums.  Reports are arrays built from the wide row of counts, so no further shuffle follows.  Single counts can also be had from the table of elements.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.latex import count_of
-from ..functions.regex import let, strip
+from ..functions.regex import strip
 from ..sources import docx as D
+from ..sources.tally import tallies
 from .formulas import longest_run
 
 # Program ids of equation objects; extensions of pictures.
@@ -51,14 +55,6 @@ def tag_counts(nodes: DataFrame, by: str = "doc_id") -> DataFrame:
     return nodes.groupBy(by).agg(*_tag_columns())
 
 
-def _object_columns(where: Column) -> list[Column]:
-    """Embedded objects by what made them."""
-    prog = F.coalesce(F.col("attrs")["ProgID"], F.lit(""))
-    here = where & is_element("o:OLEObject")
-    mathtype = F.contains(prog, F.lit("DSMT")) | F.contains(prog, F.lit("MathType"))
-    return [F.count_if(here).alias("ole_objects"), F.count_if(here & mathtype).alias("mathtype"), F.count_if(here & ~mathtype & prog.startswith("Equation.")).alias("ms_equation")]
-
-
 def _any(names: list[str]) -> Column:
     out = is_element(names[0])
     for n in names[1:]:
@@ -180,66 +176,45 @@ def raw_counts(parts: DataFrame, by: str = "doc_id") -> DataFrame:
     return rows.select(by, *(v.alias(k) for k, v in _raw_columns(F.col("raw")).items()))
 
 
-def _longest(flags: Column) -> Column:
-    """The longest run of true flags in an array."""
-    step = lambda a, f: F.when(f, F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).otherwise(F.struct(F.lit(0).cast("long").alias("now"), a["most"].alias("most")))
-    return F.aggregate(flags, F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")), step, lambda a: a["most"])
-
-
-def _margins(nodes: Column) -> list[Column]:
-    """The columns of ``header_footer`` from the array ``(part, ord, text, image)`` of one document's header and footer elements."""
-    def parts(found: Column) -> Column:
-        names = F.array_sort(F.array_distinct(F.transform(found, lambda n: n["part"])))
-        def one(part: Column) -> Column:
-            own = F.filter(found, lambda n: n["part"] == part)
-            said = strip(F.array_join(F.transform(own, lambda n: n["text"]), ""))
-            pages = F.exists(own, lambda n: n["text"].contains("PAGE"))
-            return let(said, lambda t: F.struct((F.regexp_extract(part, "/(header|footer)", 1) == "footer").alias("footer"), part.alias("part"), t.alias("said"), F.exists(own, lambda n: n["image"]).alias("image"), pages.alias("pages")))
-        return F.transform(names, one)
-
-    found = let(F.array_sort(nodes), parts)
+def _margins(found: Column) -> list[Column]:
+    """The columns of ``header_footer`` from the array ``(footer, part, said, image, pages)`` of one document's headers and footers, in order."""
     full = lambda p: (p["said"] != "") | p["image"]
     shown = lambda t: F.when(F.length(t) > 40, F.concat(F.substring(t, 1, 40), F.lit("…"))).when(t != "", t).otherwise("(含图片/域)")
-    count = lambda f: F.size(F.filter("margins", f)).cast("long")
-    samples = F.slice(F.array_sort(F.filter("margins", full)), 1, 4)
+    count = lambda f: F.size(F.filter(found, f)).cast("long")
     return [
-        found.alias("margins"),
         count(lambda p: ~p["footer"]).alias("header_parts"), count(lambda p: p["footer"]).alias("footer_parts"),
         count(lambda p: ~p["footer"] & full(p)).alias("nonempty_headers"), count(lambda p: p["footer"] & full(p)).alias("nonempty_footers"),
-        F.exists("margins", lambda p: p["pages"]).alias("page_number_fields"),
-        F.transform(samples, lambda p: F.struct(p["part"].alias("part"), shown(p["said"]).alias("preview"))).alias("header_samples"),
+        F.exists(found, lambda p: p["pages"]).alias("page_number_fields"),
+        F.transform(F.slice(F.filter(found, full), 1, 4), lambda p: F.struct(p["part"].alias("part"), shown(p["said"]).alias("preview"))).alias("header_samples"),
     ]
 
 
-def _histogram(values: Column) -> Column:
-    """``value×n`` of an array's values, in order, as one string."""
-    times = lambda v: F.size(F.filter(values, lambda x: x == v)).cast("string")
-    return F.nullif(F.array_join(F.array_sort(F.transform(F.array_distinct(values), lambda v: F.concat(v, F.lit("×"), times(v)))), ", "), F.lit(""))
+#: count -> what the automaton calls it
+TOLD = {
+    **ELEMENTS, "page_breaks": ["page"], "inline_omml": ["inline"], "ole_objects": ["o:OLEObject"], "mathtype": ["mathtype"], "ms_equation": ["equation"],
+    "paragraphs": ["paragraph"], "empty_paragraphs": ["empty"], "headings": ["heading"],
+}
 
 
 def counts(docs: DataFrame, by: str = "doc_id") -> DataFrame:
     """The wide row of counts per document on which all reports rest, with ``error`` for what can't be read.
 
-    Each file is read once; its rows are combined where they are read, so a document is one row when it moves.
+    Each file is read once and counted while its XML is parsed; a document's few rows, one per part, are summed up.
     """
-    rows = D.records(docs, by)
-    kind = F.col("kind")
-    node, body = kind == "node", (kind == "node") & (F.col("part") == "word/document.xml")
-    margin = F.when(node & F.col("part").rlike(MARGIN), F.struct("part", "ord", "text", (is_element("v:imagedata") | is_element("a:blip")).alias("image")))
-    paragraph = kind == "paragraph"
-    raw = [F.max(F.when(kind == "raw", v)).alias(k) for k, v in _raw_columns(F.col("text")).items()]
-    section = F.when(kind == "section", F.coalesce(F.nullif("text", F.lit("")), F.lit("nextPage(default)")))
+    rows = tallies(docs, by).withColumn("part", F.coalesce("part", F.lit("")))
+    part, zero = F.col("part"), F.lit(0).cast("long")
+    body = part == "word/document.xml"
+    told = lambda where, names: F.sum(F.when(where, reduce(add, (F.coalesce(F.col("tally")[n], zero) for n in names))).otherwise(zero))
+    margin = F.when(part.rlike(MARGIN) & F.col("tally").isNotNull(), F.struct((F.regexp_extract("part", "/(header|footer)", 1) == "footer").alias("footer"), "part", strip(F.col("said")).alias("said"), "image", "pages"))
+    raw = [F.max(F.coalesce(F.when(body, v), F.lit(False) if k == "watermark" else zero)).alias(k) for k, v in _raw_columns(F.col("raw")).items()]
+    kinds = F.transform(F.map_entries("kinds"), lambda e: F.concat(F.when(e["key"] == "", "nextPage(default)").otherwise(e["key"]), F.lit("×"), e["value"].cast("string")))
+    # no value of these is null, so that no more expressions come between them and the reports
     wide = rows.groupBy(by).agg(
-        *_tag_columns(body), *_object_columns(body), *(c for c in _note_columns(node)), *_media_columns(kind == "part"), *_paragraph_columns(paragraph), *raw,
-        F.collect_list(margin).alias("nodes"), F.collect_list(F.when(paragraph, F.struct("ord", _empty().alias("empty")))).alias("flags"),
-        F.collect_list(section).alias("kinds"), F.max(F.when(kind == "error", F.col("text"))).alias("error"),
+        *(told(body, names).alias(c) for c, names in TOLD.items()), *(told(part == f"word/{n}s.xml", ["note"]).alias(f"{n}s") for n in ("footnote", "endnote")), *_media_columns(F.lit(True)), *raw,
+        F.array_sort(F.collect_list(margin)).alias("margins"), F.max(F.coalesce("longest", zero)).alias("max_empty_run"), F.max(F.nullif(F.array_join(F.array_sort(kinds), ", "), F.lit(""))).alias("section_kinds"), F.max("error").alias("error"),
     )
-    first, *rest = _margins(F.col("nodes"))
-    wide = wide.withColumn("max_empty_run", _longest(F.transform(F.array_sort("flags"), lambda x: x["empty"]))).withColumn("section_kinds", _histogram(F.col("kinds")))
-    out = wide.select("*", first).select("*", *rest).drop("nodes", "flags", "kinds", "margins")
-    longs = {c: F.coalesce(F.col(c), F.lit(0)) for c, t in out.dtypes if t == "bigint" and c != by}
-    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c, t in out.dtypes if t == "boolean"}
-    return out.withColumns({**longs, **flags}).withColumn("revisions", F.col("ins") + F.col("dels") + F.col("rpr_change") + F.col("ppr_change"))
+    out = wide.select("*", *_margins(F.col("margins"))).drop("margins")
+    return out.withColumn("revisions", F.col("ins") + F.col("dels") + F.col("rpr_change") + F.col("ppr_change"))
 
 
 def _text(*xs: str) -> Column:

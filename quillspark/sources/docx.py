@@ -75,7 +75,7 @@ def _each(rows: DataFrame, keep: list[str], column: str, read, schema: str) -> D
 
 
 def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
-    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()), "long": pa.int64(), "map<string,long>": pa.map_(pa.string(), pa.int64())}
     return [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
 
@@ -181,35 +181,6 @@ def _margin(part: str) -> bool:
     return re.search(r"/(header|footer).*\.xml\Z", part) is not None
 
 
-def _records(content: bytes | None) -> Iterator[dict]:
-    package = Package(content)
-    document = package.read("word/document.xml")
-    root = parse(document)
-    if root is None:
-        yield {"kind": "error", "text": "no zip file" if package.zip is None else "no word/document.xml" if document is None else "word/document.xml is no XML"}
-    if document is not None:
-        yield {"kind": "raw", "text": document.decode("utf-8", "replace")}
-    for part in package.items:
-        yield {"kind": "part", "part": part}
-        if part in ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml") or _margin(part):
-            yield from ({"kind": "node", "part": part, "ord": n["node_id"], **{k: n[k] for k in ("in_math_para", "ns", "local", "attrs", "text")}} for n in _nodes(document if part == "word/document.xml" else package.read(part)))
-    if root is not None:
-        yield from ({"kind": "paragraph", **p} for p in _paragraphs(document))
-        for k, section in enumerate(root.iter(_q("w:sectPr"))):
-            kinds = [t.get(_q("w:val")) for t in section if t.tag == _q("w:type")]
-            yield from ({"kind": "section", "ord": k, "text": v} for v in kinds or [None])
-
-
-def records(docs: DataFrame, by: str = "doc_id", content: str = "content") -> DataFrame:
-    """All that the inspector counts, from one reading of each file: a row per part name, XML element, paragraph and section.
-
-    ``kind`` tells them apart (``part``, ``node``, ``paragraph``, ``section``, ``raw`` for the body's text, ``error``).
-    Pictures and other binary parts stay packed.
-    """
-    schema = "kind string, part string, ord int, in_math_para boolean, ns string, local string, attrs map<string,string>, text string, style string, has_object boolean"
-    return _each(docs, [by], content, _records, schema)
-
-
 def relationships(node_rows: DataFrame, rule: str = "math", by: str = "doc_id") -> DataFrame:
     """``(doc_id, rid, target)``; the rule says how a target becomes a part's name.
 
