@@ -2,14 +2,14 @@
 
 Paragraphs are runs of lines without a blank one.  In a paragraph, places that may hold a notice are the smallest runs
 of words, over line breaks too, with ``least_overlap`` of some template's word pairs, among them one that no
-other family's templates have, in at most twice the template's words.  Templates are whole public licence texts, the notices by which
+other family's templates have, in at most twice the template's words.  Templates are opening clauses of public licences, the notices by which
 they are applied, names and SPDX lines.  Of places that overlap, that with most pairs counts.
 
 Its words and up to ``context`` words on either side within the sentence, with marks where the sentence begins or ends, go
 to a multinomial logistic regression over sparse word n-grams (one to three words) with one class per licence family and one
 for unknown text.  It is fitted on notices in the ways they are put, and for the unknown class on negated and mentioned
-notices, shuffled ones and sentences of the corpus itself (about ``corpus_rows`` documents, drawn by hash, are read for them, runs that hold a
-template left out).  Its probabilities are calibrated by a temperature, chosen on phrasings that a first fit has not seen.  A
+notices, shuffled ones and runs of words of the corpus itself (``corpus_runs`` from all of the text of each of about ``corpus_rows`` documents, drawn by
+hash; runs that hold a template left out).  Its probabilities are calibrated by a temperature, chosen on phrasings that a first fit has not seen.  A
 place whose best family stays under ``least_probability`` is unknown.  A prediction counts only when it is
 confirmed: a template of the predicted family must reach ``least_overlap`` in the place as above.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-# Names, notices and whole texts of public licences, by family.
+# Names, notices and opening clauses of public licences, by family.
 TEMPLATES = {
     "AGPL-3.0": [
         "GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "AGPLv3", "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only",
@@ -118,7 +118,8 @@ class Scan:
     context: int = 6
     #: Documents, and characters of each, that the unknown class is fitted on.
     corpus_rows: int = 400
-    corpus_chars: int = 4000
+    #: Runs of words from each, from all of its text.
+    corpus_runs: int = 10
 
 
 def words(text: str) -> list[str]:
@@ -318,22 +319,29 @@ def fit(rows: list[Example], rounds: int = 150, rate: float = 1.0, ridge: float
     often = Counter(g for gs in held for g in gs)
     vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in often.items() if n > 1))}
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    x = np.zeros((len(held), len(vocabulary)), np.float32)
-    for k, gs in enumerate(held):
-        at = [vocabulary[g] for g in gs if g in vocabulary]
-        x[k, at] = 1 / np.sqrt(max(1, len(at)))
+    # sparse rows: the grams of each example end to end; one without any has the empty gram, which weighs nothing
+    none = len(vocabulary)
+    at = [[vocabulary[g] for g in gs if g in vocabulary] or [none] for gs in held]
+    gram, size = np.concatenate([np.array(a) for a in at]), np.array([len(a) for a in at])
+    row, first = np.repeat(np.arange(len(at)), size), np.cumsum(size) - size
+    value = (1 / np.sqrt(size)).astype(np.float32)[row][:, None]
+    by_gram = np.argsort(gram, kind="stable")
+    own, begin = np.unique(gram[by_gram], return_index=True)
     y = np.eye(len(classes), dtype=np.float32)[[classes.index(c) for _, c in counted]]
     weight = np.fromiter(counted.values(), np.float32)[:, None] * np.float32(len(classes) / len(rows))
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    w, b = np.zeros((none + 1, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
-        z = x @ w + b
+        z = np.add.reduceat(w[gram] * value, first) + b
         p = np.exp(z - z.max(1, keepdims=True))
         d = (p / p.sum(1, keepdims=True) - y) * weight
-        speed_w = np.float32(0.9) * speed_w - np.float32(rate) * (x.T @ d + np.float32(ridge) * w)
+        slope = np.float32(ridge) * w
+        slope[own] += np.add.reduceat((d[row] * value)[by_gram], begin)
+        slope[none] = 0
+        speed_w = np.float32(0.9) * speed_w - np.float32(rate) * slope
         speed_b = np.float32(0.9) * speed_b - np.float32(rate / len(classes)) * d.sum(0)
         w, b = w + speed_w, b + speed_b
-    return Classifier(classes, vocabulary, w.astype(np.float64), b.astype(np.float64), 1.0)
+    return Classifier(classes, vocabulary, w[:none].astype(np.float64), b.astype(np.float64), 1.0)
 
 
 def loss(z: np.ndarray, y: np.ndarray, t: float) -> float:
@@ -387,22 +395,28 @@ def scan(text: str | None, model: Classifier, p: Scan = Scan()) -> list[Found]:
 
 
 def corpus_sentences(rows: DataFrame, p: Scan) -> list[list[str]]:
-    """Up to two short runs of words each from about ``corpus_rows`` documents, none with a notice.
+    """Up to ``corpus_runs`` short runs of words each from about ``corpus_rows`` documents, none with a notice, in an order that doesn't vary.
 
-    Documents are drawn by their id's hash, so each task sends its share of them alone.
+    Documents are drawn by a hash of id and text, and runs from all of a text where it is read, so only runs move; the limit bounds them, as
+    rows repeated very often are drawn together.
     """
-    rng, out = np.random.default_rng(9), []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rng, w = np.random.default_rng(mark % 2**63), words(text)
+                for at in rng.integers(0, max(1, len(w)), p.corpus_runs).tolist():
+                    part = w[at : at + int(rng.integers(3, 20))]
+                    if part and not candidates(part, p.least_overlap):
+                        out.append(" ".join(part))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["run"])
+
+    mark = F.xxhash64("doc_id", "text")
     share = min(1.0, p.corpus_rows / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)) + 1).where(F.length("text") > 0)
-    # ids that are null or repeated are drawn together; the limit bounds those
-    found = drawn.select(F.substring("text", 1, p.corpus_chars).alias("text")).limit(2 * p.corpus_rows).collect()
-    for text in sorted(r["text"] for r in found):
-        w = words(text)
-        for at in rng.integers(0, max(1, len(w)), 2).tolist():
-            part = w[at : at + int(rng.integers(3, 20))]
-            if part and not candidates(part, p.least_overlap):
-                out.append(part)
-    return out
+    drawn = rows.where((F.pmod(mark, F.lit(1 << 31)) < int(share * (1 << 31)) + 1) & (F.length("text") > 0)).select("text", mark.alias("mark"))
+    found = drawn.mapInArrow(cut, "run string").orderBy(F.xxhash64("run"), "run").limit(2 * p.corpus_rows * p.corpus_runs).toArrow()
+    return [run.split(" ") for run in found["run"].to_pylist()]
 
 
 def licences(docs: DataFrame, p: Scan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
