@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.html_markdown import structured_markdown
+from ..operators.markdown_html import markdown_html
 from ..operators.latex_repair import options_wrapped
 from .regex import JS_SPACE, let, replace_all, rewrite_matches, strip
 
@@ -65,3 +66,10 @@ def tag_images(markdown: Column, job: Column) -> Column:
 
     pattern = r"!\[[^\]]*\]\(assets/[^)]+\)"
     return let(markdown, lambda t: rewrite_matches(t, pattern, one))
+
+
+def preview_html(markdown: Column, job: Column) -> Column:
+    """The page body of a preview: pictures of the job as tagged images, then HTML; other images are tagged by their address."""
+    html = markdown_html(tag_images(markdown, job))
+    other = lambda kind: rf'(?i)<img(?![^>]*class=)([^>]*src="[^"]*(?:{kind})[^"]*"[^>]*)>'
+    return replace_all(html, (other("formula|glyph"), '<img class="formula"$1>'), (other("/image"), '<img class="figure"$1>'))

@@ -135,3 +135,29 @@ def mathml_raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     blob = F.encode(F.concat(F.lit("junk\x00 <math>"), "s_name", F.lit("</math> tail")), "UTF-8")
     return table(spark, sf_dir, "supplier").select("s_suppkey", ole_formula(blob).alias("f")).select("s_suppkey", F.col("f.mathml").alias("mathml"))
+
+
+#: Markdown and its preview, with № for a number and ¶ for a line end.
+PREVIEWS = [
+    ("# T *x* №¶¶a **b** `c<d` №¶next & <b>y</b> 1 < 2", '<h1>T <em>x</em> №</h1>¶<p>a <strong>b</strong> <code>c&lt;d</code> №<br />¶next &amp; <b>y</b> 1 &lt; 2</p>'),
+    ("- a №¶- b¶    - c¶    - d №¶¶1. x¶2. y", "<ul>¶<li>a №</li>¶<li>b<ul>¶<li>c</li>¶<li>d №</li>¶</ul>¶</li>¶</ul>¶<ol>¶<li>x</li>¶<li>y</li>¶</ol>"),
+    ("3. a¶¶4. b №¶¶    more¶¶end", '<ol start="3">¶<li>¶<p>a</p>¶</li>¶<li>¶<p>b №</p>¶<p>more</p>¶</li>¶</ol>¶<p>end</p>'),
+    ("> q №¶> w¶¶***¶¶```py¶x<№¶```", '<blockquote>¶<p>q №<br />¶w</p>¶</blockquote>¶<hr />¶<pre><code class="language-py">x&lt;№¶</code></pre>'),
+    ("| a | № |¶|:--|--:|¶| 1 | `x` |¶¶z", '<table>¶<thead>¶<tr>¶<th style="text-align: left;">a</th>¶<th style="text-align: right;">№</th>¶</tr>¶</thead>¶<tbody>¶<tr>¶<td style="text-align: left;">1</td>¶<td style="text-align: right;"><code>x</code></td>¶</tr>¶</tbody>¶</table>¶<p>z</p>'),
+    ("![n](assets/formula№.png) ![f](assets/image№.png)", '<p><img class="formula" src="/files/j№/assets/formula№.png" alt="n"> <img class="figure" src="/files/j№/assets/image№.png" alt="f"></p>'),
+    ("![a](x/glyph№.png) ![b](y/image№.png) ![c](z.png)", '<p><img class="formula" alt="a" src="x/glyph№.png" /> <img class="figure" alt="b" src="y/image№.png" /> <img alt="c" src="z.png" /></p>'),
+    ("[l№](u 't') <http://a.b?c&d> snake_case_№ \\*n\\* $a_1$", '<p><a href="u" title="t">l№</a> <a href="http://a.b?c&amp;d">http://a.b?c&amp;d</a> snake_case_№ *n* $a_1$</p>'),
+    ("<div>¶*№*¶</div>¶¶    code №¶    more", "<div>¶*№*¶</div>¶<pre><code>code №¶more¶</code></pre>"),
+    ("", ""),
+]
+_PREVIEW = ", ".join(f"({k}, '{h.replace(chr(39), chr(39) * 2)}')" for k, (_, h) in enumerate(PREVIEWS))
+
+
+@query(f"SELECT c_custkey, u.k::INTEGER AS k, replace(replace(u.h, '№', (c_custkey % 97)::VARCHAR), '¶', chr(10)) AS html FROM customer, (SELECT * FROM (VALUES {_PREVIEW}) v(k, h)) u")
+def preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews of every kind of block and mark, with a number of the row in each."""
+    number = (F.col("c_custkey") % 97).cast("string")
+    filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("№"), number), F.lit("¶"), F.lit("\n"))
+    made = [F.struct(F.lit(k).alias("k"), filled(x).alias("x")) for k, (x, _) in enumerate(PREVIEWS)]
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    return rows.select("c_custkey", "m.k", W.preview_html(F.col("m.x"), F.concat(F.lit("j"), number)).alias("html"))
