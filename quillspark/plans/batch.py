@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import vector_pictures as V
 from ..sources import docx as D
 from ..sources.files import below, qualified, write_files
 from . import convert, folders
@@ -28,15 +29,16 @@ def convert_folder(spark: SparkSession, source: str, target: str, recursive: boo
     """Write ``name.md`` for every Word file and the pictures it links in ``folder`` beside it; returns ``path, out_path, error`` of all files.
 
     Word files of one folder share their pictures' folder; of pictures with one name that of the last file by path is kept, as if files
-    were converted one after the other.  A file that can't be read is told with its error and has no output.  ``options`` are those of
+    were converted one after the other.  Vector pictures that hold a bitmap become PNG.  A file that can't be read is told with its error and has no output.  ``options`` are those of
     ``to_markdown``.
     """
     docs = _found(spark, source, recursive)
     names = docs.select("doc_id", "path")
-    made = convert.to_markdown(docs, folder=folder, **options)
+    pngs = V.pngs(D.parts(docs, under="word/media/"))
+    made = convert.to_markdown(docs, folder=folder, pngs=pngs, **options)
     out = F.regexp_replace("path", r"(?i)\.docx\z", ".md")
     text = made.select("doc_id", F.encode("md", "UTF-8").alias("data")).where("data IS NOT NULL").join(names, "doc_id").select(out.alias("place"), "data", "path")
-    pictures = convert.image_files(docs, made, folder=folder).withColumnRenamed("path", "name").join(names, "doc_id")
+    pictures = convert.image_files(docs, made, folder=folder, pngs=pngs).withColumnRenamed("path", "name").join(names, "doc_id")
     files = text.unionByName(pictures.select(_beside(F.col("path"), F.col("name")).alias("place"), "data", "path"))
     write_files(files.groupBy(F.col("place").alias("path")).agg(F.max_by("data", F.col("path")).alias("data")), target)
     return made.select("doc_id", "error").join(names, "doc_id").select("path", F.when(F.col("error").isNull(), out).alias("out_path"), "error")

@@ -99,11 +99,13 @@ def _rendered(f, fallback: str, folder: str, done):
     )
 
 
-def image_files(docs: DataFrame, markdown: DataFrame, by: str = "doc_id", folder: str = "image") -> DataFrame:
+def image_files(docs: DataFrame, markdown: DataFrame, by: str = "doc_id", folder: str = "image", pngs: DataFrame | None = None) -> DataFrame:
     """``doc_id, path, data`` of the pictures that ``to_markdown`` links, as they are in the files.
 
-    Vector pictures that were rasterised elsewhere have their PNG there.
+    Vector pictures that were rasterised have their PNG where that was done, or in ``pngs(sha1, png)``, from which they are then told too.
     """
+    if pngs is not None:
+        return _with_png_files(docs, markdown, by, folder, pngs)
     shown = markdown.select(by, F.explode("images").alias("i")).select(by, F.col("i.part").alias("part"), F.concat(F.lit(f"{folder}/"), "i.name").alias("path"))
     previews = markdown.select(by, F.explode("formulas").alias("f")).where("f.latex is null and f.picture is not null")
     previews = previews.select(by, F.col("f.picture").alias("part"), F.concat(F.lit(f"{folder}/formula"), "f.formula_id", F.lit(".wmf")).alias("path"))
@@ -111,6 +113,17 @@ def image_files(docs: DataFrame, markdown: DataFrame, by: str = "doc_id", folder
     return wanted.join(D.parts(docs, by, under="word/"), [by, "part"]).select(by, "path", "data")
 
 
+def _with_png_files(docs: DataFrame, markdown: DataFrame, by: str, folder: str, pngs: DataFrame) -> DataFrame:
+    plain = image_files(docs, markdown, by, folder)
+    shown = markdown.select(by, F.explode("images").alias("i")).select(by, F.concat(F.lit(f"{folder}/"), "i.name").alias("path"), F.col("i.sha1").alias("sha1")).where(F.col("path").rlike(r"/glyph[0-9]+\.png\z"))
+    previews = markdown.select(by, F.explode("formulas").alias("f")).where("f.latex is null and f.picture is not null")
+    previews = previews.select(by, F.concat(F.lit(f"{folder}/formula"), "f.formula_id", F.lit(".png")).alias("path"), F.col("f.sha1").alias("sha1"))
+    made = shown.unionByName(previews).join(pngs.select("sha1", F.col("png").alias("data")).dropDuplicates(["sha1"]), "sha1").select(by, "path", "data")
+    # a preview is told once, as PNG where there is one
+    gone = made.select(by, F.regexp_replace("path", r"\.png\z", ".wmf").alias("path"))
+    return plain.join(gone, [by, "path"], "left_anti").unionByName(made)
+
+
 def without_objects(docs: DataFrame, by: str = "doc_id") -> DataFrame:
     """``doc_id, content, formulas``: files whose embedded objects are replaced by ``$LaTeX$``, without their parts.
 

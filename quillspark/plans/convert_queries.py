@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mtef as E
 from ..operators import pictures as P
+from ..operators import vector_pictures as V
 from ..operators.mathml import mathml_to_latex
 from ..sources import docx as D
 from ..sources.tables import spread, table
@@ -257,3 +258,31 @@ def mathml_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [F.struct(F.lit(k).alias("k"), F.replace(F.lit(x), F.lit("#"), (F.col("c_custkey") % 97).cast("string")).alias("x")) for k, (x, _) in enumerate(MATHML)]
     rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("c_custkey", "m.k", mathml_to_latex("m.x").alias("latex"))
+
+
+def _metafile(blue: Column) -> Column:
+    """A placeable metafile of 72 by 36 points with a bitmap of two pixels, the first of this colour."""
+    dib = struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0)
+    tail = bytes([9, 8, 7, 6, 5, 0, 0])
+    record = struct.pack("<IH", (6 + 22 + len(dib) + 8) // 2, 0x0F43) + bytes(22) + dib
+    head = b"\xd7\xcd\xc6\x9a" + struct.pack("<HhhhhHIH", 0, 0, 0, 1440, 720, 1440, 0, 0) + struct.pack("<HHHIHIH", 1, 9, 0x300, 0, 0, 0, 0)
+    return F.concat(F.lit(head + record), F.unhex(F.lpad(F.hex(blue), 2, "0")), F.lit(tail), F.lit(struct.pack("<IH", 3, 0)))
+
+
+@query(
+    f"""SELECT s_suppkey, 'q' || {NL} || '![](image/glyph001.' || CASE WHEN s_suppkey % 2 = 0 THEN 'png' ELSE 'wmf' END || ')' || chr(10) AS md, CASE WHEN s_suppkey % 2 = 0 THEN 72.0 END::DOUBLE AS width, CASE WHEN s_suppkey % 2 = 0 THEN 36.0 END::DOUBLE AS height,
+    (s_suppkey % 2 = 0)::INTEGER AS bitmaps, CASE WHEN s_suppkey % 2 = 0 THEN '89504E470D0A1A0A0000000D49484452000000020000000108020000' ELSE '' END AS head FROM supplier"""
+)
+def vector_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metafiles that are a bitmap come out as PNG, those that aren't as they are."""
+    k = F.col("s_suppkey")
+    doc = body("<w:p><w:r><w:t>q</w:t></w:r></w:p><w:p><w:r><w:pict><v:imagedata r:id='r2'/></w:pict></w:r></w:p>")
+    rels = f'<Relationships xmlns="{D.NS["rel"]}"><Relationship Id="r2" Target="media/b.wmf"/></Relationships>'
+    rows = table(spark, sf_dir, "supplier").select(k, F.when(k % 2 == 0, _metafile(k % 256)).otherwise(F.encode(F.concat(F.lit("w"), k), "UTF-8")).alias("picture"))
+    members = F.array(*(F.struct(F.lit(n).alias("n"), (F.encode(v if isinstance(v, Column) else F.lit(v), "UTF-8") if n[-1] != "f" else v).alias("b")) for n, v in (("word/document.xml", doc), ("word/_rels/document.xml.rels", rels), ("word/media/b.wmf", F.col("picture")))))
+    docs = rows.select(k, members.alias("m")).select(k, D.pack_parts(F.col("m.n"), F.col("m.b")).alias("content"))
+    pngs = V.pngs(D.parts(docs, "s_suppkey"))
+    made = convert.to_markdown(docs, by="s_suppkey", pngs=pngs)
+    held = convert.image_files(docs, made, "s_suppkey", pngs=pngs).where(F.endswith("path", F.lit(".png"))).select("s_suppkey", F.hex(F.substring("data", 1, 28)).alias("head"))
+    told = rows.select(k, V.vector_picture("picture").alias("v")).select(k, "v.width", "v.height", "v.bitmaps")
+    return made.select("s_suppkey", "md").join(told, "s_suppkey").join(held, "s_suppkey", "left").withColumn("head", F.coalesce("head", F.lit("")))
