@@ -8,8 +8,8 @@ and with one (x1) obey 2 x0 + x1 >= n - 2.  Such a step shows as two words of th
 that are neighbours or one apart in the document.  Each kept step weighs 2 or 1, a step dropped costs 2 of
 the bound: a third of the steps, those of the most frequent words, is dropped and the rest must
 still weigh enough among hits whose diagonals differ by no more than the errors allow.  50 matches of n words
-leave out n - 50, so single words find those: 40 are dropped and 10 of the rest must hit.  Which steps are
-dropped changes the cost and no result, so word frequencies come from a sample of the documents.
+leave out n - 50, so single words find those: 40 are dropped and 10 of the rest must hit.  Words are counted in
+all documents; which steps are dropped changes the cost and no result.
 A window round such hits holds the whole alignment, which is made row by row in memory linear in the window.  It is passed over only where the words it shares with
 the item can't reach the decision (an exact bound).
 
@@ -46,8 +46,6 @@ class Decontamination:
     mismatch: int = -1
     gap: int = 1
     block_words: int = 1_000_000
-    #: of the documents whose words are counted; decides on cost alone
-    sample: float = 0.05
 
     def __post_init__(self) -> None:
         if self.match > 2 * self.error or self.least_words * self.share * self.match < 3 * self.error:
@@ -359,7 +357,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Decontamination | None =
             yield pa.RecordBatch.from_arrays([as_i64(known.value), pa.array(n)], names=["word", "n"])
 
         # at most one row per word of the block
-        counted = rows.sample(p.sample, seed=1).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         often = np.zeros(len(known.value), np.int64)
         for r in materialize(counted, "seeds", small=True).toLocalIterator():
             often[np.searchsorted(known.value, np.uint64(r["word"] % 2**64))] = r["n"]

@@ -168,6 +168,18 @@ def test_decontaminate_finds_what_aligns(spark, make, block_words):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate(make(texts), table, p).collect()} == want
 
 
+def test_seeds_count_all_documents(spark, make, monkeypatch):
+    """Every document's words decide which seeds are dropped."""
+    from quillspark.llm import decontaminate as D
+
+    told = []
+    choose = D.Items.choose
+    monkeypatch.setattr(D.Items, "choose", lambda self, known, often, p: (told.append(sorted(often.tolist())), choose(self, known, often, p)))
+    items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    decontaminate(make(["a b x"] * 30 + ["a c"] * 7 + ["e e e", None]), items)
+    assert told == [[0, 3, 7, 30, 37]]
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on what its predecessor kept: same columns, and its decision took effect."""
     import corpus_pipeline as P
