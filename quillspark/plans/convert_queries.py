@@ -12,7 +12,7 @@ from ..operators import pictures as P
 from ..operators import vector_pictures as V
 from ..operators.mathml import mathml_to_latex
 from ..sources import docx as D
-from ..sources.tables import spread, table
+from ..sources.tables import FILES, ROWS, TEXTS, spread, table
 from . import convert
 from .docx_queries import body, files, sample, when
 
@@ -163,7 +163,7 @@ def mtef_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = len(head) + 2 * 8 + 3
     native = struct.pack("<HIH", 28, 0, 0) + struct.pack("<I", size) + bytes(16) + head
     made = F.concat(F.lit(native), slot(F.col("l_linenumber")), slot(F.col("l_quantity").cast("long") % 10), F.lit(b"\x00\x00\x00"))
-    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", E.mtef_to_latex(made).alias("latex"))
+    return spread(table(spark, sf_dir, "lineitem"), ROWS).select("l_orderkey", "l_linenumber", E.mtef_to_latex(made).alias("latex"))
 
 
 def _native(body: bytes) -> tuple[bytes, bytes]:
@@ -204,7 +204,7 @@ def mtef_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, after = _native(bytes([3, 0, selector, variation, 0]) + b"".join(slots) + b"\0")
         digit = F.encode((F.col("s_suppkey") % 10).cast("string"), "UTF-8")
         made.append(F.struct(F.lit(k).alias("k"), F.concat(F.lit(before), digit, F.lit(after)).alias("native")))
-    rows = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
+    rows = spread(table(spark, sf_dir, "supplier"), FILES).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("s_suppkey", "m.k", E.mtef_to_latex("m.native").alias("latex"))
 
 
@@ -225,7 +225,7 @@ def mtef_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, after = _native(_char(chr(code), E.EXTRA) + _char("@"))
         digit = F.encode((F.col("s_suppkey") % 10).cast("string"), "UTF-8")
         made.append(F.struct(F.lit(k).alias("k"), F.concat(F.lit(before), digit, F.lit(after)).alias("native")))
-    rows = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
+    rows = spread(table(spark, sf_dir, "supplier"), FILES).select("s_suppkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("s_suppkey", "m.k", E.mtef_to_latex("m.native").alias("latex"))
 
 
@@ -256,7 +256,7 @@ _QUOTED = ", ".join(f"({k}, {'NULL' if x is None else chr(39) + x.replace(chr(39
 def mathml_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every construct of MathML that is known, with a number of the row in it."""
     made = [F.struct(F.lit(k).alias("k"), F.replace(F.lit(x), F.lit("#"), (F.col("c_custkey") % 97).cast("string")).alias("x")) for k, (x, _) in enumerate(MATHML)]
-    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    rows = spread(table(spark, sf_dir, "customer"), TEXTS).select("c_custkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("c_custkey", "m.k", mathml_to_latex("m.x").alias("latex"))
 
 
@@ -278,7 +278,7 @@ def vector_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     doc = body("<w:p><w:r><w:t>q</w:t></w:r></w:p><w:p><w:r><w:pict><v:imagedata r:id='r2'/></w:pict></w:r></w:p>")
     rels = f'<Relationships xmlns="{D.NS["rel"]}"><Relationship Id="r2" Target="media/b.wmf"/></Relationships>'
-    rows = table(spark, sf_dir, "supplier").select(k, F.when(k % 2 == 0, _metafile(k % 256)).otherwise(F.encode(F.concat(F.lit("w"), k), "UTF-8")).alias("picture"))
+    rows = spread(table(spark, sf_dir, "supplier"), FILES).select(k, F.when(k % 2 == 0, _metafile(k % 256)).otherwise(F.encode(F.concat(F.lit("w"), k), "UTF-8")).alias("picture"))
     members = F.array(*(F.struct(F.lit(n).alias("n"), (F.encode(v if isinstance(v, Column) else F.lit(v), "UTF-8") if n[-1] != "f" else v).alias("b")) for n, v in (("word/document.xml", doc), ("word/_rels/document.xml.rels", rels), ("word/media/b.wmf", F.col("picture")))))
     docs = rows.select(k, members.alias("m")).select(k, D.pack_parts(F.col("m.n"), F.col("m.b")).alias("content"))
     pngs = V.pngs(D.parts(docs, "s_suppkey"))

@@ -10,7 +10,7 @@ from ..operators import formula_runs as R
 from ..operators import inspector as I
 from ..operators import omml as O
 from ..sources import docx as D
-from ..sources.tables import spread, table
+from ..sources.tables import FILES, ROWS, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def files(rows: DataFrame, by: str, members: dict) -> DataFrame:
     """``(by, content)``: a zip per row of names and XML columns or literals; a null member is left out."""
     text = lambda v: F.encode(v if isinstance(v, Column) else F.lit(v), "UTF-8")
     items = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), text(v).alias("b")) for n, v in members.items())), lambda m: m["b"].isNotNull())
-    return rows.select(by, items.alias("m")).select(by, D.pack_parts(F.col("m.n"), F.col("m.b")).alias("content"))
+    return spread(rows, FILES).select(by, items.alias("m")).select(by, D.pack_parts(F.col("m.n"), F.col("m.b")).alias("content"))
 
 
 def times(xml: str, n) -> Column:
@@ -267,7 +267,7 @@ def omml_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda t, *xs: F.concat(F.lit(f"<m:{t}>"), *xs, F.lit(f"</m:{t}>"))
     made = lambda *xs: O.omml_to_latex(F.concat(F.lit(f'<m:oMath xmlns:m="{D.NS["m"]}">'), *xs, F.lit("</m:oMath>")))
     sign = F.lit('<m:naryPr><m:chr m:val="∫"/></m:naryPr>')
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return spread(table(spark, sf_dir, "lineitem"), ROWS).select(
         "l_orderkey", "l_linenumber",
         made(tag("f", tag("num", r(q)), tag("den", r(n)))).alias("fraction"),
         made(tag("sSup", tag("e", r(q)), tag("sup", r(n)))).alias("power"),

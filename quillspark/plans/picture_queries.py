@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import web as W
 from ..operators import pictures as P
 from ..sources import docx as D
-from ..sources.tables import spread, table
+from ..sources.tables import TEXTS, spread, table
 from .docx_queries import body, files
 
 QUERIES: dict = {}
@@ -93,7 +93,7 @@ def web_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, lists, quotes, code, formulas, escapes, links, tables and damage, with a number of the row in each."""
     filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("№"), (F.col("c_custkey") % 97).cast("string")), F.lit("¶"), F.lit("\n"))
     made = [F.struct(F.lit(k).alias("k"), filled(x).alias("x")) for k, (x, _) in enumerate(STRUCTURES)]
-    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    rows = spread(table(spark, sf_dir, "customer"), TEXTS).select("c_custkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("c_custkey", "m.k", W.web_markdown(F.col("m.x")).alias("md"))
 
 
@@ -159,5 +159,5 @@ def preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("c_custkey") % 97).cast("string")
     filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("№"), number), F.lit("¶"), F.lit("\n"))
     made = [F.struct(F.lit(k).alias("k"), filled(x).alias("x")) for k, (x, _) in enumerate(PREVIEWS)]
-    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.explode(F.array(*made)).alias("m"))
+    rows = spread(table(spark, sf_dir, "customer"), TEXTS).select("c_custkey", F.explode(F.array(*made)).alias("m"))
     return rows.select("c_custkey", "m.k", W.preview_html(F.col("m.x"), F.concat(F.lit("j"), number)).alias("html"))

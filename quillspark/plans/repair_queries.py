@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fragment as H
 from ..operators import latex_repair as R
-from ..sources.tables import table
+from ..sources.tables import TEXTS, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(sql: str):
 
 
 def _part(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in columns.items()))
+    return spread(table(spark, sf_dir, "part"), TEXTS).select("p_partkey", *(c.alias(n) for n, c in columns.items()))
 
 
 def _s(*xs):

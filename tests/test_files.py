@@ -92,3 +92,32 @@ def test_addresses(spark):
     t = F.col("t")
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select(t, U.decode_component(t), U.decode_uri(t), U.normal_uri(t)).collect()
     assert {r[0]: tuple(r)[1:] for r in rows} == cases
+
+
+def test_rows_are_dealt_out(spark, tmp_path):
+    """One row group in more splits than cores is one task's work, unless rows are dealt out by their number."""
+    from quillspark.plans import docx_queries, paper_queries, repair_queries
+    from quillspark.sources import tables
+
+    def sizes(df):
+        return sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+    n = 40_000
+    k = F.col("id")
+    made = {
+        "orders": spark.range(n).select(k.alias("o_orderkey"), (k % 7).alias("o_custkey")), "part": spark.range(n).select(k.alias("p_partkey"), F.lit("p").alias("p_name"), (k % 50).alias("p_size")),
+        "supplier": spark.range(n).select(k.alias("s_suppkey"), F.lit("s").alias("s_name")),
+    }
+    for name, df in made.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        one = tables.table(spark, str(tmp_path), "supplier")
+        assert one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sizes(tables.spread(one)) == [n]
+        assert len(sizes(tables.spread(one, 5_000))) == 8 and max(sizes(tables.spread(one, 5_000))) < 6_000
+        for df in (paper_queries.papers(spark, str(tmp_path)), repair_queries._part(spark, str(tmp_path), x=F.col("p_size")), docx_queries.files(one, "s_suppkey", {"a": F.col("s_name")})):
+            assert max(sizes(df)) < n // 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
