@@ -23,6 +23,7 @@ from ..operators.fragment import fragment_html
 from ..operators.latex_repair import prepare
 from ..operators.mtef import convert_object, ole_formula
 from ..sources import docx as D
+from ..sources.tables import dealt
 
 FORMULA = "array<struct<formula_id:string,latex:string,display:boolean,source:string,picture:string,sha1:string,style:string,object:string>>"
 IMAGE = "array<struct<image_id:string,name:string,part:string,sha1:string>>"
@@ -141,7 +142,7 @@ def without_objects(docs: DataFrame, by: str = "doc_id") -> DataFrame:
             cols = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), item), strict=True))], names=[by, "content", "formulas"])
 
-    return docs.join(found, by, "left").select(by, "content", "known").mapInArrow(rewrite, f"{by} {kind}, content binary, formulas array<struct<source:string,mathml:string,latex:string>>")
+    return dealt(docs.select(by, "content"), by).join(found, by, "left").select(by, "content", "known").mapInArrow(rewrite, f"{by} {kind}, content binary, formulas array<struct<source:string,mathml:string,latex:string>>")
 
 
 def _once(text, mark, new):

@@ -103,3 +103,13 @@ def test_stream(spark, folder):
     for _ in range(2):
         convert_arriving(spark, str(folder / "in"), str(folder / "stream"), str(folder / "marks")).awaitTermination(60)
     assert spark.read.parquet(str(folder / "stream")).count() == 2  # b.docx and broken.docx; the glob is case-sensitive
+
+
+def test_few_bytes_of_many_files_are_many_tasks(spark):
+    """Adaptive execution doesn't put the rewriting of small files into one task."""
+    from pyspark.sql import functions as F
+    from quillspark.plans import convert_queries
+    from quillspark.plans.convert import without_objects
+
+    made = without_objects(convert_queries._pictured(spark, "/root/testdata/sf0.01"), "s_suppkey")
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
