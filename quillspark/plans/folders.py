@@ -14,6 +14,7 @@ from ..functions import web as W
 from ..functions.regex import let, matches_of, rewrite_matches
 from ..operators import assets as A
 from ..sources.files import scan_files
+from ..sources.tables import dealt
 from .convert import parse_papers
 
 IMAGE = r"!\[[^\]]*\]\([^)]+\)"
@@ -73,7 +74,7 @@ def parse_folders(files: DataFrame, by: str = "doc_id") -> DataFrame:
     )
     none = F.array().cast("array<string>")
     # linked below the next joins, so that the formulas' Python stage gets a plain column
-    linked = text.join(found, by, "left").select(by, F.when(F.col("urls").isNull(), F.col("text")).otherwise(_linked(F.col("text"), F.col("urls"))).alias("text"), F.coalesce("missing", none).alias("missing"))
+    linked = dealt(text, by).join(found, by, "left").select(by, F.when(F.col("urls").isNull(), F.col("text")).otherwise(_linked(F.col("text"), F.col("urls"))).alias("text"), F.coalesce("missing", none).alias("missing"))
     papers = linked.join(keys, by, "left").join(number, by, "left").select(by, "text", F.coalesce("keys", F.lit(0)).alias("keys"), "missing", F.coalesce("images", F.lit(0)).alias("images"))
     parsed = parse_papers(papers, by=by, keys="keys", missing="missing").join(papers.select(by, "missing", "images"), by)
     last = F.when(F.col("images") > 0, _note("ok", LOADED[0], F.col("images"), LOADED[1])).when(F.size("missing") > 0, _note("warn", LOST[0], F.size("missing"), LOST[1])).otherwise(_note("tip", NONE))
