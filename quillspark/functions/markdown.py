@@ -27,7 +27,9 @@ def postprocess(text: Column, keep_footnotes: bool = True) -> Column:
         (r"\n{3,}", "\n\n"),
     )
     text = literal_all(text, ("\\$", "$"))
-    text = replace_all(text, (rf"\$\$[{PY_SPACE}]*\n[{PY_SPACE}]*", r"\$\$" + "\n"), (rf"[{PY_SPACE}]*\n[{PY_SPACE}]*\$\$", "\n" + r"\$\$"))
+    # the second pattern is tried at every character, which texts without display formulas are spared
+    apart = lambda t: replace_all(t, (rf"\$\$[{PY_SPACE}]*\n[{PY_SPACE}]*", r"\$\$" + "\n"), (rf"[{PY_SPACE}]*\n[{PY_SPACE}]*\$\$", "\n" + r"\$\$"))
+    text = let(text, lambda t: F.when(t.contains("$$"), apart(t)).otherwise(t))
     if not keep_footnotes:
         text = replace_all(text, (r"\[\^[^\]]+\]", ""), (r"(?md)^\[\^[^\]]+\]:[^\n]*$", ""))
     return F.concat(strip(text), F.lit("\n"))

@@ -108,12 +108,12 @@ def noted() -> Column:
 
 @query(f"SELECT doc_id, {sql_post(NOTES, (r'\[\^[^\]]+\]', '', 'g'), (r'(?m)^\[\^[^\]]+\]:[^\n]*$', '', 'g'))} AS md FROM documents")
 def postprocess_no_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", M.postprocess(noted(), keep_footnotes=False).alias("md"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", M.postprocess(noted(), keep_footnotes=False).alias("md"))
 
 
 @query(f"SELECT doc_id, {sql_post(NOTES)} AS md FROM documents")
 def postprocess_headings_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", M.postprocess(noted()).alias("md"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", M.postprocess(noted()).alias("md"))
 
 
 def _each(spark: SparkSession, sf_dir: str, pattern: str, group: int, name: str) -> DataFrame:
