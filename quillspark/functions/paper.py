@@ -100,7 +100,7 @@ def notices(raw: Column, found: Column, keys: Column | None = None, missing: Col
     maths = F.size(F.filter(found, lambda q: whole(q).rlike(r"\$[^$]+\$|\$\$[\s\S]+?\$\$")))
     images = F.size(F.filter(found, lambda q: whole(q).rlike(r"(?i)!\[[^\]]*\]\([^)]+\)|!\[\[[^\]]+\]\]|<img\b")))
     none = F.array().cast("array<struct<level:string,text:string>>")
-    some = lambda n, *text: F.when(n > 0, F.array(note("ok", "其中 ", n, *text))).otherwise(none)
+    some = lambda n, *text: let(n, lambda n: F.when(n > 0, F.array(note("ok", "其中 ", n, *text))).otherwise(none))
     matched = F.lit("") if keys is None else F.when(keys > 0, F.concat(F.lit("已匹配本地图片 "), keys.cast("string"), F.lit(" 个。"))).otherwise("")
     # Fixed value: the text of the notice.
     lost = "张图片未加载成功（多为相对路径）。请在选择文件时同时选中 .md 与对应的 .jpg/.png 等图片文件。例如："

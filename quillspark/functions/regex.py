@@ -24,8 +24,14 @@ def literal_all(col: Column, *rules: tuple[str, str]) -> Column:
     return col
 
 
+#: The same classes as sets of characters.
+_WIDE = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = {PY_SPACE: " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" + _WIDE, JS_SPACE: " \t\n\x0b\f\r" + _WIDE + "\ufeff"}
+
+
 def strip(col: Column, space: str = PY_SPACE) -> Column:
-    return F.regexp_replace(col, rf"\A[{space}]+|[{space}]+\z", "")
+    """Looks at the ends alone; a pattern for the end would be tried at every character."""
+    return F.btrim(col, F.lit(SPACES[space]))
 
 
 def matches_of(col: Column, pattern: str, group: int = 0) -> Column:

@@ -15,6 +15,25 @@ def value(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
 
+def test_strip_is_its_pattern(spark):
+    """The sets of characters are those of the patterns, at both ends and in texts of white space alone."""
+    from quillspark.functions import regex as R
+
+    chars = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    texts = chars.select(F.explode(F.array("c", F.concat("c", "c"), F.concat("c", F.lit(" a"), "c", F.lit("b\n"), "c"))).alias("t"))
+    for space in (R.PY_SPACE, R.JS_SPACE):
+        assert texts.where(R.strip(F.col("t"), space) != F.regexp_replace("t", rf"\A[{space}]+|[{space}]+\z", "")).count() == 0
+    assert value(spark, R.strip, "") == "" and value(spark, R.strip, None) is None
+
+
+def test_strip_looks_at_ends(spark):
+    """No pattern is tried at every character of a text."""
+    from quillspark.functions import regex as R
+
+    plan = spark.createDataFrame([("a",)], "t string").select(R.strip(F.col("t")))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan
+
+
 def test_postprocess_goldens(spark):
     assert value(spark, M.postprocess, "# 标题\n\n\n\n段落  \n") == "# 标题\n\n段落\n"
     assert value(spark, M.postprocess, "#x\ny\r\nC# z\nw") == "# x\n\ny\nC# z\n\nw\n"
