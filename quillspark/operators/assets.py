@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import base_key, path_key
 from ..functions.regex import JS_SPACE, let, rewrite_matches, strip
 from ..functions.uris import decode_component, normal_uri
+from ..sources.tables import dealt
 
 # Folders under which a picture is commonly referred to.
 FOLDERS = ["image", "images", "img", "imgs", "media", "assets", "pic", "pics", "static", "figures", "figure"]
@@ -47,7 +48,8 @@ def resolve(refs: DataFrame, assets: DataFrame, by: list[str]) -> DataFrame:
     the path, so one document with very many pictures is spread over all tasks.
     """
     keys = assets.select(*by, F.explode(keys_of(F.col("path"))).alias("key"), "url", "seq")
-    last = keys.groupBy(*by, "key").agg(F.max_by("url", "seq").alias("hit"))
+    # dealt out before they are sorted, as hardly any key is told twice and tasks that adaptive execution joins sort many keys at once
+    last = dealt(keys, *by, "key").groupBy(*by, "key").agg(F.max_by("url", "seq").alias("hit"))
     bases = assets.groupBy(*by, base_key(F.col("path")).alias("base")).agg(F.min_by("url", "seq").alias("near"))
     src = F.replace(strip(F.col("src"), JS_SPACE), F.lit("\\"), F.lit("/"))
     direct = is_direct(F.col("src"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paper as P
 from ..operators import assets as A
 from ..operators import formulas as O
-from ..sources.tables import ROWS, TEXTS, spread, table
+from ..sources.tables import TEXTS, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -100,7 +100,7 @@ def asset_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k, n = F.col("p_partkey"), F.floor(F.col("p_partkey") / 500).cast("long")
-    part = spread(table(spark, sf_dir, "part"), ROWS).withColumns({"paper": k % 500, "nth": n})
+    part = spread(table(spark, sf_dir, "part"), TEXTS).withColumns({"paper": k % 500, "nth": n})
     name, kind = F.col("nth").cast("string"), F.col("p_size") % 3
     src = F.when(kind == 0, F.concat(F.lit("image/p"), name, F.lit(".png"))).when(kind == 1, F.concat(F.lit("./x/y/P"), name, F.lit(".PNG"))).otherwise(F.concat(F.lit("gone"), name, F.lit(".jpg")))
     held = part.where((F.col("paper") % 2 == 0) | (F.col("nth") % 2 == 0))

@@ -121,3 +121,12 @@ def test_rows_are_dealt_out(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_keys_of_pictures_are_dealt_out(spark):
+    """Adaptive execution doesn't join the partitions in which the keys are sorted."""
+    from quillspark.operators import assets as A
+
+    refs = spark.createDataFrame([(1, "image/a.png")], "paper long, src string")
+    made = A.resolve(refs, spark.createDataFrame([(1, "x/a.png", "u", 1)], "paper long, path string, url string, seq long"), ["paper"])
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString() and made.first()["url"] == "u"
