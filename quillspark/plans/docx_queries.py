@@ -10,7 +10,8 @@ from ..operators import formula_runs as R
 from ..operators import inspector as I
 from ..operators import omml as O
 from ..sources import docx as D
-from ..sources.tables import FILES, ROWS, spread, table
+from ..sources.tables import FILES, spread, table
+from ..sources.tables import ROWS as LIGHT_ROWS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -267,7 +268,7 @@ def omml_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda t, *xs: F.concat(F.lit(f"<m:{t}>"), *xs, F.lit(f"</m:{t}>"))
     made = lambda *xs: O.omml_to_latex(F.concat(F.lit(f'<m:oMath xmlns:m="{D.NS["m"]}">'), *xs, F.lit("</m:oMath>")))
     sign = F.lit('<m:naryPr><m:chr m:val="∫"/></m:naryPr>')
-    return spread(table(spark, sf_dir, "lineitem"), ROWS).select(
+    return spread(table(spark, sf_dir, "lineitem"), LIGHT_ROWS).select(
         "l_orderkey", "l_linenumber",
         made(tag("f", tag("num", r(q)), tag("den", r(n)))).alias("fraction"),
         made(tag("sSup", tag("e", r(q)), tag("sup", r(n)))).alias("power"),
