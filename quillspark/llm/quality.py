@@ -1,8 +1,9 @@
 """Operator 2: document quality by hierarchical empirical Bayes.
 
 Evidence of a document: logistic regression over its shape (shares of letters, capitals, digits,
-symbols; repeated words and lines; word length; delimiters), fitted on at most ``train_rows``
-labelled rows.  Evidence of its site: the good and bad counts of the labelled rows of its host and
+symbols; repeated words and lines; word length; delimiters), fitted on all labelled rows, or on ``train_rows``
+of them where a caller asks for that.  Shapes are made once a text and written; up to ``local_rows`` training rows are fitted in
+the driver, more by Newton's rounds over sums that tasks make, so neither form leaves a row out.  Evidence of its site: the good and bad counts of the labelled rows of its host and
 of its path, each path's rate shrunk towards its host's and each host's towards the global rate,
 with prior strengths estimated from the spread of the rates (method of moments).  Both meet as
 log-odds: the document's own plus what its path's posterior says beyond the global rate.
@@ -21,7 +22,7 @@ rows.  Columns other than those named are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, materialize, text_hash, tune
-from .toxicity import logistic
+from .toxicity import logistic, newton, slopes
 
 FEATURES = 12
 #: Bytes of the sites' names and posteriors.
 BROADCAST_SITES = 16 << 20
+#: Training rows of a few numbers that come to the driver; more are fitted by sums.
+LOCAL_ROWS = 20_000
+RIDGE = 2.0
 
 
 def shape(text: str) -> list[float]:
@@ -66,38 +70,82 @@ def shape(text: str) -> list[float]:
     ]
 
 
-def _features(rows: DataFrame, extra: list[str], schema: str) -> DataFrame:
+def _shapes(rows: DataFrame) -> DataFrame:
+    """``doc_id, host, path, text_hash`` and the features ``x`` of every row; texts are read here only."""
+    told = ["doc_id", "host", "path", "text_hash"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [shape(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(x, pa.list_(pa.float64()))], names=[*extra, "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(x, pa.list_(pa.float64()))], names=[*told, "x"])
+
+    return rows.select(*told, "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, x array<double>")
+
 
-    return rows.select(*extra, "text").mapInArrow(run, schema + ", x array<double>")
+def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), FEATURES)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """Ids, labels and features of the training rows, written as the rounds of the fit read them again."""
+    return materialize(rows.select("doc_id", "y", "x"), "training", small=True)
+
+
+def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of(x, y)``, a flat array, added up over all batches; one array a task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                some = of(_matrix(batch.column("x")), batch.column("y").to_numpy().astype(float))
+                total = some if total is None else total + some
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return np.sum(rows.select("y", "x").mapInArrow(run, "sums array<double>").toArrow()["sums"].to_pylist(), axis=0)
 
 
 #: Used without labels: letters speak for quality, capitals, symbols and repeats against it.
 FIXED = (np.array([4.0, -4, -2, -8, -1, -4, -8, 0, -2, 0, 0, -6]), 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights, bias, means and scales; reads the labelled rows of least hash, at most ``train_rows``.
+def fit(shapes: DataFrame, labels: DataFrame, train_rows: int | None = None, local_rows: int = LOCAL_ROWS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights, bias, means and scales from all labelled rows, or from the ``train_rows`` of least hash.
 
     Of documents that repeat an id, one stands for its label: that of the least text hash.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text", "text_hash").join(F.broadcast(chosen), "doc_id")  # train_rows bounds it
-    rows = rows.groupBy("doc_id").agg(F.min_by("text", "text_hash").alias("text"), F.max("y").alias("y"))
-    got = _features(rows, ["y"], "y int").toArrow()
-    y = got["y"].to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
+    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    if train_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = F.broadcast(chosen) if labels.count() <= BROADCAST_IDS else chosen
+    rows = shapes.select("doc_id", "text_hash", "x").join(chosen, "doc_id")
+    rows = _features(rows.groupBy("doc_id").agg(F.min_by("x", "text_hash").alias("x"), F.max("y").alias("y")))
+    count = rows.agg(F.count("*").alias("n"), F.sum("y").alias("good")).first()
+    n = count["n"]
+    if not n or count["good"] in (0, n):
         return *FIXED, np.zeros(FEATURES), np.ones(FEATURES)
-    x = np.array(got["x"].to_pylist())
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    # features beyond linear: squares let a share that is normal in the middle be bad at both ends
-    z = _expand((x - mean) / scale)
-    w, b = logistic(z, y, ridge=2.0)
-    return w, b, mean, scale
+    if n <= local_rows:
+        got = rows.toArrow().sort_by("doc_id")
+        x, y = _matrix(got["x"]), got["y"].to_numpy().astype(float)
+        mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+        # features beyond linear: squares let a share that is normal in the middle be bad at both ends
+        w, b = logistic(_expand((x - mean) / scale), y, ridge=RIDGE)
+        return w, b, mean, scale
+    mean = _sums(rows, lambda x, y: x.sum(0)) / n
+    scale = np.maximum(np.sqrt(_sums(rows, lambda x, y: ((x - mean) ** 2).sum(0)) / n), 1e-3)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            gradient, hessian = slopes(np.hstack([_expand((x - mean) / scale), np.ones((len(x), 1))]), y, w)
+            return np.append(gradient, hessian)
+
+        both = _sums(rows, of)
+        return both[: len(w)], both[len(w) :].reshape(len(w), -1)
+
+    w = newton(sums, np.zeros(2 * FEATURES + 1), np.append(np.full(2 * FEATURES, RIDGE), 1e-6))
+    return w[:-1], float(w[-1]), mean, scale
 
 
 def _expand(z: np.ndarray) -> np.ndarray:
@@ -161,10 +209,11 @@ def quality(
     labels: DataFrame,
     host_col: str = "source",
     path_cols: tuple[str, ...] = ("source", "lang"),
-    train_rows: int = 20_000,
+    train_rows: int | None = None,
     threshold: float = 0.5,
     site_weight: float = 0.5,
     broadcast_sites: int = BROADCAST_SITES,
+    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """Per input row: ``doc_id, host, path, doc_log_odds, site_log_odds, score, kept, text_hash``."""
     spark = docs.sparkSession
@@ -172,18 +221,18 @@ def quality(
     path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in path_cols))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_hash().alias("text_hash"), F.col(host_col).cast("string").alias("host"), path.alias("path"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    model = fit(rows, labels, train_rows)
-    table, base = sites(rows.select("doc_id", "host", "path"), labels)
+    shapes = materialize(_shapes(rows), "shapes")
+    model = fit(shapes, labels, train_rows, local_rows)
+    table, base = sites(shapes.select("doc_id", "host", "path"), labels)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([shape(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
-            own = pa.array(_log_odds(x, shared.value))
+            own = pa.array(_log_odds(_matrix(batch.column("x")), shared.value))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), own], names=[*told, "doc_log_odds"])
 
     told = ["doc_id", "host", "path", "text_hash"]
-    scored = rows.select(*told, "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, doc_log_odds double")
+    scored = shapes.select(*told, "x").mapInArrow(run, "doc_id long, host string, path string, text_hash long, doc_log_odds double")
     right = table.select(F.col("host").alias("h"), F.col("path").alias("p"), "site")
     size = right.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + F.octet_length("p") + 24)).first()[0] or 0
     right = F.broadcast(right) if size <= broadcast_sites else right

@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heapreplace
 
@@ -174,18 +174,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50, prior: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method, shrunk towards ``prior``."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    centre = np.append(prior if prior is not None else np.zeros(x.shape[1]), 0.0)
-    w, penalty = centre.copy(), np.append(np.full(x.shape[1], ridge), 1e-6)
+def slopes(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss, summed over the rows of ``a``."""
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return a.T @ (p - y), (a * (p * (1 - p) + 1e-9)[:, None]).T @ a
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], centre: np.ndarray, penalty: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of least loss, shrunk towards ``centre``; ``sums`` gives the ``slopes`` of all rows at some weights."""
+    w = centre.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + penalty * (w - centre)
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), gradient)
+        gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * (w - centre))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    return w
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50, prior: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton's method, shrunk towards ``prior``."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    centre = np.append(prior if prior is not None else np.zeros(x.shape[1]), 0.0)
+    w = newton(lambda w: slopes(a, y, w), centre, np.append(np.full(x.shape[1], ridge), 1e-6), rounds)
     return w[:-1], float(w[-1])
 
 

@@ -204,6 +204,27 @@ def test_quality_scores(spark):
     assert by[1000][3] > by[1002][3] > by[1001][3]
 
 
+def test_quality_model_is_of_all_labels(spark, monkeypatch):
+    """No labelled row is left out of the fit, and sums made in tasks give the weights of the fit in the driver."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import quality as Q
+
+    n = 20_500
+    k = F.col("doc_id")
+    text = F.concat(F.repeat(F.lit("Abc %d. "), (k % 5 + 1).cast("int")), F.repeat(F.lit("%% 7"), (k % 7).cast("int")), k.cast("string"))
+    docs = spark.range(n + 300).select(F.when(F.col("id") < n, F.col("id")).otherwise(F.col("id") % 3).alias("doc_id")).select("doc_id", text.alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), ((F.xxhash64("id") % 5 > 0) & (F.col("id") % 7 < 5)).cast("int").alias("quality"))
+    seen = []
+    real = Q._features
+    monkeypatch.setattr(Q, "_features", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    told = {b: {r["doc_id"]: r["doc_log_odds"] for r in quality(docs, labels, local_rows=b).collect()} for b in (10**6, 0)}
+    default = {r["doc_id"]: r["doc_log_odds"] for r in quality(docs, labels).collect()}
+    assert seen == [n, n, n] and len(set(default.values())) > 30
+    for got in (told[0], default):
+        assert got.keys() == told[10**6].keys() and all(math.isclose(got[i], told[10**6][i], rel_tol=1e-6, abs_tol=1e-6) for i in got)
+
+
 def test_grammar():
     g, state, out = grammar(), 0, ""
     for s in "oTIoNIoRooI":
