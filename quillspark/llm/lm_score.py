@@ -15,14 +15,13 @@ Score.  p(w|v) = (min(c(vw), c(v), c(w)) + mu p(w)) / (c(v) + mu) with p(w) = mi
 probes; the text's score is the sum of log10 p.  A bigram is no more frequent than its words, so whatever a probe says falsely no p exceeds 1.
 Base.  The sum of log10((c+1) / (N+V+1)) over tokens with exact c.
 
-Size.  Both filters (words, bigrams) and the exact counts grow with the corpus, and their counted sizes decide
-how they are used; no size changes a score.  A filter over ``filter_bytes`` is used in shards, runs of segments
-within that size.  Each pass over the texts has one shard of bigrams and one of words for either place broadcast; it adds the
-tokens whose word, context and bigram fall to them.  Its sums are written
-and its shards released before the next ones come.  Where the bigrams would take more than ``passes`` shards, their probes are
-sent to their segments instead: a pass for each pair of shards of words sends every text's bigrams, counted, by ranges of the hash to
-the tasks that have these ranges' segments, so the texts are read once per pair and once more, whatever the filter's size.  Exact counts of more than ``broadcast_words`` words are joined by a
-shuffle with adaptive splitting of frequent words.
+Size.  Up to ``large_bytes`` of training text both filters (words, bigrams) and the exact counts of words are broadcast.  A filter over
+``filter_bytes`` is used in shards, runs of segments within that size.  Each pass over the texts has one shard of bigrams and one of words for
+either place broadcast; it adds the tokens whose word, context and bigram fall to them.  Its sums are written and its shards released before the
+next ones come.  Beyond that size, or where there would be more than ``passes`` shards of bigrams or ``broadcast_words`` words, nothing is broadcast: texts
+are read once and written as portions of numbered words; a portion sends its distinct grams, counted, by ranges of the hash; the task that has a range builds its segments,
+probes them once for each gram that was sent, and answers each portion with levels and exact counts; answers meet their portion, and its texts are
+scored.  A gram moves once a portion and its answer once, whatever the filters' size.  No size changes a score.
 
 Defined cases: a null or empty text is one end token.  Rows repeated with one doc_id are counted and
 scored each.  A null doc_id trains and isn't held out.  With no training document c, N and V are 0.
@@ -33,14 +32,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, as_i64, materialize, mix64, tune
+from .common import MULTIPLIER, as_i64, made, materialize, mix64, release, tune
 
 ONE = np.uint64(1)
 #: The highest level probed: counts stay below 2^48.
@@ -66,9 +67,12 @@ class LanguageModel:
     waves: int = 8
     range_bytes: int = 32 << 20
     filter_bytes: int = 128 << 20
-    #: Shards of bigrams up to which texts are read anew for each.
+    #: Shards of bigrams up to which texts are read anew for each, and words up to which their exact counts are broadcast.
     passes: int = 3
     broadcast_words: int = 6_000_000
+    #: Training text beyond which nothing is broadcast, and words of a portion then.
+    large_bytes: int = 64 << 20
+    large_portion: int = 1_000_000
     #: Tokens that a worker counts together; it scores half as many together, as it holds the filters then.
     portion: int = 400_000
 
@@ -375,7 +379,7 @@ def log_p(joint: np.ndarray, level: np.ndarray, context: np.ndarray, total: floa
     return np.log10(np.minimum(joint, np.minimum(word, before)) + mass) - np.log10(before + p.mu)
 
 
-def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, contexts: LogBloom, exact: tuple | None, total: float, p: LanguageModel) -> Iterator[Portion]:
+def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, contexts: LogBloom, exact: tuple, total: float, p: LanguageModel) -> Iterator[Portion]:
     from xxhash import xxh3_64_intdigest
 
     def levels(bloom: LogBloom, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +398,7 @@ def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, contexts:
         keys = seen.keys[len(told[0]) :]
         if len(keys):  # words that are new to this worker
             c = np.zeros(len(keys))
-            if exact is not None and len(exact[0]):
+            if len(exact[0]):
                 k, n = exact
                 at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
                 c = np.where(k[at] == keys, n[at], 0).astype(float)
@@ -408,14 +412,14 @@ def read_portions(batches: Iterator[pa.RecordBatch], words: LogBloom, contexts:
         yield Portion(ids, as_i64(prints), length, bigram_keys(seen, tokens), here[tokens] & there[v], level[tokens], context[v], known[tokens], base[tokens])
 
 
-def one_pass(rows: DataFrame, words: Broadcast, contexts: Broadcast, pairs: Broadcast, exact: Broadcast | None, first: bool, total: float, p: LanguageModel) -> DataFrame:
+def one_pass(rows: DataFrame, words: Broadcast, contexts: Broadcast, pairs: Broadcast, exact: Broadcast, first: bool, total: float, p: LanguageModel) -> DataFrame:
     """Sums of the tokens whose word, context and bigram fall to the broadcast shards, per row.
 
     ``first``: tokens and exact counts are told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in read_portions(batches, words.value, words.value if contexts is words else contexts.value, exact and exact.value, total, p):
+        for x in read_portions(batches, words.value, words.value if contexts is words else contexts.value, exact.value, total, p):
             pair, at = np.unique(x.keys, return_inverse=True)
             joint, here = np.zeros(len(pair)), pairs.value.holds(pair)
             joint[here] = expected(pairs.value.levels(pair[here]))
@@ -427,86 +431,175 @@ def one_pass(rows: DataFrame, words: Broadcast, contexts: Broadcast, pairs: Broa
     return rows.mapInArrow(run, PART)
 
 
-def probes_sent(rows: DataFrame, built: DataFrame, words: Broadcast, contexts: Broadcast, tasks: int, ranges: int, bits: int, total: float, p: LanguageModel) -> DataFrame:
-    """Sums of the tokens whose word and context fall to the shards, from probes made where the bigrams' segments are.
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed: high bytes of sorted or small numbers hardly differ."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
 
-    A block has a portion's bigrams of one range, once for each text with their number there.
-    """
-    schema = "part long, seg long, size long, data binary, level binary, context binary, text binary, times binary, ids array<long>, prints array<long>"
+
+def unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def numbered(rows: DataFrame, p: LanguageModel) -> DataFrame:
+    """``(portion, part, ids, train, length, words, tokens)``: portions of ``rows(doc_id, text, train)``; ``tokens`` are places in ``words``, the keys of a portion's words."""
+    schema = "portion long, part long, ids array<long>, train array<boolean>, length array<int>, n_words int, words binary, tokens binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words = Words()
+        for k, (held, texts) in enumerate(portions(batches, 1, p.large_portion)):
+            words.forget()
+            # a hundred texts at a time, as words are objects before they are numbers
+            some = [words.tokens(texts[a : a + 100]) for a in range(0, len(texts), 100)]
+            tokens, length = (np.concatenate(x).astype("<u4") for x in zip(*some, strict=True))
+            one = [(TaskContext.get().partitionId() << 32) + k, -1, *(pa.concat_arrays([b.column(c) for b in held]) for c in (0, 2)), length.tolist(), len(words.keys), packed(words.keys), packed(tokens)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) if isinstance(c, pa.Array) else pa.array([c], t) for c, t in zip(one, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(lists, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+@dataclass
+class Numbered:
+    """A portion of numbered words and its distinct bigrams in order of their keys: ``pairs`` end first in token ``at``, and each token's is ``of``."""
+
+    portion: int
+    ids: list
+    train: np.ndarray
+    length: np.ndarray
+    words: Words
+    tokens: np.ndarray
+    pairs: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict) -> Numbered:
+        words, length = Words(), np.array(row["length"], np.int64)
+        words.keys = unpacked(row["words"], row["n_words"], "<u8")
+        tokens = unpacked(row["tokens"], int(length.sum()), "<u4").astype(np.int64)
+        return cls(row["portion"], row["ids"], np.array(row["train"], bool), length, words, tokens, *np.unique(bigram_keys(words, tokens), return_index=True, return_inverse=True))
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def answered(numbers: DataFrame, tasks: int, ranges: int, bits: int, p: LanguageModel) -> DataFrame:
+    """``(portion, part, n_words, n_pairs, levels, counts, grams, total)``: the answer to each portion from each range of the hash; for each range one row
+    without a portion, which has its distinct training words and their sum.
+
+    ``levels`` are those of the portion's words of the range by key, then of its bigrams; ``counts`` are the words' exact ones.
+    """
+    sent = "part long, portion long, n_words int, n_pairs int, keys binary, n binary"
+    told = "portion long, part long, n_words int, n_pairs int, levels binary, counts binary, grams long, total long"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+    def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+        cols = [c.split() for c in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[t]) for v, (_, t) in zip(zip(*rows, strict=True), cols, strict=True)], names=[c for c, _ in cols])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in read_portions(batches, words.value, words.value if contexts is words else contexts.value, None, total, p):
-            keys, text, level, context = x.keys[x.own], np.repeat(np.arange(len(x.length)), x.length)[x.own], x.level[x.own], x.context[x.own]
-            order = np.lexsort((text, keys))
-            keys, text = keys[order], text[order]
-            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])[: len(keys)])
-            times = np.diff(np.append(new, len(keys)))
-            keys, text, level, context = keys[new], text[new], level[order[new]], context[order[new]]
+        edges = np.arange(1 << ranges, dtype=np.uint64) << np.uint64(64 - ranges) if ranges else np.zeros(1, np.uint64)
+        for row in each_row(batches):
+            x = Numbered.read(row)
+            order = np.argsort(x.words.keys)
+            words, training = x.words.keys[order], np.repeat(x.train, x.length)
+            n = np.bincount(x.tokens[training], minlength=len(words))[order].astype("<u4")
+            m = np.bincount(x.of[training], minlength=len(x.pairs)).astype("<u4")
+            cuts = [np.append(np.searchsorted(keys, edges), len(keys)) for keys in (words, x.pairs)]
             out = []
-            part = prefix(keys, ranges)
-            for a, b in runs(part):
-                some, at = np.unique(text[a:b], return_inverse=True)
-                which = pa.array(some)
-                packed = (keys[a:b], level[a:b], context[a:b], at.astype("<i4"), times[a:b].astype("<i4"))
-                out.append((int(part[a]), None, None, *(v.tobytes() for v in packed), x.ids.take(which).to_pylist(), x.prints.take(which).to_pylist()))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, bloom = None, {}, None
-        for batch in batches:
-            for part, seg, size, data, level, context, text, times, ids, prints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now:
-                    now, held, bloom = part, {}, None
-                if seg is not None:  # segments come before the blocks of their range
-                    held[seg] = size, data
-                    continue
-                if bloom is None:
-                    first, n = part << (bits - ranges), 1 << (bits - ranges)
-                    found = [held.get(first + k, (0, b"")) for k in range(n)]
-                    bloom = LogBloom(np.frombuffer(b"".join(d for _, d in found) or b"\0", np.uint8), np.cumsum([0, *(z for z, _ in found)]), first, bits, p.probes, p.higher_probes)
-                logs = log_p(expected(bloom.levels(np.frombuffer(data, "<u8"))), np.frombuffer(level, np.uint8), np.frombuffer(context, np.uint8), total, p) * np.frombuffer(times, "<i4")
-                sums = np.bincount(np.frombuffer(text, "<i4"), logs, minlength=len(ids))
-                none = [pa.array(np.zeros(len(ids), t)) for t in (np.int64, np.int64, float)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), *none, pa.array(sums)], names=["doc_id", "text_hash", *SUMS])
-
-    own = built.where(F.col("kind") == BIGRAMS).select(F.shiftright("seg", bits - ranges).alias("part"), "seg", "size", "data")
-    blocks = rows.mapInArrow(send, schema).unionByName(own, allowMissingColumns=True)
-    placed = blocks.repartition(tasks, "part").sortWithinPartitions("part", F.col("seg").isNull())
-    return placed.mapInArrow(probe, PART)
-
-
-def joined_counts(rows: DataFrame, built: DataFrame, total: float, p: LanguageModel) -> DataFrame:
-    """``(d, t, known, base)`` per doc_id and text, from exact counts that are joined, not broadcast."""
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column(0):
-                x = np.frombuffer(block.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[: len(x) // 2]), pa.array(x[len(x) // 2 :])], names=["key", "n"])
+            for part, (a, b, c, d) in enumerate(zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)):
+                if a < b or c < d:
+                    out.append((part, x.portion, b - a, d - c, packed(np.concatenate([words[a:b], x.pairs[c:d]])), packed(np.concatenate([n[a:b], m[c:d]]))))
+            yield batch(out, sent)
+
+    def answer(part: int, blocks: list[dict]) -> pa.RecordBatch:
+        sizes = [b["n_words"] + b["n_pairs"] for b in blocks]
+        keys = np.concatenate([unpacked(b["keys"], z, "<u8") for b, z in zip(blocks, sizes, strict=True)])
+        n = np.concatenate([unpacked(b["n"], z, "<u4") for b, z in zip(blocks, sizes, strict=True)])
+        order = np.argsort(keys)
+        new = np.concatenate([[True], np.diff(keys[order]) != 0])
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        keys, count = keys[order[new]], np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        level = np.zeros(len(keys), np.uint8)
+        for kind in (WORDS, BIGRAMS):
+            own = np.flatnonzero((keys & ONE) == kind)
+            seen = own[count[own] > 0]
+            bloom = joined(segments(keys[seen], count[seen], bits, p), part << (bits - ranges), 1 << (bits - ranges), bits, p)
+            for a in range(0, len(own), 1 << 18):
+                some = own[a : a + (1 << 18)]
+                level[some] = bloom.levels(keys[some])
+        out, at = [], 0
+        for b, z in zip(blocks, sizes, strict=True):
+            mine = of[at : at + z]
+            out.append((b["portion"], part, b["n_words"], b["n_pairs"], packed(level[mine]), packed(count[mine[: b["n_words"]]]), None, None))
+            at += z
+        words = count[((keys & ONE) == WORDS) & (count > 0)]
+        return batch([*out, (None, part, None, None, None, None, len(words), int(words.sum()))], told)
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in groupby(each_row(batches), itemgetter("part")):
+            yield answer(part, list(blocks))
+
+    return numbers.mapInArrow(send, sent).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(make, told)
+
+
+def joined(made: Iterator[tuple[int, int, int, int, bytes]], first: int, n: int, bits: int, p: LanguageModel) -> LogBloom:
+    """The ``n`` segments from number ``first`` on."""
+    found = {seg: (size, data) for seg, size, _, _, data in made}
+    row = [found.get(first + k, (0, b"")) for k in range(n)]
+    return LogBloom(np.frombuffer(b"".join(d for _, d in row) or b"\0", np.uint8), np.cumsum([0, *(z for z, _ in row)]), first, bits, p.probes, p.higher_probes)
+
+
+def scored(numbers: DataFrame, answers: DataFrame, total: float, p: LanguageModel) -> DataFrame:
+    """The rows of all portions with their sums; a portion and the answers to it meet in one task, those by range after it."""
+
+    def sums(x: Numbered, parts: list[dict]) -> pa.RecordBatch:
+        level, joint, count = [], [], []
+        for r in parts:
+            both = unpacked(r["levels"], r["n_words"] + r["n_pairs"], "u1")
+            level.append(both[: r["n_words"]])
+            joint.append(both[r["n_words"] :])
+            count.append(unpacked(r["counts"], r["n_words"], "<i8"))
+        order, joint = np.argsort(x.words.keys), np.concatenate(joint)
+        if sum(map(len, level)) != len(order) or len(joint) != len(x.pairs):
+            raise RuntimeError(f"answers to a portion of {len(order)} words and {len(x.pairs)} bigrams are missing")
+        words, c = np.zeros(len(order), np.uint8), np.zeros(len(order))
+        words[order], c[order] = np.concatenate(level), np.concatenate(count)
+        v = before(x.tokens)
+        # a bigram has one word and one context
+        logs = log_p(expected(joint), words[x.tokens[x.at]], words[v[x.at]], total, p)
+        starts = np.cumsum(x.length) - x.length
+        told = (np.add.reduceat(y, starts) for y in ((c > 0).astype(np.int64)[x.tokens], np.log10((c + 1) / total)[x.tokens], logs[x.of]))
+        return pa.RecordBatch.from_arrays([pa.array(x.ids, pa.int64()), *map(pa.array, (x.length, *told))], names=["doc_id", *SUMS])
 
-        words = Words()
-        for held, texts in portions(batches, 1, p.portion):
-            if len(words) > Words.LIMIT:
-                words.forget()
-            tokens, length = words.tokens(texts)
-            # one row per text and word
-            places, tf = np.unique(np.repeat(np.arange(len(length)), length) * len(words.keys) + tokens, return_counts=True)
-            text, word = np.divmod(places, len(words.keys))
-            prints = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, count=len(texts))
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), as_i64(prints[text]), as_i64(words.keys[word]), pa.array(word == 0), pa.array(tf)], names=["d", "t", "key", "end", "tf"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(each_row(batches), itemgetter("portion")):
+            first = next(rows)
+            if first["part"] != -1:
+                raise RuntimeError("answers without their portion")
+            yield sums(Numbered.read(first), list(rows))
 
-    exact = built.where(F.col("kind") == EXACT).select("data").mapInArrow(counts, "key long, n long")
-    used = rows.mapInArrow(terms, "d long, t long, key long, end boolean, tf long").join(exact, "key", "left")
-    count, copies = F.coalesce("n", F.lit(0)), F.count_if("end")
-    sums = used.groupBy("d", "t").agg(F.sum(F.when(count > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10((count + 1) / total)).alias("base"), copies.alias("copies"))
-    return sums.select("d", "t", (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("base") / F.col("copies")).alias("base"))
+    n, least = numbers.count(), int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = numbers.withColumn("n_pairs", F.lit(None).cast("int")).unionByName(answers.where("portion IS NOT NULL").drop("grams", "total"), allowMissingColumns=True)
+    placed = both.repartition(max(1, min(n, max(least, n // 8))), "portion").sortWithinPartitions("portion", "part")
+    return placed.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def large_scores(rows: DataFrame, held: Column, size: int, bits: int, p: LanguageModel) -> tuple[DataFrame, int]:
+    """Sums per row and N, without any broadcast."""
+    numbers = materialize(numbered(rows.select("doc_id", "text", (~held).alias("train")), p), "numbers")
+    answers = materialize(answered(numbers, *dealt(rows, size, bits, p), bits, p), "answers")
+    v, n = answers.where("portion IS NULL").agg(F.coalesce(F.sum("grams"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return scored(numbers, answers, float(n + v + 1), p), n
 
 
 def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -519,33 +612,34 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
     training = rows.where(~held)
     size = training.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(0, -(-size // p.segment_bytes) - 1).bit_length()
+    final = lambda out, n: out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    if size > p.large_bytes:
+        return final(*large_scores(rows, held, size, bits, p))
+    since = made()
     built = materialize(build(training, size, bits, p), "filter")
     sums = {r["kind"]: (r["v"], r["n"]) for r in built.groupBy("kind").agg(F.sum("grams").alias("v"), F.sum("total").alias("n")).collect()}
     v, n = sums.get(WORDS, (0, 0))
+    word_runs, pair_runs = (shards(built, kind, bits, p.filter_bytes) for kind in (WORDS, BIGRAMS))
+    if v > p.broadcast_words or len(pair_runs) > p.passes:
+        release(spark, since, 0)
+        return final(*large_scores(rows, held, size, bits, p))
     total = float(n + v + 1)
     share = lambda kind, run: spark.sparkContext.broadcast(load(built, kind, *run, bits, p))
-    exact = spark.sparkContext.broadcast(exact_counts(built)) if v <= p.broadcast_words else None
-    word_runs, pair_runs = (shards(built, kind, bits, p.filter_bytes) for kind in (WORDS, BIGRAMS))
-    sent = len(pair_runs) > p.passes
-    # where probes are sent, one pass without any bigrams tells all else
-    none = LogBloom(np.zeros(1, np.uint8), np.zeros(1, np.int64), 0, bits, p.probes, p.higher_probes)
+    exact = spark.sparkContext.broadcast(exact_counts(built))
     passes = [(i, j) for i in range(len(word_runs)) for j in range(len(word_runs))]
     several = len(passes) * len(pair_runs) > 1
     parts = []
     for i, j in passes:
         words = share(WORDS, word_runs[i]) if j == 0 else words
         contexts = words if i == j else share(WORDS, word_runs[j])
-        for k in range(1 if sent else len(pair_runs)):
-            pairs = spark.sparkContext.broadcast(none) if sent else share(BIGRAMS, pair_runs[k])
-            first = (i, j, k) == (0, 0, 0)
-            made = [one_pass(rows, words, contexts, pairs, exact, first, total, p)] if first or not sent else []
-            if sent:
-                made.append(probes_sent(rows, built, words, contexts, *dealt(training, size, bits, p), bits, total, p))
+        for k in range(len(pair_runs)):
+            pairs = share(BIGRAMS, pair_runs[k])
+            part = one_pass(rows, words, contexts, pairs, exact, (i, j, k) == (0, 0, 0), total, p)
             if several:
                 # its sums are written before the next shard comes, so one of each is held at a time
-                made = [materialize(x, "partial") for x in made]
+                part = materialize(part, "partial")
                 pairs.destroy(blocking=True)
-            parts += made
+            parts.append(part)
         if several:
             for done in {id(x): x for x in ([contexts] if i != j else []) + ([words] if j == len(word_runs) - 1 else [])}.values():
                 done.destroy(blocking=True)
@@ -557,7 +651,4 @@ def lm_score(docs: DataFrame, p: LanguageModel | None = None, id_col: str = "doc
         copies = F.count_if(F.col("n_tokens") > 0)
         out = out.groupBy(*by).agg(copies.cast("int").alias("copies"), *((F.sum(c) / copies).alias(c) for c in SUMS))
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*by, *(F.col(c).cast("long").alias(c) for c in SUMS[:2]), *SUMS[2:])
-    if exact is None:
-        told = joined_counts(rows, built, total, p)
-        out = out.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select(*by, "n_tokens", F.col("known").alias("n_known"), F.col("base").alias("base_score"), "score")
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return final(out, n)

@@ -399,6 +399,31 @@ def test_lm_score_in_shards(make):
     built.unpersist()
 
 
+def test_lm_score_of_large_text(make, spark, monkeypatch):
+    """Nothing is broadcast, no table has a row for each text and range, and portions of any size give the same scores."""
+    from quillspark.llm import lm_score as M
+
+    ids, texts = lm_texts(12, 300)
+    p = LanguageModel(segment_bytes=1000)
+    whole, docs = lm_rows(lm_score(make(texts, ids), p)), make(texts, ids)
+    rows, write = [], M.materialize
+
+    def written(*args):
+        out = write(*args)
+        rows.extend([out.count()] if args[1] != "filter" else [])
+        return out
+
+    monkeypatch.setattr(M, "materialize", written)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda *_: pytest.fail("broadcast"), raising=False)
+    for other in (dict(filter_bytes=200, passes=1, broadcast_words=0), dict(large_bytes=0), dict(large_bytes=0, large_portion=300)):
+        parts = lm_rows(lm_score(docs, replace(p, **other)))
+        assert [r[:5] for r in parts] == [r[:5] for r in whole]
+        assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for a, b in zip(parts, whole, strict=True) for k in (5, 6))
+        if "large_portion" not in other:
+            assert max(rows) < len(texts)
+    assert lm_score(make([]), replace(p, large_bytes=-1)).count() == 0
+
+
 def test_lm_score_filter_is_even(make):
     """One word that stands before all others makes no segment large."""
     texts = [" ".join(f"the x{k}_{j}" for j in range(50)) for k in range(60)]
