@@ -29,6 +29,36 @@ def test_round_trip(spark, tmp_path, sub):
     assert listed(root)["p1/a (1).md"] == b"new" and "in/in/b%20c.md" in listed(root)
 
 
+def test_names_stay_out_of_the_driver(spark, tmp_path):
+    """As Spark's own source finds them, but in splits of many files and without a list of them in the plan; large contents come in several batches."""
+    from quillspark.sources.files import _spark_files, qualified
+
+    root = tmp_path / "a,{b}"
+    odd = ["_SUCCESS", ".x/y.md", "_x/y.md", "_a=b/c.md", "_metadata", "_metadata.d/z.md", "p/._z", "p/q._COPYING_", "p/q/r/s/t.MD", "p/empty.md", "p/a%20b [1].png", "图/é.md"]
+    data = {**{f"d{k}/n{k}.md": b"x%d" % k for k in range(40)}, **{o: b"odd" for o in odd}, "p/empty.md": b"", **{f"big/{k}": bytes([k]) * 3_000_000 for k in range(5)}}
+    for path, content in data.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(content)
+    (root / "none.md").symlink_to(root / "nowhere")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for pattern in (None, "*.[mM][dD]", "{n1,n2}?.*", "[^n]*"):
+            made = scan_files(spark, str(root), pattern)
+            told = lambda df: sorted((r["path"], r["length"], r["modificationTime"].replace(microsecond=0), bytes(r["content"])) for r in df.collect())
+            assert told(made) == told(_spark_files(spark, qualified(spark, str(root)), pattern, True))
+        assert [r["path"] for r in scan_files(spark, str(root / "p"), recursive=False).collect()] == ["a%20b [1].png"]
+        names = scan_files(spark, str(root))
+        assert names.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        plan = names._jdf.queryExecution().optimizedPlan()
+        assert "quill_names" in plan.toString() and int(plan.stats().sizeInBytes()) > 1 << 40
+        (root / "p/q/r/s/t.MD").unlink()
+        assert names.select("path").where("path LIKE 'p/q/%'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="nothing here"):
+        scan_files(spark, str(tmp_path / "nothing here")).count()
+
+
 def test_failed_tasks_leave_nothing(spark, tmp_path):
     write_files(spark.createDataFrame([("a/x", b"old")], FILES), str(tmp_path))
 
